@@ -1,0 +1,34 @@
+"""Composed pipelines over flat tender / bid / question tables.
+
+``indicator_pipeline`` is the indicator flow end to end (method filter →
+derived variables → red flags).  The filter runs first so the joins and
+aggregates only touch kept tenders; Catalyst pushes it into the scan.
+"""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.bids import bid_stats
+from ..operators.enquiries import with_enquiry_stats
+from ..operators.indicators import RED_FLAG_OUTPUT, derived, red_flags
+from ..operators.skew import HOT_ROWS
+from .views import TEST_METHOD, bids_view, enquiry_view, tender_view
+
+
+def indicator_pipeline(tenders: DataFrame, enquiries: DataFrame, bids: DataFrame,
+                       method: str | None = None, key: str = "tender_key",
+                       hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Filter on method (if given), then derived variables and red flags."""
+    t = tenders if method is None else tenders.where(F.col("method") == F.lit(method))
+    with_q = with_enquiry_stats(t, enquiries, key, hot_rows=hot_rows)
+    with_b = with_q.join(bid_stats(bids, t, key, hot_rows=hot_rows), key, "left")
+    return red_flags(derived(with_b))
+
+
+def indicator_pipeline_views(spark: SparkSession, sf_dir: str, method: str | None = TEST_METHOD,
+                             hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The indicator pipeline over the fixture views of a test-data directory."""
+    out = indicator_pipeline(tender_view(spark, sf_dir), enquiry_view(spark, sf_dir),
+                             bids_view(spark, sf_dir), method, hot_rows=hot_rows)
+    return out.select(*RED_FLAG_OUTPUT)
