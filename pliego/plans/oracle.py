@@ -117,7 +117,36 @@ LEFT JOIN enq_stats q ON q.tender_key = t.tender_key
 LEFT JOIN bid_stats b ON b.tender_key = t.tender_key""",
 }
 
+DERIVED["harvest_p"] = f"""
+SELECT page_id,
+       CASE WHEN regexp_matches(fragment, 'href="(.*),">')
+            THEN concat('{HARVEST_BASE_URL}', regexp_extract(fragment, 'href="(.*),">', 1)) END AS link,
+       replace(l[2], ' ', '') AS codigo, l[3] AS entidad_contratante, l[4] AS objeto_del_proceso,
+       l[5] AS estado_del_proceso, l[6] AS provincia_canton, l[7] AS presupuesto,
+       replace(l[8], '&nbsp;', '') AS publish_date
+FROM (SELECT page_id, fragment,
+             string_split(regexp_replace(fragment, '<[^>]+>', '', 'g'), chr(10)) AS l FROM harvest_v)"""
+DERIVED["codes"] = """
+SELECT ocid, nullif(regexp_extract(ocid, '^ocds-5wno2w-(.+)-', 1), '') AS codigo,
+       CAST(year(start_ts) AS BIGINT) AS Year
+FROM tender_v"""
+DERIVED["first_match"] = """
+SELECT codigo, Year, CAST(make_date(CAST(Year AS INTEGER), half * 6 + 1, 1) AS DATE) AS window_start,
+       CAST(make_date(CAST(Year AS INTEGER), half * 6 + 1, 1) + INTERVAL 6 MONTH - INTERVAL 1 DAY AS DATE)
+         AS window_end,
+       page_id, link, entidad_contratante, objeto_del_proceso, estado_del_proceso, provincia_canton,
+       presupuesto, publish_date
+FROM (SELECT h.*, CAST(year(pub) AS BIGINT) AS Year, CASE WHEN month(pub) <= 6 THEN 0 ELSE 1 END AS half,
+             row_number() OVER (PARTITION BY codigo, year(pub)
+                                ORDER BY CASE WHEN month(pub) <= 6 THEN 0 ELSE 1 END, pub, page_id) AS rn
+      FROM (SELECT *, TRY_CAST(publish_date AS DATE) AS pub FROM harvest_p) h
+      WHERE pub IS NOT NULL
+        AND (codigo, CAST(year(pub) AS BIGINT)) IN (SELECT (codigo, Year) FROM codes))
+WHERE rn = 1"""
+
 _DEPS = {
+    "harvest_p": ["harvest_v"], "codes": ["tender_v"],
+    "first_match": ["harvest_p", "codes"],
     "tender_v": [], "bids_v": [], "enq_v": [], "harvest_v": [],
     "enq_stats": ["enq_v", "tender_v"],
     "bid_stats": ["bids_v", "tender_v"],
@@ -191,3 +220,28 @@ SQL["late_questions"] = with_ctes(
     "SELECT tender_key, late_questions AS NF039 FROM enq_stats", "enq_stats")
 SQL["unanswered_narrow"] = with_ctes(
     "SELECT tender_key, unanswered_narrow AS NF039 FROM enq_stats", "enq_stats")
+
+SQL["topic_wide"] = with_ctes(
+    f"""SELECT tender_key, enq_no, regexp_matches(description, '{WIDE}') AS wide_hit,
+       CAST(len(regexp_extract_all(description, '{WIDE}')) AS BIGINT) AS wide_count FROM enq_v""",
+    "enq_v")
+SQL["topic_narrow"] = with_ctes(
+    f"SELECT tender_key, enq_no, regexp_matches(description, '{NARROW}') AS narrow_hit FROM enq_v",
+    "enq_v")
+SQL["topic_documents"] = (
+    f"""SELECT doc_id, CAST(len(regexp_extract_all(text, '{WIDE}')) AS BIGINT) AS wide_count,
+       regexp_matches(text, '{NARROW}') AS narrow_hit FROM documents""")
+SQL["process_code"] = with_ctes(
+    "SELECT tender_key, ocid, nullif(regexp_extract(ocid, '^ocds-5wno2w-(.+)-', 1), '') AS codigo "
+    "FROM tender_v", "tender_v")
+SQL["url_tail"] = "SELECT page_id, nullif(regexp_extract(url, '/([^/]*)$', 1), '') AS tail FROM pages"
+SQL["strip_tags"] = "SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS text FROM pages"
+SQL["harvest_link"] = with_ctes("SELECT page_id, link FROM harvest_p", "harvest_p")
+SQL["harvest_parse"] = with_ctes("SELECT * FROM harvest_p", "harvest_p")
+SQL["harvest_join"] = with_ctes(
+    "SELECT c.ocid, c.Year, h.* FROM codes c JOIN harvest_p h ON h.codigo = c.codigo",
+    "codes", "harvest_p")
+SQL["window_first_match"] = with_ctes("SELECT * FROM first_match", "first_match")
+SQL["harvest_found"] = with_ctes(
+    "SELECT * FROM codes c WHERE (c.codigo, c.Year) IN (SELECT (codigo, Year) FROM first_match)",
+    "codes", "first_match")

@@ -165,3 +165,91 @@ def q_late_questions(spark, sf_dir):
 def q_unanswered_narrow(spark, sf_dir):
     """AG-5b: NF039 of the indicator pipeline (unanswered, narrow)."""
     return _enq_stats(spark, sf_dir).select("tender_key", F.col("unanswered_narrow").alias("NF039"))
+
+
+# --- text rules ------------------------------------------------------------------
+
+from ..functions.text import RE_NARROW, RE_WIDE, match_count, matches, process_code, strip_tags, url_tail  # noqa: E402
+from ..operators.harvest import (first_window_match, found_codes, harvest_join,  # noqa: E402
+                                 parse_fragments, tender_codes)
+from ..sources.tables import table  # noqa: E402
+from .views import harvest_view  # noqa: E402
+
+
+@register("topic_wide")
+def q_topic_wide(spark, sf_dir):
+    """FL-3a: wide convalidation pattern per question (hit and match count)."""
+    e = enquiry_view(spark, sf_dir)
+    return e.select("tender_key", "enq_no", matches("description", RE_WIDE).alias("wide_hit"),
+                    match_count("description", RE_WIDE).alias("wide_count"))
+
+
+@register("topic_narrow")
+def q_topic_narrow(spark, sf_dir):
+    """FL-3b: narrow pattern per question (kept = no hit)."""
+    e = enquiry_view(spark, sf_dir)
+    return e.select("tender_key", "enq_no", matches("description", RE_NARROW).alias("narrow_hit"))
+
+
+@register("topic_documents")
+def q_topic_documents(spark, sf_dir):
+    """FL-3a / FL-3b over whole document texts (volume run)."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", match_count("text", RE_WIDE).alias("wide_count"),
+                    matches("text", RE_NARROW).alias("narrow_hit"))
+
+
+@register("process_code")
+def q_process_code(spark, sf_dir):
+    """ST-1: process code from every tender id."""
+    t = tender_view(spark, sf_dir)
+    return t.select("tender_key", "ocid", process_code("ocid").alias("codigo"))
+
+
+@register("url_tail")
+def q_url_tail(spark, sf_dir):
+    """ST-2: id from a link (last path segment)."""
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", url_tail("url").alias("tail"))
+
+
+@register("strip_tags")
+def q_strip_tags(spark, sf_dir):
+    """ST-3: page text without tags (whole pages)."""
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", strip_tags("html").alias("text"))
+
+
+@register("harvest_link")
+def q_harvest_link(spark, sf_dir):
+    """ST-6: first link of each harvested fragment, with the base URL."""
+    return parse_fragments(harvest_view(spark, sf_dir)).select("page_id", "link")
+
+
+@register("harvest_parse")
+def q_harvest_parse(spark, sf_dir):
+    """HV-3 (+ ST-4, ST-5, ST-7, PR-11): fragment → eight named fields."""
+    return parse_fragments(harvest_view(spark, sf_dir))
+
+
+def _codes(spark, sf_dir):
+    return tender_codes(tender_view(spark, sf_dir))
+
+
+@register("harvest_join")
+def q_harvest_join(spark, sf_dir):
+    """JN-1: tenders ⋈ harvested rows on the process code."""
+    return harvest_join(_codes(spark, sf_dir), parse_fragments(harvest_view(spark, sf_dir)))
+
+
+@register("window_first_match")
+def q_window_first_match(spark, sf_dir):
+    """HV-1: first half-year window with a hit, and its first row."""
+    return first_window_match(_codes(spark, sf_dir), parse_fragments(harvest_view(spark, sf_dir)))
+
+
+@register("harvest_found")
+def q_harvest_found(spark, sf_dir):
+    """HV-2: tenders whose code was found on the search page."""
+    codes = _codes(spark, sf_dir)
+    return found_codes(codes, first_window_match(codes, parse_fragments(harvest_view(spark, sf_dir))))
