@@ -8,6 +8,7 @@ and counts / years are cast to BIGINT on both sides.
 from __future__ import annotations
 
 from ..functions.text import HARVEST_BASE_URL, RE_NARROW, RE_WIDE
+from ..operators.scoring import ensemble_sql
 from .views import TEST_METHOD
 
 WIDE = RE_WIDE.replace("'", "''")
@@ -144,7 +145,44 @@ FROM (SELECT h.*, CAST(year(pub) AS BIGINT) AS Year, CASE WHEN month(pub) <= 6 T
         AND (codigo, CAST(year(pub) AS BIGINT)) IN (SELECT (codigo, Year) FROM codes))
 WHERE rn = 1"""
 
+
+
+def features_sql(where: str = f"t.method = '{TEST_METHOD}'", late: str = "coalesce(q.late_questions, 0)") -> str:
+    return f"""
+SELECT t.ocid,
+       CAST({floor_days('t.award_end', 't.award_start')} AS DOUBLE) AS awar_perio,
+       CAST(q.unanswered_wide AS DOUBLE) AS Pre_No_Respu,
+       CAST({floor_days('t.enq_end', 't.enq_start')} AS DOUBLE) AS enqui_perio,
+       CAST(q.n_questions AS DOUBLE) AS Number_ques,
+       CAST({late} AS DOUBLE) AS NF039,
+       CAST(t.n_tenderers AS DOUBLE) AS n_of_Tend
+FROM tender_v t LEFT JOIN enq_stats q ON q.tender_key = t.tender_key
+WHERE {where}"""
+
+
+def scored_sql(src: str) -> str:
+    p = f"CAST(CAST(1.0::DOUBLE / (1.0::DOUBLE + exp(-{ensemble_sql()})) AS DECIMAL(18, 9)) AS DOUBLE)"
+    return f"""
+SELECT ocid, CAST(proba > 0.5 AS BIGINT) AS predict, proba, n_of_Tend, Pre_No_Respu, awar_perio,
+       enqui_perio, Number_ques, NF039
+FROM (SELECT *, {p} AS proba FROM {src})"""
+
+
+DERIVED["feat"] = features_sql()
+DERIVED["feat_zero"] = features_sql(late="0")
+DERIVED["scored"] = scored_sql("feat")
+DERIVED["scored_zero"] = scored_sql("feat_zero")
+DERIVED["status"] = """
+SELECT c.ocid, h.estado_del_proceso AS Estado, h.link AS Link
+FROM codes c JOIN harvest_p h ON h.codigo = c.codigo"""
+DERIVED["scored_status"] = scored_sql(
+    "(SELECT f.*, s.Estado, s.Link FROM feat f JOIN status s ON s.ocid = f.ocid)").replace(
+    "NF039\n", "NF039, Estado, Link\n")
+
 _DEPS = {
+    "feat": ["tender_v", "enq_stats"], "feat_zero": ["tender_v", "enq_stats"],
+    "scored": ["feat"], "scored_zero": ["feat_zero"],
+    "status": ["codes", "harvest_p"], "scored_status": ["feat", "status"],
     "harvest_p": ["harvest_v"], "codes": ["tender_v"],
     "first_match": ["harvest_p", "codes"],
     "tender_v": [], "bids_v": [], "enq_v": [], "harvest_v": [],
@@ -245,3 +283,33 @@ SQL["window_first_match"] = with_ctes("SELECT * FROM first_match", "first_match"
 SQL["harvest_found"] = with_ctes(
     "SELECT * FROM codes c WHERE (c.codigo, c.Year) IN (SELECT (codigo, Year) FROM first_match)",
     "codes", "first_match")
+
+SQL["features"] = with_ctes("SELECT * FROM feat", "feat")
+SQL["score_trees"] = with_ctes("SELECT * FROM scored", "scored")
+SQL["score_udf"] = SQL["score_trees"]
+SQL["tender_card"] = with_ctes(
+    """SELECT ocid, CASE WHEN predict = 1 THEN 'Desierto' ELSE 'Normal' END AS prediction,
+       CAST(CAST(proba * 100 AS DECIMAL(18, 2)) AS DOUBLE) AS probability_pct,
+       coalesce(CAST(n_of_Tend AS VARCHAR), 'Sin Registro') AS tenderers,
+       coalesce(CAST(Pre_No_Respu AS VARCHAR), 'Sin Registro') AS unanswered,
+       CAST(round(awar_perio) AS BIGINT) AS award_days,
+       CAST(round(enqui_perio) AS BIGINT) AS enquiry_days
+FROM scored""", "scored")
+SQL["score_status"] = with_ctes("SELECT * FROM scored_status", "scored_status")
+SQL["highlight_flags"] = with_ctes(
+    "SELECT ocid, predict > 0 AS flagged, n_of_Tend = 1 AS single_bidder, "
+    "Estado = 'Desierta' AS deserted FROM scored_status", "scored_status")
+
+_KEPT, _OTHER = "ocds-5wno2w-SIE-3-1997-780", "ocds-5wno2w-SIE-0-1998-899"
+SQL["lookup_scored"] = with_ctes(f"SELECT * FROM scored WHERE ocid IN ('{_KEPT}', '{_OTHER}')", "scored")
+SQL["lookup_any"] = with_ctes(f"SELECT {RED_FLAG_COLS} FROM flags_v WHERE ocid = '{_OTHER}'", "flags_v")
+SQL["outlier_lookup"] = with_ctes(
+    "SELECT c.ocid, c.codigo, c.Year, s.predict, s.proba FROM codes c JOIN scored s ON s.ocid = c.ocid",
+    "codes", "scored")
+_DIFF_COLS = ["predict", "proba", "awar_perio", "Pre_No_Respu", "enqui_perio", "Number_ques", "NF039",
+              "n_of_Tend"]
+SQL["prediction_diff"] = with_ctes(
+    "SELECT a.ocid, " + ", ".join(f"a.{c} AS {c}_self, b.{c} AS {c}_other" for c in _DIFF_COLS)
+    + " FROM scored a JOIN scored_zero b ON a.ocid = b.ocid WHERE "
+    + " OR ".join(f"a.{c} IS DISTINCT FROM b.{c}" for c in _DIFF_COLS),
+    "scored", "scored_zero")

@@ -13,7 +13,7 @@ from ..operators.bids import bid_stats
 from ..operators.enquiries import with_enquiry_stats
 from ..operators.indicators import RED_FLAG_OUTPUT, derived, red_flags
 from ..operators.skew import HOT_ROWS
-from .views import TEST_METHOD, bids_view, enquiry_view, tender_view
+from .views import TEST_METHOD, bids_view, enquiry_view, tender_view  # noqa: F401
 
 
 def indicator_pipeline(tenders: DataFrame, enquiries: DataFrame, bids: DataFrame,
@@ -32,3 +32,59 @@ def indicator_pipeline_views(spark: SparkSession, sf_dir: str, method: str | Non
     out = indicator_pipeline(tender_view(spark, sf_dir), enquiry_view(spark, sf_dir),
                              bids_view(spark, sf_dir), method, hot_rows=hot_rows)
     return out.select(*RED_FLAG_OUTPUT)
+
+
+# --- scoring pipeline ------------------------------------------------------------
+
+from ..functions.times import floor_days, timestamp_of  # noqa: E402
+from ..operators.harvest import harvest_join, parse_fragments, tender_codes  # noqa: E402
+from ..operators.scoring import FEATURES, score  # noqa: E402
+from .views import harvest_view  # noqa: E402
+
+
+def scoring_features(tenders: DataFrame, enquiries: DataFrame, method: str | None = None,
+                     ocid: str | None = None, compat_zero: bool = False,
+                     key: str = "tender_key") -> DataFrame:
+    """PL-1 / PR-9: the six model features (DOUBLE, nullable) per kept tender.
+
+    Filters (method, then an optional single id) run before any join, so a
+    lookup touches one tender's questions only.
+    """
+    t = tenders if method is None else tenders.where(F.col("method") == F.lit(method))
+    if ocid is not None:
+        t = t.where(F.col("ocid") == F.lit(ocid))
+    s = with_enquiry_stats(t, enquiries, key, compat_zero=compat_zero)
+    return s.select(
+        "ocid",
+        floor_days(timestamp_of(s, "award_end"), timestamp_of(s, "award_start"))
+          .cast("double").alias("awar_perio"),
+        F.col("unanswered_wide").cast("double").alias("Pre_No_Respu"),
+        floor_days(timestamp_of(s, "enq_end"), timestamp_of(s, "enq_start"))
+          .cast("double").alias("enqui_perio"),
+        F.col("n_questions").cast("double").alias("Number_ques"),
+        F.col("late_questions").cast("double").alias("NF039"),
+        F.col("n_tenderers").cast("double").alias("n_of_Tend"),
+    )
+
+
+def scored_views(spark: SparkSession, sf_dir: str, method: str | None = TEST_METHOD,
+                 ocid: str | None = None, compat_zero: bool = False) -> DataFrame:
+    """SR-1 over the fixture views: features → tree-ensemble score."""
+    f = scoring_features(tender_view(spark, sf_dir), enquiry_view(spark, sf_dir), method,
+                         ocid, compat_zero)
+    return score(f)
+
+
+def scored_with_status(spark: SparkSession, sf_dir: str, method: str | None = TEST_METHOD) -> DataFrame:
+    """SR-3: harvested status joined first (inner, on the process code), then scored."""
+    t = tender_view(spark, sf_dir)
+    if method is not None:
+        t = t.where(F.col("method") == F.lit(method))
+    h = parse_fragments(harvest_view(spark, sf_dir)).select(
+        "codigo", F.col("estado_del_proceso").alias("Estado"), F.col("link").alias("Link"))
+    codes = tender_codes(t).select("ocid", "codigo")
+    with_status = harvest_join(codes, h).select("ocid", "Estado", "Link")
+    t2 = t.join(with_status, "ocid", "inner")
+    f = scoring_features(t2, enquiry_view(spark, sf_dir)).join(
+        with_status, "ocid", "inner")
+    return score(f)

@@ -253,3 +253,83 @@ def q_harvest_found(spark, sf_dir):
     """HV-2: tenders whose code was found on the search page."""
     codes = _codes(spark, sf_dir)
     return found_codes(codes, first_window_match(codes, parse_fragments(harvest_view(spark, sf_dir))))
+
+
+# --- scoring -----------------------------------------------------------------------
+
+from ..operators.scoring import (FEATURES, TreeEnsembleModel, highlight_flags,  # noqa: E402
+                                 prediction_diff, score_with_model, tender_card)
+from .pipelines import scored_views, scored_with_status, scoring_features  # noqa: E402
+
+# Ids looked up by the lookup queries (one per method class at sf0.01).
+LOOKUP_OTHER_METHOD = "ocds-5wno2w-SIE-0-1998-899"
+LOOKUP_KEPT_METHOD = "ocds-5wno2w-SIE-3-1997-780"
+
+
+@register("features")
+def q_features(spark, sf_dir):
+    """PL-1 / PR-9: model features in the model's order."""
+    return scoring_features(tender_view(spark, sf_dir), enquiry_view(spark, sf_dir), TEST_METHOD)
+
+
+@register("score_trees")
+def q_score_trees(spark, sf_dir):
+    """SR-1: tree ensemble compiled to one CASE expression."""
+    return scored_views(spark, sf_dir)
+
+
+@register("score_udf")
+def q_score_udf(spark, sf_dir):
+    """SR-1b: the same model as a Python classifier object via mapInPandas."""
+    f = scoring_features(tender_view(spark, sf_dir), enquiry_view(spark, sf_dir), TEST_METHOD)
+    return score_with_model(f, TreeEnsembleModel())
+
+
+@register("tender_card")
+def q_tender_card(spark, sf_dir):
+    """SR-2: summary card columns for every scored tender."""
+    return tender_card(scored_views(spark, sf_dir))
+
+
+@register("score_status")
+def q_score_status(spark, sf_dir):
+    """SR-3: score plus harvested Estado and Link."""
+    return scored_with_status(spark, sf_dir)
+
+
+@register("highlight_flags")
+def q_highlight_flags(spark, sf_dir):
+    """CD-3: flagged / single bidder / deserted."""
+    return highlight_flags(scored_with_status(spark, sf_dir)).select(
+        "ocid", "flagged", "single_bidder", "deserted")
+
+
+@register("lookup_scored")
+def q_lookup_scored(spark, sf_dir):
+    """FL-2b: one id after the method filter and scoring (empty for other methods)."""
+    a = scored_views(spark, sf_dir, ocid=LOOKUP_KEPT_METHOD)
+    b = scored_views(spark, sf_dir, ocid=LOOKUP_OTHER_METHOD)
+    return a.unionByName(b)
+
+
+@register("lookup_any")
+def q_lookup_any(spark, sf_dir):
+    """FL-2a: one id before the method filter (any method is found)."""
+    t = tender_view(spark, sf_dir).where(F.col("ocid") == F.lit(LOOKUP_OTHER_METHOD))
+    from .pipelines import indicator_pipeline
+    out = indicator_pipeline(t, enquiry_view(spark, sf_dir), bids_view(spark, sf_dir), None)
+    return out.select(*RED_FLAG_OUTPUT)
+
+
+@register("outlier_lookup")
+def q_outlier_lookup(spark, sf_dir):
+    """JN-2 + PR-12: predictions joined to (ocid, codigo, Year)."""
+    preds = scored_views(spark, sf_dir).select("ocid", "predict", "proba")
+    codes = tender_codes(tender_view(spark, sf_dir))
+    return codes.join(preds, "ocid", "inner")
+
+
+@register("prediction_diff")
+def q_prediction_diff(spark, sf_dir):
+    """JN-3: intended late-question count vs the source's always-0 count."""
+    return prediction_diff(scored_views(spark, sf_dir), scored_views(spark, sf_dir, compat_zero=True))
