@@ -313,3 +313,84 @@ SQL["prediction_diff"] = with_ctes(
     + " FROM scored a JOIN scored_zero b ON a.ocid = b.ocid WHERE "
     + " OR ".join(f"a.{c} IS DISTINCT FROM b.{c}" for c in _DIFF_COLS),
     "scored", "scored_zero")
+
+
+def iso(c: str) -> str:
+    return f"(strftime({c}, '%Y-%m-%dT%H:%M:%S') || '-05:00')"
+
+
+DERIVED["bid_n"] = "SELECT tender_key, count(*) AS NF018 FROM bids_v GROUP BY tender_key"
+_DEPS["bid_n"] = ["bids_v"]
+_TENDER_ROWS = with_ctes(
+    f"""SELECT t.ocid, t.method AS PMethoDetails, t.in_ent, {iso('t.start_ts')} AS TTPSDate, b.NF018,
+       q.n_questions AS Number_ques
+FROM tender_v t LEFT JOIN bid_n b ON b.tender_key = t.tender_key
+LEFT JOIN enq_stats q ON q.tender_key = t.tender_key""", "tender_v", "bid_n", "enq_stats")
+SQL["scan_lines"] = SQL["scan_package"] = SQL["scan_zip"] = _TENDER_ROWS
+SQL["view_sql"] = with_ctes(
+    f"""SELECT t.ocid, t.method AS PMethoDetails, t.in_ent, {iso('t.start_ts')} AS TTPSDate,
+       t.award_value AS awardsvalue, t.contract_value AS ContractValue, b.NF018,
+       CAST(year(t.start_ts) AS BIGINT) AS year
+FROM tender_v t LEFT JOIN bid_n b ON b.tender_key = t.tender_key""", "tender_v", "bid_n")
+SQL["explode_releases"] = with_ctes(
+    """SELECT ocid, CAST(tender_key AS VARCHAR) AS tender_id, 'tender' AS tag,
+       CASE WHEN tender_key % 2 = 0 THEN 'goods' ELSE 'services' END AS category FROM tender_v""",
+    "tender_v")
+SQL["first_element"] = with_ctes(
+    f"""SELECT ocid, {iso('start_ts')} AS date, contract_value AS PreRefe, in_ent,
+       CAST(tender_key AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS description, contract_value AS Tvalue,
+       'Entidad ' || in_ent AS enti_name, method AS PMethoDetails, {iso('start_ts')} AS TTPSDate,
+       {iso('close_ts')} AS TTPEDate, {iso('enq_start')} AS TEPSDate, {iso('enq_end')} AS TEPEDate,
+       {iso('award_start')} AS TAPSDate, {iso('award_end')} AS TAPEDate, n_tenderers AS n_of_Tend,
+       CAST(year(start_ts) AS BIGINT) AS year
+FROM tender_v""", "tender_v")
+SQL["first_nested"] = with_ctes(
+    f"""SELECT t.ocid, {iso('t.award_end')} AS awardsDate, t.award_value AS awardsvalue,
+       {iso('t.award_end')} AS ACPSDate, {iso('t.close_ts')} AS ACPEDate, 'P' || t.buyer_key AS award_id,
+       {iso('t.signed_ts')} AS CCPSDate, {iso('t.close_ts')} AS CCPEDate, t.contract_value AS ContractValue,
+       {iso('t.signed_ts')} AS dateSigned, {iso('t.auction_start')} AS bid_st_Date,
+       {iso('t.close_ts')} AS bid_en_Date, b.NF018
+FROM tender_v t LEFT JOIN bid_n b ON b.tender_key = t.tender_key""", "tender_v", "bid_n")
+SQL["array_field"] = with_ctes(
+    f"""SELECT t.ocid, q.enq_desc, q.enq_ans, q.enq_fechas,
+       CASE WHEN t.tender_key % 2 = 0 THEN 'goods' ELSE 'services' END AS category
+FROM tender_v t LEFT JOIN (
+  SELECT tender_key, string_agg(description, '|' ORDER BY description) AS enq_desc,
+         string_agg(answer, '|' ORDER BY answer) AS enq_ans,
+         string_agg({iso('asked_ts')}, '|' ORDER BY {iso('asked_ts')}) AS enq_fechas
+  FROM enq_v GROUP BY tender_key) q ON q.tender_key = t.tender_key""", "tender_v", "enq_v")
+SQL["flatten_struct"] = with_ctes(
+    f"""SELECT ocid, {iso('start_ts')} AS date, contract_value AS planning__budget__amount__amount,
+       'USD' AS planning__budget__amount__currency, CAST(tender_key AS VARCHAR) AS tender__id,
+       CAST(NULL AS VARCHAR) AS tender__description, method AS tender__procurementMethodDetails,
+       CASE WHEN tender_key % 2 = 0 THEN 'goods' ELSE 'services' END AS tender__mainProcurementCategory,
+       n_tenderers AS tender__numberOfTenderers, in_ent AS tender__procuringEntity__id,
+       'Entidad ' || in_ent AS tender__procuringEntity__name, contract_value AS tender__value__amount,
+       'USD' AS tender__value__currency, {iso('start_ts')} AS tender__tenderPeriod__startDate,
+       {iso('close_ts')} AS tender__tenderPeriod__endDate, {iso('enq_start')} AS tender__enquiryPeriod__startDate,
+       {iso('enq_end')} AS tender__enquiryPeriod__endDate, {iso('award_start')} AS tender__awardPeriod__startDate,
+       {iso('award_end')} AS tender__awardPeriod__endDate
+FROM tender_v""", "tender_v")
+_US5H = "18000000000"
+_pd_cols = {"date": "start_ts", "TTPSDate": "start_ts", "TTPEDate": "close_ts", "TEPSDate": "enq_start",
+            "TEPEDate": "enq_end", "TAPSDate": "award_start", "TAPEDate": "award_end",
+            "awardsDate": "award_end", "ACPSDate": "award_end", "ACPEDate": "close_ts",
+            "CCPSDate": "signed_ts", "CCPEDate": "close_ts", "dateSigned": "signed_ts",
+            "bid_st_Date": "auction_start", "bid_en_Date": "close_ts"}
+SQL["parse_dates"] = with_ctes(
+    "SELECT ocid, " + ", ".join(f"epoch_us({v}) + {_US5H} AS {k}" for k, v in _pd_cols.items())
+    + " FROM tender_v", "tender_v")
+SQL["drop_all_null"] = with_ctes(
+    "SELECT ocid, contract_value AS PreRefe, n_tenderers AS n_of_Tend, "
+    f"{iso('signed_ts')} AS dateSigned FROM tender_v", "tender_v")
+SQL["bid_flat"] = with_ctes(
+    f"""SELECT t.ocid, concat_ws('-', b.tender_key, b.l_linenumber, b.l_partkey) AS bid_id,
+       CAST(b.tenderer_id AS VARCHAR) AS tenderer_id, 'Proveedor ' || b.tenderer_id AS tenderer_name,
+       b.amount, {iso('b.bid_ts')} AS bid_date
+FROM bids_v b JOIN tender_v t ON t.tender_key = b.tender_key""", "bids_v", "tender_v")
+SQL["ocds_red_flags"] = with_ctes(
+    "SELECT ocid, in_ent, Year, Dif_Day_Recep_Ofer, enqui_perio, audi_perio, awar_perio, Number_ques, "
+    "Num_Pregu, Num_Respu, Pre_No_Respu, Mean_Days_Respon, nf061, nf059, NF039, NF018, Nf030 "
+    f"FROM flags_v WHERE method = '{TEST_METHOD}'", "flags_v")
+SQL["ocds_features"] = SQL["features"]
+SQL["ocds_score"] = SQL["score_trees"]

@@ -333,3 +333,151 @@ def q_outlier_lookup(spark, sf_dir):
 def q_prediction_diff(spark, sf_dir):
     """JN-3: intended late-question count vs the source's always-0 count."""
     return prediction_diff(scored_views(spark, sf_dir), scored_views(spark, sf_dir, compat_zero=True))
+
+
+# --- release packages (sources, projections, nested measures) --------------------
+
+from ..functions.nested import variant_items  # noqa: E402
+from ..operators.reshape import drop_all_null, flatten_struct, parse_dates  # noqa: E402
+from ..operators.scoring import score  # noqa: E402
+from ..sources.landing import landed  # noqa: E402
+from ..sources.ocds import (first_release, indicator_projection, read_package_lines,  # noqa: E402
+                            read_packages, read_zipped_packages, releases, sql_projection)
+from .packages import INDICATOR_OUTPUT, features_from_packages, indicators_from_packages  # noqa: E402
+
+_READERS = {"lines": read_package_lines, "package": read_packages, "zip": read_zipped_packages}
+
+
+def packages_of(spark, sf_dir, layout: str = "lines"):
+    """Release packages landed from ``sf_dir`` (landed once per process)."""
+    return _READERS[layout](spark, landed(spark, sf_dir, layout))
+
+
+def _tender_rows(pk):
+    r = releases(pk)
+    t = F.col("tender")
+    stage = F.get(F.get(F.col("auctions"), 0)["stages"], 0)
+    return r.select(
+        "ocid", t["procurementMethodDetails"].alias("PMethoDetails"),
+        t["procuringEntity"]["id"].alias("in_ent"), t["tenderPeriod"]["startDate"].alias("TTPSDate"),
+        F.array_size(stage["bids"]).cast("bigint").alias("NF018"),
+        F.array_size(variant_items(t["enquiries"])).cast("bigint").alias("Number_ques"))
+
+
+@register("scan_lines")
+def q_scan_lines(spark, sf_dir):
+    """SC-1: JSON-lines packages read with the declared schema."""
+    return _tender_rows(packages_of(spark, sf_dir, "lines"))
+
+
+@register("scan_package")
+def q_scan_package(spark, sf_dir):
+    """SC-2: whole-document packages (multiLine)."""
+    return _tender_rows(packages_of(spark, sf_dir, "package"))
+
+
+@register("scan_zip")
+def q_scan_zip(spark, sf_dir):
+    """SC-3: zip archives, first member parsed."""
+    return _tender_rows(packages_of(spark, sf_dir, "zip"))
+
+
+@register("view_sql")
+def q_view_sql(spark, sf_dir):
+    """SC-5: the scan registered as a temp view and projected in SQL."""
+    return sql_projection(spark, packages_of(spark, sf_dir))
+
+
+@register("explode_releases")
+def q_explode_releases(spark, sf_dir):
+    """PR-1: one row per release."""
+    r = releases(packages_of(spark, sf_dir))
+    return r.select("ocid", F.col("tender.id").alias("tender_id"), F.get("tag", 0).alias("tag"),
+                    F.col("tender.mainProcurementCategory").alias("category"))
+
+
+@register("first_element")
+def q_first_element(spark, sf_dir):
+    """PR-2 / PR-8: first-release tender fields of each package line."""
+    p = indicator_projection(packages_of(spark, sf_dir))
+    return p.select("ocid", "date", "PreRefe", "in_ent", "id", "description", "Tvalue", "enti_name",
+                    "PMethoDetails", "TTPSDate", "TTPEDate", "TEPSDate", "TEPEDate", "TAPSDate",
+                    "TAPEDate", "n_of_Tend", "year")
+
+
+@register("first_nested")
+def q_first_nested(spark, sf_dir):
+    """PR-5 / 5b / 5c: first award, contract and auction fields."""
+    p = indicator_projection(packages_of(spark, sf_dir))
+    return p.select("ocid", "awardsDate", "awardsvalue", "ACPSDate", "ACPEDate", "award_id",
+                    "CCPSDate", "CCPEDate", "ContractValue", "dateSigned", "bid_st_Date",
+                    "bid_en_Date", F.array_size("bids").cast("bigint").alias("NF018"))
+
+
+@register("array_field")
+def q_array_field(spark, sf_dir):
+    """PR-4: a field across an array of structs (order-free rendering)."""
+    p = indicator_projection(packages_of(spark, sf_dir))
+
+    def joined(c):
+        return F.nullif(F.array_join(F.array_sort(c), "|"), F.lit(""))
+    return p.select("ocid", joined("enq_desc").alias("enq_desc"), joined("enq_ans").alias("enq_ans"),
+                    joined("enq_fechas").alias("enq_fechas"), joined("category").alias("category"))
+
+
+@register("flatten_struct")
+def q_flatten_struct(spark, sf_dir):
+    """PR-3: release struct flattened to path-named columns (scalar leaves)."""
+    flat = flatten_struct(first_release(packages_of(spark, sf_dir)), sep="__")
+    keep = [f.name for f in flat.schema.fields if f.dataType.typeName() in ("string", "double", "long")]
+    return flat.select(*keep)
+
+
+_DATE_COLS = ["date", "TTPSDate", "TTPEDate", "TEPSDate", "TEPEDate", "TAPSDate", "TAPEDate",
+              "awardsDate", "ACPSDate", "ACPEDate", "CCPSDate", "CCPEDate", "dateSigned",
+              "bid_st_Date", "bid_en_Date"]
+
+
+@register("parse_dates")
+def q_parse_dates(spark, sf_dir):
+    """PR-6: every column whose name matches Date|date parsed to an instant."""
+    p = indicator_projection(packages_of(spark, sf_dir))
+    parsed = parse_dates(p.select("ocid", "enq_fechas", *_DATE_COLS))
+    return parsed.select("ocid", *[F.unix_micros(c).alias(c) for c in _DATE_COLS])
+
+
+@register("drop_all_null")
+def q_drop_all_null(spark, sf_dir):
+    """PR-7 / AG-8: columns NULL in every row are dropped (one count pass)."""
+    p = indicator_projection(packages_of(spark, sf_dir))
+    return drop_all_null(p.select("ocid", "description", "PreRefe", "n_of_Tend", "dateSigned"))
+
+
+@register("bid_flat")
+def q_bid_flat(spark, sf_dir):
+    """AG-7: one row per bid of the first auction stage, unpacked by name."""
+    r = releases(packages_of(spark, sf_dir))
+    stage = F.get(F.get(F.col("auctions"), 0)["stages"], 0)
+    b = r.select("ocid", F.explode(stage["bids"]).alias("bid")).select("ocid", "bid.*")
+    from ..operators.bids import bid_flat
+    return bid_flat(b).select("ocid", F.col("id").alias("bid_id"), "tenderer_id", "tenderer_name",
+                              "amount", F.col("date").alias("bid_date"))
+
+
+@register("ocds_red_flags")
+def q_ocds_red_flags(spark, sf_dir):
+    """PL-4 on packages: indicator pipeline, nested form."""
+    return indicators_from_packages(packages_of(spark, sf_dir), TEST_METHOD).select(*INDICATOR_OUTPUT)
+
+
+@register("ocds_features")
+def q_ocds_features(spark, sf_dir):
+    """PL-1 on packages: scoring features, VARIANT-aware question counts."""
+    f = features_from_packages(packages_of(spark, sf_dir), TEST_METHOD)
+    return f.select("ocid", *FEATURES)
+
+
+@register("ocds_score")
+def q_ocds_score(spark, sf_dir):
+    """SR-1 on packages."""
+    return score(features_from_packages(packages_of(spark, sf_dir), TEST_METHOD).select("ocid", *FEATURES))
