@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..sources.schema import ENQUIRY_DDL
-from .text import RE_NARROW, RE_WIDE
+from .text import RE_NARROW, RE_WIDE, match_count, matches
 from .times import floor_days, instant
 from .util import as_col
 
@@ -57,7 +57,7 @@ def unanswered_wide(v) -> Column:
     has_desc_key = F.exists(items, lambda e: F.variant_get(e, "$.description", "variant").isNotNull())
     any_null_desc = F.exists(items, lambda e: desc(e).isNull())
     counted = F.array_size(F.filter(
-        items, lambda e: ~desc(e).rlike(RE_WIDE) & F.coalesce(F.is_variant_null(ans_v(e)), F.lit(False))))
+        items, lambda e: ~matches(desc(e), RE_WIDE) & F.coalesce(F.is_variant_null(ans_v(e)), F.lit(False))))
     return (F.when(items.isNull() | (F.array_size(items) == 0), F.lit(None))
              .when(~has_answer_key, F.when(has_desc_key, F.array_size(items)))
              .when(any_null_desc, F.lit(None))
@@ -72,7 +72,7 @@ def late_questions(q, deadline, compat_zero: bool = False) -> Column:
         return F.lit(0).cast("bigint")
     end = as_col(deadline)
     n = F.array_size(F.filter(as_col(q), lambda x: ~F.coalesce(instant(x["date"]) <= end, F.lit(False))
-                              & (F.regexp_count(x["description"], F.lit(RE_WIDE)) != 1)))
+                              & (match_count(x["description"], RE_WIDE) != 1)))
     return F.coalesce(n, F.lit(0)).cast("bigint")
 
 
@@ -86,7 +86,7 @@ def unanswered_narrow(q, in_ent) -> Column:
                    | (x["description"].isNotNull() & x["author"]["id"].isNull()))
     n = F.array_size(F.filter(q, lambda x: x["description"].isNotNull()
                               & ~x["author"]["id"].contains(ent)
-                              & ~x["description"].rlike(RE_NARROW) & x["answer"].isNull()))
+                              & ~matches(x["description"], RE_NARROW) & x["answer"].isNull()))
     return (F.when(q.isNull() | (F.array_size(q) == 0) | ent.isNull() | bad, F.lit(None))
              .otherwise(n)).cast("bigint")
 

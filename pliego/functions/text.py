@@ -49,14 +49,45 @@ _TAG = "<[^>]+>"
 _LINE_BREAK = "\r\n|\n|\r"
 
 
+# Literal prefilters: every alternative of the pattern contains one of these
+# substrings, so text without any of them cannot match.  A substring test is
+# ~10x cheaper than the regex on long texts, so the regex only runs on the
+# few texts that pass it.
+NEEDLES = {
+    RE_WIDE: ("onvalid", "ONVALID", "NO se presentaron preguntas"),
+    RE_NARROW: ("onvalid", "ONVALID"),
+}
+for _p, _ns in NEEDLES.items():  # the prefilter must be exact
+    assert all(any(n in alt for n in _ns) for alt in _p.split("|")), _p
+
+
+def _hint(c: Column, pattern: str) -> Column | None:
+    needles = NEEDLES.get(pattern)
+    if not needles:
+        return None
+    h = None
+    for n in needles:
+        h = c.contains(n) if h is None else (h | c.contains(n))
+    return h
+
+
 def matches(c, pattern: str) -> Column:
     """Regex search (not anchored), NULL-propagating."""
-    return as_col(c).rlike(pattern)
+    c = as_col(c)
+    h = _hint(c, pattern)
+    if h is None:
+        return c.rlike(pattern)
+    return F.when(c.isNull(), F.lit(None)).when(h, c.rlike(pattern)).otherwise(F.lit(False))
 
 
 def match_count(c, pattern: str) -> Column:
     """Number of non-overlapping matches, like ``len(re.findall(...))``."""
-    return F.regexp_count(as_col(c), F.lit(pattern))
+    c = as_col(c)
+    full = F.regexp_count(c, F.lit(pattern))
+    h = _hint(c, pattern)
+    if h is None:
+        return full
+    return F.when(c.isNull(), F.lit(None)).when(h, full).otherwise(F.lit(0))
 
 
 def process_code(ocid, prefix: str = OCID_PREFIX) -> Column:

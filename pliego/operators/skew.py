@@ -4,53 +4,66 @@ Per-tender indicators compare every fact (a bid, a question) with an
 attribute of its tender (close time, enquiry deadline, buying entity) and then
 aggregate by the tender key.  A plain sort-merge join puts every fact of one
 key into one task, and because the aggregate that follows needs the same
-partitioning, AQE cannot split that task.  If one tender held a third of all
-bids, one task would do a third of the job.
+partitioning, AQE's skew-join split does not apply.  If one tender held a
+third of all bids, one task would do a third of the job.
 
-``join_unique_dim`` splits such hot keys out explicitly:
+``join_unique_dim`` salts only the hot keys:
 
-1. count facts per key (partial aggregation, map-side — cheap);
+1. count facts per key (partial aggregation map-side, then a narrow
+   shuffle of one row per key and map task);
 2. keys with more than ``hot_rows`` facts are *hot*.  There are at most
-   ``total_facts / hot_rows`` of them, so the hot-key list and the matching
-   dimension rows have a proven size bound and are broadcast;
-3. hot facts are joined map-side against that broadcast (no shuffle of the
-   hot rows at all); the remaining facts take the normal shuffle join;
-4. the two results are unioned.  The caller's ``groupBy(key)`` then runs a
-   partial aggregation before its exchange, so a hot key shrinks to one row
-   per task before anything is shuffled.
-
-With no hot key the extra cost is the per-key count (one narrow aggregate)
-and an empty broadcast.
+   ``total_facts / hot_rows`` of them, a proven bound, so that list is
+   broadcast;
+3. a fact of a hot key gets a salt ``0 … salt_buckets-1`` from a hash of the
+   row; every other fact gets salt 0.  The dimension row of a hot key is
+   repeated once per salt value (``|hot| × salt_buckets`` extra rows at
+   most), every other dimension row once with salt 0;
+4. the join runs on ``(key, salt)``, so a hot key is spread over
+   ``salt_buckets`` tasks.  A later ``groupBy(key)`` now needs its own
+   exchange, and Spark puts a partial aggregation before it, so each task
+   sends one row per key.
+
+Without hot keys the cost over a plain join is the per-key count.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key with more facts than this is handled by the broadcast branch.  The hot
-# key list is therefore at most total_rows / HOT_ROWS entries: 1e6 keys for
-# 1e12 fact rows, a few tens of MB with the dimension columns.
+# A key with more facts than this is salted.  The hot-key list therefore has
+# at most total_rows / HOT_ROWS entries: 1e6 keys for 1e12 fact rows.
 HOT_ROWS = 1_000_000
+# Partitions a hot key is spread over.
+SALT_BUCKETS = 64
 
 
 def hot_keys(facts: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys holding more than ``hot_rows`` facts (≤ total / hot_rows rows)."""
     return (facts.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") > hot_rows).select(key))
+            .where(F.col("_n") > hot_rows).select(key, F.lit(True).alias("_hot")))
 
 
 def join_unique_dim(facts: DataFrame, dims: DataFrame, key: str,
-                    hot_rows: int = HOT_ROWS, how: str = "inner") -> DataFrame:
-    """``facts ⋈ dims`` on ``key`` (dims unique per key), hot keys broadcast.
+                    hot_rows: int = HOT_ROWS, how: str = "inner",
+                    salt_buckets: int = SALT_BUCKETS, counts: DataFrame | None = None) -> DataFrame:
+    """``facts ⋈ dims`` on ``key`` (dims unique per key), hot keys salted.
 
     ``how`` is ``inner`` or ``left`` (facts kept when the key has no dim row).
+    ``counts`` — ``(key, _n)`` facts per key, if the caller already has it.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
-    hot = F.broadcast(hot_keys(facts, key, hot_rows))
-    hot_facts = facts.join(hot, key, "left_semi")
-    cold_facts = facts.join(hot, key, "left_anti")
-    hot_dims = F.broadcast(dims.join(hot, key, "left_semi"))
-    cold = cold_facts.join(dims, key, how)
-    warm = hot_facts.join(hot_dims, key, how)
-    return cold.unionByName(warm)
+    if counts is None:
+        hot = hot_keys(facts, key, hot_rows)
+    else:
+        hot = counts.where(F.col("_n") > hot_rows).select(key, F.lit(True).alias("_hot"))
+    hot = F.broadcast(hot)
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns])
+    salted_facts = facts.join(hot, key, "left").select(
+        *[F.col(f"`{c}`") for c in facts.columns],
+        F.when(F.col("_hot"), F.pmod(row_hash, F.lit(salt_buckets))).otherwise(F.lit(0))
+         .cast("int").alias("_salt"))
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salt_buckets - 1))).otherwise(F.array(F.lit(0)))
+    salted_dims = dims.join(hot, key, "left").select(
+        *[F.col(f"`{c}`") for c in dims.columns], F.explode(copies).alias("_salt"))
+    return salted_facts.join(salted_dims, [key, "_salt"], how).drop("_salt")

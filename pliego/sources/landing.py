@@ -36,7 +36,7 @@ def chunked_lists(facts: DataFrame, key: str, item: Column, spread: list[Column]
                   max_items: int = MAX_ITEMS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(key, chunk, items)`` with at most about ``max_items`` items per row."""
     counts = facts.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    j = join_unique_dim(facts, counts, key, hot_rows)
+    j = join_unique_dim(facts, counts, key, hot_rows, counts=counts)
     n_chunks = F.ceil(F.col("_n") / F.lit(max_items))
     chunk = F.pmod(F.xxhash64(*spread), n_chunks).cast("bigint")
     return (j.select(key, chunk.alias("chunk"), item.alias("_item"))
