@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_unique_dim
 from ..sources.tables import table
 
 # --- fixed values of the fixture mapping -------------------------------------
@@ -77,10 +78,13 @@ def enquiry_view(spark: SparkSession, sf_dir: str) -> DataFrame:
          .select(F.col("conv_id").alias("a_conv"), (F.col("turn") - 1).alias("a_turn"),
                  F.col("text").alias("next_text")))
     qa = q.join(a, (q.conv_id == a.a_conv) & (q.turn == a.a_turn), "left")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    j = qa.join(o, qa.conv_id == o.o_orderkey, "inner")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("conv_id"), "o_orderdate")
+    # a conversation may be huge: its tender's date is attached with the
+    # hot-key salted join rather than a plain one
+    qa = qa.withColumn("_answered", F.col("a_conv").isNotNull()).drop("a_conv", "a_turn")
+    j = join_unique_dim(qa, o, "conv_id")
     cid, turn, text = F.col("conv_id"), F.col("turn"), F.col("text")
-    answered = F.col("a_conv").isNotNull()
+    answered = F.col("_answered")
     asked_h = (turn * 37 + cid) % 400
     return j.select(
         cid.alias("tender_key"),
