@@ -394,3 +394,9 @@ SQL["ocds_red_flags"] = with_ctes(
     f"FROM flags_v WHERE method = '{TEST_METHOD}'", "flags_v")
 SQL["ocds_features"] = SQL["features"]
 SQL["ocds_score"] = SQL["score_trees"]
+SQL["outlier_flagged"] = with_ctes(
+    "SELECT c.ocid, c.codigo, c.Year, s.predict, s.proba FROM codes c JOIN scored s ON s.ocid = c.ocid "
+    "WHERE s.predict = 1", "codes", "scored")
+SQL["harvest_missing"] = with_ctes(
+    "SELECT * FROM codes c WHERE NOT EXISTS (SELECT 1 FROM first_match m "
+    "WHERE m.codigo = c.codigo AND m.Year = c.Year)", "codes", "first_match")

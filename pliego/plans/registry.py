@@ -481,3 +481,18 @@ def q_ocds_features(spark, sf_dir):
 def q_ocds_score(spark, sf_dir):
     """SR-1 on packages."""
     return score(features_from_packages(packages_of(spark, sf_dir), TEST_METHOD).select("ocid", *FEATURES))
+
+
+@register("outlier_flagged")
+def q_outlier_flagged(spark, sf_dir):
+    """FL-7 + JN-2: only flagged predictions joined to (ocid, codigo, Year)."""
+    preds = scored_views(spark, sf_dir).where(F.col("predict") == 1).select("ocid", "predict", "proba")
+    return tender_codes(tender_view(spark, sf_dir)).join(preds, "ocid", "inner")
+
+
+@register("harvest_missing")
+def q_harvest_missing(spark, sf_dir):
+    """HV-2 complement: tenders whose code was not found."""
+    codes = _codes(spark, sf_dir)
+    return found_codes(codes, first_window_match(codes, parse_fragments(harvest_view(spark, sf_dir))),
+                       how="left_anti")

@@ -38,3 +38,11 @@ def test_stream_equals_batch(spark, tmp_path):
     want = indicators_from_packages(read_package_lines(spark, src), "1-URGENT").select(*got.columns)
     assert got.count() == want.count() > 0
     assert got.exceptAll(want).count() == 0
+
+
+def test_csv_export_keeps_nested_as_json(spark, tmp_path):
+    from pliego.sources.sinks import export_csv
+    df = spark.createDataFrame([("a", [1, 2], {"x": 1})], "k string, arr array<int>, m map<string,int>")
+    export_csv(df, str(tmp_path / "csv"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "csv")).first()
+    assert back.k == "a" and back.arr == "[1,2]" and back.m == '{"x":1}'
