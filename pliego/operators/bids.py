@@ -20,13 +20,14 @@ from .skew import HOT_ROWS, join_unique_dim
 
 
 def bid_stats(bids: DataFrame, tenders: DataFrame, key: str = "tender_key",
-              close_col: str = "close_ts", hot_rows: int = HOT_ROWS) -> DataFrame:
+              close_col: str = "close_ts", hot_rows: int = HOT_ROWS,
+              hot: DataFrame | None = None) -> DataFrame:
     """One row per tender key that has bids: ``NF018``, ``Nf030``."""
     facts = bids.select(
         key, "bid_ts",
         (F.col("tenderer_id").isNull() | F.col("amount").isNull()).alias("_bad"))
     dims = tenders.select(key, F.col(close_col).alias("_close"))
-    j = join_unique_dim(facts, dims, key, hot_rows)
+    j = join_unique_dim(facts, dims, key, hot_rows, hot=hot)
     return j.groupBy(key).agg(
         F.count(F.lit(1)).alias("NF018"),
         F.when(F.max("_bad"), F.lit(None))

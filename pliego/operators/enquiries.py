@@ -75,23 +75,27 @@ def enquiry_aggs(compat_zero: bool = False) -> list[Column]:
 
 def enquiry_stats(enquiries: DataFrame, tenders: DataFrame, key: str = "tender_key",
                   in_ent_col: str = "in_ent", deadline_col: str = "enq_end",
-                  compat_zero: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row per tender key that has questions, all measures above."""
+                  compat_zero: bool = False, hot_rows: int = HOT_ROWS,
+                  hot: DataFrame | None = None) -> DataFrame:
+    """One row per tender key that has questions, all measures above.
+
+    ``hot`` — precomputed hot keys (see ``skew.join_unique_dim``)."""
     facts = enquiries.select(key, "description", "answer", "author_id", "asked_ts",
                              "answered_ts")
     dims = tenders.select(key, F.col(in_ent_col).alias("_in_ent"),
                           F.col(deadline_col).alias("_enq_end"))
-    j = join_unique_dim(facts, dims, key, hot_rows)
+    j = join_unique_dim(facts, dims, key, hot_rows, hot=hot)
     return j.groupBy(key).agg(*enquiry_aggs(compat_zero))
 
 
 def with_enquiry_stats(tenders: DataFrame, enquiries: DataFrame, key: str = "tender_key",
-                       compat_zero: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+                       compat_zero: bool = False, hot_rows: int = HOT_ROWS,
+                       hot: DataFrame | None = None) -> DataFrame:
     """Tenders left-joined to their question measures.
 
     A tender without questions gets NULL everywhere except
     ``late_questions``, which the source reports as 0 in that case.
     """
-    stats = enquiry_stats(enquiries, tenders, key, compat_zero=compat_zero, hot_rows=hot_rows)
+    stats = enquiry_stats(enquiries, tenders, key, compat_zero=compat_zero, hot_rows=hot_rows, hot=hot)
     out = tenders.join(stats, key, "left")
     return out.withColumn("late_questions", F.coalesce("late_questions", F.lit(0).cast("bigint")))

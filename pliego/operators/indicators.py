@@ -56,11 +56,9 @@ def derived(tenders_with_stats: DataFrame) -> DataFrame:
     Expects the columns of ``enquiries.with_enquiry_stats``.
     """
     d = durations(tenders_with_stats)
-    return (d.withColumnRenamed("n_questions", "Number_ques")
-             .withColumnRenamed("num_pregu", "Num_Pregu")
-             .withColumnRenamed("num_respu", "Num_Respu")
-             .withColumnRenamed("qa_gap", "Pre_No_Respu")
-             .withColumnRenamed("mean_response_days", "Mean_Days_Respon"))
+    return d.withColumnsRenamed({
+        "n_questions": "Number_ques", "num_pregu": "Num_Pregu", "num_respu": "Num_Respu",
+        "qa_gap": "Pre_No_Respu", "mean_response_days": "Mean_Days_Respon"})
 
 
 def red_flags(derived_df: DataFrame) -> DataFrame:
@@ -68,8 +66,11 @@ def red_flags(derived_df: DataFrame) -> DataFrame:
 
     Expects ``unanswered_narrow`` and the bid columns ``NF018`` / ``Nf030``.
     """
-    out = value_gap(sign_hours(derived_df))
-    return out.withColumnRenamed("unanswered_narrow", "NF039")
+    d = derived_df
+    return d.select(
+        *[F.col(c).alias("NF039") if c == "unanswered_narrow" else F.col(c) for c in d.columns],
+        hours_between(timestamp_of(d, "signed_ts"), timestamp_of(d, "award_end")).alias("nf061"),
+        (F.col("contract_value") - F.col("award_value")).alias("nf059"))
 
 
 RED_FLAG_OUTPUT = [

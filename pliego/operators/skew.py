@@ -45,15 +45,21 @@ def hot_keys(facts: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 def join_unique_dim(facts: DataFrame, dims: DataFrame, key: str,
                     hot_rows: int = HOT_ROWS, how: str = "inner",
-                    salt_buckets: int = SALT_BUCKETS, counts: DataFrame | None = None) -> DataFrame:
+                    salt_buckets: int = SALT_BUCKETS, counts: DataFrame | None = None,
+                    hot: DataFrame | None = None) -> DataFrame:
     """``facts ⋈ dims`` on ``key`` (dims unique per key), hot keys salted.
 
     ``how`` is ``inner`` or ``left`` (facts kept when the key has no dim row).
     ``counts`` — ``(key, _n)`` facts per key, if the caller already has it.
+    ``hot`` — ``(key, _hot)`` from ``hot_keys`` on a cheaper table whose count
+    per key bounds this one's (a superset of the hot keys is safe: extra keys
+    are only salted), so the facts need not be counted again.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
-    if counts is None:
+    if hot is not None:
+        pass
+    elif counts is None:
         hot = hot_keys(facts, key, hot_rows)
     else:
         hot = counts.where(F.col("_n") > hot_rows).select(key, F.lit(True).alias("_hot"))

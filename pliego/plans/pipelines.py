@@ -13,15 +13,16 @@ from ..operators.bids import bid_stats
 from ..operators.enquiries import with_enquiry_stats
 from ..operators.indicators import RED_FLAG_OUTPUT, derived, red_flags
 from ..operators.skew import HOT_ROWS
-from .views import TEST_METHOD, bids_view, enquiry_view, tender_view  # noqa: F401
+from .views import (TEST_METHOD, bids_view, enquiry_view, enquiry_view_and_hot,  # noqa: F401
+                    tender_view)
 
 
 def indicator_pipeline(tenders: DataFrame, enquiries: DataFrame, bids: DataFrame,
                        method: str | None = None, key: str = "tender_key",
-                       hot_rows: int = HOT_ROWS) -> DataFrame:
+                       hot_rows: int = HOT_ROWS, enquiry_hot: DataFrame | None = None) -> DataFrame:
     """Filter on method (if given), then derived variables and red flags."""
     t = tenders if method is None else tenders.where(F.col("method") == F.lit(method))
-    with_q = with_enquiry_stats(t, enquiries, key, hot_rows=hot_rows)
+    with_q = with_enquiry_stats(t, enquiries, key, hot_rows=hot_rows, hot=enquiry_hot)
     with_b = with_q.join(bid_stats(bids, t, key, hot_rows=hot_rows), key, "left")
     return red_flags(derived(with_b))
 
@@ -29,8 +30,9 @@ def indicator_pipeline(tenders: DataFrame, enquiries: DataFrame, bids: DataFrame
 def indicator_pipeline_views(spark: SparkSession, sf_dir: str, method: str | None = TEST_METHOD,
                              hot_rows: int = HOT_ROWS) -> DataFrame:
     """The indicator pipeline over the fixture views of a test-data directory."""
-    out = indicator_pipeline(tender_view(spark, sf_dir), enquiry_view(spark, sf_dir),
-                             bids_view(spark, sf_dir), method, hot_rows=hot_rows)
+    e, hot = enquiry_view_and_hot(spark, sf_dir, hot_rows)
+    out = indicator_pipeline(tender_view(spark, sf_dir), e, bids_view(spark, sf_dir), method,
+                             hot_rows=hot_rows, enquiry_hot=hot)
     return out.select(*RED_FLAG_OUTPUT)
 
 
@@ -44,7 +46,7 @@ from .views import harvest_view  # noqa: E402
 
 def scoring_features(tenders: DataFrame, enquiries: DataFrame, method: str | None = None,
                      ocid: str | None = None, compat_zero: bool = False,
-                     key: str = "tender_key") -> DataFrame:
+                     key: str = "tender_key", enquiry_hot: DataFrame | None = None) -> DataFrame:
     """PL-1 / PR-9: the six model features (DOUBLE, nullable) per kept tender.
 
     Filters (method, then an optional single id) run before any join, so a
@@ -53,7 +55,7 @@ def scoring_features(tenders: DataFrame, enquiries: DataFrame, method: str | Non
     t = tenders if method is None else tenders.where(F.col("method") == F.lit(method))
     if ocid is not None:
         t = t.where(F.col("ocid") == F.lit(ocid))
-    s = with_enquiry_stats(t, enquiries, key, compat_zero=compat_zero)
+    s = with_enquiry_stats(t, enquiries, key, compat_zero=compat_zero, hot=enquiry_hot)
     return s.select(
         "ocid",
         floor_days(timestamp_of(s, "award_end"), timestamp_of(s, "award_start"))
@@ -70,8 +72,8 @@ def scoring_features(tenders: DataFrame, enquiries: DataFrame, method: str | Non
 def scored_views(spark: SparkSession, sf_dir: str, method: str | None = TEST_METHOD,
                  ocid: str | None = None, compat_zero: bool = False) -> DataFrame:
     """SR-1 over the fixture views: features → tree-ensemble score."""
-    f = scoring_features(tender_view(spark, sf_dir), enquiry_view(spark, sf_dir), method,
-                         ocid, compat_zero)
+    e, hot = enquiry_view_and_hot(spark, sf_dir)
+    f = scoring_features(tender_view(spark, sf_dir), e, method, ocid, compat_zero, enquiry_hot=hot)
     return score(f)
 
 
@@ -85,6 +87,7 @@ def scored_with_status(spark: SparkSession, sf_dir: str, method: str | None = TE
     codes = tender_codes(t).select("ocid", "codigo")
     with_status = harvest_join(codes, h).select("ocid", "Estado", "Link")
     t2 = t.join(with_status, "ocid", "inner")
-    f = scoring_features(t2, enquiry_view(spark, sf_dir)).join(
+    e, hot = enquiry_view_and_hot(spark, sf_dir)
+    f = scoring_features(t2, e, enquiry_hot=hot).join(
         with_status, "ocid", "inner")
     return score(f)

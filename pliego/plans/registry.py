@@ -16,7 +16,7 @@ from ..operators.bids import bid_count, bid_stats
 from ..operators.enquiries import enquiry_stats
 from ..operators.indicators import RED_FLAG_OUTPUT
 from .pipelines import indicator_pipeline_views
-from .views import TEST_METHOD, bids_view, enquiry_view, tender_view
+from .views import TEST_METHOD, bids_view, enquiry_view, enquiry_view_and_hot, tender_view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -109,7 +109,8 @@ def q_tender_year(spark, sf_dir):
 # --- per-tender aggregates (flat form) -------------------------------------------
 
 def _enq_stats(spark, sf_dir):
-    return enquiry_stats(enquiry_view(spark, sf_dir), tender_view(spark, sf_dir))
+    e, hot = enquiry_view_and_hot(spark, sf_dir)
+    return enquiry_stats(e, tender_view(spark, sf_dir), hot=hot)
 
 
 @register("bid_count")
@@ -269,7 +270,8 @@ LOOKUP_KEPT_METHOD = "ocds-5wno2w-SIE-3-1997-780"
 @register("features")
 def q_features(spark, sf_dir):
     """PL-1 / PR-9: model features in the model's order."""
-    return scoring_features(tender_view(spark, sf_dir), enquiry_view(spark, sf_dir), TEST_METHOD)
+    e, hot = enquiry_view_and_hot(spark, sf_dir)
+    return scoring_features(tender_view(spark, sf_dir), e, TEST_METHOD, enquiry_hot=hot)
 
 
 @register("score_trees")
@@ -281,7 +283,8 @@ def q_score_trees(spark, sf_dir):
 @register("score_udf")
 def q_score_udf(spark, sf_dir):
     """SR-1b: the same model as a Python classifier object via mapInPandas."""
-    f = scoring_features(tender_view(spark, sf_dir), enquiry_view(spark, sf_dir), TEST_METHOD)
+    e, hot = enquiry_view_and_hot(spark, sf_dir)
+    f = scoring_features(tender_view(spark, sf_dir), e, TEST_METHOD, enquiry_hot=hot)
     return score_with_model(f, TreeEnsembleModel())
 
 
@@ -317,7 +320,8 @@ def q_lookup_any(spark, sf_dir):
     """FL-2a: one id before the method filter (any method is found)."""
     t = tender_view(spark, sf_dir).where(F.col("ocid") == F.lit(LOOKUP_OTHER_METHOD))
     from .pipelines import indicator_pipeline
-    out = indicator_pipeline(t, enquiry_view(spark, sf_dir), bids_view(spark, sf_dir), None)
+    e, hot = enquiry_view_and_hot(spark, sf_dir)
+    out = indicator_pipeline(t, e, bids_view(spark, sf_dir), None, enquiry_hot=hot)
     return out.select(*RED_FLAG_OUTPUT)
 
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.skew import join_unique_dim
+from ..operators.skew import HOT_ROWS, hot_keys, join_unique_dim
 from ..sources.tables import table
 
 # --- fixed values of the fixture mapping -------------------------------------
@@ -71,7 +71,16 @@ def bids_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def enquiry_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+def enquiry_hot_keys(spark: SparkSession, sf_dir: str, key: str = "conv_id",
+                     hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Hot tender keys for questions, counted on the base table: a
+    conversation has at least as many turns as questions, so this is a
+    superset of the keys hot in ``enquiry_view`` (safe, and one cheap scan)."""
+    conv = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias(key))
+    return hot_keys(conv, key, hot_rows)
+
+
+def enquiry_view(spark: SparkSession, sf_dir: str, hot: DataFrame | None = None) -> DataFrame:
     conv = table(spark, sf_dir, "conversations")
     q = conv.where(F.col("role") == "user").select("conv_id", "turn", "text")
     a = (conv.where(F.col("role") == "assistant")
@@ -82,7 +91,7 @@ def enquiry_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a conversation may be huge: its tender's date is attached with the
     # hot-key salted join rather than a plain one
     qa = qa.withColumn("_answered", F.col("a_conv").isNotNull()).drop("a_conv", "a_turn")
-    j = join_unique_dim(qa, o, "conv_id")
+    j = join_unique_dim(qa, o, "conv_id", hot=hot if hot is not None else enquiry_hot_keys(spark, sf_dir))
     cid, turn, text = F.col("conv_id"), F.col("turn"), F.col("text")
     answered = F.col("_answered")
     asked_h = (turn * 37 + cid) % 400
@@ -102,6 +111,13 @@ def enquiry_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def enquiry_view_and_hot(spark: SparkSession, sf_dir: str, hot_rows: int = HOT_ROWS):
+    """``(enquiry_view, hot tender keys)``: one hot-key count serves both the
+    view's own join and the per-tender join that follows."""
+    hot = enquiry_hot_keys(spark, sf_dir, hot_rows=hot_rows)
+    return enquiry_view(spark, sf_dir, hot), hot.withColumnRenamed("conv_id", "tender_key")
+
+
 def harvest_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id")
     o = table(spark, sf_dir, "orders")
