@@ -400,3 +400,5 @@ SQL["outlier_flagged"] = with_ctes(
 SQL["harvest_missing"] = with_ctes(
     "SELECT * FROM codes c WHERE NOT EXISTS (SELECT 1 FROM first_match m "
     "WHERE m.codigo = c.codigo AND m.Year = c.Year)", "codes", "first_match")
+SQL["parquet_red_flags"] = SQL["ocds_red_flags"]
+SQL["parquet_score"] = SQL["score_trees"]

@@ -346,10 +346,12 @@ from ..operators.reshape import drop_all_null, flatten_struct, parse_dates  # no
 from ..operators.scoring import score  # noqa: E402
 from ..sources.landing import landed  # noqa: E402
 from ..sources.ocds import (first_release, indicator_projection, read_package_lines,  # noqa: E402
-                            read_packages, read_zipped_packages, releases, sql_projection)
+                            read_package_parquet, read_packages, read_zipped_packages, releases,
+                            sql_projection)
 from .packages import INDICATOR_OUTPUT, features_from_packages, indicators_from_packages  # noqa: E402
 
-_READERS = {"lines": read_package_lines, "package": read_packages, "zip": read_zipped_packages}
+_READERS = {"lines": read_package_lines, "package": read_packages, "zip": read_zipped_packages,
+            "parquet": read_package_parquet}
 
 
 def packages_of(spark, sf_dir, layout: str = "lines"):
@@ -500,3 +502,17 @@ def q_harvest_missing(spark, sf_dir):
     codes = _codes(spark, sf_dir)
     return found_codes(codes, first_window_match(codes, parse_fragments(harvest_view(spark, sf_dir))),
                        how="left_anti")
+
+
+@register("parquet_red_flags")
+def q_parquet_red_flags(spark, sf_dir):
+    """PL-4 on packages landed as parquet (parsed once, nested columns pruned)."""
+    return indicators_from_packages(packages_of(spark, sf_dir, "parquet"), TEST_METHOD).select(
+        *INDICATOR_OUTPUT)
+
+
+@register("parquet_score")
+def q_parquet_score(spark, sf_dir):
+    """SR-1 on packages landed as parquet."""
+    f = features_from_packages(packages_of(spark, sf_dir, "parquet"), TEST_METHOD)
+    return score(f.select("ocid", *FEATURES))

@@ -183,12 +183,30 @@ def land(spark: SparkSession, sf_dir: str, layout: str = "lines", out_dir: str |
     return out
 
 
+def to_parquet(spark: SparkSession, lines_dir: str, out_dir: str | None = None) -> str:
+    """Parse JSON-lines packages once and store them as parquet.
+
+    Same ``releases`` column and schema, but later reads skip JSON parsing and
+    get nested-column pruning (only the fields a query touches are read).
+    """
+    from .ocds import read_package_lines
+    out = out_dir or shared_dir(spark, "landing", "parquet")
+    read_package_lines(spark, lines_dir).write.mode("overwrite").parquet(out)
+    return out
+
+
 _LANDED: dict[tuple[str, str], str] = {}
 
 
 def landed(spark: SparkSession, sf_dir: str, layout: str = "lines") -> str:
-    """``land`` once per (data dir, layout) in this process, then reuse."""
+    """``land`` once per (data dir, layout) in this process, then reuse.
+
+    ``parquet`` is the JSON-lines landing converted by ``to_parquet``.
+    """
     k = (os.path.abspath(sf_dir), layout)
     if k not in _LANDED:
-        _LANDED[k] = land(spark, sf_dir, layout)
+        if layout == "parquet":
+            _LANDED[k] = to_parquet(spark, landed(spark, sf_dir, "lines"))
+        else:
+            _LANDED[k] = land(spark, sf_dir, layout)
     return _LANDED[k]

@@ -35,6 +35,11 @@ def read_packages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(package_schema()).option("multiLine", True).json(path)
 
 
+def read_package_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Packages stored as parquet (``landing.to_parquet``): nested pruning applies."""
+    return spark.read.parquet(path)
+
+
 def _first_member(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         bodies = []
