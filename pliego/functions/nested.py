@@ -29,17 +29,17 @@ def variant_items(v) -> Column:
 
 def array_len(a) -> Column:
     """AG-1: element count; NULL for a missing list."""
-    return F.array_size(as_col(a))
+    return F.array_size(as_col(a)).cast("bigint")
 
 
 def count_truthy(a) -> Column:
     """AG-2: elements that are not NULL and not ``''`` (NULL list → NULL)."""
-    return F.array_size(F.filter(as_col(a), lambda x: x.isNotNull() & (x.cast("string") != "")))
+    return F.array_size(F.filter(as_col(a), lambda x: x.isNotNull() & (x.cast("string") != ""))).cast("bigint")
 
 
 def count_present(a) -> Column:
     """AG-2 for struct elements: non-NULL elements (NULL list → NULL)."""
-    return F.array_size(F.filter(as_col(a), lambda x: x.isNotNull()))
+    return F.array_size(F.filter(as_col(a), lambda x: x.isNotNull())).cast("bigint")
 
 
 def unanswered_wide(v) -> Column:

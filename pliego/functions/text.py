@@ -83,11 +83,11 @@ def matches(c, pattern: str) -> Column:
 def match_count(c, pattern: str) -> Column:
     """Number of non-overlapping matches, like ``len(re.findall(...))``."""
     c = as_col(c)
-    full = F.regexp_count(c, F.lit(pattern))
+    full = F.regexp_count(c, F.lit(pattern)).cast("bigint")
     h = _hint(c, pattern)
     if h is None:
         return full
-    return F.when(c.isNull(), F.lit(None)).when(h, full).otherwise(F.lit(0))
+    return F.when(c.isNull(), F.lit(None)).when(h, full).otherwise(F.lit(0).cast("bigint"))
 
 
 def process_code(ocid, prefix: str = OCID_PREFIX) -> Column:
