@@ -160,11 +160,11 @@ FROM tender_v t LEFT JOIN enq_stats q ON q.tender_key = t.tender_key
 WHERE {where}"""
 
 
-def scored_sql(src: str) -> str:
+def scored_sql(src: str, extra: str = "") -> str:
     p = f"CAST(CAST(1.0::DOUBLE / (1.0::DOUBLE + exp(-{ensemble_sql()})) AS DECIMAL(18, 9)) AS DOUBLE)"
     return f"""
 SELECT ocid, CAST(proba > 0.5 AS BIGINT) AS predict, proba, n_of_Tend, Pre_No_Respu, awar_perio,
-       enqui_perio, Number_ques, NF039
+       enqui_perio, Number_ques, NF039{extra}
 FROM (SELECT *, {p} AS proba FROM {src})"""
 
 
@@ -176,8 +176,7 @@ DERIVED["status"] = """
 SELECT c.ocid, h.estado_del_proceso AS Estado, h.link AS Link
 FROM codes c JOIN harvest_p h ON h.codigo = c.codigo"""
 DERIVED["scored_status"] = scored_sql(
-    "(SELECT f.*, s.Estado, s.Link FROM feat f JOIN status s ON s.ocid = f.ocid)").replace(
-    "NF039\n", "NF039, Estado, Link\n")
+    "(SELECT f.*, s.Estado, s.Link FROM feat f JOIN status s ON s.ocid = f.ocid)", ", Estado, Link")
 
 _DEPS = {
     "feat": ["tender_v", "enq_stats"], "feat_zero": ["tender_v", "enq_stats"],

@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.times import floor_days, timestamp_of
 from ..operators.bids import bid_stats
 from ..operators.enquiries import with_enquiry_stats
+from ..operators.harvest import harvest_join, parse_fragments, tender_codes
 from ..operators.indicators import RED_FLAG_OUTPUT, derived, red_flags
+from ..operators.scoring import score
 from ..operators.skew import HOT_ROWS
-from .views import (TEST_METHOD, bids_view, enquiry_view, enquiry_view_and_hot,  # noqa: F401
-                    tender_view)
+from .views import TEST_METHOD, bids_view, enquiry_view_and_hot, harvest_view, tender_view
 
 
 def indicator_pipeline(tenders: DataFrame, enquiries: DataFrame, bids: DataFrame,
@@ -38,10 +40,6 @@ def indicator_pipeline_views(spark: SparkSession, sf_dir: str, method: str | Non
 
 # --- scoring pipeline ------------------------------------------------------------
 
-from ..functions.times import floor_days, timestamp_of  # noqa: E402
-from ..operators.harvest import harvest_join, parse_fragments, tender_codes  # noqa: E402
-from ..operators.scoring import FEATURES, score  # noqa: E402
-from .views import harvest_view  # noqa: E402
 
 
 def scoring_features(tenders: DataFrame, enquiries: DataFrame, method: str | None = None,

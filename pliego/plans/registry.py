@@ -11,12 +11,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.times import floor_days, hours_between, iso_with_offset, local_year, minutes_between, date_year
-from ..operators.bids import bid_count, bid_stats
+from ..functions.nested import variant_items
+from ..functions.text import RE_NARROW, RE_WIDE, match_count, matches, process_code, strip_tags, url_tail
+from ..functions.times import (date_year, floor_days, hours_between, iso_with_offset, local_year,
+                               minutes_between)
+from ..operators.bids import bid_count, bid_flat, bid_stats
 from ..operators.enquiries import enquiry_stats
+from ..operators.harvest import first_window_match, found_codes, harvest_join, parse_fragments, tender_codes
 from ..operators.indicators import RED_FLAG_OUTPUT
-from .pipelines import indicator_pipeline_views
-from .views import TEST_METHOD, bids_view, enquiry_view, enquiry_view_and_hot, tender_view
+from ..operators.reshape import drop_all_null, flatten_struct, parse_dates
+from ..operators.scoring import (FEATURES, TreeEnsembleModel, highlight_flags, prediction_diff, score,
+                                 score_with_model, tender_card)
+from ..sources.landing import landed
+from ..sources.ocds import (first_release, indicator_projection, read_package_lines, read_package_parquet,
+                            read_packages, read_zipped_packages, releases, sql_projection)
+from ..sources.tables import table
+from .packages import INDICATOR_OUTPUT, features_from_packages, indicators_from_packages
+from .pipelines import (indicator_pipeline, indicator_pipeline_views, scored_views, scored_with_status,
+                        scoring_features)
+from .views import TEST_METHOD, bids_view, enquiry_view, enquiry_view_and_hot, harvest_view, tender_view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -170,11 +183,6 @@ def q_unanswered_narrow(spark, sf_dir):
 
 # --- text rules ------------------------------------------------------------------
 
-from ..functions.text import RE_NARROW, RE_WIDE, match_count, matches, process_code, strip_tags, url_tail  # noqa: E402
-from ..operators.harvest import (first_window_match, found_codes, harvest_join,  # noqa: E402
-                                 parse_fragments, tender_codes)
-from ..sources.tables import table  # noqa: E402
-from .views import harvest_view  # noqa: E402
 
 
 @register("topic_wide")
@@ -258,9 +266,6 @@ def q_harvest_found(spark, sf_dir):
 
 # --- scoring -----------------------------------------------------------------------
 
-from ..operators.scoring import (FEATURES, TreeEnsembleModel, highlight_flags,  # noqa: E402
-                                 prediction_diff, score_with_model, tender_card)
-from .pipelines import scored_views, scored_with_status, scoring_features  # noqa: E402
 
 # Ids looked up by the lookup queries (one per method class at sf0.01).
 LOOKUP_OTHER_METHOD = "ocds-5wno2w-SIE-0-1998-899"
@@ -319,7 +324,6 @@ def q_lookup_scored(spark, sf_dir):
 def q_lookup_any(spark, sf_dir):
     """FL-2a: one id before the method filter (any method is found)."""
     t = tender_view(spark, sf_dir).where(F.col("ocid") == F.lit(LOOKUP_OTHER_METHOD))
-    from .pipelines import indicator_pipeline
     e, hot = enquiry_view_and_hot(spark, sf_dir)
     out = indicator_pipeline(t, e, bids_view(spark, sf_dir), None, enquiry_hot=hot)
     return out.select(*RED_FLAG_OUTPUT)
@@ -341,14 +345,6 @@ def q_prediction_diff(spark, sf_dir):
 
 # --- release packages (sources, projections, nested measures) --------------------
 
-from ..functions.nested import variant_items  # noqa: E402
-from ..operators.reshape import drop_all_null, flatten_struct, parse_dates  # noqa: E402
-from ..operators.scoring import score  # noqa: E402
-from ..sources.landing import landed  # noqa: E402
-from ..sources.ocds import (first_release, indicator_projection, read_package_lines,  # noqa: E402
-                            read_package_parquet, read_packages, read_zipped_packages, releases,
-                            sql_projection)
-from .packages import INDICATOR_OUTPUT, features_from_packages, indicators_from_packages  # noqa: E402
 
 _READERS = {"lines": read_package_lines, "package": read_packages, "zip": read_zipped_packages,
             "parquet": read_package_parquet}
@@ -465,7 +461,6 @@ def q_bid_flat(spark, sf_dir):
     r = releases(packages_of(spark, sf_dir))
     stage = F.get(F.get(F.col("auctions"), 0)["stages"], 0)
     b = r.select("ocid", F.explode(stage["bids"]).alias("bid")).select("ocid", "bid.*")
-    from ..operators.bids import bid_flat
     return bid_flat(b).select("ocid", F.col("id").alias("bid_id"), "tenderer_id", "tenderer_name",
                               "amount", F.col("date").alias("bid_date"))
 
