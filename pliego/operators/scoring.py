@@ -13,7 +13,9 @@ nested ``CASE`` Column, so scoring is a projection inside whole-stage codegen
 
 ``score_with_model`` is the path for any fitted Python classifier with
 ``predict_proba``: an Arrow-batched ``mapInPandas``; the model is broadcast
-once per executor.
+once per executor.  It is also the better path for very large ensembles
+(hundreds of deep trees), whose ``CASE`` expression outgrows what
+whole-stage codegen compiles into one method.
 """
 from __future__ import annotations
 
@@ -76,6 +78,22 @@ DEFAULT_ENSEMBLE: list[Node] = [
 ]
 
 
+# A node table is model parameters, not data; it is read to the driver to
+# compile the expression only below this size.
+MAX_NODES = 200_000
+
+
+def ensemble_from_table(nodes_df: DataFrame, max_nodes: int = MAX_NODES) -> list[Node]:
+    """Read a node table ``(tree, node, feature, threshold, yes, no, missing,
+    leaf)`` into ``Node``s; refuses tables above ``max_nodes`` rows (size is
+    checked with a count before anything is fetched)."""
+    n = nodes_df.count()
+    if n > max_nodes:
+        raise ValueError(f"ensemble has {n} nodes (> {max_nodes}); use score_with_model")
+    cols = ["tree", "node", "feature", "threshold", "yes", "no", "missing", "leaf"]
+    return [Node(*[r[c] for c in cols]) for r in nodes_df.select(*cols).toLocalIterator()]
+
+
 def _trees(ensemble: Sequence[Node]) -> dict[int, dict[int, Node]]:
     out: dict[int, dict[int, Node]] = {}
     for n in ensemble:

@@ -35,3 +35,13 @@ def test_card_labels(spark):
     r = tender_card(score(df)).first()
     assert r.tenderers == "Sin Registro" and r.unanswered == "Sin Registro"
     assert r.prediction in ("Desierto", "Normal") and r.award_days == 12
+
+
+def test_ensemble_from_table_round_trip(spark):
+    from dataclasses import astuple
+
+    from pliego.operators.scoring import ensemble_from_table
+    rows = [astuple(n) for n in DEFAULT_ENSEMBLE]
+    df = spark.createDataFrame(rows, "tree int, node int, feature string, threshold double, yes int, "
+                                     "no int, missing int, leaf double")
+    assert sorted(map(astuple, ensemble_from_table(df)), key=repr) == sorted(rows, key=repr)
