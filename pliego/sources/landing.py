@@ -153,36 +153,55 @@ def _zip_files(out_dir: str):
     return run
 
 
+_PREFIX, _SUFFIX = '{"releases": [', "]}"
+
+
 def land(spark: SparkSession, sf_dir: str, layout: str = "lines", out_dir: str | None = None,
          max_items: int = MAX_ITEMS, releases_per_file: int = RELEASES_PER_FILE) -> str:
     """Write the releases of ``sf_dir`` in ``layout``; return the folder.
 
     ``lines``: one package (one release) per line.  ``package``: one whole
     document per file.  ``zip``: each package file zipped as one archive.
+    The last two re-frame the JSON-lines landing instead of rebuilding it.
     """
     out = out_dir or shared_dir(spark, "landing", layout)
-    rel = release_rows(spark, sf_dir, max_items)
     if layout == "lines":
-        rel.select(F.concat(F.lit('{"releases": ['), F.col("release"), F.lit("]}")).alias("value")) \
+        rel = release_rows(spark, sf_dir, max_items)
+        rel.select(F.concat(F.lit(_PREFIX), F.col("release"), F.lit(_SUFFIX)).alias("value")) \
            .write.mode("overwrite").text(out)
-    elif layout in ("package", "zip"):
-        staged = rel
-        n = staged.count()
-        files = max(1, math.ceil(n / releases_per_file))
-        doc_dir = out if layout == "package" else out + "_documents"
-        (staged.repartition(files, "ocid")
-               .mapInPandas(_frame_documents, "value string")
-               .write.mode("overwrite").text(doc_dir))
-        if layout == "zip":
-            raw = (spark.read.format("binaryFile").option("pathGlobFilter", "part-*")
-                   .load(doc_dir).select("path", "content"))
-            raw.mapInPandas(_zip_files(out), "zip_path string").write.format("noop") \
-               .mode("overwrite").save()
+    elif layout == "package":
+        documents_from_lines(spark, land(spark, sf_dir, "lines", out + "_lines", max_items), out,
+                             releases_per_file)
+    elif layout == "zip":
+        zips_from_documents(spark, land(spark, sf_dir, "package", out + "_documents", max_items,
+                                        releases_per_file), out)
     else:
         raise ValueError(f"unknown layout {layout!r}")
     return out
 
 
+def documents_from_lines(spark: SparkSession, lines_dir: str, out_dir: str,
+                         releases_per_file: int = RELEASES_PER_FILE) -> str:
+    """Re-frame JSON-lines packages as whole documents of about
+    ``releases_per_file`` releases each (one ``{"releases": [...]}`` per file)."""
+    lines = spark.read.text(lines_dir)
+    rel = lines.select(F.expr(f"substring(value, {len(_PREFIX) + 1}, "
+                              f"length(value) - {len(_PREFIX) + len(_SUFFIX)})").alias("release"))
+    files = max(1, math.ceil(lines.count() / releases_per_file))
+    (rel.repartition(files).mapInPandas(_frame_documents, "value string")
+        .write.mode("overwrite").text(out_dir))
+    return out_dir
+
+
+def zips_from_documents(spark: SparkSession, doc_dir: str, out_dir: str) -> str:
+    """Zip every package document into its own archive (one task per file)."""
+    raw = (spark.read.format("binaryFile").option("pathGlobFilter", "part-*")
+           .load(doc_dir).select("path", "content"))
+    raw.mapInPandas(_zip_files(out_dir), "zip_path string").write.format("noop") \
+       .mode("overwrite").save()
+    return out_dir
+
+
 def to_parquet(spark: SparkSession, lines_dir: str, out_dir: str | None = None) -> str:
     """Parse JSON-lines packages once and store them as parquet.
 
@@ -201,12 +220,21 @@ _LANDED: dict[tuple[str, str], str] = {}
 def landed(spark: SparkSession, sf_dir: str, layout: str = "lines") -> str:
     """``land`` once per (data dir, layout) in this process, then reuse.
 
-    ``parquet`` is the JSON-lines landing converted by ``to_parquet``.
+    The JSON-lines landing is built once; ``package`` / ``zip`` re-frame it and
+    ``parquet`` is it converted by ``to_parquet``.
     """
     k = (os.path.abspath(sf_dir), layout)
     if k not in _LANDED:
-        if layout == "parquet":
+        if layout == "lines":
+            _LANDED[k] = land(spark, sf_dir, "lines")
+        elif layout == "parquet":
             _LANDED[k] = to_parquet(spark, landed(spark, sf_dir, "lines"))
+        elif layout == "package":
+            _LANDED[k] = documents_from_lines(spark, landed(spark, sf_dir, "lines"),
+                                              shared_dir(spark, "landing", "package"))
+        elif layout == "zip":
+            _LANDED[k] = zips_from_documents(spark, landed(spark, sf_dir, "package"),
+                                             shared_dir(spark, "landing", "zip"))
         else:
-            _LANDED[k] = land(spark, sf_dir, layout)
+            raise ValueError(f"unknown layout {layout!r}")
     return _LANDED[k]
