@@ -36,13 +36,17 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A fresh folder under the cluster's shared checkpoint directory.
 
     The checkpoint directory is read from the session (``spark.checkpoint.dir``
-    or the context's checkpoint dir).  Only when neither is set — local tests —
-    a temporary folder is created and registered as the checkpoint dir.
+    or the context's checkpoint dir).  Only when neither is set *and* the master
+    is local (tests) a temporary folder is created and registered; on a cluster
+    a missing setting is an error, never a machine-local folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach; "
+                               "landed files and stream checkpoints are written there")
         root = tempfile.mkdtemp(prefix="pliego-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
     root = root.rstrip("/")
