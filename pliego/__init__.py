@@ -6,7 +6,7 @@ nothing is collected to the driver.  Sub-packages:
 * ``functions``  Column expressions (durations, text rules, nested-array counts)
 * ``sources``    table readers, OCDS release-package readers, landing writer
 * ``operators``  DataFrame -> DataFrame building blocks
-* ``plans``      the composed pipelines and the fixture views over the test tables
+* ``plans``      the composed flows, the fixture views over the test tables, the query registry
 * ``streaming``  the same row-wise pipeline as a Structured Streaming job
 """
 

@@ -1,6 +1,6 @@
-"""Composed pipelines over flat tender / bid / question tables.
+"""Composed flows over flat tender / bid / question tables.
 
-``indicator_pipeline`` is the indicator flow end to end (method filter →
+``indicator_flow`` is the indicator flow end to end (method filter →
 derived variables → red flags).  The filter runs first so the joins and
 aggregates only touch kept tenders; Catalyst pushes it into the scan.
 """
@@ -19,7 +19,7 @@ from ..operators.skew import HOT_ROWS
 from .views import TEST_METHOD, bids_view, enquiry_view_and_hot, harvest_view, tender_view
 
 
-def indicator_pipeline(tenders: DataFrame, enquiries: DataFrame, bids: DataFrame,
+def indicator_flow(tenders: DataFrame, enquiries: DataFrame, bids: DataFrame,
                        method: str | None = None, key: str = "tender_key",
                        hot_rows: int = HOT_ROWS, enquiry_hot: DataFrame | None = None) -> DataFrame:
     """Filter on method (if given), then derived variables and red flags."""
@@ -29,11 +29,11 @@ def indicator_pipeline(tenders: DataFrame, enquiries: DataFrame, bids: DataFrame
     return red_flags(derived(with_b))
 
 
-def indicator_pipeline_views(spark: SparkSession, sf_dir: str, method: str | None = TEST_METHOD,
+def indicator_flow_views(spark: SparkSession, sf_dir: str, method: str | None = TEST_METHOD,
                              hot_rows: int = HOT_ROWS) -> DataFrame:
     """The indicator pipeline over the fixture views of a test-data directory."""
     e, hot = enquiry_view_and_hot(spark, sf_dir, hot_rows)
-    out = indicator_pipeline(tender_view(spark, sf_dir), e, bids_view(spark, sf_dir), method,
+    out = indicator_flow(tender_view(spark, sf_dir), e, bids_view(spark, sf_dir), method,
                              hot_rows=hot_rows, enquiry_hot=hot)
     return out.select(*RED_FLAG_OUTPUT)
 

@@ -27,7 +27,7 @@ from ..sources.ocds import (first_release, indicator_projection, read_package_li
                             read_packages, read_zipped_packages, releases, sql_projection)
 from ..sources.tables import table
 from .packages import INDICATOR_OUTPUT, features_from_packages, indicators_from_packages
-from .pipelines import (indicator_pipeline, indicator_pipeline_views, scored_views, scored_with_status,
+from .flows import (indicator_flow, indicator_flow_views, scored_views, scored_with_status,
                         scoring_features)
 from .views import TEST_METHOD, bids_view, enquiry_view, enquiry_view_and_hot, harvest_view, tender_view
 
@@ -42,25 +42,25 @@ def register(name: str):
     return deco
 
 
-# --- pipelines ---------------------------------------------------------------
+# --- composed flows -----------------------------------------------------------
 
 @register("red_flags_full")
 def q_red_flags_full(spark, sf_dir):
     """PL-4: method filter → derived variables → red flags (flagship)."""
-    return indicator_pipeline_views(spark, sf_dir, TEST_METHOD)
+    return indicator_flow_views(spark, sf_dir, TEST_METHOD)
 
 
 @register("red_flags")
 def q_red_flags(spark, sf_dir):
     """PL-3: red flags for every tender."""
-    return indicator_pipeline_views(spark, sf_dir, None).select(
+    return indicator_flow_views(spark, sf_dir, None).select(
         "ocid", "tender_key", "nf061", "nf059", "NF039", "NF018", "Nf030")
 
 
 @register("derived")
 def q_derived(spark, sf_dir):
     """PL-2: durations and question measures of kept tenders."""
-    return indicator_pipeline_views(spark, sf_dir, TEST_METHOD).select(
+    return indicator_flow_views(spark, sf_dir, TEST_METHOD).select(
         "ocid", "tender_key", "Year", "Dif_Day_Recep_Ofer", "enqui_perio", "audi_perio",
         "awar_perio", "Number_ques", "Num_Pregu", "Num_Respu", "Pre_No_Respu",
         "Mean_Days_Respon")
@@ -325,7 +325,7 @@ def q_lookup_any(spark, sf_dir):
     """FL-2a: one id before the method filter (any method is found)."""
     t = tender_view(spark, sf_dir).where(F.col("ocid") == F.lit(LOOKUP_OTHER_METHOD))
     e, hot = enquiry_view_and_hot(spark, sf_dir)
-    out = indicator_pipeline(t, e, bids_view(spark, sf_dir), None, enquiry_hot=hot)
+    out = indicator_flow(t, e, bids_view(spark, sf_dir), None, enquiry_hot=hot)
     return out.select(*RED_FLAG_OUTPUT)
 
 
