@@ -45,3 +45,18 @@ def test_hot_key_split_is_exact(spark):
     for hot in (1, 3):   # most keys go through the broadcast branch
         assert rows(enquiry_stats(e, t, hot_rows=hot)) == rows(enquiry_stats(e, t))
         assert rows(bid_stats(b, t, hot_rows=hot)) == rows(bid_stats(b, t))
+
+
+def test_hot_keys_in_view_and_landing(spark):
+    from pliego.plans.views import enquiry_hot_keys
+    from pliego.sources.landing import release_rows
+    plain = enquiry_view(spark, SF_SMALL)
+    salted = enquiry_view(spark, SF_SMALL, hot=enquiry_hot_keys(spark, SF_SMALL, hot_rows=1))
+    assert plain.count() == salted.count() and plain.exceptAll(salted).count() == 0
+
+    def bids_per_ocid(df):
+        r = df.select("ocid", F.from_json("release", "struct<auctions: array<struct<stages: array<struct<"
+                                          "bids: array<struct<id: string>>>>>>>").alias("r"))
+        n = F.size(F.get(F.get("r.auctions", 0)["stages"], 0)["bids"])
+        return sorted(tuple(x) for x in r.groupBy("ocid").agg(F.sum(F.greatest(n, F.lit(0)))).collect())
+    assert bids_per_ocid(release_rows(spark, SF_SMALL, hot_rows=1)) == bids_per_ocid(release_rows(spark, SF_SMALL))
