@@ -60,9 +60,13 @@ def indicators_from_packages(packages: DataFrame, method: str | None = None) ->
 
 
 def features_from_packages(packages: DataFrame, method: str | None = None,
-                           compat_zero: bool = False) -> DataFrame:
-    """PL-1 on packages: one row per release, the six features (DOUBLE)."""
-    r = releases(packages)
+                           compat_zero: bool = False, partitions: int | None = None) -> DataFrame:
+    """PL-1 on packages: one row per release, the six features (DOUBLE).
+
+    ``partitions`` spreads the releases after the explode — use it for
+    whole-document packages, where each file is read by a single task.
+    """
+    r = releases(packages, partitions)
     t = F.col("tender")
     if method is not None:
         r = r.where(t["procurementMethodDetails"] == F.lit(method))
