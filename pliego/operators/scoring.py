@@ -244,6 +244,27 @@ def tender_card(scored: DataFrame) -> DataFrame:
     )
 
 
+def display_table(scored: DataFrame, link_col: str = "Link") -> DataFrame:
+    """The scored table's display rules as text columns: counts without
+    decimals, probability as a percentage with two decimals, the link as a
+    clickable anchor opening a new window."""
+    link = F.col(link_col)
+
+    def whole(c: str) -> Column:
+        x = F.col(c).cast("double")
+        return F.when(x.isNotNull(), F.format_string("%.0f", x))
+
+    return scored.select(
+        "ocid", whole("predict").alias("predict"),
+        F.format_string("%.2f%%", F.col("proba") * 100).alias("proba"),
+        *[whole(c).alias(c) for c in ("n_of_Tend", "Pre_No_Respu", "awar_perio", "enqui_perio",
+                                         "Number_ques", "NF039")],
+        "Estado",
+        F.concat(F.lit('<a target="_blank" href="'), link, F.lit('">'), link, F.lit("</a>"))
+         .alias("Link"),
+    )
+
+
 def highlight_flags(scored: DataFrame, status_col: str = "Estado") -> DataFrame:
     """CD-3: the three highlight rules as boolean columns."""
     return scored.select(

@@ -401,3 +401,10 @@ SQL["harvest_missing"] = with_ctes(
     "WHERE m.codigo = c.codigo AND m.Year = c.Year)", "codes", "first_match")
 SQL["parquet_red_flags"] = SQL["ocds_red_flags"]
 SQL["parquet_score"] = SQL["score_trees"]
+
+_WHOLE = ["n_of_Tend", "Pre_No_Respu", "awar_perio", "enqui_perio", "Number_ques", "NF039"]
+SQL["display_table"] = with_ctes(
+    "SELECT ocid, printf('%.0f', CAST(predict AS DOUBLE)) AS predict, printf('%.2f%%', proba * 100) AS proba, "
+    + ", ".join(f"CASE WHEN {c} IS NULL THEN NULL ELSE printf('%.0f', {c}) END AS {c}" for c in _WHOLE)
+    + """, Estado, '<a target="_blank" href="' || Link || '">' || Link || '</a>' AS Link FROM scored_status""",
+    "scored_status")

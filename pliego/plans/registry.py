@@ -20,8 +20,8 @@ from ..operators.enquiries import enquiry_stats
 from ..operators.harvest import first_window_match, found_codes, harvest_join, parse_fragments, tender_codes
 from ..operators.indicators import RED_FLAG_OUTPUT
 from ..operators.reshape import drop_all_null, flatten_struct, parse_dates
-from ..operators.scoring import (FEATURES, TreeEnsembleModel, highlight_flags, prediction_diff, score,
-                                 score_with_model, tender_card)
+from ..operators.scoring import (FEATURES, TreeEnsembleModel, display_table, highlight_flags,
+                                 prediction_diff, score, score_with_model, tender_card)
 from ..sources.landing import landed
 from ..sources.ocds import (first_release, indicator_projection, read_package_lines, read_package_parquet,
                             read_packages, read_zipped_packages, releases, sql_projection)
@@ -511,3 +511,9 @@ def q_parquet_score(spark, sf_dir):
     """SR-1 on packages landed as parquet."""
     f = features_from_packages(packages_of(spark, sf_dir, "parquet"), TEST_METHOD)
     return score(f.select("ocid", *FEATURES))
+
+
+@register("display_table")
+def q_display_table(spark, sf_dir):
+    """Display rules of the scored table (percent, whole numbers, clickable link)."""
+    return display_table(scored_with_status(spark, sf_dir))
