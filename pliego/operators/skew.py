@@ -64,7 +64,8 @@ def join_unique_dim(facts: DataFrame, dims: DataFrame, key: str,
     else:
         hot = counts.where(F.col("_n") > hot_rows).select(key, F.lit(True).alias("_hot"))
     hot = F.broadcast(hot)
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns])
+    hashable = [f.name for f in facts.schema.fields if "variant" not in f.dataType.simpleString()]
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in hashable])
     salted_facts = facts.join(hot, key, "left").select(
         *[F.col(f"`{c}`") for c in facts.columns],
         F.when(F.col("_hot"), F.pmod(row_hash, F.lit(salt_buckets))).otherwise(F.lit(0))

@@ -147,11 +147,12 @@ WHERE rn = 1"""
 
 
 
-def features_sql(where: str = f"t.method = '{TEST_METHOD}'", late: str = "coalesce(q.late_questions, 0)") -> str:
+def features_sql(where: str = f"t.method = '{TEST_METHOD}'", late: str = "coalesce(q.late_questions, 0)",
+                 unanswered: str = "q.unanswered_wide") -> str:
     return f"""
 SELECT t.ocid,
        CAST({floor_days('t.award_end', 't.award_start')} AS DOUBLE) AS awar_perio,
-       CAST(q.unanswered_wide AS DOUBLE) AS Pre_No_Respu,
+       CAST({unanswered} AS DOUBLE) AS Pre_No_Respu,
        CAST({floor_days('t.enq_end', 't.enq_start')} AS DOUBLE) AS enqui_perio,
        CAST(q.n_questions AS DOUBLE) AS Number_ques,
        CAST({late} AS DOUBLE) AS NF039,
@@ -168,9 +169,24 @@ SELECT ocid, CAST(proba > 0.5 AS BIGINT) AS predict, proba, n_of_Tend, Pre_No_Re
 FROM (SELECT *, {p} AS proba FROM {src})"""
 
 
+# Landed packages omit the answer key of unanswered questions with
+# enq_no % 4 = 1; only explicit nulls count, and a tender none of whose
+# questions has the key counts all its questions.
+DERIVED["enq_pkg"] = f"""
+SELECT tender_key,
+       CASE WHEN count(*) FILTER (WHERE has_key) = 0 THEN count(*)
+            WHEN count(description) < count(*) THEN NULL
+            ELSE count(*) FILTER (WHERE has_key AND answer IS NULL
+                                    AND NOT regexp_matches(description, '{WIDE}')) END AS unanswered_pkg
+FROM (SELECT *, NOT (answer IS NULL AND enq_no % 4 = 1) AS has_key FROM enq_v)
+GROUP BY tender_key"""
 DERIVED["feat"] = features_sql()
 DERIVED["feat_zero"] = features_sql(late="0")
+DERIVED["feat_pkg"] = features_sql(unanswered="p.unanswered_pkg").replace(
+    "LEFT JOIN enq_stats q ON q.tender_key = t.tender_key",
+    "LEFT JOIN enq_stats q ON q.tender_key = t.tender_key LEFT JOIN enq_pkg p ON p.tender_key = t.tender_key")
 DERIVED["scored"] = scored_sql("feat")
+DERIVED["scored_pkg"] = scored_sql("feat_pkg")
 DERIVED["scored_zero"] = scored_sql("feat_zero")
 DERIVED["status"] = """
 SELECT c.ocid, h.estado_del_proceso AS Estado, h.link AS Link
@@ -180,6 +196,7 @@ DERIVED["scored_status"] = scored_sql(
 
 _DEPS = {
     "feat": ["tender_v", "enq_stats"], "feat_zero": ["tender_v", "enq_stats"],
+    "enq_pkg": ["enq_v"], "feat_pkg": ["tender_v", "enq_stats", "enq_pkg"], "scored_pkg": ["feat_pkg"],
     "scored": ["feat"], "scored_zero": ["feat_zero"],
     "status": ["codes", "harvest_p"], "scored_status": ["feat", "status"],
     "harvest_p": ["harvest_v"], "codes": ["tender_v"],
@@ -391,8 +408,8 @@ SQL["ocds_red_flags"] = with_ctes(
     "SELECT ocid, in_ent, Year, Dif_Day_Recep_Ofer, enqui_perio, audi_perio, awar_perio, Number_ques, "
     "Num_Pregu, Num_Respu, Pre_No_Respu, Mean_Days_Respon, nf061, nf059, NF039, NF018, Nf030 "
     f"FROM flags_v WHERE method = '{TEST_METHOD}'", "flags_v")
-SQL["ocds_features"] = SQL["features"]
-SQL["ocds_score"] = SQL["score_trees"]
+SQL["ocds_features"] = with_ctes("SELECT * FROM feat_pkg", "feat_pkg")
+SQL["ocds_score"] = with_ctes("SELECT * FROM scored_pkg", "scored_pkg")
 SQL["outlier_flagged"] = with_ctes(
     "SELECT c.ocid, c.codigo, c.Year, s.predict, s.proba FROM codes c JOIN scored s ON s.ocid = c.ocid "
     "WHERE s.predict = 1", "codes", "scored")
@@ -400,7 +417,7 @@ SQL["harvest_missing"] = with_ctes(
     "SELECT * FROM codes c WHERE NOT EXISTS (SELECT 1 FROM first_match m "
     "WHERE m.codigo = c.codigo AND m.Year = c.Year)", "codes", "first_match")
 SQL["parquet_red_flags"] = SQL["ocds_red_flags"]
-SQL["parquet_score"] = SQL["score_trees"]
+SQL["parquet_score"] = SQL["ocds_score"]
 
 _WHOLE = ["n_of_Tend", "Pre_No_Respu", "awar_perio", "enqui_perio", "Number_ques", "NF039"]
 SQL["display_table"] = with_ctes(

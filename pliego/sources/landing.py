@@ -67,22 +67,30 @@ def release_rows(spark: SparkSession, sf_dir: str, max_items: int = MAX_ITEMS,
         F.array(F.struct(F.col("tenderer_id").cast("string").alias("id"),
                          F.concat(F.lit("Proveedor "), F.col("tenderer_id")).alias("name"))).alias("tenderers"),
         _value(F.col("amount")).alias("value"))
-    enq_item = F.struct(
+    # Questions are written as JSON text so that, by rule, some unanswered
+    # ones *omit* the ``answer`` key instead of writing ``null`` — the two
+    # differ for the scoring flow's unanswered count (explicit nulls only).
+    enq_json = F.to_json(F.struct(
         F.col("enq_no").cast("string").alias("id"), "description", "answer",
         _iso("asked_ts").alias("date"), _iso("answered_ts").alias("dateAnswered"),
         F.struct(F.col("author_id").alias("id"),
-                 F.concat(F.lit("Autor "), F.col("author_id")).alias("name")).alias("author"))
+                 F.concat(F.lit("Autor "), F.col("author_id")).alias("name")).alias("author")),
+        {"ignoreNullFields": "false"})
+    omit_answer = F.col("answer").isNull() & (F.col("enq_no") % 4 == 1)
+    enq_item = F.when(omit_answer, F.replace(enq_json, F.lit('"answer":null,'), F.lit(""))) \
+                .otherwise(enq_json)
     bc = chunked_lists(b, "tender_key", bid_item,
                        [F.col(c) for c in ("l_linenumber", "l_partkey", "tenderer_id", "bid_ts")],
                        max_items, hot_rows).withColumnRenamed("items", "bid_items")
     ec = chunked_lists(e, "tender_key", enq_item, [F.col("enq_no")],
                        max_items, hot_rows).withColumnRenamed("items", "enq_items")
+    ec = ec.withColumn("enq_items", F.concat(F.lit("["), F.array_join("enq_items", ","), F.lit("]")))
     chunks = bc.join(ec, ["tender_key", "chunk"], "full")
     with_chunks = join_unique_dim(chunks, t, "tender_key", hot_rows)
     bare = t.join(chunks.select("tender_key"), "tender_key", "left_anti").select(
         "*", F.lit(0).cast("bigint").alias("chunk"),
         F.lit(None).cast(bc.schema["bid_items"].dataType).alias("bid_items"),
-        F.lit(None).cast(ec.schema["enq_items"].dataType).alias("enq_items"))
+        F.lit(None).cast("string").alias("enq_items"))
     rows = with_chunks.unionByName(bare)
     release = F.struct(
         F.col("ocid"), _iso("start_ts").alias("date"), F.array(F.lit("tender")).alias("tag"),
@@ -100,7 +108,7 @@ def release_rows(spark: SparkSession, sf_dir: str, max_items: int = MAX_ITEMS,
             _period("start_ts", "close_ts").alias("tenderPeriod"),
             _period("enq_start", "enq_end").alias("enquiryPeriod"),
             _period("award_start", "award_end").alias("awardPeriod"),
-            F.col("enq_items").alias("enquiries"),
+            F.parse_json(F.col("enq_items")).alias("enquiries"),
         ).alias("tender"),
         F.array(F.struct(
             _iso("award_end").alias("date"), _value(F.col("award_value")).alias("value"),
