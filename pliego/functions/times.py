@@ -7,7 +7,7 @@ Source timestamps are ISO-8601 text with a UTC offset.  Two readings are used:
   tender year, so ``2022-12-31T23:30:00-05:00`` belongs to 2022 whatever the
   session time zone is.
 
-Durations follow the reference's timedelta arithmetic: whole days are the
+Durations follow timedelta arithmetic: whole days are the
 *floor* of the elapsed time (−25 h is −2 days), minutes and hours are exact
 fractions.  All conversions are ``try_cast`` so bad text gives NULL, never an
 ANSI error.  Columns that already hold timestamps pass through unchanged.
