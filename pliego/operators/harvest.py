@@ -44,13 +44,21 @@ def tender_codes(tenders: DataFrame, ocid: str = "ocid", start: str = "start_ts"
                           local_year(start).alias("Year"))
 
 
-def harvest_join(tenders: DataFrame, harvested: DataFrame, key: str = "codigo") -> DataFrame:
+def harvest_join(tenders: DataFrame, harvested: DataFrame, key: str = "codigo",
+                 require_unique: bool = False) -> DataFrame:
     """JN-1: inner equi-join on the process code.
 
     Duplicate codes on either side give every pair (the source raised
     instead); the harvested ``date`` is already ``publish_date`` so no name
     clashes.  AQE chooses broadcast or sort-merge and splits skewed keys.
+    ``require_unique`` restores the strict behaviour: one aggregation job per
+    side looks for a repeated code and raises if it finds one.
     """
+    if require_unique:
+        for side, df in (("tenders", tenders), ("harvested", harvested)):
+            dup = df.groupBy(key).count().where(F.col("count") > 1).select(key).limit(1).collect()
+            if dup:
+                raise ValueError(f"{side}: {key} {dup[0][0]!r} is not unique")
     return tenders.join(harvested, key, "inner")
 
 

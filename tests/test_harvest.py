@@ -33,3 +33,6 @@ def test_join_keeps_duplicate_codes(spark):
                                               "page_id long, fragment string"))
     t = spark.createDataFrame([("o1", "C-1")], "ocid string, codigo string")
     assert harvest_join(t, h).count() == 2
+    with pytest.raises(ValueError):
+        harvest_join(t, h, require_unique=True)
+    assert harvest_join(t, h.where("page_id = 1"), require_unique=True).count() == 1
