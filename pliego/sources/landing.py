@@ -1,8 +1,9 @@
-"""Land release packages derived from the test tables (SK-1, SK-2 layouts).
+"""Land release packages derived from the test tables (inputs for SC-1 … SC-3).
 
-A Spark job turns the fixture views into OCDS releases and writes them in
-the three layouts the readers accept: JSON lines, whole documents, zip
-archives.  Output goes under the cluster's shared checkpoint folder.
+A Spark job turns the fixture views into OCDS releases and writes them as
+JSON lines; whole-document files, zip archives and parquet are derived from
+that landing, so every reader has input that grows with the tables.  Output
+goes under the cluster's shared checkpoint folder.
 
 Nested arrays (a tender's bids and questions) are built per
 ``(tender, chunk)``: the number of chunks of a key is
