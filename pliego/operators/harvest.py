@@ -78,8 +78,11 @@ def first_window_match(codes: DataFrame, harvested: DataFrame) -> DataFrame:
                  pub.alias("pub"), "page_id", *HARVEST_COLUMNS).alias("row"))
     firsts = (h.where(F.col("row.pub").isNotNull())
                .groupBy("codigo", "Year").agg(F.min("row").alias("hit")))
+    # inner join with the distinct keys (= a semi-join): Catalyst pushes a
+    # semi-join below the aggregate, which would join a hot code row by row;
+    # an inner join keeps the map-side aggregate first
     wanted = codes.select("codigo", "Year").distinct()
-    found = firsts.join(wanted, ["codigo", "Year"], "left_semi")
+    found = firsts.join(wanted, ["codigo", "Year"], "inner")
     start = F.make_date(F.col("Year").cast("int"), F.col("hit.half") * 6 + 1, F.lit(1))
     return found.select(
         "codigo", "Year",
