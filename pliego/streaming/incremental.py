@@ -28,12 +28,13 @@ def indicator_stream(spark: SparkSession, source_dir: str, method: str | None =
 def start_indicator_stream(spark: SparkSession, source_dir: str, sink_dir: str,
                            method: str | None = None, checkpoint: str | None = None,
                            available_now: bool = True) -> StreamingQuery:
-    """Write indicator rows to parquet; ``available_now`` processes what is
-    there and stops (a scheduled incremental batch), else runs continuously."""
+    """Write indicator rows to parquet partitioned by ``Year`` (readers of one
+    year prune the rest); ``available_now`` processes what is there and stops
+    (a scheduled incremental batch), else runs continuously."""
     ckpt = checkpoint or shared_dir(spark, "streams", "indicators")
     writer = (indicator_stream(spark, source_dir, method).writeStream
               .format("parquet").option("path", sink_dir).option("checkpointLocation", ckpt)
-              .outputMode("append"))
+              .partitionBy("Year").outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
         processingTime="1 minute")
     return writer.start()
