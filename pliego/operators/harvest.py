@@ -71,18 +71,28 @@ def first_window_match(codes: DataFrame, harvested: DataFrame) -> DataFrame:
     a ``min`` over a struct, which Spark aggregates map-side, so a code with
     a huge number of rows never lands whole in one task.
     """
+    firsts = first_rows(harvested)
+    # inner join with the distinct keys (= a semi-join): Catalyst pushes a
+    # semi-join below the aggregate, which would join a hot code row by row;
+    # an inner join keeps the map-side aggregate first
+    wanted = codes.select("codigo", "Year").distinct()
+    return window_columns(firsts.join(wanted, ["codigo", "Year"], "inner"))
+
+
+def first_rows(harvested: DataFrame) -> DataFrame:
+    """``(codigo, Year, hit)``: the first row per code and year, ordered by
+    half-year window, publish date, ``page_id`` (a ``min`` over a struct)."""
     pub = F.col("publish_date").try_cast("date")
     h = harvested.select(
         "codigo", F.year(pub).cast("bigint").alias("Year"),
         F.struct(F.when(F.month(pub) <= 6, 0).otherwise(1).alias("half"),
                  pub.alias("pub"), "page_id", *HARVEST_COLUMNS).alias("row"))
-    firsts = (h.where(F.col("row.pub").isNotNull())
-               .groupBy("codigo", "Year").agg(F.min("row").alias("hit")))
-    # inner join with the distinct keys (= a semi-join): Catalyst pushes a
-    # semi-join below the aggregate, which would join a hot code row by row;
-    # an inner join keeps the map-side aggregate first
-    wanted = codes.select("codigo", "Year").distinct()
-    found = firsts.join(wanted, ["codigo", "Year"], "inner")
+    return (h.where(F.col("row.pub").isNotNull())
+             .groupBy("codigo", "Year").agg(F.min("row").alias("hit")))
+
+
+def window_columns(found: DataFrame) -> DataFrame:
+    """Output columns of ``first_window_match`` from ``(codigo, Year, hit)``."""
     start = F.make_date(F.col("Year").cast("int"), F.col("hit.half") * 6 + 1, F.lit(1))
     return found.select(
         "codigo", "Year",

@@ -1,0 +1,43 @@
+"""First half-year window match (HV-1) as a stateful streaming aggregation.
+
+Harvested search-page fragments keep arriving (one file per fetch round).
+For every wanted ``(code, year)`` the stream keeps, in Spark's state store,
+the best row seen so far — earliest half-year window, then publish date,
+then ``page_id`` — i.e. the same ``min`` over a struct as the batch
+operator, so the answer after any batch equals a batch run over all files
+received.  Fragments are joined with the (static) wanted keys first, so only
+rows for known tenders enter the state.  Results are written with
+``foreachBatch`` as the current table of first matches (the state is keyed,
+one row per ``(code, year)``; the checkpoint makes restarts exactly-once).
+"""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.harvest import first_rows, parse_fragments, window_columns
+from ..session import shared_dir
+
+
+def first_match_stream(spark: SparkSession, fragments_dir: str, codes: DataFrame) -> DataFrame:
+    """Streaming ``(codigo, Year, hit)`` over parquet files of ``(page_id, fragment)``."""
+    frags = spark.readStream.schema("page_id bigint, fragment string").parquet(fragments_dir)
+    known = codes.select("codigo").distinct()
+    parsed = parse_fragments(frags).join(known, "codigo", "left_semi")  # stream-static
+    return first_rows(parsed)
+
+
+def start_first_match_stream(spark: SparkSession, fragments_dir: str, codes: DataFrame,
+                             table_dir: str, checkpoint: str | None = None) -> StreamingQuery:
+    """Run until the files present are processed (``availableNow``); each
+    micro-batch rewrites the table of current first matches."""
+    ckpt = checkpoint or shared_dir(spark, "streams", "first_match")
+    wanted = codes.select("codigo", "Year").distinct()
+
+    def publish(batch: DataFrame, _epoch: int) -> None:
+        window_columns(batch.join(wanted, ["codigo", "Year"], "inner")) \
+            .write.mode("overwrite").parquet(table_dir)
+
+    return (first_match_stream(spark, fragments_dir, codes).writeStream
+            .outputMode("complete").foreachBatch(publish)
+            .option("checkpointLocation", ckpt).trigger(availableNow=True).start())

@@ -70,3 +70,20 @@ def test_stream_is_incremental_and_exactly_once(spark, tmp_path):
     assert run() == first            # restart with nothing new: no new rows
     drop_files()
     assert run() == 2 * first        # only the new files are processed
+
+
+def test_first_match_stream_equals_batch(spark, tmp_path):
+    from pliego.operators.harvest import first_window_match, tender_codes
+    from pliego.plans.views import harvest_view, tender_view
+    from pliego.streaming.harvest import start_first_match_stream
+    src, table, ckpt = str(tmp_path / "frag"), str(tmp_path / "tbl"), str(tmp_path / "ck")
+    frags = harvest_view(spark, SF_SMALL)
+    codes = tender_codes(tender_view(spark, SF_SMALL))
+    frags.where("page_id % 2 = 0").write.parquet(src)          # first fetch round
+    start_first_match_stream(spark, src, codes, table, ckpt).awaitTermination(300)
+    frags.where("page_id % 2 = 1").write.mode("append").parquet(src)   # second round
+    start_first_match_stream(spark, src, codes, table, ckpt).awaitTermination(300)
+    got = spark.read.parquet(table)
+    from pliego.operators.harvest import parse_fragments
+    want = first_window_match(codes, parse_fragments(frags)).select(*got.columns)
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
