@@ -205,12 +205,17 @@ def score_with_model(features: DataFrame, model, key: str = "ocid",
     Filter rows *before* calling this — Catalyst cannot push filters through
     a Python operator.
     """
+    from pyspark import cloudpickle
+
     spark = features.sparkSession
-    bc = spark.sparkContext.broadcast(model)
+    # cloudpickle bytes: the model's class travels by value, so executors need
+    # no copy of the module that defines it
+    bc = spark.sparkContext.broadcast(cloudpickle.dumps(model))
     cols = list(feature_cols)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = bc.value
+        import pickle
+        m = pickle.loads(bc.value)
         for pdf in batches:
             X = pdf[cols].astype("float64").to_numpy()
             proba = m.predict_proba(X)[:, 1] if len(pdf) else np.empty(0)
