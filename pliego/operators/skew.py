@@ -7,20 +7,21 @@ key into one task, and because the aggregate that follows needs the same
 partitioning, AQE's skew-join split does not apply.  If one tender held a
 third of all bids, one task would do a third of the job.
 
-``join_unique_dim`` salts only the hot keys:
+``join_unique_dim`` salts only the hot keys, each in proportion to its size:
 
 1. count facts per key (partial aggregation map-side, then a narrow
    shuffle of one row per key and map task);
-2. keys with more than ``hot_rows`` facts are *hot*.  There are at most
-   ``total_facts / hot_rows`` of them, a proven bound, so that list is
-   broadcast;
-3. a fact of a hot key gets a salt ``0 … salt_buckets-1`` from a hash of the
-   row; every other fact gets salt 0.  The dimension row of a hot key is
-   repeated once per salt value (``|hot| × salt_buckets`` extra rows at
-   most), every other dimension row once with salt 0;
-4. the join runs on ``(key, salt)``, so a hot key is spread over
-   ``salt_buckets`` tasks.  A later ``groupBy(key)`` now needs its own
-   exchange, and Spark puts a partial aggregation before it, so each task
+2. a key with ``n > hot_rows`` facts is *hot* and gets ``ceil(n / hot_rows)``
+   salt values.  There are at most ``total / hot_rows`` hot keys and at most
+   ``2 · total / hot_rows`` salt values in all — a proven bound — so the
+   ``(key, salts)`` list is broadcast;
+3. a fact of a hot key gets a salt ``0 … salts-1`` from a hash of the row;
+   every other fact gets salt 0.  The dimension row of a hot key is repeated
+   once per salt value, every other dimension row once with salt 0;
+4. the join runs on ``(key, salt)``: no task receives more than about
+   ``hot_rows`` facts of any one key (a tender with 3·10^11 bids becomes
+   3·10^5 tasks' worth of work, not 1).  A later ``groupBy(key)`` needs its
+   own exchange, and Spark puts a partial aggregation before it, so each task
    sends one row per key.
 
 Without hot keys the cost over a plain join is the per-key count.
@@ -30,47 +31,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key with more facts than this is salted.  The hot-key list therefore has
-# at most total_rows / HOT_ROWS entries: 1e6 keys for 1e12 fact rows.
+# Facts of one key that one task should handle at most; keys above it are hot.
+# The (key, salts) list is therefore at most 2 * total_rows / HOT_ROWS long.
 HOT_ROWS = 1_000_000
-# Partitions a hot key is spread over.
-SALT_BUCKETS = 64
+
+
+def _salted(counts: DataFrame, key: str, hot_rows: int) -> DataFrame:
+    return (counts.where(F.col("_n") > hot_rows)
+            .select(key, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_salts")))
 
 
 def hot_keys(facts: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys holding more than ``hot_rows`` facts (≤ total / hot_rows rows)."""
-    return (facts.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") > hot_rows).select(key, F.lit(True).alias("_hot")))
+    """``(key, _salts)`` for keys holding more than ``hot_rows`` facts."""
+    return _salted(facts.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key, hot_rows)
 
 
 def join_unique_dim(facts: DataFrame, dims: DataFrame, key: str,
                     hot_rows: int = HOT_ROWS, how: str = "inner",
-                    salt_buckets: int = SALT_BUCKETS, counts: DataFrame | None = None,
-                    hot: DataFrame | None = None) -> DataFrame:
+                    counts: DataFrame | None = None, hot: DataFrame | None = None) -> DataFrame:
     """``facts ⋈ dims`` on ``key`` (dims unique per key), hot keys salted.
 
     ``how`` is ``inner`` or ``left`` (facts kept when the key has no dim row).
     ``counts`` — ``(key, _n)`` facts per key, if the caller already has it.
-    ``hot`` — ``(key, _hot)`` from ``hot_keys`` on a cheaper table whose count
-    per key bounds this one's (a superset of the hot keys is safe: extra keys
-    are only salted), so the facts need not be counted again.
+    ``hot`` — ``(key, _salts)`` from ``hot_keys`` on a cheaper table whose
+    count per key bounds this one's (a superset of the hot keys, or more
+    salts than needed, is safe), so the facts need not be counted again.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
-    if hot is not None:
-        pass
-    elif counts is None:
-        hot = hot_keys(facts, key, hot_rows)
-    else:
-        hot = counts.where(F.col("_n") > hot_rows).select(key, F.lit(True).alias("_hot"))
+    if hot is None:
+        hot = hot_keys(facts, key, hot_rows) if counts is None else _salted(counts, key, hot_rows)
     hot = F.broadcast(hot)
     hashable = [f.name for f in facts.schema.fields if "variant" not in f.dataType.simpleString()]
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in hashable])
+    salts = F.col("_salts")
     salted_facts = facts.join(hot, key, "left").select(
         *[F.col(f"`{c}`") for c in facts.columns],
-        F.when(F.col("_hot"), F.pmod(row_hash, F.lit(salt_buckets))).otherwise(F.lit(0))
+        F.when(salts.isNotNull(), F.pmod(row_hash, salts)).otherwise(F.lit(0))
          .cast("int").alias("_salt"))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salt_buckets - 1))).otherwise(F.array(F.lit(0)))
+    copies = F.when(salts.isNotNull(), F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))
     salted_dims = dims.join(hot, key, "left").select(
         *[F.col(f"`{c}`") for c in dims.columns], F.explode(copies).alias("_salt"))
     return salted_facts.join(salted_dims, [key, "_salt"], how).drop("_salt")
