@@ -88,7 +88,9 @@ def release_rows(spark: SparkSession, sf_dir: str, max_items: int = MAX_ITEMS,
     ec = ec.withColumn("enq_items", F.concat(F.lit("["), F.array_join("enq_items", ","), F.lit("]")))
     chunks = bc.join(ec, ["tender_key", "chunk"], "full")
     with_chunks = join_unique_dim(chunks, t, "tender_key", hot_rows)
-    bare = t.join(chunks.select("tender_key"), "tender_key", "left_anti").select(
+    # tenders with no bids and no questions; keys de-duplicated map-side first
+    # (a huge tender has one chunk row per MAX_ITEMS items)
+    bare = t.join(chunks.select("tender_key").distinct(), "tender_key", "left_anti").select(
         "*", F.lit(0).cast("bigint").alias("chunk"),
         F.lit(None).cast(bc.schema["bid_items"].dataType).alias("bid_items"),
         F.lit(None).cast("string").alias("enq_items"))
