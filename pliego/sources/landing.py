@@ -143,11 +143,23 @@ def _frame_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"value": [']}']})
 
 
+def _filesystem(path: str):
+    """pyarrow filesystem and path for a Spark-style location: a plain path,
+    ``file:/…`` / ``file:///…``, or any URI pyarrow knows (hdfs://, s3://)."""
+    from pyarrow import fs as pafs
+    if path.startswith("file:"):
+        local = path[len("file:"):]
+        while local.startswith("//"):
+            local = local[1:]
+        return pafs.LocalFileSystem(), local
+    if "://" in path:
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), os.path.abspath(path)
+
+
 def _zip_files(out_dir: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs as pafs
-        filesystem, base = pafs.FileSystem.from_uri(out_dir if "://" in out_dir else
-                                                    "file://" + os.path.abspath(out_dir))
+        filesystem, base = _filesystem(out_dir)
         filesystem.create_dir(base, recursive=True)
         for pdf in batches:
             paths = []

@@ -87,3 +87,8 @@ def test_first_match_stream_equals_batch(spark, tmp_path):
     from pliego.operators.harvest import parse_fragments
     want = first_window_match(codes, parse_fragments(frags)).select(*got.columns)
     assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+
+
+def test_zip_landing_to_a_file_uri(spark, tmp_path):
+    out = land(spark, SF_SMALL, "zip", out_dir="file:" + str(tmp_path / "z"))
+    assert releases(read_zipped_packages(spark, out)).count() > 0
