@@ -92,3 +92,15 @@ def test_first_match_stream_equals_batch(spark, tmp_path):
 def test_zip_landing_to_a_file_uri(spark, tmp_path):
     out = land(spark, SF_SMALL, "zip", out_dir="file:" + str(tmp_path / "z"))
     assert releases(read_zipped_packages(spark, out)).count() > 0
+
+
+def test_write_table_partitions_by_year(spark, tmp_path):
+    from pliego.sources.sinks import write_table
+    import __spark_entry__ as E
+    df = E.queries()["tender_year"](spark, SF_SMALL)
+    write_table(df, str(tmp_path / "t"), partition_by=["Year"])
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert back.count() == df.count()
+    one = back.where("Year = 1998")
+    assert "PartitionFilters: [isnotnull(Year" in one._jdf.queryExecution().executedPlan().toString()
+    assert one.count() == df.where("Year = 1998").count()
