@@ -18,6 +18,7 @@ from ..functions.nested import (array_len, count_present, count_truthy, late_bid
 from ..functions.text import process_code
 from ..functions.times import floor_days, instant, local_year
 from ..operators.indicators import durations, sign_hours, value_gap
+from ..sources.landing import FIRST_METHOD
 from ..sources.ocds import indicator_projection, releases
 
 # Period columns of the indicator projection (see ``indicators.durations``).
@@ -36,6 +37,9 @@ INDICATOR_OUTPUT = [
 
 def indicators_from_packages(packages: DataFrame, method: str | None = None) -> DataFrame:
     """PL-4 on packages: projection → method filter → derived → red flags."""
+    if method is not None and FIRST_METHOD in packages.columns:
+        # parquet landing: the same test on the partition column prunes files
+        packages = packages.where(F.col(FIRST_METHOD) == F.lit(method))
     # ``year`` (date cast) and ``Year`` (local year) differ only in case in the
     # source; Spark resolves names case-insensitively, so the first is renamed.
     p = indicator_projection(packages).withColumnRenamed("year", "year_cast")

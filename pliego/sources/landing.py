@@ -31,6 +31,7 @@ from ..session import shared_dir
 MAX_ITEMS = 1000          # elements per nested array in one landed release
 RELEASES_PER_FILE = 5000  # releases per whole-document package file
 OFFSET = "-05:00"         # UTC offset written into every landed timestamp
+FIRST_METHOD = "first_method"  # partition column of the parquet landing
 
 
 def chunked_lists(facts: DataFrame, key: str, item: Column, spread: list[Column],
@@ -229,11 +230,17 @@ def to_parquet(spark: SparkSession, lines_dir: str, out_dir: str | None = None)
     """Parse JSON-lines packages once and store them as parquet.
 
     Same ``releases`` column and schema, but later reads skip JSON parsing and
-    get nested-column pruning (only the fields a query touches are read).
+    get nested-column pruning (only the fields a query touches are read).  The
+    files are partitioned by the first release's procurement method.
     """
     from .ocds import read_package_lines
     out = out_dir or shared_dir(spark, "landing", "parquet")
-    read_package_lines(spark, lines_dir).write.mode("overwrite").parquet(out)
+    pk = read_package_lines(spark, lines_dir)
+    # the first release's method as a partition column: the indicator flow's
+    # method filter then prunes whole directories instead of parsing rows
+    first_method = F.get(F.col("releases"), 0)["tender"]["procurementMethodDetails"]
+    pk.select("releases", first_method.alias(FIRST_METHOD)).write.mode("overwrite") \
+      .partitionBy(FIRST_METHOD).parquet(out)
     return out
 
 

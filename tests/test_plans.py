@@ -35,6 +35,7 @@ def test_nested_flow_has_no_shuffle_and_prunes_columns(spark):
     read_schema = [ln for ln in formatted(df).splitlines() if ln.startswith("ReadSchema")][0]
     for unused in ("parties:", "planning:", "tag:", "suppliers:", "description:"):
         assert unused not in read_schema, unused
+    assert "PartitionFilters: [isnotnull(first_method" in formatted(df)
 
 
 def test_native_paths_stay_in_the_jvm(spark):
