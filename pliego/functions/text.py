@@ -118,7 +118,8 @@ def first_link(html, base: str = HARVEST_BASE_URL) -> Column:
 
 def text_lines(text) -> Column:
     """ST-4: split into lines like ``str.splitlines`` (no trailing empty line)."""
-    t = F.regexp_replace(as_col(text), "(\r\n|\n|\r)$", "")
+    # \z, not $: Java's $ also matches before a final line break
+    t = F.regexp_replace(as_col(text), "(\r\n|\n|\r)\\z", "")
     return F.when(as_col(text) == "", F.array().cast("array<string>")).otherwise(
         F.split(t, _LINE_BREAK))
 
