@@ -49,3 +49,92 @@ def test_lines_and_tags(spark, values):
     rows = df.select(T.text_lines("s"), T.strip_tags("s")).collect()
     assert [r[0] for r in rows] == [v.splitlines() for v in values]
     assert [r[1] for r in rows] == [re.sub(r"<[^>]+>", "", v) for v in values]
+
+
+# --- nested measures on generated release documents ---------------------------
+
+import json  # noqa: E402
+import tempfile  # noqa: E402
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from pliego.functions import nested as N  # noqa: E402
+from pliego.sources.ocds import read_package_lines, releases  # noqa: E402
+
+MISSING = object()
+question = st.fixed_dictionaries({}, optional={
+    "description": st.sampled_from([None, "pregunta", "Convalidación de ofertas", "convalidar", "x"]),
+    "answer": st.sampled_from([None, "respuesta"]),
+})
+
+
+def unanswered_wide_spec(qs):
+    """Pre_No_Respu of the scoring flow, stated over plain dicts."""
+    if qs is None or len(qs) == 0:
+        return None
+    if not any("answer" in q for q in qs):
+        return len(qs) if any("description" in q for q in qs) else None
+    n = 0
+    for q in qs:
+        d = q.get("description")
+        if d is None:
+            return None
+        if re.search(T.RE_WIDE, d):
+            continue
+        if "answer" in q and q["answer"] is None:
+            n += 1
+    return n
+
+
+def _read(spark, docs):
+    d = tempfile.mkdtemp(prefix="pliego-prop-")
+    with open(f"{d}/p.json", "w") as fh:
+        for doc in docs:
+            fh.write(json.dumps(doc) + "\n")
+    return releases(read_package_lines(spark, d))
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(question, max_size=5)), min_size=20, max_size=60))
+def test_unanswered_wide_matches_spec(spark, lists):
+    docs = [{"releases": [{"ocid": str(i), "tender": ({} if qs is None else {"enquiries": qs})}]}
+            for i, qs in enumerate(lists)]
+    r = _read(spark, docs).select(F.col("ocid").cast("int").alias("i"),
+                                  N.unanswered_wide(F.col("tender.enquiries")).alias("n"))
+    got = {row.i: row.n for row in r.collect()}
+    assert [got[i] for i in range(len(lists))] == [unanswered_wide_spec(qs) for qs in lists]
+
+
+bid = st.fixed_dictionaries({"date": st.sampled_from(["2022-01-01T00:00:00-05:00",
+                                                      "2022-03-01T00:00:00-05:00", None])},
+                            optional={"tenderers": st.sampled_from([[], [{"id": "t", "name": "n"}]]),
+                                      "value": st.just({"amount": 1.0})})
+CLOSE = datetime(2022, 2, 1, tzinfo=timezone(timedelta(hours=-5)))
+
+
+def late_bids_spec(bids, close):
+    """Nf030 over plain dicts: NULL for no bids or a bid without tenderer or
+    value; otherwise bids dated strictly after the close (NULL close: 0)."""
+    if not bids:
+        return None
+    if any(not b.get("tenderers") or b.get("value") is None for b in bids):
+        return None
+    return sum(1 for b in bids
+               if close is not None and b["date"] is not None
+               and datetime.fromisoformat(b["date"]) > close)
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.lists(bid, max_size=4)), st.booleans()),
+                min_size=20, max_size=60))
+def test_late_bids_matches_spec(spark, cases):
+    docs = [{"releases": [{"ocid": str(i), "auctions": [{
+        "period": {"endDate": CLOSE.isoformat() if has_close else None},
+        "stages": [{"bids": bids}]}]}]} for i, (bids, has_close) in enumerate(cases)]
+    stage = F.get(F.get(F.col("auctions"), 0)["stages"], 0)
+    r = _read(spark, docs).select(
+        F.col("ocid").cast("int").alias("i"),
+        N.late_bids(stage["bids"], F.get(F.col("auctions"), 0)["period"]["endDate"]).alias("n"))
+    got = {row.i: row.n for row in r.collect()}
+    want = [late_bids_spec(b, CLOSE if c else None) for b, c in cases]
+    assert [got[i] for i in range(len(cases))] == want
