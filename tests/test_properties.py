@@ -138,3 +138,65 @@ def test_late_bids_matches_spec(spark, cases):
     got = {row.i: row.n for row in r.collect()}
     want = [late_bids_spec(b, CLOSE if c else None) for b, c in cases]
     assert [got[i] for i in range(len(cases))] == want
+
+
+DATES = [None, "2022-01-01T00:00:00-05:00", "2022-01-03T12:00:00-05:00", "2022-01-09T23:00:00-03:00"]
+full_q = st.fixed_dictionaries(
+    {"description": st.sampled_from([None, "pregunta", "Convalidación x", "CONVALIDA convalidar",
+                                     "convalidar"]),
+     "answer": st.sampled_from([None, "ok"]),
+     "date": st.sampled_from(DATES), "dateAnswered": st.sampled_from(DATES)},
+    optional={"author": st.one_of(st.none(), st.fixed_dictionaries(
+        {}, optional={"id": st.sampled_from(["E1", "S2", "xE1y", None])}))})
+DEADLINE = "2022-01-05T00:00:00-05:00"
+
+
+def _ts(s):
+    return datetime.fromisoformat(s)
+
+
+def narrow_spec(qs, ent):
+    if not qs or ent is None or any(q.get("author") is None for q in qs):
+        return None
+    kept = [q for q in qs if q["description"] is not None]
+    if any(q["author"].get("id") is None for q in kept):
+        return None
+    kept = [q for q in kept if ent not in q["author"]["id"] and not re.search(T.RE_NARROW, q["description"])]
+    return sum(1 for q in kept if q["answer"] is None)
+
+
+def mean_spec(qs):
+    if not qs or any(q["date"] is None or q["dateAnswered"] is None for q in qs):
+        return None
+    days = [(_ts(q["dateAnswered"]) - _ts(q["date"])).days for q in qs]
+    return sum(days) / len(days)
+
+
+def late_spec(qs, end):
+    n = 0
+    for q in qs or []:
+        if q["date"] is not None and end is not None and _ts(q["date"]) <= _ts(end):
+            continue
+        if q["description"] is not None and len(re.findall(T.RE_WIDE, q["description"])) != 1:
+            n += 1
+    return n
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.lists(full_q, max_size=4)),
+                          st.sampled_from(["E1", None]), st.sampled_from([DEADLINE, None])),
+                min_size=20, max_size=60))
+def test_question_measures_match_spec(spark, cases):
+    docs = [{"releases": [{"ocid": str(i), "tender": {
+        "procuringEntity": {"id": ent}, "enquiryPeriod": {"endDate": end},
+        **({} if qs is None else {"enquiries": qs})}}]} for i, (qs, ent, end) in enumerate(cases)]
+    t = F.col("tender")
+    q = N.typed_enquiries(t["enquiries"])
+    r = _read(spark, docs).select(
+        F.col("ocid").cast("int").alias("i"),
+        N.unanswered_narrow(q, t["procuringEntity"]["id"]).alias("narrow"),
+        N.mean_response_days(q).alias("mean"),
+        N.late_questions(q, N.instant(t["enquiryPeriod"]["endDate"])).alias("late"))
+    got = {row.i: (row.narrow, row.mean, row.late) for row in r.collect()}
+    for i, (qs, ent, end) in enumerate(cases):
+        assert got[i] == (narrow_spec(qs, ent), mean_spec(qs), late_spec(qs, end)), (qs, ent, end)
