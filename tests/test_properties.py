@@ -200,3 +200,27 @@ def test_question_measures_match_spec(spark, cases):
     got = {row.i: (row.narrow, row.mean, row.late) for row in r.collect()}
     for i, (qs, ent, end) in enumerate(cases):
         assert got[i] == (narrow_spec(qs, ent), mean_spec(qs), late_spec(qs, end)), (qs, ent, end)
+
+
+field = st.text(alphabet="ab 1-", min_size=1, max_size=6).filter(lambda s: s.strip() != "")
+
+
+def parse_spec(frag):
+    lines = re.sub(r"<[^>]+>", "", frag).splitlines()
+    lines[-1] = lines[-1].replace("&nbsp;", "")
+    link = T.HARVEST_BASE_URL + re.findall(r'(?<=href=").*(?=,">)', frag)[0]
+    out = ([link] + lines[1:])[:8]
+    out[1] = out[1].replace(" ", "")
+    return out
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 999), st.lists(field, min_size=7, max_size=9)),
+                min_size=10, max_size=40))
+def test_fragment_parsing_matches_spec(spark, cases):
+    from pliego.operators.harvest import parse_fragments
+    frags = [f'<td>\n<a href="info.cpe?id={k},">{fs[0]}</a>\n<b>' + "\n".join(fs[1:]) + "</b>&nbsp;"
+             for k, fs in cases]
+    df = spark.createDataFrame(list(enumerate(frags)), "page_id long, fragment string")
+    got = {r.page_id: [r[c] for c in T.HARVEST_COLUMNS] for r in parse_fragments(df).collect()}
+    assert [got[i] for i in range(len(frags))] == [parse_spec(f) for f in frags]
