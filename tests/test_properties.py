@@ -224,3 +224,30 @@ def test_fragment_parsing_matches_spec(spark, cases):
     df = spark.createDataFrame(list(enumerate(frags)), "page_id long, fragment string")
     got = {r.page_id: [r[c] for c in T.HARVEST_COLUMNS] for r in parse_fragments(df).collect()}
     assert [got[i] for i in range(len(frags))] == [parse_spec(f) for f in frags]
+
+
+NAIVE = [None, datetime(2022, 1, 1), datetime(2022, 1, 3, 12), datetime(2022, 1, 9, 23)]
+flat_q = st.tuples(st.sampled_from([None, "pregunta", "Convalidación x", "CONVALIDA convalidar", "convalidar"]),
+                   st.sampled_from([None, "ok"]), st.sampled_from(["E1", "S2", "xE1y", None]),
+                   st.sampled_from(NAIVE), st.sampled_from(NAIVE))
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.tuples(st.lists(flat_q, min_size=1, max_size=4), st.sampled_from(["E1", None]),
+                          st.sampled_from([datetime(2022, 1, 5), None])), min_size=10, max_size=40))
+def test_flat_question_aggregates_match_spec(spark, tenders):
+    from pliego.operators.enquiries import enquiry_stats
+    q_rows = [(k, d, a, au, t0, t1) for k, (qs, _, _) in enumerate(tenders) for d, a, au, t0, t1 in qs]
+    t_rows = [(k, ent, end) for k, (_, ent, end) in enumerate(tenders)]
+    q = spark.createDataFrame(q_rows, "tender_key long, description string, answer string, author_id string, "
+                                      "asked_ts timestamp_ntz, answered_ts timestamp_ntz")
+    t = spark.createDataFrame(t_rows, "tender_key long, in_ent string, enq_end timestamp_ntz")
+    got = {r.tender_key: (r.unanswered_narrow, r.mean_response_days, r.late_questions, r.unanswered_wide)
+           for r in enquiry_stats(q, t).collect()}
+    for k, (qs, ent, end) in enumerate(tenders):
+        dicts = [{"description": d, "answer": a, "author": {"id": au},
+                  "date": t0.isoformat() if t0 else None, "dateAnswered": t1.isoformat() if t1 else None}
+                 for d, a, au, t0, t1 in qs]
+        want = (narrow_spec(dicts, ent), mean_spec(dicts),
+                late_spec(dicts, end.isoformat() if end else None), unanswered_wide_spec(dicts))
+        assert got[k] == want, (qs, ent, end)
