@@ -251,3 +251,24 @@ def test_flat_question_aggregates_match_spec(spark, tenders):
         want = (narrow_spec(dicts, ent), mean_spec(dicts),
                 late_spec(dicts, end.isoformat() if end else None), unanswered_wide_spec(dicts))
         assert got[k] == want, (qs, ent, end)
+
+
+flat_bid = st.tuples(st.sampled_from([None, datetime(2022, 1, 1), datetime(2022, 3, 1)]),
+                     st.sampled_from([7, None]), st.sampled_from([1.0, None]))
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.tuples(st.lists(flat_bid, min_size=1, max_size=4),
+                          st.sampled_from([datetime(2022, 2, 1), None])), min_size=10, max_size=40))
+def test_flat_bid_aggregates_match_spec(spark, tenders):
+    from pliego.operators.bids import bid_stats
+    b = spark.createDataFrame([(k, ts, who, amt) for k, (bs, _) in enumerate(tenders) for ts, who, amt in bs],
+                              "tender_key long, bid_ts timestamp_ntz, tenderer_id long, amount double")
+    t = spark.createDataFrame([(k, c) for k, (_, c) in enumerate(tenders)],
+                              "tender_key long, close_ts timestamp_ntz")
+    got = {r.tender_key: (r.NF018, r.Nf030) for r in bid_stats(b, t).collect()}
+    for k, (bs, close) in enumerate(tenders):
+        dicts = [{"date": ts.isoformat() if ts else None, "value": {"amount": amt} if amt is not None else None,
+                  "tenderers": [{"id": who}] if who is not None else None} for ts, who, amt in bs]
+        want_late = late_bids_spec(dicts, close)
+        assert got[k] == (len(bs), want_late), (bs, close)
