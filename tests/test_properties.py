@@ -272,3 +272,24 @@ def test_flat_bid_aggregates_match_spec(spark, tenders):
                   "tenderers": [{"id": who}] if who is not None else None} for ts, who, amt in bs]
         want_late = late_bids_spec(dicts, close)
         assert got[k] == (len(bs), want_late), (bs, close)
+
+
+feature_value = st.one_of(st.none(), st.just(float("nan")), st.sampled_from([0.5, 1.5, 2.5, 10.5, 30.5]),
+                          st.floats(-5, 60, allow_nan=False))
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.tuples(*[feature_value] * 6), min_size=20, max_size=80))
+def test_case_expression_equals_python_model(spark, rows):
+    import math as _m
+
+    from pliego.operators.scoring import FEATURES, TreeEnsembleModel, ensemble_sql, score
+    schema = "ocid string, " + ", ".join(f"{f} double" for f in FEATURES)
+    df = spark.createDataFrame([(str(i),) + r for i, r in enumerate(rows)], schema)
+    got = {r.ocid: r.proba for r in score(df).collect()}
+    X = [[_m.nan if v is None else v for v in r] for r in rows]
+    p = TreeEnsembleModel().predict_proba(X)[:, 1]
+    assert [got[str(i)] for i in range(len(rows))] == [round(float(x), 9) for x in p]
+    df.createOrReplaceTempView("prop_feat")
+    m = {r.ocid: r.m for r in spark.sql(f"SELECT ocid, {ensemble_sql()} AS m FROM prop_feat").collect()}
+    assert [round(1 / (1 + _m.exp(-m[str(i)])), 9) for i in range(len(rows))] == [got[str(i)] for i in range(len(rows))]
