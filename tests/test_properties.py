@@ -293,3 +293,13 @@ def test_case_expression_equals_python_model(spark, rows):
     df.createOrReplaceTempView("prop_feat")
     m = {r.ocid: r.m for r in spark.sql(f"SELECT ocid, {ensemble_sql()} AS m FROM prop_feat").collect()}
     assert [round(1 / (1 + _m.exp(-m[str(i)])), 9) for i in range(len(rows))] == [got[str(i)] for i in range(len(rows))]
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.text(alphabet="ab/:.-", max_size=15), min_size=20, max_size=80))
+def test_url_tail_matches_search_semantics(spark, urls):
+    def want(u):
+        m = re.search(r"(?<=/)[^/]*$", u)
+        return m.group(0) if m and m.group(0) else None
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert [r[0] for r in df.select(T.url_tail("u")).collect()] == [want(u) for u in urls]
