@@ -27,3 +27,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
     g = simhash_groups(table(spark, sf_dir, "documents"), shingle=3, max_distance=2)
     return g.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pii_digest
+    return pii_digest(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, held_out, predict
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = predict(docs.select("doc_id", "text"), fit(docs))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
