@@ -41,3 +41,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = predict(docs.select("doc_id", "text"), fit(docs))
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_decontamination")
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", "item_windows", "n_changed",
+                        F.round(F.col("n_windows") / F.col("item_windows"), 6).alias("share"))
