@@ -49,3 +49,9 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_windows", "item_windows", "n_changed",
                         F.round(F.col("n_windows") / F.col("item_windows"), 6).alias("share"))
+
+
+@query("op10_sentencepiece")
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode
+    return encode(table(spark, sf_dir, "documents"))
