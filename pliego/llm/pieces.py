@@ -36,12 +36,14 @@ UNIT = re.compile(rf"{MARK}*(?:[{LATIN}]+|[^{LATIN}{MARK}]+)|{MARK}+")
 FREQUENT = 1 << 19
 #: Documents in which the frequent units are counted, about.
 SAMPLE_DOCS = 50_000
+#: Words that a task remembers the units of.
+REMEMBERED = 100_000
 #: Below the lowest piece score: what a character without a piece costs.
 UNKNOWN_PENALTY = 10.0
 #: Back pointers are kept in blocks of this size, so that long words stay linear.
 BLOCK = 256
 #: Offset that keeps packed ids positive: a character without a piece is -1 minus its code point.
-SHIFT, SPAN = 1 << 21, 1 << 23
+SHIFT = 1 << 21
 
 
 @dataclass
@@ -118,19 +120,18 @@ def ragged(flat: np.ndarray, start: np.ndarray, at: np.ndarray) -> tuple[np.ndar
 # ---------------------------------------------------------------- lattice
 
 FOLD = """
-aggregate(edges,
-  named_struct('at', 0, 'scores', array(0D), 'cur', cast(array() AS array<bigint>), 'done', cast(array() AS array<array<bigint>>)),
-  (s, e) -> named_struct(
-    'at', e.last,
-    'scores', CASE WHEN e.last > s.at THEN slice(concat(array(e.score + element_at(s.scores, e.size)), s.scores), 1, {keep})
-                   WHEN e.score + element_at(s.scores, e.size + 1) > element_at(s.scores, 1)
-                   THEN concat(array(e.score + element_at(s.scores, e.size + 1)), slice(s.scores, 2, {keep}))
-                   ELSE s.scores END,
-    'cur', CASE WHEN e.last > s.at THEN if(size(s.cur) = {block}, array(e.step), concat(s.cur, array(e.step)))
-                WHEN e.score + element_at(s.scores, e.size + 1) > element_at(s.scores, 1)
-                THEN concat(slice(s.cur, 1, size(s.cur) - 1), array(e.step))
-                ELSE s.cur END,
-    'done', if(e.last > s.at AND size(s.cur) = {block}, concat(s.done, array(s.cur)), s.done)),
+aggregate(transform(edges, e -> named_struct('last', shiftright(e.k, 29), 'size', cast(31 - (shiftright(e.k, 24) & 31) AS int),
+                                             'score', e.score, 'step', e.k & 536870911)),
+  named_struct('at', 0L, 'scores', array(0D), 'cur', cast(array() AS array<bigint>), 'done', cast(array() AS array<array<bigint>>)),
+  (s, e) -> CASE
+    WHEN e.last > s.at THEN named_struct(
+      'at', e.last, 'scores', slice(concat(array(e.score + element_at(s.scores, e.size)), s.scores), 1, {keep}),
+      'cur', if(size(s.cur) = {block}, array(e.step), concat(s.cur, array(e.step))),
+      'done', if(size(s.cur) = {block}, concat(s.done, array(s.cur)), s.done))
+    WHEN e.score + element_at(s.scores, e.size + 1) > element_at(s.scores, 1) THEN named_struct(
+      'at', s.at, 'scores', concat(array(e.score + element_at(s.scores, e.size + 1)), slice(s.scores, 2, {keep})),
+      'cur', concat(slice(s.cur, 1, size(s.cur) - 1), array(e.step)), 'done', s.done)
+    ELSE s END,
   s -> concat(flatten(s.done), s.cur))
 """
 
@@ -138,35 +139,47 @@ TRACE = """
 reverse(aggregate(reverse(sequence(1, size(steps))),
   named_struct('at', size(steps), 'ids', cast(array() AS array<int>)),
   (s, p) -> if(p = s.at,
-    named_struct('at', cast(p - element_at(steps, p) DIV {span} AS int),
-                 'ids', concat(s.ids, array(cast(element_at(steps, p) % {span} - {shift} AS int)))), s),
+    named_struct('at', cast(p - 31 + (shiftright(element_at(steps, p), 24) & 31) AS int),
+                 'ids', concat(s.ids, array(cast((element_at(steps, p) & 16777215) - {shift} AS int)))), s),
   s -> s.ids))
 """
 
 
+def word_key():
+    """Two columns that stand for a word: 128 bits sort and group faster than strings."""
+    return [F.xxhash64("word").alias("h1"), F.xxhash64(F.lit(1), "word").alias("h2")]
+
+
 def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(word, carried, ids) for distinct non-empty words: the segmentation of the highest score.
+    """(word, carried, ids) for distinct non-empty words (h1, h2, word, carried): the segmentation of the highest score.
 
     Of equal scores the one whose last differing piece is longest wins.  A
-    character without a piece has -1 minus its code point as id.  ``words`` is
-    (word, carried); its second column rides along on the edge of the first
-    character, so that a word's rows are shuffled no second time.
+    character without a piece has -1 minus its code point as id.  ``word`` and
+    ``carried`` ride along on the edge of the first character, and ``words`` is
+    partitioned by its key, so nothing is shuffled here.
+
+    An edge is packed as where it ends, 31 less its length, and its id, so that
+    edges sort by their end and the longest of one end comes first.
     """
     longest = vocabulary.longest
-    ends = words.select("word", "carried", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("last"))
-    parts = (ends.select("word", F.when(F.col("last") == 1, F.col("carried")).alias("carried"), "last",
-                         F.explode(F.sequence(F.lit(1), F.least("last", F.lit(longest)))).alias("size"))
-             .withColumn("piece", F.expr("substring(word, last - size + 1, size)")))
+    if longest > 31:
+        raise ValueError("pieces of over 31 characters")
+    ends = words.select("*", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("last"))
+    first = (F.col("last") == 1) & (F.col("size") == 1)
+    parts = (ends.select("*", F.explode(F.sequence(F.lit(1), F.least("last", F.lit(longest)))).alias("size"))
+             .select("h1", "h2", F.when(first, F.col("word")).alias("word"), F.when(first, F.col("carried")).alias("carried"),
+                     "last", "size", F.expr("substring(word, last - size + 1, size)").alias("piece")))
+    number = F.coalesce("id", -1 - F.ascii("piece")) + SHIFT
+    step = F.shiftleft(F.col("last").cast("long"), 29) + F.shiftleft((31 - F.col("size")).cast("long"), 24) + number
     edges = (parts.join(F.broadcast(vocabulary.table(words.sparkSession)), "piece", "left")
              .filter("id IS NOT NULL OR size = 1")
-             .withColumn("number", F.coalesce("id", -1 - F.ascii("piece")))
-             .select("word", "carried", F.struct("last", (-F.col("size")).alias("order"), "size",
-                                      F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"),
-                                      (F.col("size").cast("long") * SPAN + F.col("number") + SHIFT).alias("step")).alias("edge")))
-    folded = (edges.groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"),
-                                        F.first("carried", ignorenulls=True).alias("carried"))
+             .select("h1", "h2", "word", "carried",
+                     F.struct(step.alias("k"), F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score")).alias("edge")))
+    folded = (edges.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("edge")).alias("edges"),
+                                            F.first("word", ignorenulls=True).alias("word"),
+                                            F.first("carried", ignorenulls=True).alias("carried"))
               .withColumn("steps", F.expr(FOLD.format(keep=longest + 1, block=BLOCK))))
-    return folded.select("word", "carried", F.expr(TRACE.format(span=SPAN, shift=SHIFT)).alias("ids"))
+    return folded.select("word", "carried", F.expr(TRACE.format(shift=SHIFT)).alias("ids"))
 
 
 # ------------------------------------------------------- documents as units
@@ -178,6 +191,17 @@ class Frequent:
         self.number = {w: n for n, w in enumerate(words)}
         self.flat = np.array([i for x in ids for i in x], np.int32)
         self.start = np.cumsum([0, *map(len, ids)])
+        self.decoded: list[bytes] = []
+
+    def octets(self, vocabulary: Vocabulary) -> list[bytes]:
+        """Each unit's ids decoded; made once per worker."""
+        if len(self.decoded) < len(self.number):
+            flat, start = vocabulary.octets
+            raw, sizes = ragged(flat, start, self.flat)
+            at = np.concatenate(([0], np.cumsum(sizes)))[self.start].tolist()
+            data = raw.tobytes()
+            self.decoded = [data[a:b] for a, b in zip(at, at[1:])]
+        return self.decoded
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -224,11 +248,47 @@ def frequent_units(docs: DataFrame, vocabulary: Vocabulary, most: int, sample_do
     if least is None:
         return Frequent([], [])
     chosen = counts.filter(F.col("n") >= least)
-    solved = lattice(chosen.select("word", F.col("n").alias("carried")).repartition("word"), vocabulary)
+    solved = lattice(chosen.select(*word_key(), "word", F.col("n").alias("carried")).repartition("h1", "h2"), vocabulary)
     rows = written(solved, "frequent-units").orderBy(F.desc("carried"), "word").select("word", "ids").toArrow()
     return Frequent(rows.column("word").to_pylist(), [vocabulary.spelled(x) for x in rows.column("ids").to_pylist()])
 
 
+class Splitter:
+    """Texts to unit numbers.  Most words between spaces are one frequent unit; what
+    other words consist of is remembered for a while."""
+
+    def __init__(self, number: dict[str, int]):
+        self.number = number
+        self.words: dict[str, list[int | str]] = {}
+
+    def parts(self, word: str) -> list[int | str]:
+        """The units of a word with its mark: the number of a frequent one, a rare one itself."""
+        got = self.words.get(word)
+        if got is None:
+            if len(self.words) > REMEMBERED:
+                self.words.clear()
+            got = self.words[word] = [self.number.get(u, u) for u in UNIT.findall(MARK + word)]
+        return got
+
+    def numbers(self, text: str | None) -> tuple[list[int], list[str]]:
+        """Unit numbers, and the text's rare units in order: their numbers go on behind the frequent ones."""
+        if not text:
+            return [], []
+        if "  " in text or text[0] == " " or text[-1] == " " or MARK in text:  # marks side by side
+            items = [self.number.get(u, u) for u in units(text)]
+        else:
+            get, items = self.number.get, []
+            for w in text.split(" "):
+                n = get(MARK + w)
+                if n is None:
+                    items += self.parts(w)
+                else:
+                    items.append(n)
+        rare: dict[str, int] = {}
+        known = len(self.number)
+        return [n if type(n) is int else rare.setdefault(n, known + len(rare)) for n in items], list(rare)
+
+
 def as_units(docs: DataFrame, frequent) -> DataFrame:
     """(doc_id, th, tk, codes, rare): a document as packed unit numbers and its own further units.
 
@@ -236,22 +296,15 @@ def as_units(docs: DataFrame, frequent) -> DataFrame:
     document's rare unit of the rest.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = frequent.value.number
-        known = len(number)
+        splitter = Splitter(frequent.value.number)
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
-                codes, rares = [], []
-                for text in part.column(3).to_pylist():
-                    us = units(text)
-                    own = [number.get(u, -1) for u in us]
-                    rare: dict[str, int] = {}
-                    if -1 in own:
-                        own = [n if n >= 0 else rare.setdefault(u, known + len(rare)) for n, u in zip(own, us)]
-                    codes.append(packed(np.array(own, np.int64)))
-                    rares.append(list(rare))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(codes, pa.binary()),
-                                                  pa.array(rares, pa.list_(pa.string()))], names=["doc_id", "th", "tk", "codes", "rare"])
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                rows = [splitter.numbers(t) for t in part.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2),
+                                                  pa.array([packed(np.array(n, np.int64)) for n, _ in rows], pa.binary()),
+                                                  pa.array([r for _, r in rows], pa.list_(pa.string()))],
+                                                 names=["doc_id", "th", "tk", "codes", "rare"])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("th"), F.xxhash64("text").alias("tk"), "text")
     return rows.mapInArrow(run, "doc_id long, th int, tk long, codes binary, rare array<string>")
 
@@ -268,8 +321,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, frequent: int
     docs = docs.select("doc_id", "text")
     known = spark.sparkContext.broadcast(frequent_units(docs, vocabulary, frequent, sample_docs))
     coded = as_units(docs, known)
-    rare = coded.select("doc_id", "th", F.posexplode("rare").alias("place", "word")).repartition("word")
-    words = rare.groupBy("word").agg(F.collect_list(F.struct("doc_id", "th", "place")).alias("carried"))
+    rare = coded.select("doc_id", "th", F.posexplode("rare").alias("place", "word"))
+    words = (rare.select("*", *word_key()).repartition("h1", "h2").groupBy("h1", "h2")
+             .agg(F.first("word").alias("word"), F.collect_list(F.struct("doc_id", "th", "place")).alias("carried")))
     back = (lattice(words, vocabulary).select(F.explode("carried").alias("at"), "ids")
             .groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct("at.place", "ids")).alias("solved"))
             .select(F.col("doc_id").alias("in_doc"), F.col("th").alias("in_th"), "solved"))
@@ -277,16 +331,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, frequent: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = known.value
-        count = len(base.number)
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 out, same = [], []
                 for tk, codes, own in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
-                    ids = token_ids(unpacked(codes), base, count, own or [], vocabulary)
+                    ids, text = solved_text(unpacked(codes), base, own or [], vocabulary)
                     out.append(ids)
-                    same.append(xxh64_intdigest(vocabulary.decode(ids).encode("utf-8", "surrogatepass"), 42) == tk & (1 << 64) - 1
-                                if len(ids) else tk in EMPTY)
+                    same.append(xxh64_intdigest(text, 42) == tk & (1 << 64) - 1 or not len(ids) and tk == 42)  # 42: a null text
                 sizes = [len(x) for x in out]
                 flat = np.concatenate([*out, np.zeros(0, np.int32)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(flat))
@@ -295,26 +347,28 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, frequent: int
     return joined.select("doc_id", "tk", "codes", "solved").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
 
 
-#: Hash keys of a null and of an empty text.
-EMPTY = (42, xxh64_intdigest(b"", 42) - (1 << 64 if xxh64_intdigest(b"", 42) >> 63 else 0))
-
-
-def token_ids(numbers: np.ndarray, base: Frequent, count: int, own: list[dict], vocabulary: Vocabulary) -> np.ndarray:
-    """The ids of a document's units; ``own`` holds its rare ones as (place, ids)."""
-    if not len(numbers):
-        return np.zeros(0, np.int32)
+def solved_text(numbers: np.ndarray, base: Frequent, own: list[dict], vocabulary: Vocabulary) -> tuple[np.ndarray, bytes]:
+    """The ids of a document's units and what they decode to; ``own`` holds its rare units as (place, ids)."""
+    count, octets = len(base.number), base.octets(vocabulary)
     if not own:
-        return ragged(base.flat, base.start, numbers)[0]
+        return ragged(base.flat, base.start, numbers)[0], b"".join([octets[n] for n in numbers.tolist()]).removeprefix(b" ")
     lists: list[list[int]] = [[]] * (1 + max(r["place"] for r in own))
     for r in own:
         lists[r["place"]] = vocabulary.spelled(r["ids"])
-    rare_flat = np.array([i for x in lists for i in x], np.int32)
-    rare_start = np.cumsum([0, *map(len, lists)])
-    used = np.unique(numbers[numbers < count])
-    common_flat, sizes = ragged(base.flat, base.start, used)
-    start = np.concatenate((np.cumsum(np.concatenate(([0], sizes))), rare_start[1:] + int(sizes.sum())))
-    at = np.where(numbers < count, np.searchsorted(used, numbers), numbers - count + len(used))
-    return ragged(np.concatenate((common_flat, rare_flat)), start, at)[0]
+    flat, start = np.array([i for x in lists for i in x], np.int32), np.cumsum([0, *map(len, lists)])
+    rare = numbers >= count
+    where, place = np.where(rare, 0, numbers), np.where(rare, numbers - count, 0)
+    common = base.start if count else np.zeros(2, np.int64)
+    first = np.where(rare, start[place], common[where])
+    size = np.where(rare, start[place + 1], common[where + 1]) - first
+    at = np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)
+    from_rare = np.repeat(rare, size)
+    ids = np.empty(len(at), np.int32)
+    ids[from_rare] = flat[at[from_rare]]
+    ids[~from_rare] = base.flat[at[~from_rare]]
+    piece_flat, piece_start = vocabulary.octets
+    texts = [ragged(piece_flat, piece_start, np.array(x, np.int64))[0].tobytes() for x in lists]
+    return ids, b"".join([octets[n] if n < count else texts[n - count] for n in numbers.tolist()]).removeprefix(b" ")
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary | None = None, ids_col: str = "ids") -> DataFrame:
