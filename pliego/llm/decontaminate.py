@@ -26,10 +26,10 @@ from .common import text_key, written
 
 WINDOW = 5
 SIMILARITY = 0.8
-#: Bits of the prefilter (8 MB), whatever the size of the benchmark.
-FILTER_BITS = 26
+#: Bits of the prefilter (2 MB), whatever the size of the benchmark.
+FILTER_BITS = 24
 #: Distinct tokens a task keeps the hashes of.
-CACHE = 1_000_000
+CACHE = 150_000
 TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n]")
 # Units that are typed after a number.
 UNITS = frozenset("""mm cm dm m km in ft yd mi mile miles meter meters metre metres kilometer kilometers
@@ -44,13 +44,13 @@ SLOT = "\x1f"
 
 
 class Tokens(dict):
-    """Token -> number; its hash and sort stand in arrays."""
+    """Token -> number; its hash and sort stand in arrays that grow."""
 
     def __init__(self):
         super().__init__()
         self.words: list[str] = []
-        self.hashes: list[int] = []
-        self.sorts: list[int] = []
+        self.hashes = np.zeros(1 << 12, np.uint64)
+        self.sorts = np.zeros(1 << 12, np.int8)
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
@@ -64,8 +64,11 @@ class Tokens(dict):
             sort = UNIT if low in UNITS else LITERAL
         n = self[token] = len(self.words)
         self.words.append(low)
-        self.hashes.append(xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 0))
-        self.sorts.append(sort)
+        if n == len(self.sorts):
+            self.hashes = np.concatenate((self.hashes, np.zeros_like(self.hashes)))
+            self.sorts = np.concatenate((self.sorts, np.zeros_like(self.sorts)))
+        self.hashes[n] = xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 0)
+        self.sorts[n] = sort
         return n
 
 
@@ -84,7 +87,7 @@ def canonical(texts: list[str | None], tokens: Tokens, inside: bool = False):
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     number = np.fromiter((tokens[w] for ws in lists for w in ws), np.int64, int(sizes.sum()))
     doc = np.repeat(np.arange(len(lists)), sizes)
-    sort = np.array(tokens.sorts, np.int8)[number] if len(number) else np.zeros(0, np.int8)
+    sort = tokens.sorts[number]
     first = np.concatenate(([True], doc[1:] != doc[:-1]))[:len(doc)]
     after_end = np.concatenate(([False], sort[:-1] == END))[:len(doc)]
     start = after_end if inside else after_end | first
@@ -97,9 +100,8 @@ def canonical(texts: list[str | None], tokens: Tokens, inside: bool = False):
         sort[at[[tokens.words[n] in UNITS for n in number[at].tolist()]]] = UNIT
     sort[(sort == UNIT) & ~after_number] = LITERAL
     sort[(sort == NAME) & start] = LITERAL
-    hashes = np.array(tokens.hashes, np.uint64)[number] if len(number) else np.zeros(0, np.uint64)
     slot = sort != LITERAL
-    return doc, number, np.where(slot, MARK[sort], hashes), slot
+    return doc, number, np.where(slot, MARK[sort], tokens.hashes[number]), slot
 
 
 def windows(doc: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,14 +150,16 @@ def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def document_windows(docs: DataFrame, bitmap: bytes, sizes: list[int]) -> DataFrame:
     """(doc_id, tk, doc_at, hash, doc_slots) of the windows whose hash is in the bitmap."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap, np.uint8)
+        bits = np.frombuffer(shared.value, np.uint8)
         tokens = Tokens()
         for b in batches:
-            for k in range(0, b.num_rows, 512):
+            for k in range(0, b.num_rows, 128):
                 if len(tokens) > CACHE:
                     tokens = Tokens()
-                part = b.slice(k, 512)
+                part = b.slice(k, 128)
                 doc, number, hashes, slot = canonical(part.column(2).to_pylist(), tokens)
                 first = np.searchsorted(doc, doc)
                 for size in sizes:
