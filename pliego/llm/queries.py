@@ -79,3 +79,27 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
+
+
+SHARD_BYTES = 1 << 20
+
+
+@query("op6_sharding", f"""
+WITH d AS (
+  SELECT doc_id, COALESCE(octet_length(encode(text)), 0) AS bytes,
+         array_to_string(list_transform(string_split(md5(CAST(doc_id AS VARCHAR)), ''),
+                                        c -> lpad(bin(CAST('0x' || c AS INTEGER)), 4, '0')), '') AS bits
+  FROM documents),
+s AS (
+  SELECT doc_id, bytes, n, left(bits, CAST(n AS BIGINT)) AS shard,
+         SUM(bytes) OVER (PARTITION BY n, left(bits, CAST(n AS BIGINT))) AS shard_bytes,
+         COUNT(*) OVER (PARTITION BY n, left(bits, CAST(n AS BIGINT))) AS shard_rows
+  FROM d CROSS JOIN range(0, 129) r(n))
+SELECT doc_id, CAST(bytes AS BIGINT) AS bytes, shard, CAST(n AS INTEGER) AS depth, CAST(0 AS BIGINT) AS part,
+       shard_rows, CAST(shard_bytes AS BIGINT) AS shard_bytes
+FROM s WHERE shard_bytes <= {SHARD_BYTES} OR shard_rows = 1
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n) = 1""")
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import extendible_shards
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
+    return extendible_shards(docs, "doc_id", F.col("bytes"), SHARD_BYTES)
