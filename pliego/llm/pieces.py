@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .common import without, written
+from .spans import BASES, hashes, prefix_sums
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -36,8 +37,8 @@ UNIT = re.compile(rf"{MARK}*(?:[{LATIN}]+|[^{LATIN}{MARK}]+)|{MARK}+")
 FREQUENT = 1 << 19
 #: Documents in which the frequent units are counted, about.
 SAMPLE_DOCS = 50_000
-#: Words that a task remembers the units of.
-REMEMBERED = 100_000
+#: Characters of text that a task works on at once.
+PART_CHARS = 1 << 20
 #: Below the lowest piece score: what a character without a piece costs.
 UNKNOWN_PENALTY = 10.0
 #: Back pointers are kept in blocks of this size, so that long words stay linear.
@@ -70,11 +71,11 @@ class Vocabulary:
             raise ValueError(f"pieces cross the bounds of units: {crossing[:5]}")
         return cls(pieces, [m.get_score(i) for i in ids], normal, byte_ids)
 
-    @property
+    @cached_property
     def longest(self) -> int:
         return max(len(self.pieces[i]) for i in self.normal)
 
-    @property
+    @cached_property
     def unknown_score(self) -> float:
         return min(self.scores[i] for i in self.normal) - UNKNOWN_PENALTY
 
@@ -112,9 +113,11 @@ def ragged(flat: np.ndarray, start: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     """The runs ``flat[start[i]:start[i + 1]]`` for i in ``at``, one behind the other, and their lengths."""
     first = start[at]
     size = start[at + 1] - first
-    total = int(size.sum())
     before = np.cumsum(size) - size
-    return flat[np.arange(total) + np.repeat(first - before, size)], size
+    kind = np.int32 if len(flat) < 1 << 31 and (not len(size) or before[-1] + size[-1] < 1 << 31) else np.int64
+    index = np.repeat((first - before).astype(kind), size)
+    index += np.arange(len(index), dtype=kind)
+    return flat[index], size
 
 
 # ---------------------------------------------------------------- lattice
@@ -185,30 +188,74 @@ def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 # ------------------------------------------------------- documents as units
 
 class Frequent:
-    """Broadcast units, most frequent first: number of each, and their ids in a row."""
-
-    def __init__(self, words: list[str], ids: list[list[int]]):
-        self.number = {w: n for n, w in enumerate(words)}
-        self.flat = np.array([i for x in ids for i in x], np.int32)
-        self.start = np.cumsum([0, *map(len, ids)])
-        self.decoded: list[bytes] = []
-
-    def octets(self, vocabulary: Vocabulary) -> list[bytes]:
-        """Each unit's ids decoded; made once per worker."""
-        if len(self.decoded) < len(self.number):
-            flat, start = vocabulary.octets
-            raw, sizes = ragged(flat, start, self.flat)
-            at = np.concatenate(([0], np.cumsum(sizes)))[self.start].tolist()
-            data = raw.tobytes()
-            self.decoded = [data[a:b] for a, b in zip(at, at[1:])]
-        return self.decoded
+    """Units that are known in advance, most frequent first: their hashes, ids and decoded bytes in arrays.
 
+    A unit is found by the leading bits of its hash; the rest of its 128 bits
+    is compared.
+    """
 
-def packed(numbers: np.ndarray) -> bytes:
-    """Non-negative numbers below 2^28, seven bits a byte, low bits first."""
-    lanes = np.stack([(numbers >> 7 * k & 127) | ((numbers >> 7 * (k + 1) > 0) << 7) for k in range(4)], axis=1).astype(np.uint8)
-    used = np.stack([np.ones(len(numbers), bool), numbers >> 7 > 0, numbers >> 14 > 0, numbers >> 21 > 0], axis=1)
-    return lanes[used].tobytes()
+    def __init__(self, words: list[str], ids: list[list[int]], vocabulary: Vocabulary):
+        self.count = len(words)
+        self.ids = np.array([i for x in ids for i in x], np.int32)
+        self.start = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        flat, start = vocabulary.octets
+        self.octets, sizes = ragged(flat, start, self.ids)
+        self.octet_start = np.concatenate(([0], np.cumsum(sizes)))[self.start].astype(np.int32)
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        end = np.cumsum([0, *map(len, words)])
+        h1, h2 = unit_hashes(points, end[:-1], end[1:])
+        self.lead = max(1, self.count.bit_length())
+        order = np.argsort(h1, kind="stable")
+        self.h1, self.h2, self.number = h1[order], h2[order], order.astype(np.int32)
+        self.bucket = np.searchsorted(self.h1 >> np.uint64(64 - self.lead), np.arange((1 << self.lead) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """The number of each unit, -1 if it is not among these."""
+        out = np.full(len(h1), -1, np.int64)
+        lead = (h1 >> np.uint64(64 - self.lead)).astype(np.int64)
+        at, end = self.bucket[lead].astype(np.int64), self.bucket[lead + 1]
+        todo = np.flatnonzero(at < end)
+        while len(todo):
+            here = at[todo]
+            hit = (self.h1[here] == h1[todo]) & (self.h2[here] == h2[todo])
+            out[todo[hit]] = self.number[here[hit]]
+            at[todo] += 1
+            todo = todo[~hit]
+            todo = todo[at[todo] < end[todo]]
+        return out
+
+
+def unit_hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    values = points.astype(np.uint64) + np.uint64(1)
+    return tuple(hashes(prefix_sums(values, b), b, start, end) for b in BASES)
+
+
+#: Sort of a code point: 1 Latin letter, 2 the mark, 0 all else.
+SORTS = np.zeros(0x2582, np.int8)
+SORTS[[n for n in range(0x250) if re.match(f"[{LATIN}]", chr(n))]] = 1
+SORTS[ord(MARK)] = 2
+
+
+def split_units(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """Non-empty texts with marks, one behind the other; code points, and the starts of units and of texts."""
+    joined = "".join([MARK + t for t in texts]).replace(" ", MARK)
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    first = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+    sort = SORTS[np.minimum(points, 0x2581)]
+    sort[points > 0x2581] = 0
+    new = np.ones(len(points), bool)
+    # a mark opens a unit unless a mark is before it; so does a change of sort behind another character
+    new[1:] = (sort[1:] != sort[:-1]) & (sort[:-1] != 2)
+    new[first] = True
+    return joined, points, np.flatnonzero(new), first
+
+
+def packed(numbers: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Non-negative numbers below 2^28, seven bits a byte, low bits first; and how many bytes each takes."""
+    more = [numbers >> 7 * k > 0 for k in range(1, 5)]
+    lanes = np.stack([(numbers >> 7 * k & 127) | (more[k] << 7) for k in range(4)], axis=1).astype(np.uint8)
+    used = np.stack([np.ones(len(numbers), bool), *more[:3]], axis=1)
+    return lanes[used].tobytes(), used.sum(axis=1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -246,47 +293,45 @@ def frequent_units(docs: DataFrame, vocabulary: Vocabulary, most: int, sample_do
             break
         room, least = room - words, n
     if least is None:
-        return Frequent([], [])
+        return Frequent([], [], vocabulary)
     chosen = counts.filter(F.col("n") >= least)
     solved = lattice(chosen.select(*word_key(), "word", F.col("n").alias("carried")).repartition("h1", "h2"), vocabulary)
     rows = written(solved, "frequent-units").orderBy(F.desc("carried"), "word").select("word", "ids").toArrow()
-    return Frequent(rows.column("word").to_pylist(), [vocabulary.spelled(x) for x in rows.column("ids").to_pylist()])
-
-
-class Splitter:
-    """Texts to unit numbers.  Most words between spaces are one frequent unit; what
-    other words consist of is remembered for a while."""
-
-    def __init__(self, number: dict[str, int]):
-        self.number = number
-        self.words: dict[str, list[int | str]] = {}
-
-    def parts(self, word: str) -> list[int | str]:
-        """The units of a word with its mark: the number of a frequent one, a rare one itself."""
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) > REMEMBERED:
-                self.words.clear()
-            got = self.words[word] = [self.number.get(u, u) for u in UNIT.findall(MARK + word)]
-        return got
-
-    def numbers(self, text: str | None) -> tuple[list[int], list[str]]:
-        """Unit numbers, and the text's rare units in order: their numbers go on behind the frequent ones."""
-        if not text:
-            return [], []
-        if "  " in text or text[0] == " " or text[-1] == " " or MARK in text:  # marks side by side
-            items = [self.number.get(u, u) for u in units(text)]
-        else:
-            get, items = self.number.get, []
-            for w in text.split(" "):
-                n = get(MARK + w)
-                if n is None:
-                    items += self.parts(w)
-                else:
-                    items.append(n)
-        rare: dict[str, int] = {}
-        known = len(self.number)
-        return [n if type(n) is int else rare.setdefault(n, known + len(rare)) for n in items], list(rare)
+    return Frequent(rows.column("word").to_pylist(), [vocabulary.spelled(x) for x in rows.column("ids").to_pylist()],
+                    vocabulary)
+
+
+def numbered(texts: list[str | None], known: Frequent) -> list[tuple[bytes, list[str]]]:
+    """Per text its packed unit numbers, and its rare units: their numbers go on behind the frequent ones."""
+    out: list[tuple[bytes, list[str]]] = [(b"", [])] * len(texts)
+    full = [n for n, t in enumerate(texts) if t]
+    if not full:
+        return out
+    joined, points, start, first = split_units([texts[n] for n in full])
+    end = np.append(start[1:], len(points))
+    number = known.find(*unit_hashes(points, start, end))
+    text = np.searchsorted(first, start, "right") - 1
+    rares: list[dict[str, int]] = [{} for _ in full]
+    at = np.flatnonzero(number < 0)
+    number[at] = [rares[t].setdefault(joined[a:b], known.count + len(rares[t]))
+                  for t, a, b in zip(text[at].tolist(), start[at].tolist(), end[at].tolist())]
+    data, sizes = packed(number)
+    cut = np.concatenate(([0], np.cumsum(sizes)))[np.append(np.searchsorted(text, np.arange(len(full))), len(number))].tolist()
+    for k, n in enumerate(full):
+        out[n] = (data[cut[k]:cut[k + 1]], list(rares[k]))
+    return out
+
+
+def parts(lengths: list[int], most: int = PART_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts with about ``most`` characters together."""
+    start, total = 0, 0
+    for n, size in enumerate(lengths):
+        if total and total + size > most:
+            yield start, n
+            start, total = n, 0
+        total += size
+    if start < len(lengths):
+        yield start, len(lengths)
 
 
 def as_units(docs: DataFrame, frequent) -> DataFrame:
@@ -296,15 +341,16 @@ def as_units(docs: DataFrame, frequent) -> DataFrame:
     document's rare unit of the rest.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(frequent.value.number)
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                rows = [splitter.numbers(t) for t in part.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2),
-                                                  pa.array([packed(np.array(n, np.int64)) for n, _ in rows], pa.binary()),
-                                                  pa.array([r for _, r in rows], pa.list_(pa.string()))],
-                                                 names=["doc_id", "th", "tk", "codes", "rare"])
+            for lo in range(0, b.num_rows, 512):
+                group = b.slice(lo, 512)
+                texts = group.column(3).to_pylist()
+                for k, m in parts([len(t or "") for t in texts]):
+                    rows = numbered(texts[k:m], frequent.value)
+                    part = group.slice(k, m - k)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([c for c, _ in rows], pa.binary()),
+                                                      pa.array([r for _, r in rows], pa.list_(pa.string()))],
+                                                     names=["doc_id", "th", "tk", "codes", "rare"])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("th"), F.xxhash64("text").alias("tk"), "text")
     return rows.mapInArrow(run, "doc_id long, th int, tk long, codes binary, rare array<string>")
 
@@ -322,7 +368,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, frequent: int
     known = spark.sparkContext.broadcast(frequent_units(docs, vocabulary, frequent, sample_docs))
     coded = as_units(docs, known)
     rare = coded.select("doc_id", "th", F.posexplode("rare").alias("place", "word"))
-    words = (rare.select("*", *word_key()).repartition("h1", "h2").groupBy("h1", "h2")
+    words = (rare.repartition(F.xxhash64("word")).select("*", *word_key()).groupBy("h1", "h2")
              .agg(F.first("word").alias("word"), F.collect_list(F.struct("doc_id", "th", "place")).alias("carried")))
     back = (lattice(words, vocabulary).select(F.explode("carried").alias("at"), "ids")
             .groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct("at.place", "ids")).alias("solved"))
@@ -349,26 +395,32 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, frequent: int
 
 def solved_text(numbers: np.ndarray, base: Frequent, own: list[dict], vocabulary: Vocabulary) -> tuple[np.ndarray, bytes]:
     """The ids of a document's units and what they decode to; ``own`` holds its rare units as (place, ids)."""
-    count, octets = len(base.number), base.octets(vocabulary)
     if not own:
-        return ragged(base.flat, base.start, numbers)[0], b"".join([octets[n] for n in numbers.tolist()]).removeprefix(b" ")
+        return ragged(base.ids, base.start, numbers)[0], ragged(base.octets, base.octet_start, numbers)[0].tobytes().removeprefix(b" ")
     lists: list[list[int]] = [[]] * (1 + max(r["place"] for r in own))
     for r in own:
         lists[r["place"]] = vocabulary.spelled(r["ids"])
     flat, start = np.array([i for x in lists for i in x], np.int32), np.cumsum([0, *map(len, lists)])
-    rare = numbers >= count
-    where, place = np.where(rare, 0, numbers), np.where(rare, numbers - count, 0)
-    common = base.start if count else np.zeros(2, np.int64)
-    first = np.where(rare, start[place], common[where])
-    size = np.where(rare, start[place + 1], common[where + 1]) - first
+    rare = numbers >= base.count
+    place, where = np.where(rare, numbers - base.count, 0), np.where(rare, 0, numbers)
+    octets, sizes = ragged(*vocabulary.octets, flat)
+    octet_start = np.concatenate(([0], np.cumsum(sizes)))[start]
+    ids = merged(rare, (flat, start, place), (base.ids, base.start, where))
+    return ids, merged(rare, (octets, octet_start, place), (base.octets, base.octet_start, where)).tobytes().removeprefix(b" ")
+
+
+def merged(second: np.ndarray, one: tuple, other: tuple) -> np.ndarray:
+    """Runs of ``one`` (flat, start, which) where ``second`` is set, else of ``other``, in order."""
+    (flat_a, start_a, at_a), (flat_b, start_b, at_b) = one, other
+    if not len(flat_b):
+        return ragged(flat_a, start_a, at_a)[0]
+    first = np.where(second, start_a[at_a], start_b[at_b])
+    size = np.where(second, start_a[at_a + 1], start_b[at_b + 1]) - first
     at = np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)
-    from_rare = np.repeat(rare, size)
-    ids = np.empty(len(at), np.int32)
-    ids[from_rare] = flat[at[from_rare]]
-    ids[~from_rare] = base.flat[at[~from_rare]]
-    piece_flat, piece_start = vocabulary.octets
-    texts = [ragged(piece_flat, piece_start, np.array(x, np.int64))[0].tobytes() for x in lists]
-    return ids, b"".join([octets[n] if n < count else texts[n - count] for n in numbers.tolist()]).removeprefix(b" ")
+    from_a = np.repeat(second, size)
+    out = np.empty(len(at), flat_a.dtype)
+    out[from_a], out[~from_a] = flat_a[at[from_a]], flat_b[at[~from_a]]
+    return out
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary | None = None, ids_col: str = "ids") -> DataFrame:

@@ -91,12 +91,17 @@ def test_whole_table_equals_brute_force(spark, sf_dir, vocab):
 @given(st.text(max_size=30))
 def test_units_put_together_give_the_text(text):
     assert "".join(P.units(text)) == (P.MARK + text.replace(" ", P.MARK) if text else "")
+    texts = [t for t in (text, " a", text + "  ") if t]
+    joined, _, start, _ = P.split_units(texts)
+    cut = [*start.tolist(), len(joined)]
+    assert [joined[a:b] for a, b in zip(cut, cut[1:])] == [u for t in texts for u in P.units(t)]
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 2**28 - 1), max_size=50))
 def test_packed_numbers(numbers):
-    assert P.unpacked(P.packed(np.array(numbers, np.int64))).tolist() == numbers
+    data, sizes = P.packed(np.array(numbers, np.int64))
+    assert P.unpacked(data).tolist() == numbers and sizes.sum() == len(data)
 
 
 def test_odd_rows(spark, vocab):
