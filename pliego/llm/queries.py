@@ -103,3 +103,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import extendible_shards
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
     return extendible_shards(docs, "doc_id", F.col("bytes"), SHARD_BYTES)
+
+
+@query("op3_html_text")
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_text
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    return extract_text(pages).select("page_id", "text", F.length("text").alias("n_chars"))
