@@ -110,3 +110,17 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract_text
     pages = table(spark, sf_dir, "pages").select("page_id", "html")
     return extract_text(pages).select("page_id", "text", F.length("text").alias("n_chars"))
+
+
+@query("op2_warc_index", """
+WITH p AS (
+  SELECT page_id, octet_length(encode(COALESCE(html, ''))) AS n, sha256(COALESCE(html, '')) AS d FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f""")
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import capture_index
+    index = capture_index(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
