@@ -38,7 +38,7 @@ FREQUENT = 1 << 19
 #: Documents in which the frequent units are counted, about.
 SAMPLE_DOCS = 50_000
 #: Characters of text that a task works on at once.
-PART_CHARS = 1 << 20
+PART_CHARS = 1 << 18
 #: Below the lowest piece score: what a character without a piece costs.
 UNKNOWN_PENALTY = 10.0
 #: Back pointers are kept in blocks of this size, so that long words stay linear.
@@ -270,12 +270,12 @@ def unpacked(data: bytes) -> np.ndarray:
 
 def count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found: dict[str, int] = {}
-        for t in b.column(0).to_pylist():
-            for u in units(t):
-                found[u] = found.get(u, 0) + 1
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+        for k in range(0, b.num_rows, 512):
+            found: dict[str, int] = {}
+            for t in b.column(0).slice(k, 512).to_pylist():
+                for u in units(t):
+                    found[u] = found.get(u, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
 
 def frequent_units(docs: DataFrame, vocabulary: Vocabulary, most: int, sample_docs: int) -> Frequent:

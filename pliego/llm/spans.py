@@ -9,7 +9,7 @@ import numpy as np
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=4)
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     def run(b: int) -> np.ndarray:
         x = np.full(size, b, np.uint64)
