@@ -124,3 +124,9 @@ def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import capture_index
     index = capture_index(table(spark, sf_dir, "pages"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_substring_dedup")
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .recompress import substring_dedup
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("kept")
