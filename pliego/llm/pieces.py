@@ -37,6 +37,9 @@ UNIT = re.compile(rf"{MARK}*(?:[{LATIN}]+|[^{LATIN}{MARK}]+)|{MARK}+")
 FREQUENT = 1 << 19
 #: Documents in which the frequent units are counted, about.
 SAMPLE_DOCS = 50_000
+#: Words that one task of the lattice solves, about; and how many more tasks than shuffle
+#: partitions solve the rare ones.  Small tasks keep the sort of their edges small.
+WORDS_AT_ONCE, RARE_TASKS = 1 << 14, 4
 #: Characters of text that a task works on at once.
 PART_CHARS = 1 << 18
 #: Below the lowest piece score: what a character without a piece costs.
@@ -73,14 +76,28 @@ class Vocabulary:
 
     @cached_property
     def longest(self) -> int:
-        return max(len(self.pieces[i]) for i in self.normal)
+        return max(len(self.pieces[i]) for i in self.winning)
 
     @cached_property
     def unknown_score(self) -> float:
         return min(self.scores[i] for i in self.normal) - UNKNOWN_PENALTY
 
+    @cached_property
+    def winning(self) -> list[int]:
+        """The normal ids less those that their own parts outscore: these are in no best segmentation."""
+        score = {self.pieces[i]: self.scores[i] for i in self.normal}
+
+        def in_parts(piece: str) -> float:
+            best = [0.0] + [float("-inf")] * len(piece)
+            for end in range(1, len(best)):
+                for start in range(end == len(piece), end):
+                    if (s := score.get(piece[start:end])) is not None:
+                        best[end] = max(best[end], best[start] + s)
+            return best[-1]
+        return [i for i in self.normal if in_parts(self.pieces[i]) <= self.scores[i]]
+
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(self.pieces[i], i, float(self.scores[i])) for i in self.normal]
+        rows = [(self.pieces[i], i, float(self.scores[i])) for i in self.winning]
         return spark.createDataFrame(rows, "piece string, id int, score double")
 
     def spelled(self, ids: list[int]) -> list[int]:
@@ -122,20 +139,36 @@ def ragged(flat: np.ndarray, start: np.ndarray, at: np.ndarray) -> tuple[np.ndar
 
 # ---------------------------------------------------------------- lattice
 
+# Both folds go over edges in order of their end.  State: the best score at each position so far (the long
+# form keeps the last ones only, latest first) and for each position the edge that gave it.
 FOLD = """
-aggregate(transform(edges, e -> named_struct('last', shiftright(e.k, 29), 'size', cast(31 - (shiftright(e.k, 24) & 31) AS int),
-                                             'score', e.score, 'step', e.k & 536870911)),
-  named_struct('at', 0L, 'scores', array(0D), 'cur', cast(array() AS array<bigint>), 'done', cast(array() AS array<array<bigint>>)),
-  (s, e) -> CASE
-    WHEN e.last > s.at THEN named_struct(
-      'at', e.last, 'scores', slice(concat(array(e.score + element_at(s.scores, e.size)), s.scores), 1, {keep}),
-      'cur', if(size(s.cur) = {block}, array(e.step), concat(s.cur, array(e.step))),
-      'done', if(size(s.cur) = {block}, concat(s.done, array(s.cur)), s.done))
-    WHEN e.score + element_at(s.scores, e.size + 1) > element_at(s.scores, 1) THEN named_struct(
-      'at', s.at, 'scores', concat(array(e.score + element_at(s.scores, e.size + 1)), slice(s.scores, 2, {keep})),
-      'cur', concat(slice(s.cur, 1, size(s.cur) - 1), array(e.step)), 'done', s.done)
-    ELSE s END,
-  s -> concat(flatten(s.done), s.cur))
+CASE WHEN size(edges) <= 512 THEN
+  aggregate(edges, named_struct('scores', array(0D), 'steps', cast(array() AS array<bigint>)),
+    (s, e) -> CASE
+      WHEN shiftright(e.k, 29) > size(s.steps) THEN named_struct(
+        'scores', concat(s.scores, array(e.score + element_at(s.scores, cast(size(s.scores) - 31 + (shiftright(e.k, 24) & 31) + 1 AS int)))),
+        'steps', concat(s.steps, array(e.k & 536870911)))
+      WHEN e.score + element_at(s.scores, cast(size(s.scores) - 31 + (shiftright(e.k, 24) & 31) AS int)) > element_at(s.scores, -1) THEN named_struct(
+        'scores', concat(slice(s.scores, 1, size(s.scores) - 1),
+                         array(e.score + element_at(s.scores, cast(size(s.scores) - 31 + (shiftright(e.k, 24) & 31) AS int)))),
+        'steps', concat(slice(s.steps, 1, size(s.steps) - 1), array(e.k & 536870911)))
+      ELSE s END,
+    s -> s.steps)
+ELSE
+  aggregate(edges, named_struct('at', 0L, 'scores', array(0D), 'cur', cast(array() AS array<bigint>), 'done', cast(array() AS array<array<bigint>>)),
+    (s, e) -> CASE
+      WHEN shiftright(e.k, 29) > s.at THEN named_struct(
+        'at', shiftright(e.k, 29),
+        'scores', slice(concat(array(e.score + element_at(s.scores, cast(31 - (shiftright(e.k, 24) & 31) AS int))), s.scores), 1, {keep}),
+        'cur', if(size(s.cur) = {block}, array(e.k & 536870911), concat(s.cur, array(e.k & 536870911))),
+        'done', if(size(s.cur) = {block}, concat(s.done, array(s.cur)), s.done))
+      WHEN e.score + element_at(s.scores, cast(32 - (shiftright(e.k, 24) & 31) AS int)) > element_at(s.scores, 1) THEN named_struct(
+        'at', s.at,
+        'scores', concat(array(e.score + element_at(s.scores, cast(32 - (shiftright(e.k, 24) & 31) AS int))), slice(s.scores, 2, {keep})),
+        'cur', concat(slice(s.cur, 1, size(s.cur) - 1), array(e.k & 536870911)), 'done', s.done)
+      ELSE s END,
+    s -> concat(flatten(s.done), s.cur))
+END
 """
 
 TRACE = """
@@ -295,7 +328,8 @@ def frequent_units(docs: DataFrame, vocabulary: Vocabulary, most: int, sample_do
     if least is None:
         return Frequent([], [], vocabulary)
     chosen = counts.filter(F.col("n") >= least)
-    solved = lattice(chosen.select(*word_key(), "word", F.col("n").alias("carried")).repartition("h1", "h2"), vocabulary)
+    tasks = max(1, (most - room) // WORDS_AT_ONCE)
+    solved = lattice(chosen.select(*word_key(), "word", F.col("n").alias("carried")).repartition(tasks, "h1", "h2"), vocabulary)
     rows = written(solved, "frequent-units").orderBy(F.desc("carried"), "word").select("word", "ids").toArrow()
     return Frequent(rows.column("word").to_pylist(), [vocabulary.spelled(x) for x in rows.column("ids").to_pylist()],
                     vocabulary)
@@ -368,7 +402,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, frequent: int
     known = spark.sparkContext.broadcast(frequent_units(docs, vocabulary, frequent, sample_docs))
     coded = as_units(docs, known)
     rare = coded.select("doc_id", "th", F.posexplode("rare").alias("place", "word"))
-    words = (rare.repartition(F.xxhash64("word")).select("*", *word_key()).groupBy("h1", "h2")
+    tasks = RARE_TASKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = (rare.repartition(tasks, F.xxhash64("word")).select("*", *word_key()).groupBy("h1", "h2")
              .agg(F.first("word").alias("word"), F.collect_list(F.struct("doc_id", "th", "place")).alias("carried")))
     back = (lattice(words, vocabulary).select(F.explode("carried").alias("at"), "ids")
             .groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct("at.place", "ids")).alias("solved"))

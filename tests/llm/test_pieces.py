@@ -18,7 +18,7 @@ def plain(word, vocab, score):
     best, back = [0.0], [None]
     for end in range(1, len(word) + 1):
         top = None
-        for start in range(max(0, end - vocab.longest), end):
+        for start in range(max(0, end - 16), end):
             piece = word[start:end]
             if piece in score:
                 s, i = score[piece]
