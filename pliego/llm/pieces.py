@@ -22,6 +22,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -227,16 +228,18 @@ class Frequent:
     is compared.
     """
 
-    def __init__(self, words: list[str], ids: list[list[int]], vocabulary: Vocabulary):
+    def __init__(self, words: pa.StringArray, ids: pa.ListArray, vocabulary: Vocabulary):
         self.count = len(words)
-        self.ids = np.array([i for x in ids for i in x], np.int32)
-        self.start = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        offsets = ids.offsets.to_numpy()
+        self.ids, sizes = spelled(ids.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]], vocabulary)
+        self.start = np.concatenate(([0], np.cumsum(sizes)))[offsets - offsets[0]].astype(np.int32)
         flat, start = vocabulary.octets
         self.octets, sizes = ragged(flat, start, self.ids)
         self.octet_start = np.concatenate(([0], np.cumsum(sizes)))[self.start].astype(np.int32)
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        end = np.cumsum([0, *map(len, words)])
-        h1, h2 = unit_hashes(points, end[:-1], end[1:])
+        end = np.cumsum(pa.compute.utf8_length(words).to_numpy(zero_copy_only=False)).astype(np.int64)
+        joined = "".join(words.to_pylist())
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        h1, h2 = unit_hashes(points, np.concatenate(([0], end))[:-1].astype(np.int64), end)
         self.lead = max(1, self.count.bit_length())
         order = np.argsort(h1, kind="stable")
         self.h1, self.h2, self.number = h1[order], h2[order], order.astype(np.int32)
@@ -258,6 +261,14 @@ class Frequent:
         return out
 
 
+def spelled(ids: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids with each negative one (a character without a piece) as its bytes; and how many each became."""
+    kinds, at = np.unique(ids, return_inverse=True)
+    lists = [vocabulary.spelled([int(i)]) for i in kinds]
+    flat = np.array([i for x in lists for i in x], np.int32)
+    return ragged(flat, np.cumsum([0, *map(len, lists)]), at)
+
+
 def unit_hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     values = points.astype(np.uint64) + np.uint64(1)
     return tuple(hashes(prefix_sums(values, b), b, start, end) for b in BASES)
@@ -326,13 +337,13 @@ def frequent_units(docs: DataFrame, vocabulary: Vocabulary, most: int, sample_do
             break
         room, least = room - words, n
     if least is None:
-        return Frequent([], [], vocabulary)
+        return Frequent(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())), vocabulary)
     chosen = counts.filter(F.col("n") >= least)
     tasks = max(1, (most - room) // WORDS_AT_ONCE)
     solved = lattice(chosen.select(*word_key(), "word", F.col("n").alias("carried")).repartition(tasks, "h1", "h2"), vocabulary)
-    rows = written(solved, "frequent-units").orderBy(F.desc("carried"), "word").select("word", "ids").toArrow()
-    return Frequent(rows.column("word").to_pylist(), [vocabulary.spelled(x) for x in rows.column("ids").to_pylist()],
-                    vocabulary)
+    rows = written(solved, "frequent-units").toArrow().combine_chunks()
+    rows = rows.take(pa.compute.sort_indices(rows, [("carried", "descending"), ("word", "ascending")]))
+    return Frequent(*[rows.column(c).combine_chunks() for c in ("word", "ids")], vocabulary)
 
 
 def numbered(texts: list[str | None], known: Frequent) -> list[tuple[bytes, list[str]]]:
@@ -405,7 +416,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, frequent: int
     tasks = RARE_TASKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     words = (rare.repartition(tasks, F.xxhash64("word")).select("*", *word_key()).groupBy("h1", "h2")
              .agg(F.first("word").alias("word"), F.collect_list(F.struct("doc_id", "th", "place")).alias("carried")))
-    back = (lattice(words, vocabulary).select(F.explode("carried").alias("at"), "ids")
+    three = F.unhex(F.array_join(F.transform("ids", lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFF))), 6, "0")), ""))
+    back = (lattice(words, vocabulary).select("carried", three.alias("ids")).select(F.explode("carried").alias("at"), "ids")
             .groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct("at.place", "ids")).alias("solved"))
             .select(F.col("doc_id").alias("in_doc"), F.col("th").alias("in_th"), "solved"))
     joined = coded.drop("rare").join(back, F.col("doc_id").eqNullSafe(F.col("in_doc")) & F.col("th").eqNullSafe(F.col("in_th")), "left")
@@ -434,7 +446,8 @@ def solved_text(numbers: np.ndarray, base: Frequent, own: list[dict], vocabulary
         return ragged(base.ids, base.start, numbers)[0], ragged(base.octets, base.octet_start, numbers)[0].tobytes().removeprefix(b" ")
     lists: list[list[int]] = [[]] * (1 + max(r["place"] for r in own))
     for r in own:
-        lists[r["place"]] = vocabulary.spelled(r["ids"])
+        data = r["ids"]  # three bytes each
+        lists[r["place"]] = vocabulary.spelled([int.from_bytes(data[k:k + 3], signed=True) for k in range(0, len(data), 3)])
     flat, start = np.array([i for x in lists for i in x], np.int32), np.cumsum([0, *map(len, lists)])
     rare = numbers >= base.count
     place, where = np.where(rare, numbers - base.count, 0), np.where(rare, 0, numbers)

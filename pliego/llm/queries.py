@@ -24,13 +24,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 @query("op1_topk_search", """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS (
   SELECT a.vec_id AS query_id, b.vec_id,
-         CAST(list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2])) AS BIGINT) AS score
+         CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
   FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
@@ -88,7 +88,7 @@ SHARD_BYTES = 1 << 20
 WITH d AS (
   SELECT doc_id, COALESCE(octet_length(encode(text)), 0) AS bytes,
          array_to_string(list_transform(string_split(md5(CAST(doc_id AS VARCHAR)), ''),
-                                        c -> lpad(bin(CAST('0x' || c AS INTEGER)), 4, '0')), '') AS bits
+                                        lambda c: lpad(bin(CAST('0x' || c AS INTEGER)), 4, '0')), '') AS bits
   FROM documents),
 s AS (
   SELECT doc_id, bytes, n, left(bits, CAST(n AS BIGINT)) AS shard,
