@@ -7,7 +7,6 @@ nothing is collected to the driver.  Sub-packages:
 * ``sources``    table readers, OCDS release-package readers, landing writer
 * ``operators``  DataFrame -> DataFrame building blocks
 * ``plans``      the composed flows, the fixture views over the test tables, the query registry
-* ``streaming``  the same row-wise pipeline as a Structured Streaming job
 """
 
 __version__ = "0.1.0"

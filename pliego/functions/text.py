@@ -46,7 +46,8 @@ STATUS_DESERTED = "Desierta"
 # ---------------------------------------------------------------------------
 
 _TAG = "<[^>]+>"
-_LINE_BREAK = "\r\n|\n|\r"
+# line ends of Python's str.splitlines
+_LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 
 
 # Literal prefilters: every alternative of the pattern contains one of these
@@ -112,14 +113,14 @@ def strip_tags(html) -> Column:
 
 def first_link(html, base: str = HARVEST_BASE_URL) -> Column:
     """ST-6: base URL + text between ``href="`` and ``,">`` (greedy within a line)."""
-    target = F.nullif(F.regexp_extract(as_col(html), '(?<=href=").*(?=,">)', 0), F.lit(""))
+    target = F.nullif(F.regexp_extract(as_col(html), '(?<=href=")[^\\n]*(?=,">)', 0), F.lit(""))
     return F.concat(F.lit(base), target)
 
 
 def text_lines(text) -> Column:
     """ST-4: split into lines like ``str.splitlines`` (no trailing empty line)."""
     # \z, not $: Java's $ also matches before a final line break
-    t = F.regexp_replace(as_col(text), "(\r\n|\n|\r)\\z", "")
+    t = F.regexp_replace(as_col(text), f"({_LINE_BREAK})\\z", "")
     return F.when(as_col(text) == "", F.array().cast("array<string>")).otherwise(
         F.split(t, _LINE_BREAK))
 

@@ -8,8 +8,9 @@ Null rules follow the source pipeline:
 
 * ``NF018`` — number of bids; NULL when the tender has no bid list.
 * ``Nf030`` — bids dated strictly after the auction close.  NULL when there
-  are no bids or when any bid lacks a tenderer or an amount; a NULL close
-  time counts nothing (0).
+  are no bids or when any bid has no tenderer entry or no value entry (an
+  entry without an amount counts); a NULL close time counts nothing (0).  A
+  flat table says so in ``tenderer_missing`` and ``value_missing``.
 """
 from __future__ import annotations
 
@@ -25,7 +26,7 @@ def bid_stats(bids: DataFrame, tenders: DataFrame, key: str = "tender_key",
     """One row per tender key that has bids: ``NF018``, ``Nf030``."""
     facts = bids.select(
         key, "bid_ts",
-        (F.col("tenderer_id").isNull() | F.col("amount").isNull()).alias("_bad"))
+        (F.col("tenderer_missing") | F.col("value_missing")).alias("_bad"))
     dims = tenders.select(key, F.col(close_col).alias("_close"))
     j = join_unique_dim(facts, dims, key, hot_rows, hot=hot)
     return j.groupBy(key).agg(
@@ -40,12 +41,6 @@ def bid_count(bids: DataFrame, key: str = "tender_key") -> DataFrame:
     return bids.groupBy(key).agg(F.count(F.lit(1)).alias("NF018"))
 
 
-def with_bid_stats(tenders: DataFrame, bids: DataFrame, key: str = "tender_key",
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Tenders left-joined to their bid indicators (one row per tender)."""
-    return tenders.join(bid_stats(bids, tenders, key, hot_rows=hot_rows), key, "left")
-
-
 def bid_flat(bids: DataFrame) -> DataFrame:
     """AG-7: first tenderer id / name and amount of each bid, by field name.
 
@@ -57,4 +52,6 @@ def bid_flat(bids: DataFrame) -> DataFrame:
         F.get(F.col("tenderers"), 0).getField("id").alias("tenderer_id"),
         F.get(F.col("tenderers"), 0).getField("name").alias("tenderer_name"),
         F.col("value").getField("amount").alias("amount"),
+        (F.coalesce(F.size("tenderers"), F.lit(0)) <= 0).alias("tenderer_missing"),
+        F.col("value").isNull().alias("value_missing"),
     )

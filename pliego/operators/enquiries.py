@@ -43,16 +43,35 @@ def _truthy(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
 
+def own_aggs() -> list[Column]:
+    """Aggregates over question rows that need nothing of the tender."""
+    desc, ans = F.col("description"), F.col("answer")
+    days = floor_days("answered_ts", "asked_ts")
+    n = F.count(F.lit(1))
+    return [
+        n.alias("n_questions"),
+        F.count_if(_truthy(desc)).alias("num_pregu"),
+        F.count_if(_truthy(ans)).alias("num_respu"),
+        (F.count_if(_truthy(desc)) - F.count_if(_truthy(ans))).alias("qa_gap"),
+        F.when(F.count(desc) == n,
+               F.count_if(~matches(desc, RE_WIDE) & ans.isNull())).alias("unanswered_wide"),
+        F.when(F.count(days) == n, F.avg(days)).alias("mean_response_days"),
+    ]
+
+
+def own_stats(enquiries: DataFrame, key: str = "tender_key") -> DataFrame:
+    """``own_aggs`` per tender key: one grouping, no join."""
+    return enquiries.groupBy(key).agg(*own_aggs())
+
+
 def enquiry_aggs(compat_zero: bool = False) -> list[Column]:
-    """Aggregate expressions over one tender's question rows.
+    """All aggregates over one tender's question rows.
 
     Expects ``_in_ent`` and ``_enq_end`` (the tender's attributes) joined in.
     ``compat_zero`` reproduces the source's late-question count as it runs
     (always 0, its pattern is out of scope there).
     """
     desc, ans = F.col("description"), F.col("answer")
-    days = floor_days("answered_ts", "asked_ts")
-    n = F.count(F.lit(1))
     late = F.count_if(~F.coalesce(F.col("asked_ts") <= F.col("_enq_end"), F.lit(False))
                       & (match_count(desc, RE_WIDE) != 1))
     kept_unanswered = (desc.isNotNull()
@@ -61,13 +80,7 @@ def enquiry_aggs(compat_zero: bool = False) -> list[Column]:
     narrow_unknown = (F.max(F.col("_in_ent").isNull())
                       | F.max(desc.isNotNull() & F.col("author_id").isNull()))
     return [
-        n.alias("n_questions"),
-        F.count_if(_truthy(desc)).alias("num_pregu"),
-        F.count_if(_truthy(ans)).alias("num_respu"),
-        (F.count_if(_truthy(desc)) - F.count_if(_truthy(ans))).alias("qa_gap"),
-        F.when(F.count(desc) == n,
-               F.count_if(~matches(desc, RE_WIDE) & ans.isNull())).alias("unanswered_wide"),
-        F.when(F.count(days) == n, F.avg(days)).alias("mean_response_days"),
+        *own_aggs(),
         (F.lit(0).cast("bigint") if compat_zero else late).alias("late_questions"),
         F.when(~narrow_unknown, F.count_if(kept_unanswered)).alias("unanswered_narrow"),
     ]

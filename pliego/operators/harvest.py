@@ -48,18 +48,36 @@ def harvest_join(tenders: DataFrame, harvested: DataFrame, key: str = "codigo",
                  require_unique: bool = False) -> DataFrame:
     """JN-1: inner equi-join on the process code.
 
-    Duplicate codes on either side give every pair (the source raised
-    instead); the harvested ``date`` is already ``publish_date`` so no name
-    clashes.  AQE chooses broadcast or sort-merge and splits skewed keys.
-    ``require_unique`` restores the strict behaviour: one aggregation job per
-    side looks for a repeated code and raises if it finds one.
+    A code harvested more than once counts with its first row (the source
+    raised instead): earliest publish date, rows without one last, then
+    ``page_id``.  The harvested ``date`` is already ``publish_date`` so no name
+    clashes.  ``require_unique`` restores the strict behaviour: one
+    aggregation job per side looks for a repeated code and raises if it
+    finds one.
     """
     if require_unique:
         for side, df in (("tenders", tenders), ("harvested", harvested)):
             dup = df.groupBy(key).count().where(F.col("count") > 1).select(key).limit(1).collect()
             if dup:
                 raise ValueError(f"{side}: {key} {dup[0][0]!r} is not unique")
-    return tenders.join(harvested, key, "inner")
+    return tenders.join(first_per_code(harvested, key), key, "inner")
+
+
+def first_per_code(harvested: DataFrame, key: str = "codigo") -> DataFrame:
+    """One row per code: the first by publish date and ``page_id`` (a ``min`` over a struct, combined map-side)."""
+    pub = F.col("publish_date").try_cast("date")
+    rest = [c for c in harvested.columns if c != key]
+    order = [pub.isNull().alias("_none"), pub.alias("_pub")] + [F.col(c) for c in ("page_id",) if c in rest]
+    row = F.struct(*order, F.struct(*rest).alias("_row"))
+    return (harvested.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(row).alias("_first"))
+            .select(key, *[F.col("_first._row")[c].alias(c) for c in rest]))
+
+
+def harvested_codes(harvested: DataFrame) -> DataFrame:
+    """Distinct ``(codigo, Year)`` of harvested rows with a publish date."""
+    pub = F.col("publish_date").try_cast("date")
+    return (harvested.where(pub.isNotNull())
+            .select("codigo", F.year(pub).cast("bigint").alias("Year")).distinct())
 
 
 def first_window_match(codes: DataFrame, harvested: DataFrame) -> DataFrame:

@@ -7,18 +7,19 @@ A gradient-boosted tree ensemble is given as a node table
 with the usual boosted-tree semantics: at an inner node go to ``yes`` when
 ``x < threshold``, to ``missing`` when ``x`` is NULL/NaN, else to ``no``;
 the margin is the sum of the reached leaves plus ``base_margin`` and the
-class-1 probability is its logistic.  ``score`` compiles the table into one
-nested ``CASE`` Column, so scoring is a projection inside whole-stage codegen
-(no Python, no shuffle).  ``ensemble_sql`` emits the same model as SQL.
+class-1 probability is its logistic.  ``score`` is a projection (no Python, no
+shuffle) in one of two forms with equal results: a small model becomes one
+nested ``CASE`` Column inside whole-stage codegen; a model over ``CASE_NODES``
+nodes, whose expression would outgrow a compiled method, becomes an array of
+nodes that higher-order functions walk.  ``ensemble_sql`` emits the model as SQL.
 
 ``score_with_model`` is the path for any fitted Python classifier with
 ``predict_proba``: an Arrow-batched ``mapInPandas``; the model is broadcast
-once per executor.  It is also the better path for very large ensembles
-(hundreds of deep trees), whose ``CASE`` expression outgrows what
-whole-stage codegen compiles into one method.
+and unpickled once per Python worker.
 """
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -26,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import STATUS_DESERTED
 
@@ -36,7 +38,8 @@ SCORED_OUTPUT = ["ocid", "predict", "proba", "n_of_Tend", "Pre_No_Respu", "awar_
                  "enqui_perio", "Number_ques", "NF039"]
 # Labels of the one-tender summary card.
 LABEL_DESERTED, LABEL_NORMAL, NO_RECORD = "Desierto", "Normal", "Sin Registro"
-PROBA_DECIMALS = 9
+# Nodes up to which the model is one CASE expression.
+CASE_NODES = 400
 
 
 @dataclass(frozen=True)
@@ -78,18 +81,10 @@ DEFAULT_ENSEMBLE: list[Node] = [
 ]
 
 
-# A node table is model parameters, not data; it is read to the driver to
-# compile the expression only below this size.
-MAX_NODES = 200_000
-
-
-def ensemble_from_table(nodes_df: DataFrame, max_nodes: int = MAX_NODES) -> list[Node]:
+def ensemble_from_table(nodes_df: DataFrame) -> list[Node]:
     """Read a node table ``(tree, node, feature, threshold, yes, no, missing,
-    leaf)`` into ``Node``s; refuses tables above ``max_nodes`` rows (size is
-    checked with a count before anything is fetched)."""
-    n = nodes_df.count()
-    if n > max_nodes:
-        raise ValueError(f"ensemble has {n} nodes (> {max_nodes}); use score_with_model")
+    leaf)`` into ``Node``s.  A node table is a model's parameters: as large as
+    the model, whatever the data."""
     cols = ["tree", "node", "feature", "threshold", "yes", "no", "missing", "leaf"]
     return [Node(*[r[c] for c in cols]) for r in nodes_df.select(*cols).toLocalIterator()]
 
@@ -117,18 +112,61 @@ def _tree_col(nodes: dict[int, Node], nid: int) -> Column:
 
 
 def margin_col(ensemble: Sequence[Node] = DEFAULT_ENSEMBLE, base_margin: float = 0.0) -> Column:
+    if len(ensemble) > CASE_NODES:
+        return _walked_margin(ensemble, base_margin)
     total = F.lit(float(base_margin))
     for nodes in _trees(ensemble).values():
         total = total + _tree_col(nodes, 0)
     return total
 
 
+_NODE = "array<struct<f:int,t:double,y:int,n:int,m:int,v:double>>"
+
+
+def _walked_margin(ensemble: Sequence[Node], base_margin: float) -> Column:
+    """The margin by walking an array of nodes: constant-size plan, one step per level of a tree."""
+    names = sorted({n.feature for n in ensemble if n.feature is not None})
+    feature = {f: i for i, f in enumerate(names)}
+    trees = _trees(ensemble)
+    rows, roots, levels = [], [], 0
+    for nodes in trees.values():
+        at = {nid: len(rows) + k for k, nid in enumerate(nodes)}
+        roots.append(at[0])
+        rows += [{"f": -1, "v": n.leaf} if n.feature is None else
+                 {"f": feature[n.feature], "t": n.threshold, "y": at[n.yes], "n": at[n.no], "m": at[n.missing]}
+                 for n in nodes.values()]
+        levels = max(levels, _depth(nodes))
+    table = F.from_json(F.lit(json.dumps(rows)), _NODE)  # constant: folded once
+    x = F.array(*[F.col(f).cast("double") for f in names])
+
+    def step(at: Column, _: Column) -> Column:
+        node = F.get(table, at)
+        value = F.get(x, node["f"])
+        return (F.when(node["f"] < 0, at).when(value.isNull() | F.isnan(value), node["m"])
+                .when(value < node["t"], node["y"]).otherwise(node["n"]))
+
+    def leaf(root: Column) -> Column:
+        end = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, levels))), root, step)
+        return F.get(table, end)["v"]
+    return F.aggregate(F.from_json(F.lit(json.dumps(roots)), "array<int>"), F.lit(float(base_margin)), lambda s, r: s + leaf(r))
+
+
+def _depth(nodes: dict[int, Node]) -> int:
+    deep, todo = 0, [(0, 0)]
+    while todo:
+        nid, d = todo.pop()
+        deep = max(deep, d)
+        n = nodes[nid]
+        if n.feature is not None:
+            todo += [(c, d + 1) for c in (n.yes, n.no)]
+    return deep
+
+
 def score(features: DataFrame, ensemble: Sequence[Node] = DEFAULT_ENSEMBLE,
           base_margin: float = 0.0) -> DataFrame:
     """SR-1: add ``proba`` (class 1) and ``predict`` (proba > 0.5), output order PR-10."""
     m = margin_col(ensemble, base_margin)
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-m))
-    out = features.select("*", F.round(p, PROBA_DECIMALS).alias("proba"))
+    out = features.withColumn("proba", F.lit(1.0) / (F.lit(1.0) + F.exp(-m)))
     out = out.withColumn("predict", (F.col("proba") > 0.5).cast("bigint"))
     return out.select(*SCORED_OUTPUT, *[c for c in out.columns if c not in SCORED_OUTPUT])
 
@@ -201,9 +239,11 @@ def score_with_model(features: DataFrame, model, key: str = "ocid",
                      feature_cols: Sequence[str] = FEATURES) -> DataFrame:
     """SR-1b: score with any classifier object via ``mapInPandas``.
 
-    The model is broadcast once; each Arrow batch becomes one feature matrix.
-    Filter rows *before* calling this — Catalyst cannot push filters through
-    a Python operator.
+    Each Arrow batch becomes one feature matrix; ``proba`` is the model's
+    class-1 probability and ``predict`` its own ``predict`` (``proba > 0.5`` if
+    it has none).  Columns: key, predict, proba, the features.  Filter rows
+    *before* calling this — Catalyst cannot push filters through a Python
+    operator.
     """
     from pyspark import cloudpickle
 
@@ -215,19 +255,23 @@ def score_with_model(features: DataFrame, model, key: str = "ocid",
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pickle
-        m = pickle.loads(bc.value)
+        data = bc  # one object per worker: it keeps the unpickled model for later tasks
+        if not hasattr(data, "pliego_model"):
+            data.pliego_model = pickle.loads(data.value)
+        m = data.pliego_model
         for pdf in batches:
             X = pdf[cols].astype("float64").to_numpy()
-            proba = m.predict_proba(X)[:, 1] if len(pdf) else np.empty(0)
             out = pdf.copy()
-            out["proba_raw"] = proba
+            out["proba"] = np.asarray(m.predict_proba(X))[:, 1] if len(pdf) else np.empty(0)
+            own = m.predict(X) if len(pdf) and hasattr(m, "predict") else out["proba"].to_numpy() > 0.5
+            out["predict"] = np.asarray(own).astype("int64")
             yield out
 
-    schema = features.select(key, *cols).schema.add("proba_raw", "double")
-    scored = features.select(key, *cols).mapInPandas(run, schema)
-    scored = scored.withColumn("proba", F.round("proba_raw", PROBA_DECIMALS))
-    scored = scored.withColumn("predict", (F.col("proba") > 0.5).cast("bigint"))
-    return scored.select(*SCORED_OUTPUT)
+    rows = features.select(key, *cols)
+    out = T.StructType([*rows.schema.fields, T.StructField("proba", T.DoubleType()), T.StructField("predict", T.LongType())])
+    scored = rows.mapInPandas(run, out)
+    order = [c for c in SCORED_OUTPUT if c in scored.columns and c != key]
+    return scored.select(key, *order, *[c for c in cols if c not in order])
 
 
 # --- presentation rules as columns -------------------------------------------------

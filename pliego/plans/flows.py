@@ -38,21 +38,29 @@ def indicator_flow_views(spark: SparkSession, sf_dir: str, method: str | None =
     return out.select(*RED_FLAG_OUTPUT)
 
 
-# --- scoring pipeline ------------------------------------------------------------
+def lookup(tenders: DataFrame, ocid: str | DataFrame) -> DataFrame:
+    """The tenders with one id, or with the ids of a table ``(ocid)``."""
+    if isinstance(ocid, str):
+        return tenders.where(F.col("ocid") == F.lit(ocid))
+    return tenders.join(ocid.select("ocid"), "ocid", "left_semi")
+
 
+# --- scoring pipeline ------------------------------------------------------------
 
 
 def scoring_features(tenders: DataFrame, enquiries: DataFrame, method: str | None = None,
-                     ocid: str | None = None, compat_zero: bool = False,
+                     ocid: str | DataFrame | None = None, compat_zero: bool = False,
                      key: str = "tender_key", enquiry_hot: DataFrame | None = None) -> DataFrame:
     """PL-1 / PR-9: the six model features (DOUBLE, nullable) per kept tender.
 
-    Filters (method, then an optional single id) run before any join, so a
-    lookup touches one tender's questions only.
+    Filters (method, then an optional id or table of ids) run before any join;
+    for a lookup the questions are cut to the tenders found before they are
+    joined and grouped.
     """
     t = tenders if method is None else tenders.where(F.col("method") == F.lit(method))
     if ocid is not None:
-        t = t.where(F.col("ocid") == F.lit(ocid))
+        t = lookup(t, ocid)
+        enquiries = enquiries.join(t.select(key), key, "left_semi")
     s = with_enquiry_stats(t, enquiries, key, compat_zero=compat_zero, hot=enquiry_hot)
     return s.select(
         "ocid",
@@ -68,7 +76,7 @@ def scoring_features(tenders: DataFrame, enquiries: DataFrame, method: str | Non
 
 
 def scored_views(spark: SparkSession, sf_dir: str, method: str | None = TEST_METHOD,
-                 ocid: str | None = None, compat_zero: bool = False) -> DataFrame:
+                 ocid: str | DataFrame | None = None, compat_zero: bool = False) -> DataFrame:
     """SR-1 over the fixture views: features → tree-ensemble score."""
     e, hot = enquiry_view_and_hot(spark, sf_dir)
     f = scoring_features(tender_view(spark, sf_dir), e, method, ocid, compat_zero, enquiry_hot=hot)
@@ -76,16 +84,17 @@ def scored_views(spark: SparkSession, sf_dir: str, method: str | None = TEST_MET
 
 
 def scored_with_status(spark: SparkSession, sf_dir: str, method: str | None = TEST_METHOD) -> DataFrame:
-    """SR-3: harvested status joined first (inner, on the process code), then scored."""
+    """SR-3: score of the tenders with harvested status, and the status (one row per tender).
+
+    Features are made for the tenders whose code was harvested, each once; the
+    status is joined once, at the end.
+    """
     t = tender_view(spark, sf_dir)
     if method is not None:
         t = t.where(F.col("method") == F.lit(method))
     h = parse_fragments(harvest_view(spark, sf_dir)).select(
-        "codigo", F.col("estado_del_proceso").alias("Estado"), F.col("link").alias("Link"))
-    codes = tender_codes(t).select("ocid", "codigo")
-    with_status = harvest_join(codes, h).select("ocid", "Estado", "Link")
-    t2 = t.join(with_status, "ocid", "inner")
+        "page_id", "codigo", "publish_date", F.col("estado_del_proceso").alias("Estado"), F.col("link").alias("Link"))
+    with_status = harvest_join(tender_codes(t).select("ocid", "codigo"), h).select("ocid", "Estado", "Link")
     e, hot = enquiry_view_and_hot(spark, sf_dir)
-    f = scoring_features(t2, e, enquiry_hot=hot).join(
-        with_status, "ocid", "inner")
-    return score(f)
+    f = scoring_features(t.join(with_status.select("ocid"), "ocid", "left_semi"), e, enquiry_hot=hot)
+    return score(f.join(with_status, "ocid", "inner"))

@@ -8,9 +8,9 @@ and counts / years are cast to BIGINT on both sides.
 from __future__ import annotations
 
 from ..functions.text import HARVEST_BASE_URL, RE_NARROW, RE_WIDE
-from ..operators.scoring import ensemble_sql
 from .views import TEST_METHOD
 
+TOPIC = "[Ll]icen[cs]e|[Cc]opyright|LICENSE "
 WIDE = RE_WIDE.replace("'", "''")
 NARROW = RE_NARROW.replace("'", "''")
 
@@ -161,12 +161,26 @@ FROM tender_v t LEFT JOIN enq_stats q ON q.tender_key = t.tender_key
 WHERE {where}"""
 
 
+# The three trees of the stand-in model, written out: a missing value goes the way the comment says.
+TREES = """
+  CASE WHEN coalesce(n_of_Tend, 0) < 1.5                             -- missing: fewer
+       THEN CASE WHEN coalesce(Pre_No_Respu, 0) < 0.5 THEN 0.35::DOUBLE ELSE 0.8::DOUBLE END     -- missing: fewer
+       ELSE CASE WHEN coalesce(awar_perio, 99) < 10.5 THEN -0.6::DOUBLE ELSE -0.1::DOUBLE END    -- missing: more
+  END
++ CASE WHEN coalesce(NF039, 0) < 0.5                                 -- missing: fewer
+       THEN CASE WHEN coalesce(enqui_perio, 99) < 2.5 THEN 0.25::DOUBLE ELSE -0.3::DOUBLE END    -- missing: more
+       ELSE 0.45::DOUBLE
+  END
++ CASE WHEN coalesce(Number_ques, 0) < 0.5 THEN -0.15::DOUBLE        -- missing: fewer
+       ELSE CASE WHEN coalesce(awar_perio, 0) < 30.5 THEN 0.05::DOUBLE ELSE 0.3::DOUBLE END      -- missing: fewer
+  END"""
+
+
 def scored_sql(src: str, extra: str = "") -> str:
-    p = f"CAST(CAST(1.0::DOUBLE / (1.0::DOUBLE + exp(-{ensemble_sql()})) AS DECIMAL(18, 9)) AS DOUBLE)"
     return f"""
-SELECT ocid, CAST(proba > 0.5 AS BIGINT) AS predict, proba, n_of_Tend, Pre_No_Respu, awar_perio,
-       enqui_perio, Number_ques, NF039{extra}
-FROM (SELECT *, {p} AS proba FROM {src})"""
+SELECT ocid, CAST(raw > 0.5 AS BIGINT) AS predict, CAST(CAST(raw AS DECIMAL(18, 9)) AS DOUBLE) AS proba, n_of_Tend,
+       Pre_No_Respu, awar_perio, enqui_perio, Number_ques, NF039{extra}
+FROM (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + exp(-({TREES}))) AS raw FROM {src})"""
 
 
 # Landed packages omit the answer key of unanswered questions with
@@ -188,9 +202,13 @@ DERIVED["feat_pkg"] = features_sql(unanswered="p.unanswered_pkg").replace(
 DERIVED["scored"] = scored_sql("feat")
 DERIVED["scored_pkg"] = scored_sql("feat_pkg")
 DERIVED["scored_zero"] = scored_sql("feat_zero")
+DERIVED["harvest_1"] = """
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY codigo ORDER BY TRY_CAST(publish_date AS DATE) NULLS LAST, page_id) AS rn
+  FROM harvest_p) WHERE rn = 1"""
 DERIVED["status"] = """
 SELECT c.ocid, h.estado_del_proceso AS Estado, h.link AS Link
-FROM codes c JOIN harvest_p h ON h.codigo = c.codigo"""
+FROM codes c JOIN harvest_1 h ON h.codigo = c.codigo"""
 DERIVED["scored_status"] = scored_sql(
     "(SELECT f.*, s.Estado, s.Link FROM feat f JOIN status s ON s.ocid = f.ocid)", ", Estado, Link")
 
@@ -198,7 +216,7 @@ _DEPS = {
     "feat": ["tender_v", "enq_stats"], "feat_zero": ["tender_v", "enq_stats"],
     "enq_pkg": ["enq_v"], "feat_pkg": ["tender_v", "enq_stats", "enq_pkg"], "scored_pkg": ["feat_pkg"],
     "scored": ["feat"], "scored_zero": ["feat_zero"],
-    "status": ["codes", "harvest_p"], "scored_status": ["feat", "status"],
+    "harvest_1": ["harvest_p"], "status": ["codes", "harvest_1"], "scored_status": ["feat", "status"],
     "harvest_p": ["harvest_v"], "codes": ["tender_v"],
     "first_match": ["harvest_p", "codes"],
     "tender_v": [], "bids_v": [], "enq_v": [], "harvest_v": [],
@@ -284,7 +302,9 @@ SQL["topic_narrow"] = with_ctes(
     "enq_v")
 SQL["topic_documents"] = (
     f"""SELECT doc_id, CAST(len(regexp_extract_all(text, '{WIDE}')) AS BIGINT) AS wide_count,
-       regexp_matches(text, '{NARROW}') AS narrow_hit FROM documents""")
+       regexp_matches(text, '{NARROW}') AS narrow_hit,
+       CAST(len(regexp_extract_all(text, '{TOPIC}')) AS BIGINT) AS topic_count,
+       regexp_matches(text, '{TOPIC}') AS topic_hit FROM documents""")
 SQL["process_code"] = with_ctes(
     "SELECT tender_key, ocid, nullif(regexp_extract(ocid, '^ocds-5wno2w-(.+)-', 1), '') AS codigo "
     "FROM tender_v", "tender_v")
@@ -293,8 +313,8 @@ SQL["strip_tags"] = "SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS
 SQL["harvest_link"] = with_ctes("SELECT page_id, link FROM harvest_p", "harvest_p")
 SQL["harvest_parse"] = with_ctes("SELECT * FROM harvest_p", "harvest_p")
 SQL["harvest_join"] = with_ctes(
-    "SELECT c.ocid, c.Year, h.* FROM codes c JOIN harvest_p h ON h.codigo = c.codigo",
-    "codes", "harvest_p")
+    "SELECT c.ocid, c.Year, h.* FROM codes c JOIN harvest_1 h ON h.codigo = c.codigo",
+    "codes", "harvest_1")
 SQL["window_first_match"] = with_ctes("SELECT * FROM first_match", "first_match")
 SQL["harvest_found"] = with_ctes(
     "SELECT * FROM codes c WHERE (c.codigo, c.Year) IN (SELECT (codigo, Year) FROM first_match)",
@@ -303,6 +323,7 @@ SQL["harvest_found"] = with_ctes(
 SQL["features"] = with_ctes("SELECT * FROM feat", "feat")
 SQL["score_trees"] = with_ctes("SELECT * FROM scored", "scored")
 SQL["score_udf"] = SQL["score_trees"]
+SQL["score_table"] = SQL["score_trees"]
 SQL["tender_card"] = with_ctes(
     """SELECT ocid, CASE WHEN predict = 1 THEN 'Desierto' ELSE 'Normal' END AS prediction,
        CAST(CAST(proba * 100 AS DECIMAL(18, 2)) AS DOUBLE) AS probability_pct,
@@ -316,9 +337,11 @@ SQL["highlight_flags"] = with_ctes(
     "SELECT ocid, predict > 0 AS flagged, n_of_Tend = 1 AS single_bidder, "
     "Estado = 'Desierta' AS deserted FROM scored_status", "scored_status")
 
-_KEPT, _OTHER = "ocds-5wno2w-SIE-3-1997-780", "ocds-5wno2w-SIE-0-1998-899"
-SQL["lookup_scored"] = with_ctes(f"SELECT * FROM scored WHERE ocid IN ('{_KEPT}', '{_OTHER}')", "scored")
-SQL["lookup_any"] = with_ctes(f"SELECT {RED_FLAG_COLS} FROM flags_v WHERE ocid = '{_OTHER}'", "flags_v")
+_IDS = f"SELECT min(ocid) FROM tender_v WHERE method {{}} '{TEST_METHOD}'"
+SQL["lookup_scored"] = with_ctes(
+    f"SELECT * FROM scored WHERE ocid = ({_IDS.format('=')}) OR ocid = ({_IDS.format('<>')})", "tender_v", "scored")
+SQL["lookup_any"] = with_ctes(
+    f"SELECT {RED_FLAG_COLS} FROM flags_v WHERE ocid = ({_IDS.format('<>')})", "tender_v", "flags_v")
 SQL["outlier_lookup"] = with_ctes(
     "SELECT c.ocid, c.codigo, c.Year, s.predict, s.proba FROM codes c JOIN scored s ON s.ocid = c.ocid",
     "codes", "scored")
@@ -425,3 +448,6 @@ SQL["display_table"] = with_ctes(
     + ", ".join(f"CASE WHEN {c} IS NULL THEN NULL ELSE printf('%.0f', {c}) END AS {c}" for c in _WHOLE)
     + """, Estado, '<a target="_blank" href="' || Link || '">' || Link || '</a>' AS Link FROM scored_status""",
     "scored_status")
+SQL["csv_ready"] = with_ctes(
+    """SELECT ocid, CAST(n_tenderers AS BIGINT) AS n_of_Tend, award_value AS awardsvalue,
+       CASE WHEN tender_key % 2 = 0 THEN '["goods"]' ELSE '["services"]' END AS category FROM tender_v""", "tender_v")

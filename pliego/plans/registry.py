@@ -7,6 +7,7 @@ is ``oracle.SQL[name]``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import astuple, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,19 +17,21 @@ from ..functions.text import RE_NARROW, RE_WIDE, match_count, matches, process_c
 from ..functions.times import (date_year, floor_days, hours_between, iso_with_offset, local_year,
                                minutes_between)
 from ..operators.bids import bid_count, bid_flat, bid_stats
-from ..operators.enquiries import enquiry_stats
-from ..operators.harvest import first_window_match, found_codes, harvest_join, parse_fragments, tender_codes
+from ..operators.enquiries import enquiry_stats, own_stats
+from ..operators.harvest import (first_window_match, found_codes, harvest_join, harvested_codes, parse_fragments,
+                                 tender_codes)
 from ..operators.indicators import RED_FLAG_OUTPUT
 from ..operators.reshape import drop_all_null, flatten_struct, parse_dates
-from ..operators.scoring import (FEATURES, TreeEnsembleModel, display_table, highlight_flags,
-                                 prediction_diff, score, score_with_model, tender_card)
+from ..operators.scoring import (DEFAULT_ENSEMBLE, FEATURES, TreeEnsembleModel, display_table, ensemble_from_table,
+                                 highlight_flags, prediction_diff, score, score_with_model, tender_card)
+from ..sources.sinks import csv_ready
 from ..sources.landing import landed
 from ..sources.ocds import (first_release, indicator_projection, read_package_lines, read_package_parquet,
                             read_packages, read_zipped_packages, releases, sql_projection)
 from ..sources.tables import table
 from .packages import INDICATOR_OUTPUT, features_from_packages, indicators_from_packages
-from .flows import (indicator_flow, indicator_flow_views, scored_views, scored_with_status,
-                        scoring_features)
+from .flows import (indicator_flow, indicator_flow_views, lookup, scored_views, scored_with_status,
+                    scoring_features)
 from .views import TEST_METHOD, bids_view, enquiry_view, enquiry_view_and_hot, harvest_view, tender_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,13 +146,13 @@ def q_late_bids(spark, sf_dir):
 @register("array_len")
 def q_array_len(spark, sf_dir):
     """AG-1 on questions: Number_ques (scoring pipeline) per tender with questions."""
-    return _enq_stats(spark, sf_dir).select("tender_key", F.col("n_questions").alias("Number_ques"))
+    return own_stats(enquiry_view(spark, sf_dir)).select("tender_key", F.col("n_questions").alias("Number_ques"))
 
 
 @register("qa_gap")
 def q_qa_gap(spark, sf_dir):
     """AG-2: question / answer counts of the indicator pipeline."""
-    return _enq_stats(spark, sf_dir).select(
+    return own_stats(enquiry_view(spark, sf_dir)).select(
         "tender_key", F.col("n_questions").alias("Number_ques"),
         F.col("num_pregu").alias("Num_Pregu"), F.col("num_respu").alias("Num_Respu"),
         F.col("qa_gap").alias("Pre_No_Respu"))
@@ -158,14 +161,14 @@ def q_qa_gap(spark, sf_dir):
 @register("unanswered_wide")
 def q_unanswered_wide(spark, sf_dir):
     """AG-3: Pre_No_Respu of the scoring pipeline."""
-    return _enq_stats(spark, sf_dir).select(
+    return own_stats(enquiry_view(spark, sf_dir)).select(
         "tender_key", F.col("unanswered_wide").alias("Pre_No_Respu"))
 
 
 @register("mean_response_days")
 def q_mean_response_days(spark, sf_dir):
     """AG-4: null-poisoned mean days to answer."""
-    return _enq_stats(spark, sf_dir).select(
+    return own_stats(enquiry_view(spark, sf_dir)).select(
         "tender_key", F.col("mean_response_days").alias("Mean_Days_Respon"))
 
 
@@ -183,6 +186,8 @@ def q_unanswered_narrow(spark, sf_dir):
 
 # --- text rules ------------------------------------------------------------------
 
+# Fixed value: a topic that the test documents do hold (the procurement patterns never occur in them).
+TEST_TOPIC = "[Ll]icen[cs]e|[Cc]opyright|LICENSE "
 
 
 @register("topic_wide")
@@ -205,7 +210,9 @@ def q_topic_documents(spark, sf_dir):
     """FL-3a / FL-3b over whole document texts (volume run)."""
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", match_count("text", RE_WIDE).alias("wide_count"),
-                    matches("text", RE_NARROW).alias("narrow_hit"))
+                    matches("text", RE_NARROW).alias("narrow_hit"),
+                    match_count("text", TEST_TOPIC).alias("topic_count"),
+                    matches("text", TEST_TOPIC).alias("topic_hit"))
 
 
 @register("process_code")
@@ -260,16 +267,18 @@ def q_window_first_match(spark, sf_dir):
 @register("harvest_found")
 def q_harvest_found(spark, sf_dir):
     """HV-2: tenders whose code was found on the search page."""
-    codes = _codes(spark, sf_dir)
-    return found_codes(codes, first_window_match(codes, parse_fragments(harvest_view(spark, sf_dir))))
+    return found_codes(_codes(spark, sf_dir), harvested_codes(parse_fragments(harvest_view(spark, sf_dir))))
 
 
 # --- scoring -----------------------------------------------------------------------
 
 
-# Ids looked up by the lookup queries (one per method class at sf0.01).
-LOOKUP_OTHER_METHOD = "ocds-5wno2w-SIE-0-1998-899"
-LOOKUP_KEPT_METHOD = "ocds-5wno2w-SIE-3-1997-780"
+def _lookup_ids(spark, sf_dir, other_only: bool = False):
+    """The smallest id of the kept method and of the other ones: what the lookup queries look up."""
+    t = tender_view(spark, sf_dir)
+    if other_only:
+        t = t.where(F.col("method") != F.lit(TEST_METHOD))
+    return t.groupBy((F.col("method") == F.lit(TEST_METHOD)).alias("kept")).agg(F.min("ocid").alias("ocid"))
 
 
 @register("features")
@@ -279,10 +288,34 @@ def q_features(spark, sf_dir):
     return scoring_features(tender_view(spark, sf_dir), e, TEST_METHOD, enquiry_hot=hot)
 
 
+# Digits in which the checked queries give a probability; the operators give all of them.
+PROBA_DECIMALS = 9
+
+
+def _rounded(scored):
+    return scored.withColumn("proba", F.round("proba", PROBA_DECIMALS)).select(*scored.columns)
+
+
 @register("score_trees")
 def q_score_trees(spark, sf_dir):
     """SR-1: tree ensemble compiled to one CASE expression."""
-    return scored_views(spark, sf_dir)
+    return _rounded(scored_views(spark, sf_dir))
+
+
+@register("score_table")
+def q_score_table(spark, sf_dir):
+    """SR-1 with the ensemble read from a node table, walked as an array."""
+    nodes = spark.createDataFrame([astuple(n) for n in DEFAULT_ENSEMBLE], NODE_TABLE)
+    e, hot = enquiry_view_and_hot(spark, sf_dir)
+    f = scoring_features(tender_view(spark, sf_dir), e, TEST_METHOD, enquiry_hot=hot)
+    copies = [replace(n, tree=n.tree + 3 * k, leaf=None if n.leaf is None else n.leaf / COPIES)
+              for k in range(COPIES) for n in ensemble_from_table(nodes)]
+    return _rounded(score(f, copies))
+
+
+#: Node table of ``score_table`` and how often it holds each tree (a leaf's value is shared out), so that it is walked.
+NODE_TABLE = "tree int, node int, feature string, threshold double, yes int, no int, missing int, leaf double"
+COPIES = 32
 
 
 @register("score_udf")
@@ -290,19 +323,19 @@ def q_score_udf(spark, sf_dir):
     """SR-1b: the same model as a Python classifier object via mapInPandas."""
     e, hot = enquiry_view_and_hot(spark, sf_dir)
     f = scoring_features(tender_view(spark, sf_dir), e, TEST_METHOD, enquiry_hot=hot)
-    return score_with_model(f, TreeEnsembleModel())
+    return _rounded(score_with_model(f, TreeEnsembleModel()))
 
 
 @register("tender_card")
 def q_tender_card(spark, sf_dir):
     """SR-2: summary card columns for every scored tender."""
-    return tender_card(scored_views(spark, sf_dir))
+    return tender_card(_rounded(scored_views(spark, sf_dir)))
 
 
 @register("score_status")
 def q_score_status(spark, sf_dir):
     """SR-3: score plus harvested Estado and Link."""
-    return scored_with_status(spark, sf_dir)
+    return _rounded(scored_with_status(spark, sf_dir))
 
 
 @register("highlight_flags")
@@ -315,24 +348,24 @@ def q_highlight_flags(spark, sf_dir):
 @register("lookup_scored")
 def q_lookup_scored(spark, sf_dir):
     """FL-2b: one id after the method filter and scoring (empty for other methods)."""
-    a = scored_views(spark, sf_dir, ocid=LOOKUP_KEPT_METHOD)
-    b = scored_views(spark, sf_dir, ocid=LOOKUP_OTHER_METHOD)
-    return a.unionByName(b)
+    return _rounded(scored_views(spark, sf_dir, ocid=_lookup_ids(spark, sf_dir)))
 
 
 @register("lookup_any")
 def q_lookup_any(spark, sf_dir):
     """FL-2a: one id before the method filter (any method is found)."""
-    t = tender_view(spark, sf_dir).where(F.col("ocid") == F.lit(LOOKUP_OTHER_METHOD))
+    t = lookup(tender_view(spark, sf_dir), _lookup_ids(spark, sf_dir, other_only=True))
     e, hot = enquiry_view_and_hot(spark, sf_dir)
-    out = indicator_flow(t, e, bids_view(spark, sf_dir), None, enquiry_hot=hot)
+    wanted = t.select("tender_key")
+    out = indicator_flow(t, e.join(wanted, "tender_key", "left_semi"),
+                         bids_view(spark, sf_dir).join(wanted, "tender_key", "left_semi"), None, enquiry_hot=hot)
     return out.select(*RED_FLAG_OUTPUT)
 
 
 @register("outlier_lookup")
 def q_outlier_lookup(spark, sf_dir):
     """JN-2 + PR-12: predictions joined to (ocid, codigo, Year)."""
-    preds = scored_views(spark, sf_dir).select("ocid", "predict", "proba")
+    preds = _rounded(scored_views(spark, sf_dir)).select("ocid", "predict", "proba")
     codes = tender_codes(tender_view(spark, sf_dir))
     return codes.join(preds, "ocid", "inner")
 
@@ -340,7 +373,7 @@ def q_outlier_lookup(spark, sf_dir):
 @register("prediction_diff")
 def q_prediction_diff(spark, sf_dir):
     """JN-3: intended late-question count vs the source's always-0 count."""
-    return prediction_diff(scored_views(spark, sf_dir), scored_views(spark, sf_dir, compat_zero=True))
+    return prediction_diff(_rounded(scored_views(spark, sf_dir)), _rounded(scored_views(spark, sf_dir, compat_zero=True)))
 
 
 # --- release packages (sources, projections, nested measures) --------------------
@@ -481,21 +514,20 @@ def q_ocds_features(spark, sf_dir):
 @register("ocds_score")
 def q_ocds_score(spark, sf_dir):
     """SR-1 on packages."""
-    return score(features_from_packages(packages_of(spark, sf_dir), TEST_METHOD).select("ocid", *FEATURES))
+    return _rounded(score(features_from_packages(packages_of(spark, sf_dir), TEST_METHOD).select("ocid", *FEATURES)))
 
 
 @register("outlier_flagged")
 def q_outlier_flagged(spark, sf_dir):
     """FL-7 + JN-2: only flagged predictions joined to (ocid, codigo, Year)."""
-    preds = scored_views(spark, sf_dir).where(F.col("predict") == 1).select("ocid", "predict", "proba")
+    preds = _rounded(scored_views(spark, sf_dir)).where(F.col("predict") == 1).select("ocid", "predict", "proba")
     return tender_codes(tender_view(spark, sf_dir)).join(preds, "ocid", "inner")
 
 
 @register("harvest_missing")
 def q_harvest_missing(spark, sf_dir):
     """HV-2 complement: tenders whose code was not found."""
-    codes = _codes(spark, sf_dir)
-    return found_codes(codes, first_window_match(codes, parse_fragments(harvest_view(spark, sf_dir))),
+    return found_codes(_codes(spark, sf_dir), harvested_codes(parse_fragments(harvest_view(spark, sf_dir))),
                        how="left_anti")
 
 
@@ -510,10 +542,17 @@ def q_parquet_red_flags(spark, sf_dir):
 def q_parquet_score(spark, sf_dir):
     """SR-1 on packages landed as parquet."""
     f = features_from_packages(packages_of(spark, sf_dir, "parquet"), TEST_METHOD)
-    return score(f.select("ocid", *FEATURES))
+    return _rounded(score(f.select("ocid", *FEATURES)))
 
 
 @register("display_table")
 def q_display_table(spark, sf_dir):
     """Display rules of the scored table (percent, whole numbers, clickable link)."""
-    return display_table(scored_with_status(spark, sf_dir))
+    return display_table(_rounded(scored_with_status(spark, sf_dir)))
+
+
+@register("csv_ready")
+def q_csv_ready(spark, sf_dir):
+    """SK-2: the table as it is exported, nested columns as JSON text."""
+    p = indicator_projection(packages_of(spark, sf_dir, "parquet"))
+    return csv_ready(p.select("ocid", "n_of_Tend", "awardsvalue", "category"))

@@ -66,6 +66,8 @@ def bids_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").alias("bid_ts"),
         F.col("l_suppkey").alias("tenderer_id"),
         F.col("l_extendedprice").alias("amount"),
+        F.col("l_suppkey").isNull().alias("tenderer_missing"),
+        F.col("l_extendedprice").isNull().alias("value_missing"),
         "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus",
     )

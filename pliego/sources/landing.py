@@ -5,11 +5,9 @@ JSON lines; whole-document files, zip archives and parquet are derived from
 that landing, so every reader has input that grows with the tables.  Output
 goes under the cluster's shared checkpoint folder.
 
-Nested arrays (a tender's bids and questions) are built per
-``(tender, chunk)``: the number of chunks of a key is
-``ceil(count / max_items)`` and rows go to a chunk by hash, so no release
-holds much more than ``max_items`` elements however large one tender is.  A
-tender over the limit becomes several releases with the same ``ocid``.
+A release holds all bids and questions of its tender, however many: the
+document format has one release per tender, and splitting it would change
+what every per-release measure counts.
 """
 from __future__ import annotations
 
@@ -24,27 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import iso_with_offset
-from ..operators.skew import HOT_ROWS, join_unique_dim
 from ..plans.views import bids_view, enquiry_view, tender_view
 from ..session import shared_dir
 
-MAX_ITEMS = 1000          # elements per nested array in one landed release
 RELEASES_PER_FILE = 5000  # releases per whole-document package file
 OFFSET = "-05:00"         # UTC offset written into every landed timestamp
 FIRST_METHOD = "first_method"  # partition column of the parquet landing
 
 
-def chunked_lists(facts: DataFrame, key: str, item: Column, spread: list[Column],
-                  max_items: int = MAX_ITEMS, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``(key, chunk, items)`` with at most about ``max_items`` items per row."""
-    counts = facts.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    j = join_unique_dim(facts, counts, key, hot_rows, counts=counts)
-    n_chunks = F.ceil(F.col("_n") / F.lit(max_items))
-    chunk = F.pmod(F.xxhash64(*spread), n_chunks).cast("bigint")
-    return (j.select(key, chunk.alias("chunk"), item.alias("_item"))
-             .groupBy(key, "chunk").agg(F.collect_list("_item").alias("items")))
-
-
 def _iso(c: str) -> Column:
     return iso_with_offset(F.col(c), OFFSET)
 
@@ -57,8 +42,7 @@ def _value(c: Column) -> Column:
     return F.struct(c.alias("amount"), F.lit("USD").alias("currency"))
 
 
-def release_rows(spark: SparkSession, sf_dir: str, max_items: int = MAX_ITEMS,
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
+def release_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per release: ``ocid`` and the release as JSON text."""
     t = tender_view(spark, sf_dir)
     b = bids_view(spark, sf_dir)
@@ -81,21 +65,10 @@ def release_rows(spark: SparkSession, sf_dir: str, max_items: int = MAX_ITEMS,
     omit_answer = F.col("answer").isNull() & (F.col("enq_no") % 4 == 1)
     enq_item = F.when(omit_answer, F.replace(enq_json, F.lit('"answer":null,'), F.lit(""))) \
                 .otherwise(enq_json)
-    bc = chunked_lists(b, "tender_key", bid_item,
-                       [F.col(c) for c in ("l_linenumber", "l_partkey", "tenderer_id", "bid_ts")],
-                       max_items, hot_rows).withColumnRenamed("items", "bid_items")
-    ec = chunked_lists(e, "tender_key", enq_item, [F.col("enq_no")],
-                       max_items, hot_rows).withColumnRenamed("items", "enq_items")
-    ec = ec.withColumn("enq_items", F.concat(F.lit("["), F.array_join("enq_items", ","), F.lit("]")))
-    chunks = bc.join(ec, ["tender_key", "chunk"], "full")
-    with_chunks = join_unique_dim(chunks, t, "tender_key", hot_rows)
-    # tenders with no bids and no questions; keys de-duplicated map-side first
-    # (a huge tender has one chunk row per MAX_ITEMS items)
-    bare = t.join(chunks.select("tender_key").distinct(), "tender_key", "left_anti").select(
-        "*", F.lit(0).cast("bigint").alias("chunk"),
-        F.lit(None).cast(bc.schema["bid_items"].dataType).alias("bid_items"),
-        F.lit(None).cast("string").alias("enq_items"))
-    rows = with_chunks.unionByName(bare)
+    bids = b.groupBy("tender_key").agg(F.collect_list(bid_item).alias("bid_items"))
+    questions = (e.groupBy("tender_key").agg(F.collect_list(enq_item).alias("enq_items"))
+                 .withColumn("enq_items", F.concat(F.lit("["), F.array_join("enq_items", ","), F.lit("]"))))
+    rows = t.join(bids, "tender_key", "left").join(questions, "tender_key", "left")
     release = F.struct(
         F.col("ocid"), _iso("start_ts").alias("date"), F.array(F.lit("tender")).alias("tag"),
         F.struct(F.struct(_value(F.col("contract_value")).alias("amount")).alias("budget")).alias("planning"),
@@ -181,7 +154,7 @@ _PREFIX, _SUFFIX = '{"releases": [', "]}"
 
 
 def land(spark: SparkSession, sf_dir: str, layout: str = "lines", out_dir: str | None = None,
-         max_items: int = MAX_ITEMS, releases_per_file: int = RELEASES_PER_FILE) -> str:
+         releases_per_file: int = RELEASES_PER_FILE) -> str:
     """Write the releases of ``sf_dir`` in ``layout``; return the folder.
 
     ``lines``: one package (one release) per line.  ``package``: one whole
@@ -190,15 +163,13 @@ def land(spark: SparkSession, sf_dir: str, layout: str = "lines", out_dir: str |
     """
     out = out_dir or shared_dir(spark, "landing", layout)
     if layout == "lines":
-        rel = release_rows(spark, sf_dir, max_items)
+        rel = release_rows(spark, sf_dir)
         rel.select(F.concat(F.lit(_PREFIX), F.col("release"), F.lit(_SUFFIX)).alias("value")) \
            .write.mode("overwrite").text(out)
     elif layout == "package":
-        documents_from_lines(spark, land(spark, sf_dir, "lines", out + "_lines", max_items), out,
-                             releases_per_file)
+        documents_from_lines(spark, land(spark, sf_dir, "lines", out + "_lines"), out, releases_per_file)
     elif layout == "zip":
-        zips_from_documents(spark, land(spark, sf_dir, "package", out + "_documents", max_items,
-                                        releases_per_file), out)
+        zips_from_documents(spark, land(spark, sf_dir, "package", out + "_documents", releases_per_file), out)
     else:
         raise ValueError(f"unknown layout {layout!r}")
     return out
@@ -244,16 +215,16 @@ def to_parquet(spark: SparkSession, lines_dir: str, out_dir: str | None = None)
     return out
 
 
-_LANDED: dict[tuple[str, str], str] = {}
+_LANDED: dict[tuple[int, str, str], str] = {}
 
 
 def landed(spark: SparkSession, sf_dir: str, layout: str = "lines") -> str:
-    """``land`` once per (data dir, layout) in this process, then reuse.
+    """``land`` once per (session, data dir, layout), then reuse; call ``forget_landed`` if the data change.
 
     The JSON-lines landing is built once; ``package`` / ``zip`` re-frame it and
     ``parquet`` is it converted by ``to_parquet``.
     """
-    k = (os.path.abspath(sf_dir), layout)
+    k = (id(spark), sf_dir.rstrip("/"), layout)
     if k not in _LANDED:
         if layout == "lines":
             _LANDED[k] = land(spark, sf_dir, "lines")
@@ -268,3 +239,8 @@ def landed(spark: SparkSession, sf_dir: str, layout: str = "lines") -> str:
         else:
             raise ValueError(f"unknown layout {layout!r}")
     return _LANDED[k]
+
+
+def forget_landed() -> None:
+    """The next ``landed`` call writes anew (the tables of a folder have changed)."""
+    _LANDED.clear()

@@ -28,11 +28,20 @@ def test_first_half_year_wins(spark):
     assert rows["C-2"].page_id == 4 and str(rows["C-2"].window_start) == "2022-07-01"
 
 
-def test_join_keeps_duplicate_codes(spark):
-    h = parse_fragments(spark.createDataFrame([(1, frag("C-1", "2022-01-01")), (2, frag("C-1", "2022-01-02"))],
+def test_a_repeated_code_counts_with_its_first_row(spark):
+    h = parse_fragments(spark.createDataFrame([(1, frag("C-1", "2022-01-02")), (2, frag("C-1", "2022-01-01")), (3, frag("C-1", "n/a"))],
                                               "page_id long, fragment string"))
     t = spark.createDataFrame([("o1", "C-1")], "ocid string, codigo string")
-    assert harvest_join(t, h).count() == 2
+    assert [r.page_id for r in harvest_join(t, h).collect()] == [2]
     with pytest.raises(ValueError):
         harvest_join(t, h, require_unique=True)
     assert harvest_join(t, h.where("page_id = 1"), require_unique=True).count() == 1
+
+
+def test_lines_and_links_as_in_python(spark):
+    from pliego.functions.text import first_link, text_lines
+    texts = ["a\x0bb\x0cc", "a\x1cb\x1dc\x1ed", "a\x85b\u2028c\u2029d", "a\r\nb\rc\n", "\n", "a\n\n", "x"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    assert [r[0] for r in df.select(text_lines("t")).collect()] == [x.splitlines() for x in texts]
+    df = spark.createDataFrame([('<a href="x\ry\u2028,">',), ('<a href="x\ny,">',)], "t string")
+    assert [r[0] for r in df.select(first_link("t", "b/")).collect()] == ["b/x\ry\u2028", None]

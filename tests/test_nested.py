@@ -108,3 +108,21 @@ def test_counts(spark):
     df = spark.createDataFrame([(["a", "", None, "b"],), (None,), ([],)], "a array<string>")
     assert [r[0] for r in df.select(N.count_truthy("a")).collect()] == [2, None, 0]
     assert [r[0] for r in df.select(N.array_len("a")).collect()] == [4, None, 0]
+
+
+def test_late_bids_flat_equals_nested(spark, tmp_json):
+    """A bid whose value entry has no amount counts; one without the entry makes the measure unknown: in both forms."""
+    from pliego.operators.bids import bid_flat, bid_stats
+    from pyspark.sql import functions as F
+    day = "2022-03-01T00:00:00-05:00"
+    bid = {"id": "1", "date": day, "tenderers": [{"id": "t", "name": "n"}], "value": {"amount": 1.0}}
+    releases = [rel(bids=[bid, dict(bid, value={"amount": None})]), rel(bids=[bid, dict(bid, value=None)]),
+                rel(bids=[dict(bid, tenderers=[])]), rel(bids=[dict(bid, tenderers=[{"id": None, "name": "n"}])])]
+    nested = [(r.n_bids, r.late_bids) for r in measures(spark, tmp_json, releases)]
+    item = "array<struct<id:string,date:string,tenderers:array<struct<id:string,name:string>>,value:struct<amount:double>>>"
+    rows = [(k, r["auctions"][0]["stages"][0]["bids"], r["auctions"][0]["period"]["endDate"]) for k, r in enumerate(releases)]
+    df = spark.createDataFrame(rows, f"tender_key long, bids {item}, close string")
+    bids = bid_flat(df.select("tender_key", F.explode("bids").alias("b")).select("tender_key", "b.*"))
+    stats = bid_stats(bids.withColumn("bid_ts", F.col("date").cast("timestamp")),
+                      df.select("tender_key", F.col("close").cast("timestamp").alias("close_ts")))
+    assert [(r.NF018, r.Nf030) for r in stats.orderBy("tender_key").collect()] == nested

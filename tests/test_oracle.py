@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from pliego.plans import registry
 from pliego.sources.tables import TABLES
 
-NAMES = sorted(E.queries())
+NAMES = sorted(registry.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +31,7 @@ def canon(cols, rows):
 
 
 def test_every_query_has_sql():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(NAMES) <= set(E.oracle_sql()) and set(NAMES) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -262,8 +262,9 @@ flat_bid = st.tuples(st.sampled_from([None, datetime(2022, 1, 1), datetime(2022,
                           st.sampled_from([datetime(2022, 2, 1), None])), min_size=10, max_size=40))
 def test_flat_bid_aggregates_match_spec(spark, tenders):
     from pliego.operators.bids import bid_stats
-    b = spark.createDataFrame([(k, ts, who, amt) for k, (bs, _) in enumerate(tenders) for ts, who, amt in bs],
-                              "tender_key long, bid_ts timestamp_ntz, tenderer_id long, amount double")
+    b = spark.createDataFrame([(k, ts, who, amt, who is None, amt is None) for k, (bs, _) in enumerate(tenders) for ts, who, amt in bs],
+                              "tender_key long, bid_ts timestamp_ntz, tenderer_id long, amount double, "
+                              "tenderer_missing boolean, value_missing boolean")
     t = spark.createDataFrame([(k, c) for k, (_, c) in enumerate(tenders)],
                               "tender_key long, close_ts timestamp_ntz")
     got = {r.tender_key: (r.NF018, r.Nf030) for r in bid_stats(b, t).collect()}
@@ -286,7 +287,7 @@ def test_case_expression_equals_python_model(spark, rows):
     from pliego.operators.scoring import FEATURES, TreeEnsembleModel, ensemble_sql, score
     schema = "ocid string, " + ", ".join(f"{f} double" for f in FEATURES)
     df = spark.createDataFrame([(str(i),) + r for i, r in enumerate(rows)], schema)
-    got = {r.ocid: r.proba for r in score(df).collect()}
+    got = {r.ocid: round(r.proba, 9) for r in score(df).collect()}
     X = [[_m.nan if v is None else v for v in r] for r in rows]
     p = TreeEnsembleModel().predict_proba(X)[:, 1]
     assert [got[str(i)] for i in range(len(rows))] == [round(float(x), 9) for x in p]

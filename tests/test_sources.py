@@ -1,11 +1,10 @@
-"""Landing, the three package layouts, and the streaming job."""
+"""Landing and the package layouts."""
 import os
 
 from conftest import SF_SMALL
 from pliego.plans.packages import indicators_from_packages
 from pliego.sources.landing import land
 from pliego.sources.ocds import read_package_lines, read_packages, read_zipped_packages, releases
-from pliego.streaming.incremental import start_indicator_stream
 
 
 def test_layouts_hold_the_same_releases(spark, tmp_path):
@@ -17,27 +16,39 @@ def test_layouts_hold_the_same_releases(spark, tmp_path):
         assert ids == n and len(ids) > 0
 
 
-def test_chunking_bounds_arrays(spark, tmp_path):
-    out = land(spark, SF_SMALL, "lines", out_dir=str(tmp_path / "small"), max_items=2)
-    r = releases(read_package_lines(spark, out))
-    from pyspark.sql import functions as F
-    sizes = r.select(F.array_size(F.get(F.get("auctions", 0)["stages"], 0)["bids"]).alias("n")).where("n IS NOT NULL")
-    assert sizes.agg(F.max("n")).first()[0] <= 8   # hash chunks: ~2 per release, never the whole list
-    whole = land(spark, SF_SMALL, "lines", out_dir=str(tmp_path / "whole"))
-    total = lambda p: releases(read_package_lines(spark, p)).select(
-        F.sum(F.array_size(F.get(F.get("auctions", 0)["stages"], 0)["bids"]))).first()[0]
-    assert total(out) == total(whole)
-
+def test_large_tenders_stay_whole(spark, tmp_path):
+    """A tender with 3,005 bids and one with 3,005 questions: every package query equals its SQL."""
+    import shutil
 
-def test_stream_equals_batch(spark, tmp_path):
-    src = land(spark, SF_SMALL, "lines", out_dir=str(tmp_path / "src"))
-    sink, ckpt = str(tmp_path / "sink"), str(tmp_path / "ckpt")
-    q = start_indicator_stream(spark, src, sink, method="1-URGENT", checkpoint=ckpt)
-    q.awaitTermination(300)
-    got = spark.read.parquet(sink)
-    want = indicators_from_packages(read_package_lines(spark, src), "1-URGENT").select(*got.columns)
-    assert got.count() == want.count() > 0
-    assert got.exceptAll(want).count() == 0
+    import duckdb
+    import __spark_entry__ as E
+    from pyspark.sql import functions as F
+    for name in os.listdir(SF_SMALL):
+        if name.split(".")[0] not in ("lineitem", "conversations"):
+            shutil.copy(f"{SF_SMALL}/{name}", tmp_path)
+    t = spark.read.parquet(f"{SF_SMALL}/orders.parquet").where("o_orderpriority = '1-URGENT'")
+    bid_key, talk_key = [r[0] for r in t.select("o_orderkey").orderBy("o_orderkey").limit(2).collect()]
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    more = li.limit(1).withColumn("l_orderkey", F.lit(bid_key)).withColumn("l_partkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3004).cast("long"))))
+    li.where(F.col("l_orderkey") != bid_key).unionByName(more.select(*li.columns)).write.parquet(str(tmp_path / "lineitem.parquet"))
+    talk = spark.read.parquet(f"{SF_SMALL}/conversations.parquet")
+    turns = spark.range(6010).select(F.lit(talk_key).alias("conv_id"), F.col("id").alias("turn"),
+                                     F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("some words").alias("text"))
+    talk.where(F.col("conv_id") != talk_key).unionByName(turns).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    for name in ("orders", "lineitem", "conversations"):
+        p = tmp_path / f"{name}.parquet"
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{p}/*.parquet')" if p.is_dir() else
+                f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{p}')")
+    for q in ("ocds_red_flags", "ocds_features", "ocds_score", "parquet_red_flags", "scan_lines", "scan_package", "scan_zip", "view_sql"):
+        df = E.queries()[q](spark, str(tmp_path))
+        cols = sorted(df.columns)
+        want = con.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({E.oracle_sql()[q]})").fetchall()
+        got = [tuple(r) for r in df.select(*cols).collect()]
+        key = cols.index("ocid")
+        assert len(got) == len(want), q
+        for a, b in zip(sorted(got, key=lambda r: r[key]), sorted(want, key=lambda r: r[key])):
+            assert all(x == y or isinstance(x, float) and abs(x - y) < 1e-6 * max(1, abs(x)) for x, y in zip(a, b)), (q, a, b)
 
 
 def test_csv_export_keeps_nested_as_json(spark, tmp_path):
@@ -48,47 +59,6 @@ def test_csv_export_keeps_nested_as_json(spark, tmp_path):
     assert back.k == "a" and back.arr == "[1,2]" and back.m == '{"x":1}'
 
 
-def test_stream_is_incremental_and_exactly_once(spark, tmp_path):
-    from pyspark.sql import functions as F
-
-    from pliego.sources.landing import release_rows
-    src, sink, ckpt = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
-
-    def drop_files():  # a new batch of package files lands in the folder
-        release_rows(spark, SF_SMALL).select(
-            F.concat(F.lit('{"releases": ['), "release", F.lit("]}")).alias("value")) \
-            .write.mode("append").text(src)
-
-    def run():
-        q = start_indicator_stream(spark, src, sink, checkpoint=ckpt)
-        q.awaitTermination(300)
-        return spark.read.parquet(sink).count()
-
-    drop_files()
-    first = run()
-    assert first > 0
-    assert run() == first            # restart with nothing new: no new rows
-    drop_files()
-    assert run() == 2 * first        # only the new files are processed
-
-
-def test_first_match_stream_equals_batch(spark, tmp_path):
-    from pliego.operators.harvest import first_window_match, tender_codes
-    from pliego.plans.views import harvest_view, tender_view
-    from pliego.streaming.harvest import start_first_match_stream
-    src, table, ckpt = str(tmp_path / "frag"), str(tmp_path / "tbl"), str(tmp_path / "ck")
-    frags = harvest_view(spark, SF_SMALL)
-    codes = tender_codes(tender_view(spark, SF_SMALL))
-    frags.where("page_id % 2 = 0").write.parquet(src)          # first fetch round
-    start_first_match_stream(spark, src, codes, table, ckpt).awaitTermination(300)
-    frags.where("page_id % 2 = 1").write.mode("append").parquet(src)   # second round
-    start_first_match_stream(spark, src, codes, table, ckpt).awaitTermination(300)
-    got = spark.read.parquet(table)
-    from pliego.operators.harvest import parse_fragments
-    want = first_window_match(codes, parse_fragments(frags)).select(*got.columns)
-    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
-
-
 def test_zip_landing_to_a_file_uri(spark, tmp_path):
     out = land(spark, SF_SMALL, "zip", out_dir="file:" + str(tmp_path / "z"))
     assert releases(read_zipped_packages(spark, out)).count() > 0
