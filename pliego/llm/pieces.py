@@ -236,10 +236,8 @@ class Frequent:
         flat, start = vocabulary.octets
         self.octets, sizes = ragged(flat, start, self.ids)
         self.octet_start = np.concatenate(([0], np.cumsum(sizes)))[self.start].astype(np.int32)
-        end = np.cumsum(pa.compute.utf8_length(words).to_numpy(zero_copy_only=False)).astype(np.int64)
-        joined = "".join(words.to_pylist())
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        h1, h2 = unit_hashes(points, np.concatenate(([0], end))[:-1].astype(np.int64), end)
+        found = [word_hashes(words.slice(k, WORDS_AT_ONCE).to_pylist()) for k in range(0, self.count, WORDS_AT_ONCE)]
+        h1, h2 = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in zip(*found)) if found else (np.zeros(0, np.uint64),) * 2
         self.lead = max(1, self.count.bit_length())
         order = np.argsort(h1, kind="stable")
         self.h1, self.h2, self.number = h1[order], h2[order], order.astype(np.int32)
@@ -274,6 +272,12 @@ def unit_hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple
     return tuple(hashes(prefix_sums(values, b), b, start, end) for b in BASES)
 
 
+def word_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    end = np.cumsum([0, *map(len, words)])
+    return unit_hashes(points, end[:-1], end[1:])
+
+
 #: Sort of a code point: 1 Latin letter, 2 the mark, 0 all else.
 SORTS = np.zeros(0x2582, np.int8)
 SORTS[[n for n in range(0x250) if re.match(f"[{LATIN}]", chr(n))]] = 1
