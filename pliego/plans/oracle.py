@@ -451,3 +451,13 @@ SQL["display_table"] = with_ctes(
 SQL["csv_ready"] = with_ctes(
     """SELECT ocid, CAST(n_tenderers AS BIGINT) AS n_of_Tend, award_value AS awardsvalue,
        CASE WHEN tender_key % 2 = 0 THEN '["goods"]' ELSE '["services"]' END AS category FROM tender_v""", "tender_v")
+_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+_LAST = "CASE WHEN len(l) = {0} THEN replace(l[{0}], '&nbsp;', '') ELSE l[{0}] END"
+SQL["harvest_scan"] = f"""
+SELECT page_id, CASE WHEN nullif(regexp_extract(html, 'href="([^\n]*),">', 1), '') IS NOT NULL
+            THEN concat('{HARVEST_BASE_URL}', regexp_extract(html, 'href="([^\n]*),">', 1)) END AS link,
+       replace({_LAST.format(2)}, ' ', '') AS codigo, {_LAST.format(3)} AS entidad_contratante,
+       {_LAST.format(4)} AS objeto_del_proceso, {_LAST.format(5)} AS estado_del_proceso,
+       {_LAST.format(6)} AS provincia_canton, {_LAST.format(7)} AS presupuesto, {_LAST.format(8)} AS publish_date
+FROM (SELECT page_id, html, string_split_regex(
+        regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '({_BREAK})$', ''), '{_BREAK}') AS l FROM pages)"""

@@ -25,6 +25,7 @@ from ..operators.reshape import drop_all_null, flatten_struct, parse_dates
 from ..operators.scoring import (DEFAULT_ENSEMBLE, FEATURES, TreeEnsembleModel, display_table, ensemble_from_table,
                                  highlight_flags, prediction_diff, score, score_with_model, tender_card)
 from ..sources.sinks import csv_ready
+from ..sources.fragments import read_fragment_table
 from ..sources.landing import landed
 from ..sources.ocds import (first_release, indicator_projection, read_package_lines, read_package_parquet,
                             read_packages, read_zipped_packages, releases, sql_projection)
@@ -248,6 +249,13 @@ def q_harvest_parse(spark, sf_dir):
     return parse_fragments(harvest_view(spark, sf_dir))
 
 
+@register("harvest_scan")
+def q_harvest_scan(spark, sf_dir):
+    """SC-4: a table of fetched pages read as fragments and parsed like them (all shapes of real HTML)."""
+    pages = read_fragment_table(spark, f"{sf_dir.rstrip('/')}/pages.parquet", "html", ["page_id"])
+    return parse_fragments(pages)
+
+
 def _codes(spark, sf_dir):
     return tender_codes(tender_view(spark, sf_dir))
 

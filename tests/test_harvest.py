@@ -45,3 +45,19 @@ def test_lines_and_links_as_in_python(spark):
     assert [r[0] for r in df.select(text_lines("t")).collect()] == [x.splitlines() for x in texts]
     df = spark.createDataFrame([('<a href="x\ry\u2028,">',), ('<a href="x\ny,">',)], "t string")
     assert [r[0] for r in df.select(first_link("t", "b/")).collect()] == ["b/x\ry\u2028", None]
+
+
+def test_fragment_files_of_all_shapes(spark, tmp_path):
+    """7, 9 and 10 fields, no link, CR LF: missing fields are NULL, further ones are left out."""
+    from pliego.sources.fragments import read_fragment_files, read_fragment_table
+    base = frag("C-1", "2022-01-02").split("\n")
+    shapes = {"a": base[:7], "b": [*base, "x"], "c": [*base, "x", "y"], "d": [base[0], "C-9", *base[2:]]}
+    for name, lines in shapes.items():
+        with open(tmp_path / f"{name}.html", "w", newline="") as f:
+            f.write(("\r\n" if name == "b" else "\n").join(lines))
+    df = read_fragment_files(spark, str(tmp_path))
+    got = {r.file[-6]: r for r in parse_fragments(df).collect()}
+    assert [got[k].codigo for k in "abcd"] == ["C-1", "C-1", "C-1", "C-9"]
+    assert got["a"].publish_date is None and got["b"].publish_date == "2022-01-02&nbsp;" and got["d"].link is None
+    df.write.parquet(str(tmp_path / "t"))
+    assert read_fragment_table(spark, str(tmp_path / "t"), "fragment", ["file"]).count() == 4
