@@ -23,6 +23,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -350,8 +351,8 @@ def frequent_units(docs: DataFrame, vocabulary: Vocabulary, most: int, sample_do
     return Frequent(*[rows.column(c).combine_chunks() for c in ("word", "ids")], vocabulary)
 
 
-def numbered(texts: list[str | None], known: Frequent) -> list[tuple[bytes, list[str]]]:
-    """Per text its packed unit numbers, and its rare units: their numbers go on behind the frequent ones."""
+def numbered(texts: list[str | None], known: Frequent, pack: bool = True) -> list[tuple[bytes, list[str]]]:
+    """Per text its packed unit numbers, if asked for, and its rare units: their numbers go on behind the frequent ones."""
     out: list[tuple[bytes, list[str]]] = [(b"", [])] * len(texts)
     full = [n for n, t in enumerate(texts) if t]
     if not full:
@@ -364,6 +365,10 @@ def numbered(texts: list[str | None], known: Frequent) -> list[tuple[bytes, list
     at = np.flatnonzero(number < 0)
     number[at] = [rares[t].setdefault(joined[a:b], known.count + len(rares[t]))
                   for t, a, b in zip(text[at].tolist(), start[at].tolist(), end[at].tolist())]
+    if not pack:
+        for k, n in enumerate(full):
+            out[n] = (b"", list(rares[k]))
+        return out
     data, sizes = packed(number)
     cut = np.concatenate(([0], np.cumsum(sizes)))[np.append(np.searchsorted(text, np.arange(len(full))), len(number))].tolist()
     for k, n in enumerate(full):
@@ -383,25 +388,26 @@ def parts(lengths: list[int], most: int = PART_CHARS) -> Iterator[tuple[int, int
         yield start, len(lengths)
 
 
-def as_units(docs: DataFrame, frequent) -> DataFrame:
-    """(doc_id, th, tk, codes, rare): a document as packed unit numbers and its own further units.
+def as_units(docs: DataFrame, frequent, rare: bool) -> DataFrame:
+    """Documents as units: (doc_id, th, tk, codes), their packed unit numbers, or (doc_id, th, tk, rare),
+    their units that aren't frequent.
 
     Number n below the count of frequent units is a frequent unit, another the
     document's rare unit of the rest.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 group = b.slice(lo, 512)
                 texts = group.column(3).to_pylist()
                 for k, m in parts([len(t or "") for t in texts]):
-                    rows = numbered(texts[k:m], frequent.value)
+                    rows = numbered(texts[k:m], frequent.value, not rare)
                     part = group.slice(k, m - k)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([c for c, _ in rows], pa.binary()),
-                                                      pa.array([r for _, r in rows], pa.list_(pa.string()))],
-                                                     names=["doc_id", "th", "tk", "codes", "rare"])
+                    last = pa.array([r for _, r in rows], pa.list_(pa.string())) if rare else pa.array([pack.compress(c) for c, _ in rows], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*part.columns[:3], last], names=["doc_id", "th", "tk", "rare" if rare else "codes"])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("th"), F.xxhash64("text").alias("tk"), "text")
-    return rows.mapInArrow(run, "doc_id long, th int, tk long, codes binary, rare array<string>")
+    return rows.mapInArrow(run, "doc_id long, th int, tk long, " + ("rare array<string>" if rare else "codes binary"))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, frequent: int = FREQUENT, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -415,25 +421,25 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, frequent: int
     vocabulary = vocabulary or Vocabulary.read()
     docs = docs.select("doc_id", "text")
     known = spark.sparkContext.broadcast(frequent_units(docs, vocabulary, frequent, sample_docs))
-    coded = as_units(docs, known)
-    rare = coded.select("doc_id", "th", F.posexplode("rare").alias("place", "word"))
+    rare = as_units(docs, known, rare=True).select("doc_id", "th", F.posexplode("rare").alias("place", "word"))
     tasks = RARE_TASKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     words = (rare.repartition(tasks, F.xxhash64("word")).select("*", *word_key()).groupBy("h1", "h2")
              .agg(F.first("word").alias("word"), F.collect_list(F.struct("doc_id", "th", "place")).alias("carried")))
     three = F.unhex(F.array_join(F.transform("ids", lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFF))), 6, "0")), ""))
-    back = (lattice(words, vocabulary).select("carried", three.alias("ids")).select(F.explode("carried").alias("at"), "ids")
-            .groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct("at.place", "ids")).alias("solved"))
+    back = (lattice(words, vocabulary).select("carried", three.alias("ids")).select(F.inline("carried"), "ids")
+            .repartition("doc_id", "th")  # flat rows are smaller than lists that are put together before the shuffle
+            .groupBy("doc_id", "th").agg(F.collect_list(F.struct("place", "ids")).alias("solved"))
             .select(F.col("doc_id").alias("in_doc"), F.col("th").alias("in_th"), "solved"))
-    joined = coded.drop("rare").join(back, F.col("doc_id").eqNullSafe(F.col("in_doc")) & F.col("th").eqNullSafe(F.col("in_th")), "left")
+    joined = as_units(docs, known, rare=False).join(back, F.col("doc_id").eqNullSafe(F.col("in_doc")) & F.col("th").eqNullSafe(F.col("in_th")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = known.value
+        base, unpack = known.value, zstandard.ZstdDecompressor()
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 out, same = [], []
                 for tk, codes, own in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
-                    ids, text = solved_text(unpacked(codes), base, own or [], vocabulary)
+                    ids, text = solved_text(unpacked(unpack.decompress(codes)), base, own or [], vocabulary)
                     out.append(ids)
                     same.append(xxh64_intdigest(text, 42) == tk & (1 << 64) - 1 or not len(ids) and tk == 42)  # 42: a null text
                 sizes = [len(x) for x in out]
@@ -448,11 +454,15 @@ def solved_text(numbers: np.ndarray, base: Frequent, own: list[dict], vocabulary
     """The ids of a document's units and what they decode to; ``own`` holds its rare units as (place, ids)."""
     if not own:
         return ragged(base.ids, base.start, numbers)[0], ragged(base.octets, base.octet_start, numbers)[0].tobytes().removeprefix(b" ")
-    lists: list[list[int]] = [[]] * (1 + max(r["place"] for r in own))
+    data = [b""] * (1 + max(r["place"] for r in own))
     for r in own:
-        data = r["ids"]  # three bytes each
-        lists[r["place"]] = vocabulary.spelled([int.from_bytes(data[k:k + 3], signed=True) for k in range(0, len(data), 3)])
-    flat, start = np.array([i for x in lists for i in x], np.int32), np.cumsum([0, *map(len, lists)])
+        data[r["place"]] = r["ids"]  # three bytes each
+    raw = np.frombuffer(b"".join(data), np.uint8).reshape(-1, 3).astype(np.int32)
+    flat = ((raw[:, 0] << 16 | raw[:, 1] << 8 | raw[:, 2]) ^ 0x800000) - 0x800000
+    start = np.cumsum([0, *(len(x) // 3 for x in data)])
+    if (flat < 0).any():
+        flat, sizes = spelled(flat, vocabulary)
+        start = np.concatenate(([0], np.cumsum(sizes)))[start]
     rare = numbers >= base.count
     place, where = np.where(rare, numbers - base.count, 0), np.where(rare, 0, numbers)
     octets, sizes = ragged(*vocabulary.octets, flat)
