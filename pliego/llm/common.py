@@ -50,6 +50,13 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that a task never holds all texts of a batch as Python strings."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def add_columns(df: DataFrame, text_col: str, new: T.StructType,
                 make: Callable[[], Callable[[list[str | None]], list[pa.Array]]]) -> DataFrame:
     """``df`` with columns computed from a batch's texts in an Arrow worker.
@@ -66,10 +73,9 @@ def add_columns(df: DataFrame, text_col: str, new: T.StructType,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
-        for b in batches:
-            if b.num_rows:
-                cols = each(b.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=names)
+        for b in slices(batches):
+            cols = each(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=names)
 
     return base.mapInArrow(run, schema)
 

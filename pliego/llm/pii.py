@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import add_columns
+from .common import add_columns, slices
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account", "handle")
@@ -320,7 +320,7 @@ def redact_column(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         auto = anchors()
-        for b in batches:
+        for b in slices(batches):
             texts = pa.array([redact(t, auto) for t in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(b.columns)], names=names)
     return df.mapInArrow(run, df.schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from .common import join_unique, text_key, written
+from .common import join_unique, slices, text_key, written
 
 SEED = 42
 #: Shingle hashes that are counted at a time (64 bytes of work memory each).
@@ -69,7 +69,7 @@ def signed(x: int) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, text key, fingerprint) of every row of ``docs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = [signed(fingerprint(t, shingle)) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())],
                                              names=["doc_id", "tk", "fp"])
