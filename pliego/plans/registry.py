@@ -316,8 +316,9 @@ def q_score_table(spark, sf_dir):
     nodes = spark.createDataFrame([astuple(n) for n in DEFAULT_ENSEMBLE], NODE_TABLE)
     e, hot = enquiry_view_and_hot(spark, sf_dir)
     f = scoring_features(tender_view(spark, sf_dir), e, TEST_METHOD, enquiry_hot=hot)
+    read = ensemble_from_table(nodes)
     copies = [replace(n, tree=n.tree + 3 * k, leaf=None if n.leaf is None else n.leaf / COPIES)
-              for k in range(COPIES) for n in ensemble_from_table(nodes)]
+              for k in range(COPIES) for n in read]
     return _rounded(score(f, copies))
 
 
