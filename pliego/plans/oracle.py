@@ -419,9 +419,7 @@ _pd_cols = {"date": "start_ts", "TTPSDate": "start_ts", "TTPEDate": "close_ts",
 SQL["parse_dates"] = with_ctes(
     "SELECT ocid, " + ", ".join(f"epoch_us({v}) + {_US5H} AS {k}" for k, v in _pd_cols.items())
     + " FROM tender_v", "tender_v")
-SQL["drop_all_null"] = with_ctes(
-    "SELECT ocid, contract_value AS PreRefe, n_tenderers AS n_of_Tend, "
-    f"{iso('signed_ts')} AS dateSigned FROM tender_v", "tender_v")
+
 SQL["bid_flat"] = with_ctes(
     f"""SELECT t.ocid, concat_ws('-', b.tender_key, b.l_linenumber, b.l_partkey) AS bid_id,
        CAST(b.tenderer_id AS VARCHAR) AS tenderer_id, 'Proveedor ' || b.tenderer_id AS tenderer_name,
@@ -461,3 +459,6 @@ SELECT page_id, CASE WHEN nullif(regexp_extract(html, 'href="([^\n]*),">', 1), '
        {_LAST.format(6)} AS provincia_canton, {_LAST.format(7)} AS presupuesto, {_LAST.format(8)} AS publish_date
 FROM (SELECT page_id, html, string_split_regex(
         regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '({_BREAK})$', ''), '{_BREAK}') AS l FROM pages)"""
+SQL["drop_all_null"] = f"""
+SELECT a.* EXCLUDE (description), b.* EXCLUDE (ocid, NF018)
+FROM ({SQL["first_element"]}) a JOIN ({SQL["first_nested"]}) b ON a.ocid = b.ocid"""

@@ -28,7 +28,7 @@ from ..sources.sinks import csv_ready
 from ..sources.fragments import read_fragment_table
 from ..sources.landing import landed
 from ..sources.ocds import (first_release, indicator_projection, read_package_lines, read_package_parquet,
-                            read_packages, read_zipped_packages, releases, sql_projection)
+                            read_packages, read_zipped_packages, read_zipped_releases, releases, sql_projection)
 from ..sources.tables import table
 from .packages import INDICATOR_OUTPUT, features_from_packages, indicators_from_packages
 from .flows import (indicator_flow, indicator_flow_views, lookup, scored_views, scored_with_status,
@@ -397,8 +397,7 @@ def packages_of(spark, sf_dir, layout: str = "lines"):
     return _READERS[layout](spark, landed(spark, sf_dir, layout))
 
 
-def _tender_rows(pk):
-    r = releases(pk)
+def _tender_rows(r):
     t = F.col("tender")
     stage = F.get(F.get(F.col("auctions"), 0)["stages"], 0)
     return r.select(
@@ -411,19 +410,20 @@ def _tender_rows(pk):
 @register("scan_lines")
 def q_scan_lines(spark, sf_dir):
     """SC-1: JSON-lines packages read with the declared schema."""
-    return _tender_rows(packages_of(spark, sf_dir, "lines"))
+    return _tender_rows(releases(packages_of(spark, sf_dir, "lines")))
 
 
 @register("scan_package")
 def q_scan_package(spark, sf_dir):
-    """SC-2: whole-document packages (multiLine)."""
-    return _tender_rows(packages_of(spark, sf_dir, "package"))
+    """SC-2: whole-document packages (multiLine), spread right after the explode."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _tender_rows(releases(packages_of(spark, sf_dir, "package"), tasks))
 
 
 @register("scan_zip")
 def q_scan_zip(spark, sf_dir):
-    """SC-3: zip archives, first member parsed."""
-    return _tender_rows(packages_of(spark, sf_dir, "zip"))
+    """SC-3: zip archives, the first member's releases."""
+    return _tender_rows(read_zipped_releases(spark, landed(spark, sf_dir, "zip")))
 
 
 @register("view_sql")
@@ -492,9 +492,10 @@ def q_parse_dates(spark, sf_dir):
 
 @register("drop_all_null")
 def q_drop_all_null(spark, sf_dir):
-    """PR-7 / AG-8: columns NULL in every row are dropped (one count pass)."""
+    """PR-7 / AG-8: of all scalar columns of the projection those that are NULL in every row are dropped (one count pass)."""
     p = indicator_projection(packages_of(spark, sf_dir))
-    return drop_all_null(p.select("ocid", "description", "PreRefe", "n_of_Tend", "dateSigned"))
+    scalar = [f.name for f in p.schema.fields if f.dataType.typeName() in ("string", "double", "long")]
+    return drop_all_null(p.select(*scalar))
 
 
 @register("bid_flat")

@@ -74,3 +74,19 @@ def test_write_table_partitions_by_year(spark, tmp_path):
     one = back.where("Year = 1998")
     assert "PartitionFilters: [isnotnull(Year" in one._jdf.queryExecution().executedPlan().toString()
     assert one.count() == df.where("Year = 1998").count()
+
+
+def test_zipped_releases(spark, tmp_path):
+    """Few large archives give the releases of the packages; a broken one is named."""
+    import pytest
+    from pliego.sources.ocds import read_zipped_releases
+    out = land(spark, SF_SMALL, "zip", out_dir=str(tmp_path / "z"), releases_per_file=10**6)
+    want = releases(read_zipped_packages(spark, out))
+    got = read_zipped_releases(spark, out)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.select("ocid", "tender.enquiries", "auctions").collect())) == sorted(
+        map(str, want.select("ocid", "tender.enquiries", "auctions").collect()))
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "broken.zip").write_bytes(b"no archive")
+    with pytest.raises(Exception, match="broken.zip"):
+        read_zipped_releases(spark, str(tmp_path / "bad")).count()
