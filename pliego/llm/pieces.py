@@ -223,7 +223,7 @@ def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 # ------------------------------------------------------- documents as units
 
 class Frequent:
-    """Units that are known in advance, most frequent first: their hashes, ids and decoded bytes in arrays.
+    """Units that are known in advance, most frequent first: their hashes and ids in arrays.
 
     A unit is found by the leading bits of its hash; the rest of its 128 bits
     is compared.
@@ -234,15 +234,34 @@ class Frequent:
         offsets = ids.offsets.to_numpy()
         self.ids, sizes = spelled(ids.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]], vocabulary)
         self.start = np.concatenate(([0], np.cumsum(sizes)))[offsets - offsets[0]].astype(np.int32)
-        flat, start = vocabulary.octets
-        self.octets, sizes = ragged(flat, start, self.ids)
-        self.octet_start = np.concatenate(([0], np.cumsum(sizes)))[self.start].astype(np.int32)
+        self.octets = None
         found = [word_hashes(words.slice(k, WORDS_AT_ONCE).to_pylist()) for k in range(0, self.count, WORDS_AT_ONCE)]
         h1, h2 = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in zip(*found)) if found else (np.zeros(0, np.uint64),) * 2
-        self.lead = max(1, self.count.bit_length())
         order = np.argsort(h1, kind="stable")
         self.h1, self.h2, self.number = h1[order], h2[order], order.astype(np.int32)
+        self.__setstate__(self.__getstate__())
+
+    def __getstate__(self) -> dict:
+        """What is broadcast: ids and lengths in few bytes, and nothing that follows from the rest."""
+        small = np.uint16 if self.ids.max(initial=0) < 1 << 16 else np.int32
+        sizes = np.diff(self.start)
+        return {"count": self.count, "ids": self.ids.astype(small), "sizes": sizes.astype(np.uint8 if sizes.max(initial=0) < 256 else np.int32),
+                "h1": self.h1, "h2": self.h2, "number": self.number}
+
+    def __setstate__(self, state: dict) -> None:
+        self.count, self.h1, self.h2, self.number = (state[k] for k in ("count", "h1", "h2", "number"))
+        self.ids = state["ids"].astype(np.int32)
+        self.start = np.concatenate(([0], np.cumsum(state["sizes"], dtype=np.int64))).astype(np.int32)
+        self.lead = max(1, self.count.bit_length())
         self.bucket = np.searchsorted(self.h1 >> np.uint64(64 - self.lead), np.arange((1 << self.lead) + 1, dtype=np.uint64)).astype(np.int32)
+        self.octets = None
+
+    def text(self, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+        """The decoded bytes of all units, and where each unit's start; made once per worker."""
+        if self.octets is None:
+            flat, sizes = ragged(*vocabulary.octets, self.ids)
+            self.octets = flat, np.concatenate(([0], np.cumsum(sizes)))[self.start].astype(np.int32)
+        return self.octets
 
     def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """The number of each unit, -1 if it is not among these."""
@@ -453,7 +472,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, frequent: int
 def solved_text(numbers: np.ndarray, base: Frequent, own: list[dict], vocabulary: Vocabulary) -> tuple[np.ndarray, bytes]:
     """The ids of a document's units and what they decode to; ``own`` holds its rare units as (place, ids)."""
     if not own:
-        return ragged(base.ids, base.start, numbers)[0], ragged(base.octets, base.octet_start, numbers)[0].tobytes().removeprefix(b" ")
+        return ragged(base.ids, base.start, numbers)[0], ragged(*base.text(vocabulary), numbers)[0].tobytes().removeprefix(b" ")
     data = [b""] * (1 + max(r["place"] for r in own))
     for r in own:
         data[r["place"]] = r["ids"]  # three bytes each
@@ -468,7 +487,7 @@ def solved_text(numbers: np.ndarray, base: Frequent, own: list[dict], vocabulary
     octets, sizes = ragged(*vocabulary.octets, flat)
     octet_start = np.concatenate(([0], np.cumsum(sizes)))[start]
     ids = merged(rare, (flat, start, place), (base.ids, base.start, where))
-    return ids, merged(rare, (octets, octet_start, place), (base.octets, base.octet_start, where)).tobytes().removeprefix(b" ")
+    return ids, merged(rare, (octets, octet_start, place), (*base.text(vocabulary), where)).tobytes().removeprefix(b" ")
 
 
 def merged(second: np.ndarray, one: tuple, other: tuple) -> np.ndarray:
