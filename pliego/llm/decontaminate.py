@@ -8,6 +8,11 @@ along one alignment an item's value must always become the same value of the
 document, or the windows that hold it don't count.  A document holds an item if
 at least 0.8 of the item's windows count, as they are or re-parameterised.
 
+Whether a word is a name shows only in its capital, which a copy in lower case,
+in capitals or at the start of a sentence lacks.  With ``any_case`` windows with
+names are hashed a second time, the names as plain lower-cased words, and a
+window matches if either form does; a name matched so stands for itself.
+
 Documents are read in one pass of Arrow workers; a fixed-size bitmap of the
 benchmark's window hashes keeps all other windows out of the shuffle.
 """
@@ -79,7 +84,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def canonical(texts: list[str | None], tokens: Tokens, inside: bool = False):
-    """Tokens of many texts in a row: (text number, token number, hash, is a slot).
+    """Tokens of many texts in a row: (text number, token number, sort).
 
     ``inside``: a text's first word counts as one inside a sentence.
     """
@@ -100,8 +105,7 @@ def canonical(texts: list[str | None], tokens: Tokens, inside: bool = False):
         sort[at[[tokens.words[n] in UNITS for n in number[at].tolist()]]] = UNIT
     sort[(sort == UNIT) & ~after_number] = LITERAL
     sort[(sort == NAME) & start] = LITERAL
-    slot = sort != LITERAL
-    return doc, number, np.where(slot, MARK[sort], tokens.hashes[number]), slot
+    return doc, number, sort
 
 
 def windows(doc: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,12 +120,30 @@ def windows(doc: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray,
     return at, mixed(total[at])
 
 
+def forms(doc: np.ndarray, number: np.ndarray, sort: np.ndarray, tokens: Tokens, size: int,
+          any_case: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The windows with typed names and, for ``any_case``, those that differ when names are words.
+
+    Each time their positions, their hashes and which tokens are slots.
+    """
+    words, slot = tokens.hashes[number], sort != LITERAL
+    at, typed = windows(doc, np.where(slot, MARK[sort], words), size)
+    yield at, typed, slot
+    if any_case and (sort == NAME).any():
+        slot = slot & (sort != NAME)
+        _, plain = windows(doc, np.where(slot, MARK[sort], words), size)
+        new = plain != typed
+        yield at[new], plain[new], slot
+
+
 def values(number: np.ndarray, slot: np.ndarray, tokens: Tokens, at: int, size: int) -> str:
     return SLOT.join([tokens.words[number[k]] for k in range(at, at + size) if slot[k]])
 
 
-def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item_id, text) -> (item_id, at, hash, slots, n): a row per window.
+def item_windows(batches: Iterator[pa.RecordBatch], any_case: bool = False) -> Iterator[pa.RecordBatch]:
+    """(item_id, text) -> (item_id, at, size, hash, slots, names, n): a row per window and form.
+
+    names: the window's names where they are words of the form, else null.
 
     The first window is given twice if it opens with a capital: an item may
     stand behind a word that ends no sentence.  An item of fewer tokens than a
@@ -133,22 +155,24 @@ def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for item, text in zip(ids, texts):
             seen = set()
             for inside in (False, True):
-                doc, number, hashes, slot = canonical([text], tokens, inside)
+                doc, number, sort = canonical([text], tokens, inside)
                 size = min(WINDOW, len(doc))
                 if not size:
                     continue
-                at, hs = windows(doc, hashes, size)
-                for p, h in zip(at.tolist()[:1] if inside else at.tolist(), hs.view(np.int64).tolist()):
-                    if (p, h) not in seen:
-                        seen.add((p, h))
-                        rows.append((item, p, size, h, values(number, slot, tokens, p, size), len(at)))
+                for at, hs, slot in forms(doc, number, sort, tokens, size, any_case):
+                    named = (sort != LITERAL) & ~slot
+                    for p, h in zip(at.tolist(), hs.view(np.int64).tolist()):
+                        if (p, h) not in seen and not (inside and p):
+                            seen.add((p, h))
+                            rows.append((item, p, size, h, values(number, slot, tokens, p, size),
+                                         values(number, named, tokens, p, size) or None, len(doc) - size + 1))
         if rows:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64()))],
-                names=["item_id", "item_at", "size", "hash", "item_slots", "item_windows"])
+                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64()))],
+                names=["item_id", "item_at", "size", "hash", "item_slots", "item_names", "item_windows"])
 
 
-def document_windows(docs: DataFrame, bitmap: bytes, sizes: list[int]) -> DataFrame:
+def document_windows(docs: DataFrame, bitmap: bytes, sizes: list[int], any_case: bool = False) -> DataFrame:
     """(doc_id, tk, doc_at, hash, doc_slots) of the windows whose hash is in the bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -160,10 +184,9 @@ def document_windows(docs: DataFrame, bitmap: bytes, sizes: list[int]) -> DataFr
                 if len(tokens) > CACHE:
                     tokens = Tokens()
                 part = b.slice(k, 128)
-                doc, number, hashes, slot = canonical(part.column(2).to_pylist(), tokens)
+                doc, number, sort = canonical(part.column(2).to_pylist(), tokens)
                 first = np.searchsorted(doc, doc)
-                for size in sizes:
-                    at, hs = windows(doc, hashes, size)
+                for size, (at, hs, slot) in ((n, x) for n in sizes for x in forms(doc, number, sort, tokens, n, any_case)):
                     where = (hs >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
                     hit = bits[where >> 3] >> (where & 7).astype(np.uint8) & 1 == 1
                     at, hs = at[hit], hs[hit]
@@ -189,20 +212,23 @@ def filter_bitmap(items: DataFrame) -> bytes:
     return bytes(out)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, any_case: bool = False) -> DataFrame:
     """(doc_id, tk, item_id, n_windows, item_windows, n_changed): a row per document and item it holds.
 
     n_windows: the item's windows that count; n_changed: those of them whose
     slots hold other values than the item's.  Items with the same text go under
     the smallest item_id.  Null or empty texts hold nothing; of repeated
     documents (same doc_id and text) there is one row; a null doc_id is kept.
+    any_case: names match in other letter cases as well.
     """
     texts = (benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull())
              .groupBy("text").agg(F.min(F.col("item_id").cast("long")).alias("item_id")).select("item_id", "text"))
-    items = written(texts.mapInArrow(item_windows, "item_id long, item_at long, size int, hash long, item_slots string, item_windows long"),
-                    "benchmark-windows")
+    items = written(texts.mapInArrow(lambda batches: item_windows(batches, any_case), "item_id long, item_at long, size int, hash long, "
+                                     "item_slots string, item_names string, item_windows long"), "benchmark-windows")
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())
-    hits = document_windows(docs, filter_bitmap(items), sizes).join(items.drop("size"), "hash")
+    hits = document_windows(docs, filter_bitmap(items), sizes, any_case).join(items.drop("size"), "hash")
+    slots = {c: F.concat_ws(SLOT, F.nullif(c, F.lit("")), "item_names") for c in ("item_slots", "doc_slots")}
+    hits = hits.withColumns(slots).drop("item_names")
     hits = written(hits.withColumn("shift", F.col("doc_at") - F.col("item_at")).drop("hash"), "window-hits")
     along = ["doc_id", "tk", "item_id", "shift"]
     slots = (hits.filter("item_slots <> ''")
@@ -224,7 +250,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item; columns as before."""
-    found = contamination(docs, benchmark, similarity).select(
+    found = contamination(docs, benchmark, similarity, any_case=True).select(
         F.col("doc_id").alias("_pliego_id"), F.col("tk").alias("_pliego_tk")).distinct()
     found = written(found, "contaminated")
     return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_pliego_id")) & (text_key() == F.col("_pliego_tk")), "left_anti")

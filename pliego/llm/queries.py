@@ -64,7 +64,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_decontamination")
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
-    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), any_case=True)
     return found.select("doc_id", "item_id", "n_windows", "item_windows", "n_changed",
                         F.round(F.col("n_windows") / F.col("item_windows"), 6).alias("share"))
 

@@ -106,3 +106,16 @@ def test_odd_rows(spark):
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 5]
     assert D.decontaminated(docs.limit(0), bench).count() == 0
     assert D.decontaminated(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_copies_in_other_letter_case(spark):
+    lines = ITEM.replace("called Maria", "called\nMaria").replace("did Maria", "did\nMaria")
+    texts = [ITEM, ITEM.lower(), ITEM.upper(), lines, "So: " + ITEM.lower(), ITEM.replace("Maria", "Pedro").upper()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    got = {r.doc_id: r for r in D.contamination(docs, items, any_case=True).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4]
+    assert all(r.n_windows == r.item_windows and not r.n_changed for r in got.values())
+    assert sorted(r.doc_id for r in D.decontaminated(docs, items).collect()) == [5]
+    back = spark.createDataFrame([(1, ITEM.lower())], "item_id long, text string")
+    assert sorted(r.doc_id for r in D.contamination(docs, back, any_case=True).collect()) == [0, 1, 2, 3, 4]
