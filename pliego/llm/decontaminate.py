@@ -13,6 +13,11 @@ in capitals or at the start of a sentence lacks.  With ``any_case`` windows with
 names are hashed a second time, the names as plain lower-cased words, and a
 window matches if either form does; a name matched so stands for itself.
 
+What holds no word says little: a window of slots only counts where its values
+are the item's own, or where the item's other windows along the alignment bear
+it out.  An item of fewer tokens than a window has no template: it is one window
+of plain words, held by the documents with just these tokens in a row.
+
 Documents are read in one pass of Arrow workers; a fixed-size bitmap of the
 benchmark's window hashes keeps all other windows out of the shuffle.
 """
@@ -124,12 +129,13 @@ def forms(doc: np.ndarray, number: np.ndarray, sort: np.ndarray, tokens: Tokens,
           any_case: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The windows with typed names and, for ``any_case``, those that differ when names are words.
 
-    Each time their positions, their hashes and which tokens are slots.
+    Each time their positions, their hashes and which tokens are slots.  Windows
+    of short items have no slots.
     """
-    words, slot = tokens.hashes[number], sort != LITERAL
+    words, slot = tokens.hashes[number], (sort != LITERAL) & (size == WINDOW)
     at, typed = windows(doc, np.where(slot, MARK[sort], words), size)
     yield at, typed, slot
-    if any_case and (sort == NAME).any():
+    if any_case and slot.any():
         slot = slot & (sort != NAME)
         _, plain = windows(doc, np.where(slot, MARK[sort], words), size)
         new = plain != typed
@@ -141,9 +147,10 @@ def values(number: np.ndarray, slot: np.ndarray, tokens: Tokens, at: int, size:
 
 
 def item_windows(batches: Iterator[pa.RecordBatch], any_case: bool = False) -> Iterator[pa.RecordBatch]:
-    """(item_id, text) -> (item_id, at, size, hash, slots, names, n): a row per window and form.
+    """(item_id, text) -> (item_id, at, size, hash, slots, names, bare, n, n_worded): a row per window and form.
 
     names: the window's names where they are words of the form, else null.
+    bare: all tokens are numbers, units or names; n_worded: windows that aren't bare.
 
     The first window is given twice if it opens with a capital: an item may
     stand behind a word that ends no sentence.  An item of fewer tokens than a
@@ -159,17 +166,20 @@ def item_windows(batches: Iterator[pa.RecordBatch], any_case: bool = False) -> I
                 size = min(WINDOW, len(doc))
                 if not size:
                     continue
+                if not inside:
+                    bare = [size == WINDOW and bool((sort[p:p + size] != LITERAL).all()) for p in range(len(doc) - size + 1)]
                 for at, hs, slot in forms(doc, number, sort, tokens, size, any_case):
-                    named = (sort != LITERAL) & ~slot
+                    named = (sort != LITERAL) & ~slot & (size == WINDOW)
                     for p, h in zip(at.tolist(), hs.view(np.int64).tolist()):
                         if (p, h) not in seen and not (inside and p):
                             seen.add((p, h))
                             rows.append((item, p, size, h, values(number, slot, tokens, p, size),
-                                         values(number, named, tokens, p, size) or None, len(doc) - size + 1))
+                                         values(number, named, tokens, p, size) or None,
+                                         size == WINDOW and bool((sort[p:p + size] != LITERAL).all()), len(bare), bare.count(False)))
         if rows:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64()))],
-                names=["item_id", "item_at", "size", "hash", "item_slots", "item_names", "item_windows"])
+                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()))],
+                names=["item_id", "item_at", "size", "hash", "item_slots", "item_names", "bare", "item_windows", "item_worded"])
 
 
 def document_windows(docs: DataFrame, bitmap: bytes, sizes: list[int], any_case: bool = False) -> DataFrame:
@@ -220,15 +230,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     the smallest item_id.  Null or empty texts hold nothing; of repeated
     documents (same doc_id and text) there is one row; a null doc_id is kept.
     any_case: names match in other letter cases as well.
+
+    An item of fewer than WINDOW tokens is held by a document with the same
+    tokens in a row, in any letter case, and never re-parameterised.  A window
+    of slots only with other values than the item's counts if as many worded
+    windows count along its alignment as there are such windows, and at least
+    ``similarity`` of the item's worded ones.
     """
     texts = (benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull())
              .groupBy("text").agg(F.min(F.col("item_id").cast("long")).alias("item_id")).select("item_id", "text"))
     items = written(texts.mapInArrow(lambda batches: item_windows(batches, any_case), "item_id long, item_at long, size int, hash long, "
-                                     "item_slots string, item_names string, item_windows long"), "benchmark-windows")
+                                     "item_slots string, item_names string, bare boolean, item_windows long, item_worded long"), "benchmark-windows")
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())
     hits = document_windows(docs, filter_bitmap(items), sizes, any_case).join(items.drop("size"), "hash")
-    slots = {c: F.concat_ws(SLOT, F.nullif(c, F.lit("")), "item_names") for c in ("item_slots", "doc_slots")}
-    hits = hits.withColumns(slots).drop("item_names")
+    named = {c: F.concat_ws(SLOT, F.nullif(c, F.lit("")), "item_names") for c in ("item_slots", "doc_slots")}
+    hits = hits.withColumns(named).drop("item_names")
     hits = written(hits.withColumn("shift", F.col("doc_at") - F.col("item_at")).drop("hash"), "window-hits")
     along = ["doc_id", "tk", "item_id", "shift"]
     slots = (hits.filter("item_slots <> ''")
@@ -240,6 +256,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     same = [F.col(c).eqNullSafe(F.col(f"in_{c}")) for c in along]
     sound = (hits.join(slots, same, "left")
              .filter(F.col("broken").isNull() | ~F.arrays_overlap(F.split("item_slots", SLOT), F.col("broken"))))
+    if not items.filter("bare").isEmpty():
+        backed = (sound.filter(~F.col("bare")).groupBy(*along, "item_windows", "item_worded").agg(F.countDistinct("item_at").alias("n"))
+                  .filter((F.col("n") >= F.lit(similarity) * F.col("item_worded")) & (F.col("n") >= F.col("item_windows") - F.col("item_worded")))
+                  .select(*[F.col(c).alias(f"in_{c}") for c in along]))
+        sound = sound.drop(*slots.columns)
+        weak = F.col("bare") & (F.col("item_slots") != F.col("doc_slots"))
+        sound = sound.filter(~weak).unionByName(sound.filter(weak).join(backed, same, "left_semi"))
     per_window = sound.groupBy("doc_id", "tk", "item_id", "item_windows", "item_at").agg(
         F.min((F.col("item_slots") != F.col("doc_slots")).cast("int")).alias("changed"))
     return (per_window.groupBy("doc_id", "tk", "item_id", "item_windows")

@@ -119,3 +119,15 @@ def test_copies_in_other_letter_case(spark):
     assert sorted(r.doc_id for r in D.decontaminated(docs, items).collect()) == [5]
     back = spark.createDataFrame([(1, ITEM.lower())], "item_id long, text string")
     assert sorted(r.doc_id for r in D.contamination(docs, back, any_case=True).collect()) == [0, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("any_case", [False, True])
+def test_short_and_numeric_items(spark, any_case):
+    bare = "Sum: 12 + 7 + 5 + 3 + 9 + 4 = 40"
+    sums = "Please work out 12 + 7 * 3 - 4 / 2 + 9 and give the result of it as x"
+    items = [(1, "12 + 7 = 19"), (2, "We met Maria"), (3, bare), (4, sums), (5, "1 2 3 4 5 6 7 8")]
+    docs = [(1, "There are 3, 4, 5, 8, 9, 10 and 11."), (2, "He says 12 + 7 = 19 here"), (3, "we met maria."), (4, "Then we met Pedro."),
+            (5, "I add " + bare.lower()), (6, "A sum 4 8 9 6 7 5 3 2"), (7, sums.replace("12", "31").replace("9", "6")), (8, "is 1 2 3 4 5 6 7 8")]
+    got = D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), any_case=any_case)
+    assert {(r.doc_id, r.item_id): (r.n_windows == r.item_windows, r.n_changed > 0) for r in got.collect()} == {
+        (2, 1): (True, False), (3, 2): (True, False), (5, 3): (True, False), (7, 4): (True, True), (8, 5): (True, False)}
