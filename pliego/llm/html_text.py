@@ -3,7 +3,7 @@
 A tree builder reads tags and text, closes elements that HTML leaves open
 (``<p>``, ``<li>``, table parts, ``<option>``, ``<dt>``), opens missing table
 rows, and drops end tags without a start.  The renderer leaves out what a
-browser does not show, separates blocks, indents and marks list items, sets
+browser with a window of ``SCREEN`` pixels does not show, separates blocks, indents and marks list items, sets
 table cells in aligned columns and keeps the lines of ``<pre>``.
 """
 from __future__ import annotations
@@ -21,7 +21,7 @@ from .common import add_columns
 # Fixed values of HTML: element sorts, what an opening tag closes, and how far it looks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-UNSEEN = frozenset("head script style template title noscript iframe object audio video canvas svg math datalist "
+UNSEEN = frozenset("head script style template title noscript iframe object audio video canvas datalist "
                    "noembed noframes area base col link meta param source track".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure "
                   "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre "
@@ -37,10 +37,17 @@ ENDS_P = BLOCK - {"body", "html", "option", "optgroup", "caption", "legend"}
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*(?:>|$)", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?(?=[\s;]|$)", re.I)
+CSS = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|[{};]|[^{};\"']+|[\"']", re.S)
 SELECTOR = re.compile(r"([a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)$")
 WHITE = re.compile(r"[ \t\n\r\f]+")
+#: Elements inside svg or math that show nothing.
+FOREIGN_UNSEEN = frozenset("title desc defs metadata symbol clippath mask marker pattern annotation annotation-xml mphantom".split())
+MEDIA = re.compile(r"(?:(not|only)\s+)?([a-z][\w-]*)?\s*(?:\band\b)?(.*)", re.S)
+FEATURE = re.compile(r"(?:(min|max)-)?(?:device-)?(width|height)\s*(:|[<>]=?|=)\s*(\d*\.?\d+)(px|em|rem|)")
+#: Window that media queries are answered for, and its other features.
+SCREEN = {"width": 1280, "height": 720}
+FEATURES = {"orientation": "landscape", "hover": "hover", "pointer": "fine", "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference"}
 #: Widest table cell that others are padded to; longer cells keep their text and break the alignment.
 CELL = 60
 
@@ -60,10 +67,11 @@ def attributes(tag: str, start: int) -> dict[str, str]:
     return out
 
 
-def build(source: str) -> tuple[Node, list[str]]:
-    """The tree of a page and the texts of its style sheets."""
+def build(source: str, aria_hides: bool = False) -> tuple[Node, list[str]]:
+    """The tree of a page and the texts of its style sheets for screens."""
     root = Node("#root", {})
     stack, styles, at = [root], [], 0
+    foreign = re.search(r"<(?:svg|math)\b", source, re.I) is not None
 
     def text(s: str) -> None:
         if s:
@@ -112,6 +120,15 @@ def build(source: str) -> tuple[Node, list[str]]:
             stack.append(element("tr", {}))
         attrs = attributes(tag, found.end())
         node = element(name, attrs)
+        if aria_hides and attrs.get("aria-hidden", "").lower() == "true":
+            attrs["hidden"] = ""
+        if foreign and (name in FOREIGN_UNSEEN or name == "text" or tag.endswith("/>")) and any(n.tag in ("svg", "math") for n in stack):
+            if name in FOREIGN_UNSEEN:
+                attrs["hidden"] = ""
+            elif name == "text":
+                attrs["svg text"] = ""
+            if tag.endswith("/>"):
+                continue
         if name in VOID or tag.endswith("/>") and name not in RAW and name in VOID:
             continue
         if name in RAW:
@@ -119,39 +136,137 @@ def build(source: str) -> tuple[Node, list[str]]:
             raw = source[at:end.start() if end else len(source)]
             at = len(source) if not end else source.find(">", end.start()) + 1 or len(source)
             if name == "style":
-                styles.append(raw)
+                if on_screen(attrs.get("media", "")):
+                    styles.append(raw)
             elif name == "textarea":
                 node.children.append(html.unescape(raw))
             continue
         stack.append(node)
 
 
-def hidden_rules(styles: list[str]) -> list[tuple[str, frozenset[str], str]]:
-    """Selectors of one element (tag, classes, id) whose rule hides it."""
-    out = []
-    for s in styles:
-        s = re.sub(r"/\*.*?\*/", "", s, flags=re.S)
-        for m in RULE.finditer(s):
-            if HIDING.search(m[2]):
-                for part in m[1].split(","):
-                    sel = SELECTOR.match(part.strip())
-                    if sel and sel[0]:
-                        marks = re.findall(r"[.#][\w-]+", sel[2])
-                        out.append(((sel[1] or "").lower(), frozenset(x[1:] for x in marks if x[0] == "."),
-                                    next((x[1:] for x in marks if x[0] == "#"), "")))
+def feature(text: str) -> bool | None:
+    """If a media feature holds for SCREEN; None if that isn't known."""
+    m = FEATURE.fullmatch(text)
+    if not m:
+        name, _, value = (x.strip() for x in text.partition(":"))
+        return FEATURES[name] == value if name in FEATURES and value else None
+    if bool(m[1]) and m[3] != ":" or not m[5] and float(m[4]):
+        return None
+    own, value = SCREEN[m[2]], float(m[4]) * (16 if m[5] in ("em", "rem") else 1)
+    sort = {"min": ">=", "max": "<="}.get(m[1], m[3])
+    return {">=": own >= value, "<=": own <= value, ">": own > value, "<": own < value}.get(sort, own == value)
+
+
+def on_screen(media: str) -> bool:
+    """If one of the media queries surely holds on a screen; an empty list does."""
+    for query in media.lower().split(",") if media.strip() else ():
+        m = MEDIA.fullmatch(query.strip())
+        kind, rest = m[2] or "all", m[3].strip()
+        inner = [feature(x.strip()) for x in re.findall(r"\(([^()]*)\)", rest)]
+        if not m[2] and not inner or re.search(r"\(\s*\(|\bnot\b", rest):
+            continue
+        if re.search(r"\bor\b", rest):
+            holds = True if True in inner else None if None in inner else False
+        else:
+            holds = False if False in inner else None if None in inner else True
+        if kind not in ("all", "screen"):
+            holds = False
+        if holds is (m[1] != "not"):
+            return True
+    return not media.strip()
+
+
+def sheet_rules(sheet: str) -> list[tuple[str, str]]:
+    """(selectors, declarations) of the rules that hold on a screen, in their order.
+
+    Rules nested in others, and in at-rules that may not hold, are left out.
+    """
+    out: list[tuple[str, str]] = []
+    blocks: list[tuple[str, str, list[str]]] = [("group", "", [])]
+    lead = ""
+    for t in [*CSS.findall(re.sub(r"/\*.*?(?:\*/|$)", "", sheet, flags=re.S)), None]:
+        while t in ("}", None) and len(blocks) > 1:  # the end closes what is open
+            kind, selectors, own = blocks.pop()
+            if kind == "rule":
+                out.append((selectors, ";".join([*own, lead])))
+            lead = ""
+            if t:
+                break
+        if t == "{":
+            head, lead, kind = lead.strip(), "", "rule"
+            name, _, rest = head.partition("(") if head[:7].lower() == "@media(" else head.partition(" ")
+            if blocks[-1][0] != "group":
+                kind = "skip"
+            elif head.startswith("@"):
+                holds = {"@media": lambda: on_screen(head[6:]), "@layer": lambda: True,
+                         "@supports": lambda: not rest.strip().lower().startswith("not")}.get(name.split("\n")[0].strip().lower())
+                kind = "group" if holds and holds() else "skip"
+            blocks.append((kind, head, []))
+        elif t == ";":
+            blocks[-1][2].append(lead)
+            lead = ""
+        elif t not in ("}", None):
+            lead += t
+    return out
+
+
+def declared(style: str) -> dict[str, tuple[bool, str]]:
+    """display and visibility of a list of declarations: (is important, value)."""
+    out: dict[str, tuple[bool, str]] = {}
+    for m in DECLARED.finditer(style):
+        name, value = m[1].lower(), (bool(m[3]), m[2].lower())
+        if value[0] >= out.get(name, value)[0]:
+            out[name] = value
     return out
 
 
-def hidden(node: Node, rules: list) -> bool:
+def hidden_rules(styles: list[str]) -> dict[str, list[tuple]]:
+    """Rules of one element (tag, classes, id) on its display or visibility, under one of their marks.
+
+    Empty if none of them hides anything.
+    """
+    out: dict[str, list[tuple]] = {}
+    order, hides = 0, False
+    for s in styles:
+        for selectors, text in sheet_rules(s):
+            own = declared(text)
+            if not own:
+                continue
+            for part in selectors.split(","):
+                sel = SELECTOR.match(part.strip())
+                if sel and sel[0]:
+                    marks = re.findall(r"[.#][\w-]+", sel[2])
+                    tag, classes = (sel[1] or "").lower(), frozenset(x[1:] for x in marks if x[0] == ".")
+                    ids = [x for x in marks if x[0] == "#"]
+                    order, hides = order + 1, hides or hiding(own)
+                    rank = (False, len(ids), len(marks) - len(ids), bool(tag), order)
+                    out.setdefault((ids or marks or [tag])[0], []).append((tag, classes, ids[0][1:] if ids else "", rank, own))
+    return out if hides else {}
+
+
+def hiding(own: dict[str, tuple[bool, str]]) -> bool:
+    return own.get("display", (0, ""))[1] == "none" or own.get("visibility", (0, ""))[1] in ("hidden", "collapse")
+
+
+def hidden(node: Node, rules: dict[str, list[tuple]]) -> bool:
     a = node.attrs
-    if node.tag in UNSEEN or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or HIDING.search(a.get("style", "")):
+    if node.tag in UNSEEN or "hidden" in a:
         return True
     if node.tag == "input" or node.tag == "dialog" and "open" not in a:
         return True
-    if rules:
-        classes = set(a.get("class", "").split())
-        return any((not tag or tag == node.tag) and cs <= classes and (not i or i == a.get("id")) for tag, cs, i in rules)
-    return False
+    inline = declared(a["style"]) if "style" in a else {}
+    if not rules:
+        return hiding(inline)
+    best = {k: ((v[0], True), v[1]) for k, v in inline.items()}
+    classes = set(a.get("class", "").split())
+    for key in (node.tag, f"#{a.get('id')}", *("." + c for c in classes)):
+        for tag, cs, i, rank, own in rules.get(key, ()):
+            if (not tag or tag == node.tag) and cs <= classes and (not i or i == a.get("id")):
+                for k, (important, value) in own.items():
+                    at = (important, *rank)
+                    if k not in best or at > best[k][0]:
+                        best[k] = (at, value)
+    return hiding({k: (False, v) for k, (_, v) in best.items()})
 
 
 class Page:
@@ -204,7 +319,7 @@ class Page:
         return "\n".join(self.lines).strip("\n")
 
 
-def render(node: Node, rules: list, page: Page) -> None:
+def render(node: Node, rules: dict, page: Page) -> None:
     """Adds what shows of a tree to a page.  A stack of steps instead of recursion: pages nest deeply."""
     steps: list[tuple] = [("in", node, False, [])]
     while steps:
@@ -254,6 +369,9 @@ def render(node: Node, rules: list, page: Page) -> None:
         elif tag in ("blockquote", "dd"):
             page.indent.append("    ")
             after.append(page.indent.pop)
+        elif "svg text" in n.attrs:
+            page.end()
+            after.append(page.end)
         elif tag == "q":
             page.add('"')
             after.append(lambda: page.add('"'))
@@ -268,7 +386,7 @@ def render(node: Node, rules: list, page: Page) -> None:
         steps += [("in", c, pre, lists) for c in reversed(children)]
 
 
-def table_lines(table: Node, rules: list) -> list[str]:
+def table_lines(table: Node, rules: dict) -> list[str]:
     """The rows of a table, cells in columns of even width; lines of a cell stand below each other."""
     rows, lines = [], []
     todo = list(reversed(table.children))
@@ -310,7 +428,7 @@ def span(cell) -> int:
     return max(1, min(1000, int(s))) if s.isdecimal() and len(s) < 6 else 1
 
 
-def cell_lines(cell, rules: list) -> list[str]:
+def cell_lines(cell, rules: dict) -> list[str]:
     page = Page()
     if isinstance(cell, str):
         page.add(cell)
@@ -321,18 +439,24 @@ def cell_lines(cell, rules: list) -> list[str]:
     return [x for x in page.text().split("\n") if x] or [""]
 
 
-def html_to_text(source: str | None) -> str | None:
-    """The visible text of a page; null stays null, an empty page gives an empty text."""
+def html_to_text(source: str | None, aria_hides: bool = True) -> str | None:
+    """The visible text of a page; null stays null, an empty page gives an empty text.
+
+    aria_hides: text hidden from screen readers only is left out as well.
+    """
     if not source:
         return source
-    root, styles = build(source)
+    root, styles = build(source, aria_hides)
     page = Page()
     render(root, hidden_rules(styles), page)
     return page.text()
 
 
 def extract_text(df: DataFrame, html_col: str = "html") -> DataFrame:
-    """``df`` with ``text``, the rendered page; an input column of that name is replaced, repeated rows stay."""
+    """``df`` with ``text``, the rendered page; an input column of that name is replaced, repeated rows stay.
+
+    Text with ``aria-hidden`` is on the screen and stays.
+    """
     def make():
-        return lambda pages: [pa.array([html_to_text(p) for p in pages], pa.string())]
+        return lambda pages: [pa.array([html_to_text(p, aria_hides=False) for p in pages], pa.string())]
     return add_columns(df, html_col, T.StructType([T.StructField("text", T.StringType())]), make)

@@ -90,3 +90,30 @@ def test_odd_rows(spark):
     assert out.columns == ["page_id", "html", "text"]
     assert sorted((r.page_id or 0, r.text or "") for r in out.collect()) == [(0, "b"), (1, ""), (2, ""), (3, "a"), (3, "a")]
     assert H.extract_text(df.limit(0)).count() == 0
+
+
+X = "<p class=x>x</p>w"
+SHEETS = [
+    ("@media print{.x{display:none}}", "x\n\nw"), ("@media print{body{display:none}} p{color:red}", "x\n\nw"),
+    ("@media (max-width:600px){.x{display:none}}", "x\n\nw"), ("@media(min-width:600px){.x{display:none}}", "w"),
+    ("@media screen and (min-width: 40em), print{.x{display:none}}", "w"), ("@media not print{.x{display:none}}", "w"),
+    ("@media (unheard-of){.x{display:none}}", "x\n\nw"), ("@media screen{@media print{.x{display:none}}}", "x\n\nw"),
+    ("@media screen{\n.x{display:none}} .y{color:red}", "w"), ("@import 'a;{b'; .x{display:none", "w"),
+    (".x{display:none} .x{display:block}", "x\n\nw"), (".x{display:block} p{display:none}", "x\n\nw"),
+    (".x{display:none!important} p.x{display:block}", "w"), (".x{display:none;display:block}", "x\n\nw"),
+    (".q{content:'}'} .x{visibility:hidden}", "w"), ("b{.x{display:none}}", "x\n\nw"), ("@supports (display:grid){.x{display:none}}", "w"),
+]
+
+
+@pytest.mark.parametrize("sheet,want", SHEETS)
+def test_style_sheets(sheet, want):
+    assert H.html_to_text(f"<style>{sheet}</style>{X}") == want
+
+
+def test_all_visible_text(spark):
+    pages = [("<style media=print>.x{display:none}</style>" + X, "x\n\nw"), ("<style>.x{display:none}</style><p class=x style='display:block'>x</p>w", "x\n\nw"),
+             ("<p aria-hidden=true>x</p>w", "x\n\nw"), ("a <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>t</annotation></math> b", "a x=1 b"),
+             ("<svg><title>t</title><desc>d</desc><defs><text>e</text></defs><path/><text>f</text><text>g</text></svg>h", "f\ng\nh"),
+             ("<svg><defs/><text>f</text></svg>", "f")]
+    got = H.extract_text(spark.createDataFrame([(i, p) for i, (p, _) in enumerate(pages)], "page_id long, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: t for i, (_, t) in enumerate(pages)}
