@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -319,7 +319,20 @@ class Page:
         return "\n".join(self.lines).strip("\n")
 
 
-def render(node: Node, rules: dict, page: Page) -> None:
+def finished(step: Generator):
+    """What a generator returns.  Those it yields are run first, on a stack instead of in frames: tables nest deeply."""
+    stack, value = [step], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
+
+
+def render(node: Node, rules: dict, page: Page) -> Generator:
     """Adds what shows of a tree to a page.  A stack of steps instead of recursion: pages nest deeply."""
     steps: list[tuple] = [("in", node, False, [])]
     while steps:
@@ -341,7 +354,7 @@ def render(node: Node, rules: dict, page: Page) -> None:
             continue
         if tag == "table":
             page.gap()
-            for line in table_lines(n, rules):
+            for line in (yield table_lines(n, rules)):
                 page.line.append(line)
                 page.end(True)
             page.gap()
@@ -386,7 +399,7 @@ def render(node: Node, rules: dict, page: Page) -> None:
         steps += [("in", c, pre, lists) for c in reversed(children)]
 
 
-def table_lines(table: Node, rules: dict) -> list[str]:
+def table_lines(table: Node, rules: dict) -> Generator:
     """The rows of a table, cells in columns of even width; lines of a cell stand below each other."""
     rows, lines = [], []
     todo = list(reversed(table.children))
@@ -401,9 +414,12 @@ def table_lines(table: Node, rules: dict) -> list[str]:
             todo += reversed(n.children)
         elif n.tag == "tr":
             cells = [c for c in n.children if isinstance(c, str) and c.strip() or isinstance(c, Node) and not hidden(c, rules)]
-            rows.append([(cell_lines(c, rules), span(c)) for c in cells])
+            row = []
+            for c in cells:
+                row.append(((yield cell_lines(c, rules)), span(c)))
+            rows.append(row)
         else:
-            rows.append([(cell_lines(n, rules), 1)])
+            rows.append([((yield cell_lines(n, rules)), 1)])
     width: dict[int, int] = {}
     for cells in rows:
         at = 0
@@ -428,14 +444,14 @@ def span(cell) -> int:
     return max(1, min(1000, int(s))) if s.isdecimal() and len(s) < 6 else 1
 
 
-def cell_lines(cell, rules: dict) -> list[str]:
+def cell_lines(cell, rules: dict) -> Generator:
     page = Page()
     if isinstance(cell, str):
         page.add(cell)
     else:
         inner = Node("#cell", {})
         inner.children = cell.children if cell.tag in ("td", "th", "caption") else [cell]
-        render(inner, rules, page)
+        yield render(inner, rules, page)
     return [x for x in page.text().split("\n") if x] or [""]
 
 
@@ -448,7 +464,7 @@ def html_to_text(source: str | None, aria_hides: bool = True) -> str | None:
         return source
     root, styles = build(source, aria_hides)
     page = Page()
-    render(root, hidden_rules(styles), page)
+    finished(render(root, hidden_rules(styles), page))
     return page.text()
 
 

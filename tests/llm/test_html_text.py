@@ -117,3 +117,9 @@ def test_all_visible_text(spark):
              ("<svg><defs/><text>f</text></svg>", "f")]
     got = H.extract_text(spark.createDataFrame([(i, p) for i, (p, _) in enumerate(pages)], "page_id long, html string")).collect()
     assert {r.page_id: r.text for r in got} == {i: t for i, (_, t) in enumerate(pages)}
+
+
+def test_deeply_nested_tables():
+    assert H.html_to_text("<table><tr><td>" * 5000 + "x" + "</table>" * 5000 + "y") == "x\n\ny"
+    assert H.html_to_text("<table><td>a" * 500).split() == ["a"] * 500
+    assert H.html_to_text("<table><td>" * 5000 + "x") == "x"
