@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,9 +100,12 @@ SELECT doc_id, CAST(bytes AS BIGINT) AS bytes, shard, CAST(n AS INTEGER) AS dept
 FROM s WHERE shard_bytes <= {SHARD_BYTES} OR shard_rows = 1
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n) = 1""")
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sharding import extendible_shards
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
-    return extendible_shards(docs, "doc_id", F.col("bytes"), SHARD_BYTES)
+    from .sharding import NEW, extendible_shards, read_shards, write_shards
+    docs = table(spark, sf_dir, "documents").withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    out = extendible_shards(docs, "doc_id", F.col("bytes"), SHARD_BYTES)
+    path = new_folder(spark, "document-shards")
+    write_shards(out, path)
+    return read_shards(spark, path, out.schema).select("doc_id", "bytes", *NEW)
 
 
 @query("op3_html_text")

@@ -15,8 +15,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import join_unique, without, written
 
@@ -136,4 +137,9 @@ def chained(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def write_shards(sharded: DataFrame, path: str) -> None:
     """One folder per shard and part, each written by one task."""
-    sharded.repartition("shard", "part").write.partitionBy("shard", "part").parquet(path)
+    sharded.repartition("shard", "part").write.option("compression", "zstd").partitionBy("shard", "part").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows written by ``write_shards``; the folder of the shard without a bit has no name."""
+    return spark.read.schema(schema).parquet(path).withColumn("shard", F.coalesce("shard", F.lit(""))).select(*schema.names)

@@ -75,3 +75,22 @@ def test_only_built_in_functions(spark, sf_dir):
     from pliego.llm.queries import QUERIES
     plan = QUERIES["op6_sharding"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_query_writes_whole_documents(spark, sf_dir, monkeypatch):
+    from pliego.llm.queries import QUERIES
+    paths, write = [], S.write_shards
+    monkeypatch.setattr(S, "write_shards", lambda df, path: (paths.append(path), write(df, path)))
+    got = QUERIES["op6_sharding"](spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    back = spark.read.parquet(paths[0]).select(*docs.columns)
+    assert back.exceptAll(docs).isEmpty() and docs.exceptAll(back).isEmpty()
+    assert got.inputFiles() and all(f"{paths[0].rsplit('/', 1)[1]}/shard=" in p for p in got.inputFiles())
+
+
+def test_single_shard_reads_back(spark, tmp_path):
+    out = sharded(spark, [(1, 5), (2, 6)], 100)
+    S.write_shards(out, str(tmp_path / "one"))
+    assert sorted(map(tuple, S.read_shards(spark, str(tmp_path / "one"), out.schema).collect())) == [(1, 5, "", 0, 0, 2, 11), (2, 6, "", 0, 0, 2, 11)]
+    S.write_shards(out.limit(0), str(tmp_path / "none"))
+    assert S.read_shards(spark, str(tmp_path / "none"), out.schema).count() == 0
