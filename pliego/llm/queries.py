@@ -133,3 +133,10 @@ def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .recompress import substring_dedup
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op11_minhash")
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import minhash_groups
+    g = minhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85, shingle=3)
+    return g.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -18,5 +18,5 @@ def test_query_matches_sql(spark, sf_dir, name):
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in df.select(*cols).collect()) and want
 
 
-def test_all_ten_and_the_pipeline():
-    assert [q.split("_")[0] for q in sorted(QUERIES, key=lambda q: (len(q.split("_")[0]), q))] == [*(f"op{n}" for n in range(1, 11)), "pipeline"]
+def test_all_operators_and_the_pipeline():
+    assert [q.split("_")[0] for q in sorted(QUERIES, key=lambda q: (len(q.split("_")[0]), q))] == [*(f"op{n}" for n in range(1, 12)), "pipeline"]
