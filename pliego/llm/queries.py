@@ -140,3 +140,36 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import minhash_groups
     g = minhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85, shingle=3)
     return g.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+@query("op13_collocations", r"""
+WITH d AS (
+  SELECT COALESCE(lang, 'und') AS lang,
+         translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM p),
+g AS (
+  SELECT lang, k AS words, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+  FROM w, (VALUES (1), (2), (3)) v(k) WHERE len(ws) >= k),
+f AS (SELECT lang, words, phrase, COUNT(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, SUM(f) AS n FROM f WHERE words = 1 GROUP BY lang),
+c AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE words > 1 AND f >= 10),
+cut AS (
+  SELECT c.lang, c.words, c.phrase, a, k, x.f AS l, y.f AS r,
+         (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM c JOIN (VALUES (1), (2)) v(k) ON k < c.words
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[k + 1:], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, phrase, MAX(a) AS longer FROM (
+    SELECT lang, array_to_string(ws[1:2], ' ') AS phrase, a FROM c WHERE words = 3
+    UNION ALL SELECT lang, array_to_string(ws[2:3], ' '), a FROM c WHERE words = 3) GROUP BY ALL),
+kept AS (
+  SELECT best.* FROM best LEFT JOIN inner_ USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN n USING (lang)
+WHERE rank <= 2000""")
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"), top=2000)
