@@ -142,6 +142,12 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+    return whiten(table(spark, sf_dir, "embeddings"), top=8).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 @query("op13_collocations", r"""
 WITH d AS (
   SELECT COALESCE(lang, 'und') AS lang,
