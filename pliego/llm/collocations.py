@@ -24,16 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bitmap_of, held_in, written
 
 #: Counters of a summary and hash counts that a task holds before it sends them on.
 CAPACITY = 1 << 18
 HELD = 1 << 21
 #: Bytes of text worked on at a time (a longer text is one part).
 PART = 1 << 20
-#: Bits of a bitmap for each survivor, and their bounds.
-BITS_EACH = 16
-BITS_LEAST, BITS_MOST = 20, 28
 #: Phrases of a task in the second pass.
 PHRASES = 400_000
 #: Rows of one group in a ranking step.
@@ -116,11 +113,6 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, pa.RecordB
             lo = hi
 
 
-def held_in(bitmap: np.ndarray, x: np.ndarray) -> np.ndarray:
-    slot = x & np.uint64(len(bitmap) * 64 - 1)
-    return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in ascending order with their counts added up."""
     if not len(keys):
@@ -220,18 +212,6 @@ def survivors(counts: DataFrame, partitions: int, threshold: int, capacity: int)
     return counts.repartition(partitions, "h").mapInArrow(run, "h long")
 
 
-def bitmap_of(hashes: DataFrame, rows: int) -> bytes:
-    """Bitmap of hashes: a power of two of bits, at most 2 ** ``BITS_MOST`` (32 MB) whatever the table."""
-    bits = min(BITS_MOST, max(BITS_LEAST, (BITS_EACH * rows).bit_length()))
-    slot = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
-    words = hashes.groupBy(F.shiftright(slot, 6).cast("int").alias("w")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(h & 63 as int))")).alias("b"))
-    got = words.toArrow()
-    out = np.zeros(1 << bits - 6, np.int64)
-    out[got.column("w").to_numpy()] = got.column("b").to_numpy()
-    return out.tobytes()
-
-
 def frequent_hashes(docs: DataFrame, max_words: int, threshold: int) -> list[bytes]:
     """A bitmap for each phrase length that holds every n-gram of ``threshold`` occurrences or more."""
     spark = docs.sparkSession
@@ -241,7 +221,7 @@ def frequent_hashes(docs: DataFrame, max_words: int, threshold: int) -> list[byt
     for words in range(1, max_words + 1):
         sent = spark.sparkContext.broadcast(maps) if maps else None
         left = written(survivors(hash_counts(docs, words, sent), partitions, threshold, CAPACITY), f"frequent-{words}")
-        maps = [*maps, bitmap_of(left, left.count())]
+        maps = [*maps, bitmap_of(left, "h", left.count())]
         if sent:
             sent.unpersist()
     return maps

@@ -5,6 +5,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,3 +103,30 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, rows: str, total: i
     hot_keys = F.broadcast(hot.select(F.col(key)))
     return (left.join(F.broadcast(hot.drop(rows)), key, "inner")
             .unionByName(left.join(hot_keys, key, "left_anti").join(cold, key, "left")))
+
+
+#: Bits of a bitmap for each of its rows, and their bounds as powers of two (32 MB at most).
+BITS_EACH = 16
+BITS_LEAST, BITS_MOST = 20, 28
+
+
+def bitmap_of(df: DataFrame, col: str, rows: int) -> bytes:
+    """Bitmap of a column of hashes: at most 2 ** ``BITS_MOST`` bits whatever the table.
+
+    It holds every hash; what else it holds by chance grows once the rows pass
+    its bits, so it may only decide what work is left out, never a result.
+    """
+    bits = min(BITS_MOST, max(BITS_LEAST, (BITS_EACH * rows).bit_length()))
+    slot = F.col(col).bitwiseAND(F.lit((1 << bits) - 1))
+    words = df.groupBy(F.shiftright(slot, 6).cast("int").alias("w")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(`{col}` & 63 as int))")).alias("b"))
+    got = words.toArrow()
+    out = np.zeros(1 << bits - 6, np.int64)
+    out[got.column("w").to_numpy()] = got.column("b").to_numpy()
+    return out.tobytes()
+
+
+def held_in(bitmap: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of the hashes (uint64) a bitmap (uint64 words) holds."""
+    slot = x & np.uint64(len(bitmap) * 64 - 1)
+    return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_digest
 
-from .common import join_unique, slices, text_key, written
+from .common import bitmap_of, held_in, join_unique, slices, text_key, written
 from .simhash import components
 
 #: Codes of a signature.
@@ -129,13 +129,18 @@ def chunk_keys(sigs: np.ndarray, radius: int) -> np.ndarray:
     return mixed((sums[:, of] - terms) ^ SPREAD[:hashes]).view(np.int64)
 
 
-def bands(reps: DataFrame, radius: int) -> DataFrame:
-    """(key, rep): the keys of each representative."""
+def bands(reps: DataFrame, radius: int, bitmap=None) -> DataFrame:
+    """(key, rep): the keys of each representative; with a (broadcast) bitmap those that it holds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap.value, np.uint64) if bitmap else None
         for b in slices(batches):
             keys = chunk_keys(codes(b.column(1)), radius)
             rep = np.repeat(b.column(0).to_numpy(), keys.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(rep)], names=["key", "rep"])
+            keys = keys.ravel()
+            if bitmap:
+                held = held_in(bits, keys.view(np.uint64))
+                keys, rep = keys[held], rep[held]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rep)], names=["key", "rep"])
     return reps.select("rep", "sig").mapInArrow(run, "key long, rep long")
 
 
@@ -243,9 +248,11 @@ def dealt(rows: DataFrame, group: str, strange: Column, weight: Column) -> DataF
 
 def near_links(reps: DataFrame, radius: int) -> DataFrame:
     """Links (u, v) that connect all representatives (rep, sig) within ``radius`` codes."""
-    rows = bands(reps, radius)
-    shared = rows.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("top"), F.count("*").alias("n"))
-    members = written(rows.join(shared.filter("center < top").drop("top"), "key"), "members")
+    shared = written(bands(reps, radius).groupBy("key").agg(
+        F.min("rep").alias("center"), F.max("rep").alias("top"), F.count("*").alias("n")).filter("center < top").drop("top"), "shared")
+    # most keys have one member: those stay where they are
+    sent = reps.sparkSession.sparkContext.broadcast(bitmap_of(shared, "key", shared.count()))
+    members = written(bands(reps, radius, sent).join(shared, "key"), "members")
     sig = reps.select("rep", "sig")
     pairs = members.filter("rep > center").select(F.col("center").alias("u"), F.col("rep").alias("v")).distinct()
     first = written(within(pairs.join(sig.toDF("u", "a"), "u").join(sig.toDF("v", "b"), "v"), radius), "links")
