@@ -28,7 +28,8 @@ from ..sources.sinks import csv_ready
 from ..sources.fragments import read_fragment_table
 from ..sources.landing import landed
 from ..sources.ocds import (first_release, indicator_projection, read_package_lines, read_package_parquet,
-                            read_packages, read_zipped_packages, read_zipped_releases, releases, sql_projection)
+                            read_packages, read_zipped_packages, releases, sql_projection)
+from ..sources.release_stream import read_release_stream
 from ..sources.tables import table
 from .packages import INDICATOR_OUTPUT, features_from_packages, indicators_from_packages
 from .flows import (indicator_flow, indicator_flow_views, lookup, scored_views, scored_with_status,
@@ -415,15 +416,16 @@ def q_scan_lines(spark, sf_dir):
 
 @register("scan_package")
 def q_scan_package(spark, sf_dir):
-    """SC-2: whole-document packages (multiLine), spread right after the explode."""
+    """SC-2: whole-document packages as a stream of releases, spread before they are parsed."""
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return _tender_rows(releases(packages_of(spark, sf_dir, "package"), tasks))
+    return _tender_rows(read_release_stream(spark, landed(spark, sf_dir, "package"), "document", tasks))
 
 
 @register("scan_zip")
 def q_scan_zip(spark, sf_dir):
-    """SC-3: zip archives, the first member's releases."""
-    return _tender_rows(read_zipped_releases(spark, landed(spark, sf_dir, "zip")))
+    """SC-3: zip archives, the first member's releases as a stream."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _tender_rows(read_release_stream(spark, landed(spark, sf_dir, "zip"), "zip", tasks))
 
 
 @register("view_sql")

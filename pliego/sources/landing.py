@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import io
 import math
-import os
 import zipfile
 from collections.abc import Iterator
 
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.times import iso_with_offset
 from ..plans.views import bids_view, enquiry_view, tender_view
 from ..session import shared_dir
+from .files import filesystem, qualified
 
 RELEASES_PER_FILE = 5000  # releases per whole-document package file
 OFFSET = "-05:00"         # UTC offset written into every landed timestamp
@@ -117,24 +117,10 @@ def _frame_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"value": [']}']})
 
 
-def _filesystem(path: str):
-    """pyarrow filesystem and path for a Spark-style location: a plain path,
-    ``file:/…`` / ``file:///…``, or any URI pyarrow knows (hdfs://, s3://)."""
-    from pyarrow import fs as pafs
-    if path.startswith("file:"):
-        local = path[len("file:"):]
-        while local.startswith("//"):
-            local = local[1:]
-        return pafs.LocalFileSystem(), local
-    if "://" in path:
-        return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), os.path.abspath(path)
-
-
 def _zip_files(out_dir: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filesystem, base = _filesystem(out_dir)
-        filesystem.create_dir(base, recursive=True)
+        store, base = filesystem(out_dir)
+        store.create_dir(base, recursive=True)
         for pdf in batches:
             paths = []
             for path, content in zip(pdf["path"], pdf["content"]):
@@ -143,7 +129,7 @@ def _zip_files(out_dir: str):
                 with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
                     z.writestr("releases.json", content)
                 target = f"{base}/{name}.zip"
-                with filesystem.open_output_stream(target) as fh:  # same name on retry
+                with store.open_output_stream(target) as fh:  # same name on retry
                     fh.write(buf.getvalue())
                 paths.append(target)
             yield pd.DataFrame({"zip_path": paths})
@@ -192,7 +178,7 @@ def zips_from_documents(spark: SparkSession, doc_dir: str, out_dir: str) -> str:
     """Zip every package document into its own archive (one task per file)."""
     raw = (spark.read.format("binaryFile").option("pathGlobFilter", "part-*")
            .load(doc_dir).select("path", "content"))
-    raw.mapInPandas(_zip_files(out_dir), "zip_path string").write.format("noop") \
+    raw.mapInPandas(_zip_files(qualified(spark, out_dir)), "zip_path string").write.format("noop") \
        .mode("overwrite").save()
     return out_dir
 
