@@ -157,15 +157,16 @@ w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x
 g AS (
   SELECT lang, k AS words, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
   FROM w, (VALUES (1), (2), (3)) v(k) WHERE len(ws) >= k),
-f AS (SELECT lang, words, phrase, COUNT(*) AS f FROM g GROUP BY ALL),
+f AS MATERIALIZED (SELECT lang, words, phrase, COUNT(*) AS f FROM g GROUP BY ALL),
 n AS (SELECT lang, SUM(f) AS n FROM f WHERE words = 1 GROUP BY lang),
-c AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE words > 1 AND f >= 10),
+c AS MATERIALIZED (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE words > 1 AND f >= 10),
+often AS MATERIALIZED (SELECT lang, phrase, f FROM f WHERE f >= 10),
+parts AS MATERIALIZED (
+  SELECT lang, words, phrase, a, k, array_to_string(ws[1:k], ' ') AS p1, array_to_string(ws[k + 1:], ' ') AS p2
+  FROM c JOIN (VALUES (1), (2)) v(k) ON k < c.words),
 cut AS (
-  SELECT c.lang, c.words, c.phrase, a, k, x.f AS l, y.f AS r,
-         (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
-  FROM c JOIN (VALUES (1), (2)) v(k) ON k < c.words
-  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:k], ' ')
-  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[k + 1:], ' ')),
+  SELECT parts.*, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM parts JOIN often x ON x.lang = parts.lang AND x.phrase = p1 JOIN often y ON y.lang = parts.lang AND y.phrase = p2),
 best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 inner_ AS (
   SELECT lang, phrase, MAX(a) AS longer FROM (
