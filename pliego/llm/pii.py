@@ -152,13 +152,22 @@ def phone(text: str, plus: int) -> Span | None:
     return (plus, end) if 8 <= n <= 15 else None
 
 
-def url(text: str, start: int, scheme: int) -> Span | None:
-    end = start + scheme
-    while end < len(text) and text[end] not in URL_END:
-        end += 1
-    while end > start + scheme and text[end - 1] in URL_TAIL:
-        end -= 1
-    host = text[start + scheme:end].split("/", 1)[0].rsplit("@", 1)[-1].split(":", 1)[0].split("?", 1)[0]
+def url_run(text: str, i: int) -> Span:
+    """(end, end without closing punctuation) of the run of characters of a URL from ``i`` on."""
+    n, start = len(text), i
+    while i < n and text[i] not in URL_END:
+        i += 1
+    kept = i
+    while kept > start and text[kept - 1] in URL_TAIL:
+        kept -= 1
+    return i, kept
+
+
+def url(text: str, start: int, after: int, kept: int) -> Span | None:
+    """The URL of a scheme at ``start..after`` in a run that ends at ``kept``."""
+    end = max(after, kept)
+    slash = text.find("/", after, end)
+    host = text[after:slash if slash >= 0 else end].rsplit("@", 1)[-1].split(":", 1)[0].split("?", 1)[0]
     ok = "." in host.strip(".") and all(label for label in host.split("."))
     return (start, end) if ok else None
 
@@ -210,6 +219,7 @@ def find_spans(text: str | None, automaton: ahocorasick.Automaton) -> dict[str,
         return found
     ends = dict.fromkeys(KINDS, 0)  # where the scan of a kind stands
     ats = []
+    run, kept = 0, 0  # where the last URL's run of characters ends: schemes in one run share it
 
     def take(kind: str, span: Span | None) -> None:
         if span:
@@ -234,7 +244,9 @@ def find_spans(text: str | None, automaton: ahocorasick.Automaton) -> dict[str,
                 take("phone", phone(text, at))
         elif sort == "s":
             if at >= ends["url"]:
-                take("url", url(text, at, size))
+                if last + 1 > run:
+                    run, kept = url_run(text, last + 1)
+                take("url", url(text, at, last + 1, kept))
         elif at >= ends["account"]:
             take("account", account(text, at, last + 1))
     taken = iter([*found["email"], (len(text), len(text) + 1)])
