@@ -17,6 +17,7 @@ meets every block of distinct vectors, as one matrix product.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,14 @@ LISTS = 2
 DEPTH = 8
 QUERY_BLOCK, VECTOR_BLOCK = 512, 16384
 LONG = 1 << 63
+#: Sums of a list past a long are held at this bound (so that all lists together fit 38 digits).
+WIDEST = (10 ** 38 - 1) // LISTS
 
 
 def quantised(df: DataFrame, scale: int, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, q): floor(scale * component); vectors that are null or hold null or non-finite
-    components, and rows without an id, are left out; a repeated id counts once, with its smallest vector."""
+    components, and rows without an id, are left out; a repeated id counts once, with its smallest vector.
+    A component whose integer passes a long counts as the largest (or smallest) one."""
     fine = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     q = F.transform(vec_col, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
     return (df.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & fine)
@@ -67,7 +71,7 @@ def matrix(items: pa.Array, dim: int, b: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer rows; beyond 61 bits they are held there."""
+    """Exact inner products of integer rows: doubles where they are exact, longs, else Python integers."""
     width = a.shape[1]
     top = max(1, width) * peak(a) * peak(b)
     if top < 1 << 24:
@@ -76,23 +80,24 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return a.astype(np.float64) @ b.T.astype(np.float64)
     if top < 1 << 61:
         return a @ b.T
-    return held(a.astype(object) @ b.T.astype(object))
+    return a.astype(object) @ b.T.astype(object)
 
 
 def peak(a: np.ndarray) -> int:
     return max(1, int(a.max(initial=0)), -int(a.min(initial=0)))
 
 
-def held(s: np.ndarray) -> np.ndarray:
-    return np.clip(s, -(1 << 62) // LISTS, (1 << 62) // LISTS).astype(np.int64)
+def rows_out(query: np.ndarray, cls: np.ndarray, b: int, local: np.ndarray, wide: bool) -> pa.RecordBatch:
+    if wide:
+        scores = pa.array([Decimal(max(-WIDEST, min(WIDEST, int(x)))) for x in local], pa.decimal128(38, 0))
+    else:
+        scores = pa.array(local.astype(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(query), pa.array(cls), pa.array(np.full(len(query), b, np.int32)), scores],
+                                      names=["query", "cls", "b", "local"])
 
 
-def rows_out(query: np.ndarray, cls: np.ndarray, b: int, local: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(query), pa.array(cls), pa.array(np.full(len(query), b, np.int32)),
-                                       pa.array(local.astype(np.int64))], names=["query", "cls", "b", "local"])
-
-
-ROWS = "query long, cls long, b int, local long"
+def rows_type(wide: bool) -> str:
+    return f"query long, cls long, b int, local {'decimal(38,0)' if wide else 'long'}"
 
 
 def each_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -105,19 +110,19 @@ def each_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield batch, r, b, qi, vi, products(qm, vm)
 
 
-def heads(both: DataFrame, depth: int) -> DataFrame:
+def heads(both: DataFrame, depth: int, wide: bool) -> DataFrame:
     """Phase 1: the ``depth`` highest entries of each query in each list."""
     def run(batches):
         for _, _, b, qi, vi, s in each_pair(batches):
             n = min(depth, len(vi))
             at = np.argpartition(s, len(vi) - n, axis=1)[:, len(vi) - n:]
-            yield rows_out(np.repeat(qi, n), vi[at].ravel(), b, np.take_along_axis(s, at, 1).ravel())
-    found = both.select("dim", "b", "queries", "vectors").mapInArrow(run, ROWS)
+            yield rows_out(np.repeat(qi, n), vi[at].ravel(), b, np.take_along_axis(s, at, 1).ravel(), wide)
+    found = both.select("dim", "b", "queries", "vectors").mapInArrow(run, rows_type(wide))
     best = Window.partitionBy("query", "b").orderBy(F.desc("local"), "cls")
     return found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= depth).drop("n")
 
 
-def above(both: DataFrame, limits: DataFrame, query_blocks: int) -> DataFrame:
+def above(both: DataFrame, limits: DataFrame, query_blocks: int, wide: bool) -> DataFrame:
     """Phase 2: the entries at or over cutoff / LISTS, and at or over what the heads of the other lists leave open."""
     known = (limits.groupBy("dim", block_of("query", query_blocks).alias("qb"), "b")
              .agg(F.sort_array(F.collect_list(F.struct("query", "least"))).alias("least")))
@@ -128,11 +133,11 @@ def above(both: DataFrame, limits: DataFrame, query_blocks: int) -> DataFrame:
             ids = least.field("query").to_numpy(zero_copy_only=False)
             floor = least.field("least").to_numpy(zero_copy_only=False)[np.searchsorted(ids, qi)]
             x, y = np.nonzero(s >= floor[:, None])
-            yield rows_out(qi[x], vi[y], b, s[x, y])
-    return both.join(known, ["dim", "b", "qb"]).select("dim", "b", "queries", "vectors", "least").mapInArrow(run, ROWS)
+            yield rows_out(qi[x], vi[y], b, s[x, y], wide)
+    return both.join(known, ["dim", "b", "qb"]).select("dim", "b", "queries", "vectors", "least").mapInArrow(run, rows_type(wide))
 
 
-def resolve(both: DataFrame, wanted: DataFrame, query_blocks: int, vector_blocks: int) -> DataFrame:
+def resolve(both: DataFrame, wanted: DataFrame, query_blocks: int, vector_blocks: int, wide: bool) -> DataFrame:
     """(query, cls, score): exact scores of the pairs ``wanted`` (dim, query, cls)."""
     asked = (wanted.groupBy("dim", block_of("query", query_blocks).alias("qb"), block_of("cls", vector_blocks).alias("vb"))
              .agg(F.collect_list(F.struct("query", "cls")).alias("asked")))
@@ -149,15 +154,15 @@ def resolve(both: DataFrame, wanted: DataFrame, query_blocks: int, vector_blocks
                 x, y = qo[np.searchsorted(qi[qo], query)], vo[np.searchsorted(vi[vo], cls)]
                 for k in range(0, len(query), 1 << 16):
                     a, c = qm[x[k:k + (1 << 16)]], vm[y[k:k + (1 << 16)]]
-                    yield rows_out(query[k:k + (1 << 16)], cls[k:k + (1 << 16)], b, pairwise(a, c))
-    found = both.join(asked, ["dim", "qb", "vb"]).select("dim", "b", "queries", "vectors", "asked").mapInArrow(run, ROWS)
+                    yield rows_out(query[k:k + (1 << 16)], cls[k:k + (1 << 16)], b, pairwise(a, c), wide)
+    found = both.join(asked, ["dim", "qb", "vb"]).select("dim", "b", "queries", "vectors", "asked").mapInArrow(run, rows_type(wide))
     return found.groupBy("query", "cls").agg(F.sum("local").alias("score"))
 
 
 def pairwise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if max(1, a.shape[1]) * peak(a) * peak(b) < 1 << 61:
         return np.einsum("ij,ij->i", a, b)
-    return held((a.astype(object) * b.astype(object)).sum(axis=1))
+    return (a.astype(object) * b.astype(object)).sum(axis=1)
 
 
 def best(scored: DataFrame, n: int) -> DataFrame:
@@ -171,7 +176,9 @@ def topk_search(df: DataFrame, is_query, k: int, scale: int = 64, id_col: str =
     ``is_query`` is a condition on the column ``vec_id``.  Candidates are all
     rows but the query's own; ties go to the smaller vec_id; fewer than k
     candidates are all returned.  Only vectors of the same length are compared.
-    See ``quantised`` for rows that take no part.
+    See ``quantised`` for rows that take no part.  Scores are exact and
+    ranks follow them: sums that may pass 61 bits are decimals, held only at 5 * 10 ** 37
+    a list.  A score that passes a long is given as the largest (or smallest) one.
     """
     rows = written(quantised(df, scale, id_col, vec_col), "vectors")
     first = Window.partitionBy("q").orderBy("vec_id")
@@ -179,32 +186,40 @@ def topk_search(df: DataFrame, is_query, k: int, scale: int = 64, id_col: str =
                .groupBy("q").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     counted = rows.groupBy("q").agg(F.min("vec_id").alias("cls"), F.count("*").alias("rows"), F.count_if(is_query).alias("asks"))
     classes = written(counted.join(members, "q"), "vector-classes")
-    total, asking, asks = classes.agg(F.count("*"), F.count_if(F.col("asks") > 0), F.sum("asks")).first()
+    size = F.array_max(F.transform("q", lambda x: F.abs(x.cast("decimal(20,0)"))))
+    total, asking, asks, top, longest = classes.agg(
+        F.count("*"), F.count_if(F.col("asks") > 0), F.sum("asks"), F.max(size), F.max(F.size("q"))).first()
+    wide = int(top or 0) ** 2 * max(1, longest or 0) >= 1 << 61
     vector_blocks, query_blocks = max(1, -(-total // VECTOR_BLOCK)), max(1, -(-asking // QUERY_BLOCK))
     both = pairs(written(blocks(classes.filter("asks > 0").select("cls", "q"), "qb", query_blocks), "query-blocks"),
                  written(blocks(classes.select("cls", "q"), "vb", vector_blocks), "vector-blocks"), vector_blocks)
     dims = classes.filter("asks > 0").select(F.col("cls").alias("query"), F.size("q").alias("dim"))
 
-    head = written(heads(both, DEPTH * (k + 1)), "heads")
-    seen = written(resolve(both, head.select("query", "cls").distinct().join(dims, "query"), query_blocks, vector_blocks), "seen")
+    head = written(heads(both, DEPTH * (k + 1), wide), "heads")
+    seen = written(resolve(both, head.select("query", "cls").distinct().join(dims, "query"), query_blocks, vector_blocks, wide), "seen")
     cutoff = written(best(seen, k + 1).groupBy("query").agg(F.when(F.count("*") == k + 1, F.min("score")).alias("cutoff")), "cutoffs")
     tops = head.groupBy("query", "b").agg(F.max("local").alias("top"))
     others = tops.join(tops.groupBy("query").agg(F.sum("top").alias("all")), "query").join(cutoff, "query")
-    # rounded up, less what a double may be off beyond 52 bits
-    share = F.ceil(F.col("cutoff") / F.lit(LISTS)).cast("long") - F.shiftright(F.abs("cutoff"), 52)
-    least = F.greatest(share, F.col("cutoff") - F.col("all") + F.col("top"))
-    limits = others.select("query", "b", F.coalesce(least, F.lit(-LONG)).cast("long").alias("least")).join(dims, "query")
-
-    entries = written(above(both, limits, query_blocks).groupBy("query", "cls")
+    # a list sends what is at or over ``share``; what it leaves out is under ``left_out``
+    if wide:
+        share, lowest, kind = F.floor(F.col("cutoff") / F.lit(LISTS)) - 1, Decimal(-10 ** 38 + 1), "decimal(38,0)"
+        left_out = share + 2
+    else:  # rounded up, less what a double may be off beyond 52 bits
+        share, lowest, kind = F.ceil(F.col("cutoff") / F.lit(LISTS)).cast("long") - F.shiftright(F.abs("cutoff"), 52), -LONG, "long"
+        left_out = share + 2 * F.shiftright(F.abs("cutoff"), 52)
+    least = F.greatest(share.cast(kind), (F.col("cutoff") - F.col("all") + F.col("top")).cast(kind))
+    limits = others.select("query", "b", F.coalesce(least, F.lit(lowest)).cast(kind).alias("least")).join(dims, "query")
+
+    entries = written(above(both, limits, query_blocks, wide).groupBy("query", "cls")
                       .agg(F.sum("local").alias("score"), F.count("*").alias("lists")), "entries")
     whole = entries.filter(F.col("lists") == LISTS).select("query", "cls", "score").unionByName(seen).distinct()
     raised = best(whole, k + 1).groupBy("query").agg(F.when(F.count("*") == k + 1, F.min("score")).alias("raised"))
     # where a list left an entry out, it is under the cutoff's share there, or it can't reach the cutoff at all
-    bound = F.col("score") + (LISTS - F.col("lists")) * (share + 2 * F.shiftright(F.abs("cutoff"), 52))
+    bound = F.col("score") + (LISTS - F.col("lists")) * left_out
     open_ = (entries.filter(F.col("lists") < LISTS).join(cutoff, "query").join(raised, "query")
              .filter(F.col("raised").isNull() | F.col("cutoff").isNull() | (bound >= F.col("raised")))
              .select("query", "cls").join(dims, "query").join(seen.select("query", "cls"), ["query", "cls"], "left_anti"))
-    scored = whole.unionByName(resolve(both, open_, query_blocks, vector_blocks))
+    scored = whole.unionByName(resolve(both, open_, query_blocks, vector_blocks, wide))
 
     found = best(scored, k + 1).join(classes.select("cls", "ids"), "cls").select("query", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
@@ -213,7 +228,8 @@ def topk_search(df: DataFrame, is_query, k: int, scale: int = 64, id_col: str =
     asked = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), "q")
     named = classes.filter("asks > 0").select("q", F.col("cls").alias("query"), F.col("asks").alias("rows"))
     lists = named.select("q", "query", "rows").join(found, "query").select("q", "found", "rows")
+    score = F.least(F.greatest(F.col("hit.score"), F.lit(str(-LONG)).cast("decimal(38,0)")), F.lit(str(LONG - 1)).cast("decimal(38,0)"))
     own = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     return (join_unique(asked, lists, "q", "rows", asks or 0)
             .select("query_id", F.posexplode(own).alias("place", "hit"))
-            .select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score")))
+            .select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (score if wide else F.col("hit.score")).cast("long").alias("score")))

@@ -59,3 +59,17 @@ def test_extra_columns(spark):
     df = spark.createDataFrame([(0, [1.0], 5, "a"), (1, [2.0], 6, "b")], "vec_id long, embedding array<double>, q int, score string")
     got = K.topk_search(df, K.F.col("vec_id") == 0, 20)
     assert [tuple(r) for r in got.collect()] == [(0, 1, 1, 64 * 128)]
+
+
+@pytest.mark.parametrize("size", [1.5e7, 3e7, 2e6])
+def test_scores_near_the_end_of_a_long(spark, size):
+    """Products of a list between 2 ** 61 and 2 ** 63, and lists past a long whose sum is not: exact."""
+    rng = np.random.default_rng(int(size))
+    rows = [(i, (size * rng.uniform(.9, 1.1, 8)).astype(np.float32).tolist()) for i in range(40)]
+    want = plain(rows, 5)
+    assert size != 1.5e7 or all(1 << 61 < r[3] < 1 << 63 for r in want)
+    limit = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    assert found(spark, rows, 5) == {(a, n, b, limit(s)) for a, n, b, s in want}
+    rows = [(i, [*(4 * size * rng.uniform(.9, 1.1, 4)).astype(np.float32).tolist(), *(-4 * size * rng.uniform(.9, 1.1, 4)).astype(np.float32).tolist()])
+            for i in range(20)] + [(20, [x * y for x, y in zip([4 * size] * 8, [1, 1, 1, 1, 1, 1, 1, .99])])]
+    assert found(spark, rows, 5) == {(a, n, b, limit(s)) for a, n, b, s in plain(rows, 5)}
