@@ -84,3 +84,71 @@ def test_large_ensemble_walks_an_array(spark):
     a = {r.ocid: (r.predict, r.proba) for r in score(df, nodes, 0.25).collect()}
     b = {r.ocid: (r.predict, r.proba) for r in score_with_model(df, TreeEnsembleModel(nodes, 0.25)).collect()}
     assert all(a[k][0] == b[k][0] and abs(a[k][1] - b[k][1]) < 1e-12 for k in b) and len(a) == 300
+
+
+def random_ensemble(rng, trees, depth, uneven=False):
+    from pliego.operators.scoring import Node
+    nodes = []
+    for t in range(trees):
+        todo, used = [(0, 0)], 1
+        while todo:
+            n, level = todo.pop()
+            if level == depth or uneven and level and rng.random() < .3:
+                nodes.append(Node(t, n, leaf=float(rng.normal() / 10)))
+                continue
+            yes, no, used = used, used + 1, used + 2
+            nodes.append(Node(t, n, FEATURES[int(rng.integers(6))], float(rng.integers(-4, 5)) / 2, yes, no, yes if rng.random() < .5 else no))
+            todo += [(yes, level + 1), (no, level + 1)]
+    return nodes
+
+
+def test_leaf_masks_equal_both_other_forms(spark):
+    """Values on the thresholds, nulls, NaN and infinities; even and uneven trees, stumps, 64 leaves."""
+    import numpy as np
+
+    from pliego.operators import leaf_masks, scoring
+    rng = np.random.default_rng(11)
+    pool = [None, float("nan"), float("inf"), -float("inf"), 0.0, -0.0, *np.arange(-5, 6) / 2]
+    data = [(str(i), *[None if x is None else float(x) for x in (pool[k] for k in rng.integers(0, len(pool), 6))]) for i in range(400)]
+    df = spark.createDataFrame(data, SCHEMA)
+    for nodes in (random_ensemble(rng, 40, 6), random_ensemble(rng, 60, 6, True), random_ensemble(rng, 5, 1), random_ensemble(rng, 3, 0),
+                  random_ensemble(rng, 3, 0) + [scoring.Node(9, 0, leaf=.5)]):
+        trees = list(scoring._trees(nodes).values())
+        forms = {"masks": leaf_masks.margin(trees, .25), "walk": scoring._walked_margin(nodes, .25) if any(n.feature for n in nodes) else None}
+        python = TreeEnsembleModel(nodes, .25).predict_proba(np.array([[np.nan if x is None else x for x in r[1:]] for r in data]))[:, 1]
+        got = df.select(*[c.alias(k) for k, c in forms.items() if c is not None]).collect()
+        for r, p in zip(got, python):
+            assert "walk" not in r or r.masks == r.walk
+            assert abs(1 / (1 + math.exp(-r.masks)) - p) < 1e-12
+
+
+def test_deep_trees_are_walked(spark):
+    import numpy as np
+
+    from pliego.operators import leaf_masks, scoring
+    nodes = random_ensemble(np.random.default_rng(1), 4, 7)
+    assert not leaf_masks.fits(list(scoring._trees(nodes).values())) and len(nodes) > scoring.CASE_NODES
+    df = spark.createDataFrame([("a", 1., 2., None, 0., -1., 3.)], SCHEMA)
+    a, b = score(df, nodes).first(), score_with_model(df, TreeEnsembleModel(nodes)).first()
+    assert abs(a.proba - b.proba) < 1e-12
+
+
+def test_leaf_masks_keep_up_with_python(spark):
+    """100 trees of depth 6 over 200,000 rows: 1.5 times the Python path at most."""
+    import time
+
+    import numpy as np
+    nodes = random_ensemble(np.random.default_rng(5), 100, 6)
+    df = spark.range(200_000, numPartitions=8).select(F.col("id").cast("string").alias("ocid"), *[
+        ((F.xxhash64("id", F.lit(k)) % 1000) / 250).alias(f) for k, f in enumerate(FEATURES)])
+
+    def best_of(n, run):
+        took = []
+        for _ in range(n):
+            t = time.perf_counter()
+            run().write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - t)
+        return min(took)
+    native, python = best_of(3, lambda: score(df, nodes)), best_of(3, lambda: score_with_model(df, TreeEnsembleModel(nodes)))
+    print(f"100 trees, 200,000 rows: masks {native:.2f} s, Python {python:.2f} s")
+    assert native < 1.5 * python
