@@ -257,9 +257,10 @@ def near_links(reps: DataFrame, radius: int) -> DataFrame:
     pairs = members.filter("rep > center").select(F.col("center").alias("u"), F.col("rep").alias("v")).distinct()
     first = written(within(pairs.join(sig.toDF("u", "a"), "u").join(sig.toDF("v", "b"), "v"), radius), "links")
     # keys whose members are not in one class yet, once for each set of members
-    label = F.coalesce("root", "rep")
-    named = written(members.filter("n > 2").join(components(first).withColumnRenamed("node", "rep"), "rep", "left")
-                    .select("key", "rep", label.alias("label")), "named")
+    # members with one label are linked with the same centre, so they are connected
+    label = first.groupBy(F.col("v").alias("rep")).agg(F.min("u").alias("label"))
+    named = written(members.filter("n > 2").join(label, "rep", "left")
+                    .select("key", "rep", F.coalesce("label", "rep").alias("label")), "named")
     open_keys = (named.groupBy("key").agg(
         F.min(F.struct("rep", "label")).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"),
         F.count("*").alias("n"), F.expr("bit_xor(xxhash64(rep))").alias("x"), F.expr("bit_xor(xxhash64(rep, 1))").alias("y"))
@@ -293,18 +294,25 @@ def links_of_sets(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]
 
 
 def confirmed(rows: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """Confirmed links (u, v) of the groups (class, i, j) of (rep, text)."""
+    """Confirmed links (u, v) of the groups (class, i, j) of (rep, text), and (u, null) for members that they
+    do not connect with the class's smallest one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in grouped(batches, 3, 256):
             table, groups = groups_of(part, 3)
-            reps = table.column(3).to_numpy()
+            first, reps = table.column(0).to_numpy(), table.column(3).to_numpy()
             texts = table.column(4)
             u, v = [], []
             for lo, hi in groups:
                 sets = [shingle_set(texts[k].as_py(), shingle) for k in range(lo, hi)]
+                reached = {lo} if reps[lo] == first[lo] else set()  # rows come by rep: the smallest member is first
                 for a, b in links_of_sets(sets, percent) if hi - lo > 1 else ():
                     u.append(reps[lo + a])
                     v.append(reps[lo + b])
+                    if lo + a in reached:
+                        reached.add(lo + b)
+                apart = [reps[k] for k in range(lo, hi) if k not in reached]
+                u += apart
+                v += [None] * len(apart)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
     rows = rows.select("class", "i", "j", "rep", "text")
     return rows.repartition("class", "i", "j").sortWithinPartitions("class", "i", "j", "rep").mapInArrow(run, "u long, v long")
@@ -327,12 +335,14 @@ def set_links(docs: DataFrame, reps: DataFrame, near: DataFrame, percent: int, s
     where = F.when(F.col("rep") == F.col("class"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))
     inner = placed.withColumn("i", F.explode(where)).withColumn("j", F.lit(0))
     first = written(confirmed(inner, percent, shingle), "links")
+    links = first.filter("v IS NOT NULL")
     large = placed.filter("chunks > 1").drop("chunks")
     if large.isEmpty():
-        return first
-    named = large.join(components(first).withColumnRenamed("node", "rep"), "rep", "left")
-    apart = F.coalesce("root", "rep") != F.col("class")
-    return first.unionByName(confirmed(dealt(named, "class", apart, F.col("n")), percent, shingle))
+        return links
+    apart = first.filter("v IS NULL").select(F.col("u").alias("rep"), F.lit(True).alias("apart")).distinct()
+    named = large.join(apart, "rep", "left").withColumn("apart", F.coalesce("apart", F.lit(False)))
+    rest = confirmed(dealt(named, "class", F.col("apart"), F.col("n")), percent, shingle)
+    return links.unionByName(rest.filter("v IS NOT NULL"))
 
 
 def minhash_groups(docs: DataFrame, percent: int = 85, shingle: int = 3) -> DataFrame:
