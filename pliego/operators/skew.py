@@ -9,22 +9,24 @@ third of all bids, one task would do a third of the job.
 
 ``join_unique_dim`` salts only the hot keys, each in proportion to its size:
 
-1. count facts per key (partial aggregation map-side, then a narrow
-   shuffle of one row per key and map task);
-2. a key with ``n > hot_rows`` facts is *hot* and gets ``ceil(n / hot_rows)``
-   salt values.  There are at most ``total / hot_rows`` hot keys and at most
-   ``2 · total / hot_rows`` salt values in all — a proven bound — so the
-   ``(key, salts)`` list is broadcast;
-3. a fact of a hot key gets a salt ``0 … salts-1`` from a hash of the row;
-   every other fact gets salt 0.  The dimension row of a hot key is repeated
-   once per salt value, every other dimension row once with salt 0;
+1. a frequent-items sketch of the facts' key column finds the keys with more than
+   ``hot_rows`` facts: every task keeps ``TRACKED`` counters, the sketches are merged,
+   and one row comes out.  Nothing is shuffled and no count per key is made.
+   Which keys are hot decides only how the join is spread, never its result, so
+   the sketch's error does not matter; a key with less than 1 / ``TRACKED`` of the
+   facts may go unnoticed, which is no hot key at any size.
+2. the list holds ``MAX_HOT`` keys at most, so it is broadcast;
+3. a fact of a hot key gets a salt ``0 … salts-1`` (``salts = ceil(n / hot_rows)``) from
+   a hash of the row; every other fact gets salt 0.  The dimension row of a hot key is
+   repeated once per salt value, every other dimension row once with salt 0;
 4. the join runs on ``(key, salt)``: no task receives more than about
    ``hot_rows`` facts of any one key (a tender with 3·10^11 bids becomes
    3·10^5 tasks' worth of work, not 1).  A later ``groupBy(key)`` needs its
    own exchange, and Spark puts a partial aggregation before it, so each task
    sends one row per key.
 
-Without hot keys the cost over a plain join is the per-key count.
+``kept_keys`` is the filter that goes before all that: a bitmap of the keys that a
+filtered dimension still has, made by Spark and applied where the facts are scanned.
 """
 from __future__ import annotations
 
@@ -32,35 +34,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Facts of one key that one task should handle at most; keys above it are hot.
-# The (key, salts) list is therefore at most 2 * total_rows / HOT_ROWS long.
 HOT_ROWS = 1_000_000
+# Counters of a sketch, and hot keys at most.
+TRACKED = 100_000
+MAX_HOT = 10_000
+# Bits of a bitmap of keys (1 MB): it filters up to some ten million kept keys and lets all pass far beyond.
+KEY_BITS = 1 << 23
 
 
-def _salted(counts: DataFrame, key: str, hot_rows: int) -> DataFrame:
-    return (counts.where(F.col("_n") > hot_rows)
+def hot_keys(facts: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``(key, _salts)`` for keys holding more than ``hot_rows`` facts, ``MAX_HOT`` rows at most."""
+    found = facts.where(F.col(key).isNotNull()).agg(F.expr(f"approx_top_k(`{key}`, {MAX_HOT}, {TRACKED})").alias("_top"))
+    return (found.select(F.explode("_top").alias("_t"))
+            .select(F.col("_t.item").alias(key), F.col("_t.count").alias("_n")).where(F.col("_n") > hot_rows)
             .select(key, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_salts")))
 
 
-def hot_keys(facts: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``(key, _salts)`` for keys holding more than ``hot_rows`` facts."""
-    return _salted(facts.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key, hot_rows)
+def kept_keys(facts: DataFrame, dims: DataFrame, key: str, bits: int = KEY_BITS) -> DataFrame:
+    """The facts whose key a bitmap of ``dims``' keys holds: all that join, and few others.
+
+    The bitmap is a scalar subquery: Spark makes it once, and every task tests
+    it as it scans, before anything is counted or shuffled.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
+    words = (dims.where(F.col(key).isNotNull()).groupBy(F.shiftright(slot, 6).alias("w"))
+             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("b")))
+    every = dims.sparkSession.range(0, bits >> 6, 1, 1).join(words, F.col("id") == F.col("w"), "left")
+    bitmap = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.coalesce("b", F.lit(0).cast("bigint")).alias("b")))),
+                                   lambda x: x["b"]).alias("bitmap")).scalar()
+    word = F.get(bitmap, F.shiftright(slot, 6).cast("int"))
+    return facts.where(F.call_function("getbit", word, slot.bitwiseAND(F.lit(63)).cast("int")) == 1)
 
 
 def join_unique_dim(facts: DataFrame, dims: DataFrame, key: str,
                     hot_rows: int = HOT_ROWS, how: str = "inner",
-                    counts: DataFrame | None = None, hot: DataFrame | None = None) -> DataFrame:
+                    hot: DataFrame | None = None) -> DataFrame:
     """``facts ⋈ dims`` on ``key`` (dims unique per key), hot keys salted.
 
     ``how`` is ``inner`` or ``left`` (facts kept when the key has no dim row).
-    ``counts`` — ``(key, _n)`` facts per key, if the caller already has it.
-    ``hot`` — ``(key, _salts)`` from ``hot_keys`` on a cheaper table whose
+    ``hot`` — ``(key, _salts)`` from ``hot_keys`` on another table whose
     count per key bounds this one's (a superset of the hot keys, or more
-    salts than needed, is safe), so the facts need not be counted again.
+    salts than needed, is safe); its rows are bounded by ``MAX_HOT``.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
     if hot is None:
-        hot = hot_keys(facts, key, hot_rows) if counts is None else _salted(counts, key, hot_rows)
+        hot = hot_keys(facts, key, hot_rows)
     hot = F.broadcast(hot)
     hashable = [f.name for f in facts.schema.fields if "variant" not in f.dataType.simpleString()]
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in hashable])

@@ -15,15 +15,21 @@ from ..operators.enquiries import with_enquiry_stats
 from ..operators.harvest import harvest_join, parse_fragments, tender_codes
 from ..operators.indicators import RED_FLAG_OUTPUT, derived, red_flags
 from ..operators.scoring import score
-from ..operators.skew import HOT_ROWS
+from ..operators.skew import HOT_ROWS, kept_keys
 from .views import TEST_METHOD, bids_view, enquiry_view_and_hot, harvest_view, tender_view
 
 
 def indicator_flow(tenders: DataFrame, enquiries: DataFrame, bids: DataFrame,
                        method: str | None = None, key: str = "tender_key",
                        hot_rows: int = HOT_ROWS, enquiry_hot: DataFrame | None = None) -> DataFrame:
-    """Filter on method (if given), then derived variables and red flags."""
-    t = tenders if method is None else tenders.where(F.col("method") == F.lit(method))
+    """Filter on method (if given), then derived variables and red flags.
+
+    With a method the facts are cut to the kept tenders where they are scanned.
+    """
+    t = tenders
+    if method is not None:
+        t = tenders.where(F.col("method") == F.lit(method))
+        enquiries, bids = kept_keys(enquiries, t, key), kept_keys(bids, t, key)
     with_q = with_enquiry_stats(t, enquiries, key, hot_rows=hot_rows, hot=enquiry_hot)
     with_b = with_q.join(bid_stats(bids, t, key, hot_rows=hot_rows), key, "left")
     return red_flags(derived(with_b))
@@ -61,6 +67,8 @@ def scoring_features(tenders: DataFrame, enquiries: DataFrame, method: str | Non
     if ocid is not None:
         t = lookup(t, ocid)
         enquiries = enquiries.join(t.select(key), key, "left_semi")
+    elif method is not None:
+        enquiries = kept_keys(enquiries, t, key)
     s = with_enquiry_stats(t, enquiries, key, compat_zero=compat_zero, hot=enquiry_hot)
     return s.select(
         "ocid",
