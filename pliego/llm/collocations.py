@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, held_in, written
+from .common import bitmap_of, first_of_each, held_in, written
 
 #: Counters of a summary and hash counts that a task holds before it sends them on.
 CAPACITY = 1 << 18
@@ -33,8 +33,6 @@ HELD = 1 << 21
 PART = 1 << 20
 #: Phrases of a task in the second pass.
 PHRASES = 400_000
-#: Rows of one group in a ranking step.
-RANKED = 100_000
 
 BLANK, BREAK = b" \t", b".,;:!?\n\x0b\x0c\r"
 CLASS = np.zeros(256, np.uint8)
@@ -349,18 +347,6 @@ def outer_only(scored: DataFrame, max_words: int, percent: int) -> DataFrame:
     return scored.join(longer, ["lang", "phrase"], "left").filter(~covered).drop("longer")
 
 
-def top_of_each(rows: DataFrame, top: int) -> DataFrame:
-    """The first ``top`` of each lang with their rank; large langs are ranked in parts first, so no task sorts one whole."""
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    parts = -(-rows.count() // max(RANKED, 2 * top))
-    while parts > 1:
-        part = F.pmod(F.xxhash64("phrase", F.lit(parts)), F.lit(parts))
-        w = Window.partitionBy("lang", "part").orderBy(*order)
-        rows = rows.withColumn("part", part).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).drop("rank", "part")
-        parts = -(-parts * top // max(RANKED, 2 * top))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
-
-
 def collocations(docs: DataFrame, top: int = 2000, max_words: int = 3, threshold: int = 10, percent: int = 50) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each lang's best phrases of 2 to ``max_words`` words.
 
@@ -376,6 +362,7 @@ def collocations(docs: DataFrame, top: int = 2000, max_words: int = 3, threshold
     maps = frequent_hashes(docs.select("salt", "text"), max_words, threshold)
     counts = written(phrase_counts(docs, maps, threshold), "phrase-counts")
     scored = written(cut_scores(counts, max_words), "scored")
-    best = top_of_each(written(outer_only(scored, max_words, percent), "phrases"), top)
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    best = first_of_each(written(outer_only(scored, max_words, percent), "phrases"), "lang", "phrase", order, top, "rank")
     n = counts.filter("words = 0").select("lang", F.col("f").alias("n"))
     return best.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

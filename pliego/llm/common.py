@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -130,3 +130,23 @@ def held_in(bitmap: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Which of the hashes (uint64) a bitmap (uint64 words) holds."""
     slot = x & np.uint64(len(bitmap) * 64 - 1)
     return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+#: Rows of one group in a ranking step.
+RANKED = 100_000
+
+
+def first_of_each(rows: DataFrame, group: str, key: str, order: list[Column], n: int, rank: str | None = None) -> DataFrame:
+    """The first ``n`` rows of each group in ``order``, which must tell rows with equal ``key`` apart.
+
+    Large groups are ranked in parts by a hash of ``key`` first, so that no task
+    sorts a whole group.  ``rank`` names a column for the place.
+    """
+    parts = -(-rows.count() // max(RANKED, 2 * n))
+    while parts > 1:
+        rows = rows.withColumn("_part", F.pmod(F.xxhash64(key, F.lit(parts)), F.lit(parts)))
+        w = Window.partitionBy(group, "_part").orderBy(*order)
+        rows = rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank", "_part")
+        parts = -(-parts * n // max(RANKED, 2 * n))
+    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("_rank") <= n)
+    return rows.withColumnRenamed("_rank", rank) if rank else rows.drop("_rank")

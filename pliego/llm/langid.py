@@ -18,18 +18,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, slices, written
+from .common import add_columns, first_of_each, slices, written
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 WORD = re.compile(r"[^\W\d_]+")
-#: Longest piece used, marks included: twelve bits a character in a 64-bit key.
-MAX_PIECE = 5
-SEGMENT = 32
+#: Longest piece that can occur in a segment, marks included: no letter piece of the vocabulary is left out.
+MAX_PIECE = SEGMENT = 32
 #: Documents per language that the model is fitted on (the lowest of a hash order).
 FIT_DOCS = 3000
 ROUNDS = 3
@@ -46,7 +45,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def read_pieces(path: str | None = None) -> list[str]:
-    """Letter pieces of the vocabulary, lower-case, up to ``MAX_PIECE`` characters."""
+    """Letter pieces of the vocabulary, lower-case."""
     import sentencepiece
     model = sentencepiece.SentencePieceProcessor(model_file=path or vocabulary_path())
     out = {p for p in map(model.id_to_piece, range(model.get_piece_size()))
@@ -55,7 +54,7 @@ def read_pieces(path: str | None = None) -> list[str]:
 
 
 class Lattice:
-    """Piece look-ups for many words at once."""
+    """Piece look-ups for many words at once, by a trie of the pieces read backwards."""
 
     def __init__(self, pieces: list[str]):
         self.pieces = pieces
@@ -63,65 +62,76 @@ class Lattice:
         if len(chars) > 4094:
             raise ValueError("more than 4094 characters in the vocabulary")
         self.code = {c: n + 1 for n, c in enumerate(chars)}
-        self.tables = []
-        for size in range(1, MAX_PIECE + 1):
-            own = [(self.key(p), n) for n, p in enumerate(pieces) if len(p) == size]
-            own.sort()
-            self.tables.append((np.array([k for k, _ in own], np.int64), np.array([n for _, n in own], np.int64)))
+        step: dict[int, int] = {}  # state and character -> state
+        piece = [-1]  # of a state
+        for n, p in enumerate(pieces):
+            state = 0
+            for c in reversed(p):
+                key = state << 12 | self.code[c]
+                if key not in step:
+                    step[key] = len(piece)
+                    piece.append(-1)
+                state = step[key]
+            piece[state] = n
+        self.keys = np.array(sorted(step), np.int64)
+        self.states = np.array([step[k] for k in self.keys.tolist()], np.int64)
+        self.piece = np.array(piece, np.int64)
         #: number of the stand-in for a character without a piece of its own
         self.other = len(pieces)
 
-    def key(self, piece: str) -> int:
-        k = 0
-        for c in piece:
-            k = k << 12 | self.code[c]
-        return k
+    def edges(self, words: list[str]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+        """edges[j][l-1]: words, ascending, whose l characters ending at j+1 are a piece, and the piece.
 
-    def edges(self, words: list[str]) -> list[list[np.ndarray]]:
-        """edges[j][l-1]: piece number, for each word, of its l characters ending at j+1 (-1: none).
-
-        All words have the same length.
+        All words have the same length.  Every character has an edge: its own piece or the stand-in.
         """
         n, size = len(words), len(words[0])
         get = self.code.get
         codes = np.fromiter((get(c, 4095) for w in words for c in w), np.int64, n * size).reshape(n, size)
         out = []
         for j in range(size):
-            row, key = [], np.zeros(n, np.int64)
-            for back in range(min(MAX_PIECE, j + 1)):
-                key = key + (codes[:, j - back] << (12 * back))
-                keys, ids = self.tables[back]
-                if not len(keys):
-                    row.append(np.full(n, -1))
-                    continue
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                row.append(np.where(keys[at] == key, ids[at], self.other if back == 0 else -1))
+            row: list[tuple[np.ndarray, np.ndarray]] = []
+            live, state = np.arange(n), np.zeros(n, np.int64)
+            for back in range(j + 1):
+                key = state << 12 | codes[live, j - back]
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                ok = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
+                state = self.states[at[ok]]
+                if back == 0:
+                    ids = np.full(n, self.other)
+                    ids[ok] = np.where(self.piece[state] >= 0, self.piece[state], self.other)
+                    row.append((live, ids))
+                    live = live[ok]
+                else:
+                    live = live[ok]
+                    ends = self.piece[state] >= 0
+                    row.append((live[ends], self.piece[state[ends]]))
+                if not len(live):
+                    break
             out.append(row)
         return out
 
 
-def forward(edges: list[list[np.ndarray]], probs: np.ndarray) -> list[np.ndarray]:
+def forward(edges: list[list[tuple[np.ndarray, np.ndarray]]], probs: np.ndarray) -> list[np.ndarray]:
     """alpha[j]: per word and language, the summed probability of the first j characters.
 
-    ``probs`` has a row per piece, one for the stand-in, and a last row of zeros (index -1).
+    ``probs`` has a row per piece, one for the stand-in, and a last row of zeros.
     """
-    n = len(edges[0][0])
-    alpha = [np.ones((n, probs.shape[1]))]
+    alpha = [np.ones((len(edges[0][0][0]), probs.shape[1]))]
     for j, row in enumerate(edges):
-        a = alpha[j] * probs[row[0]]
-        for back in range(1, len(row)):
-            if (row[back] >= 0).any():
-                a += alpha[j - back] * probs[row[back]]
+        a = alpha[j] * probs[row[0][1]]
+        for back, (at, ids) in enumerate(row[1:], 1):
+            if len(at):
+                a[at] += alpha[j - back][at] * probs[ids]
         alpha.append(a)
     return alpha
 
 
-def backward(edges: list[list[np.ndarray]], probs: np.ndarray) -> list[np.ndarray]:
-    size, n = len(edges), len(edges[0][0])
+def backward(edges: list[list[tuple[np.ndarray, np.ndarray]]], probs: np.ndarray) -> list[np.ndarray]:
+    size, n = len(edges), len(edges[0][0][0])
     beta = [np.zeros((n, probs.shape[1])) for _ in range(size)] + [np.ones((n, probs.shape[1]))]
     for j in reversed(range(size)):
-        for back, ids in enumerate(edges[j]):
-            beta[j - back] += probs[ids] * beta[j + 1]
+        for back, (at, ids) in enumerate(edges[j]):
+            beta[j - back][at] += probs[ids] * beta[j + 1][at]
     return beta
 
 
@@ -206,9 +216,8 @@ def fit(docs: DataFrame, per_language: int = FIT_DOCS, rounds: int = ROUNDS, voc
     spark = docs.sparkSession
     pieces = read_pieces(vocabulary)
     usable = docs.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = written(usable.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(order))
-                     .filter(F.col("n") <= per_language).drop("n"), "sample")
+    chosen = written(first_of_each(written(usable.select("doc_id", "lang").distinct(), "usable"), "lang", "doc_id",
+                                   [F.xxhash64("doc_id"), F.col("doc_id")], per_language), "sample")
     words = (usable.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi")
              .mapInArrow(count_words, "lang string, word string, n long")
              .groupBy("lang", "word").agg(F.sum("n").alias("n")))
@@ -247,11 +256,12 @@ def expected(spark: SparkSession, words: DataFrame, languages: list[str], pieces
             for at, group in by_length(b.column(1).to_pylist()):
                 edges = lattice.edges(group)
                 alpha, beta = forward(edges, probs), backward(edges, probs)
-                lang, rows = langs[at], np.arange(len(at))
-                weight = counts[at] / alpha[-1][rows, lang]
+                own = langs[at]
+                weight = counts[at] / alpha[-1][np.arange(len(at)), own]
                 for j, row in enumerate(edges):
-                    for back, ids in enumerate(row):
-                        use = alpha[j - back][rows, lang] * probs[ids, lang] * beta[j + 1][rows, lang] * weight
+                    for back, (rows, ids) in enumerate(row):
+                        lang = own[rows]
+                        use = alpha[j - back][rows, lang] * probs[ids, lang] * beta[j + 1][rows, lang] * weight[rows]
                         np.add.at(total, (ids, lang), use)
         piece, lang = np.nonzero(total[:-1])
         yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(piece), pa.array(total[piece, lang])],

@@ -102,10 +102,10 @@ def test_whole_table_equals_plain_version(spark, sf_dir):
 def test_small_parts_summaries_and_bitmaps(spark, monkeypatch, small):
     """Tiny parts, held counts, bitmaps, summaries, phrase stores and ranking groups change nothing."""
     if small:
-        for name, value in dict(PART=64, HELD=50, CAPACITY=16, PHRASES=20, RANKED=6).items():
+        for name, value in dict(PART=64, HELD=50, CAPACITY=16, PHRASES=20).items():
             monkeypatch.setattr(C, name, value)
-        for name in ("BITS_LEAST", "BITS_MOST"):
-            monkeypatch.setattr(common, name, 7)
+        for name, value in dict(BITS_LEAST=7, BITS_MOST=7, RANKED=6).items():
+            monkeypatch.setattr(common, name, value)
     rng = np.random.default_rng(8)
     words = ["The", "of", "new", "york", "city", "a", "und", "Straße", "x-y", "zz"]
     rows = [(["de", None, "en", "und"][rng.integers(0, 4)],

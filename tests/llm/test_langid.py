@@ -109,3 +109,66 @@ def test_no_labels_and_no_rows(spark):
     assert [(r.lang_pred, r.score) for r in L.predict(df, model).collect()] == [("und", 0.0)]
     assert L.accepted(df, model).count() == 1
     assert L.predict(df.limit(0), L.fit(df.limit(0))).count() == 0
+
+
+def plain_scores(text, model):
+    """Log-probabilities by language: every word's forward sum, segment by segment, with a dictionary of pieces."""
+    from math import log
+    number = {p: n for n, p in enumerate(model.pieces)}
+    out = np.zeros(len(model.languages))
+    for w in L.WORD.findall((text or "").lower()):
+        whole = "▁" + w
+        for k in range(0, len(whole), L.SEGMENT):
+            part = whole[k:k + L.SEGMENT]
+            alpha = [np.ones(len(model.languages))]
+            for j in range(1, len(part) + 1):
+                a = np.zeros(len(model.languages))
+                for i in range(j):
+                    n = number.get(part[i:j], len(model.pieces) if j - i == 1 else None)
+                    if n is not None:
+                        a = a + alpha[i] * model.probs[n]
+                alpha.append(a)
+            out += np.log(alpha[-1])
+    return out
+
+
+def test_whole_table_equals_plain_version(spark, sf_dir):
+    """lang_pred and score of every document, by a plain forward algorithm over the same model."""
+    from pliego.llm.queries import QUERIES
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = L.fit(docs.select("doc_id", "text", "lang"))
+    got = {r.doc_id: r for r in QUERIES["op4_language_id"](spark, sf_dir).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(rows) == len(got)
+    for r in rows:
+        if not L.WORD.search(r.text or ""):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        total = plain_scores(r.text, model)
+        best = int(np.argmax(total))
+        assert abs(got[r.doc_id].score - 1 / np.exp(total - total[best]).sum()) < 1e-6
+        assert got[r.doc_id].lang_pred == model.languages[best] or sorted(total)[-1] - sorted(total)[-2] < 1e-6
+
+
+def test_every_letter_piece_counts():
+    """Pieces of any length are in the model and in the sums."""
+    pieces = L.read_pieces()
+    assert max(map(len, pieces)) > 10 and len(pieces) > 20_000
+    word = max(pieces, key=len)
+    probs = np.full((len(pieces) + 2, 2), 1e-6)
+    probs[-1] = 0
+    more = probs.copy()
+    more[pieces.index(word)] = .5
+    lattice = L.Lattice(pieces)
+    assert L.log_scores([word], lattice, more)[0, 0] > np.log(.49) > L.log_scores([word], lattice, probs)[0, 0]
+
+
+def test_sample_is_the_lowest_of_the_hash_order(spark, monkeypatch):
+    """Ranking in parts chooses the same documents as one window."""
+    from pliego.llm import common
+    from pyspark.sql import functions as F
+    rows = spark.range(500).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("string").alias("lang"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    want = sorted(map(tuple, common.first_of_each(rows, "lang", "doc_id", order, 9, "n").collect()))
+    monkeypatch.setattr(common, "RANKED", 20)
+    assert sorted(map(tuple, common.first_of_each(rows, "lang", "doc_id", order, 9, "n").collect())) == want and len(want) == 27
