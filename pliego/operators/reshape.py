@@ -55,3 +55,53 @@ def drop_all_null(df: DataFrame) -> DataFrame:
     counts = df.agg(*[F.count(F.col(f"`{n}`")).alias(f"c{i}") for i, n in enumerate(names)]).first()
     keep = [n for i, n in enumerate(names) if counts[f"c{i}"] > 0]
     return df.select(*[F.col(f"`{n}`") for n in keep])
+
+
+def variant_leaves(schema: str) -> list[tuple[list[str], str]]:
+    """(path, type) of the leaves of a variant schema such as ``OBJECT<a: OBJECT<b: BIGINT>, c: ARRAY<STRING>>``; arrays are leaves."""
+    out: list[tuple[list[str], str]] = []
+
+    def walk(kind: str, path: list[str]) -> None:
+        if not kind.startswith("OBJECT<"):
+            out.append((path, kind))
+            return
+        inside, depth, quoted, start = kind[len("OBJECT<"):-1], 0, False, 0
+        for k, c in enumerate(inside + ","):
+            if c == "`":
+                quoted = not quoted
+            elif not quoted:
+                depth += (c in "<(") - (c in ">)")
+                if c == "," and not depth and inside[start:k].strip():
+                    field = inside[start:k].strip()
+                    name, kind_ = re.fullmatch(r"(`(?:[^`]|``)*`|[^:]*): (.*)", field, re.S).groups()
+                    walk(kind_, [*path, name[1:-1].replace("``", "`") if name[0] == "`" else name])
+                    start = k + 1
+
+    walk(schema, [])
+    return out
+
+
+def flatten_variant(df: DataFrame, col: str, sep: str = ".") -> DataFrame:
+    """PR-3 with the schema that the data have: every leaf of the variants becomes a column named by its path.
+
+    One pass collects the schema (one row comes back), so a field that nobody
+    declared is a column as well.  Arrays, and leaves of differing types, are
+    JSON text; a leaf that is null everywhere is a text column.
+    """
+    schema = df.agg(F.schema_of_variant_agg(col)).first()[0]
+    cols = []
+    for path, kind in variant_leaves(schema) if schema.startswith("OBJECT<") else []:
+        if any("'" in name and '"' in name for name in path):
+            raise ValueError(f"a field's name with both kinds of quotes: {path}")
+        at = "$" + "".join(f'["{name}"]' if "'" in name else f"['{name}']" for name in path)
+        if kind.startswith(("DECIMAL", "DOUBLE", "FLOAT")):
+            c = F.try_variant_get(col, at, "double")
+        elif kind in ("BIGINT", "BOOLEAN", "STRING"):
+            c = F.try_variant_get(col, at, kind)
+        elif kind == "VOID":
+            c = F.lit(None).cast("string")
+        else:
+            v = F.try_variant_get(col, at, "variant")
+            c = F.when(v.isNotNull() & ~F.is_variant_null(v), F.to_json(v))
+        cols.append(c.alias(sep.join(path)))
+    return df.select(*cols)

@@ -339,3 +339,33 @@ def prediction_diff(left: DataFrame, right: DataFrame, key: str = "ocid",
         d = ~F.col(f"{c}_self").eqNullSafe(F.col(f"{c}_other"))
         changed = d if changed is None else (changed | d)
     return j.where(changed)
+
+
+def changed_values(left: DataFrame, right: DataFrame, key: str = "ocid",
+                   cols: Sequence[str] = ("predict", "proba", *FEATURES)) -> DataFrame:
+    """JN-3 without what stays the same: a row ``(key, field, value_self, value_other)`` per key and changed column.
+
+    One join and one pass; columns that never change do not occur.  Values are doubles.
+    """
+    l_ = left.select(key, *[F.col(c).cast("double").alias(f"{c}_self") for c in cols])
+    r_ = right.select(key, *[F.col(c).cast("double").alias(f"{c}_other") for c in cols])
+    both = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"{c}_self").alias("value_self"), F.col(f"{c}_other").alias("value_other"))
+                     for c in cols])
+    changed = F.filter(both, lambda v: ~v["value_self"].eqNullSafe(v["value_other"]))
+    return l_.join(r_, key).select(key, F.inline(changed))
+
+
+class LogisticModel:
+    """A linear classifier with weights by feature and a threshold of its own; a missing value counts as its default."""
+
+    def __init__(self, weights: Sequence[float], intercept: float, defaults: Sequence[float], threshold: float):
+        self.weights, self.intercept = np.asarray(weights, float), float(intercept)
+        self.defaults, self.threshold = np.asarray(defaults, float), float(threshold)
+
+    def predict_proba(self, X) -> np.ndarray:
+        X = np.asarray(X, float)
+        p = 1 / (1 + np.exp(-(np.where(np.isnan(X), self.defaults, X) @ self.weights + self.intercept)))
+        return np.column_stack([1 - p, p])
+
+    def predict(self, X) -> np.ndarray:
+        return (self.predict_proba(X)[:, 1] >= self.threshold).astype(np.int64)

@@ -462,3 +462,50 @@ FROM (SELECT page_id, html, string_split_regex(
 SQL["drop_all_null"] = f"""
 SELECT a.* EXCLUDE (description), b.* EXCLUDE (ocid, NF018)
 FROM ({SQL["first_element"]}) a JOIN ({SQL["first_nested"]}) b ON a.ocid = b.ocid"""
+
+# A full tree of 6 levels: the node after six tests, then its leaf; all tests by the model table's rule.
+_STEPS = ",\n".join(
+    f"s{k + 1} AS (SELECT * EXCLUDE (n), 2 * n + 1 + CASE WHEN coalesce(f[(tree * 7 + n * 3) % 6 + 1] < (tree * 31 + n * 17) % 24 - 3.5, "
+    f"(tree + n) % 2 = 0) THEN 0 ELSE 1 END AS n FROM s{k})" for k in range(6))
+SQL["score_model_table"] = with_ctes(
+    f"""SELECT ocid, CAST(raw > 0.5 AS BIGINT) AS predict, CAST(CAST(raw AS DECIMAL(18, 9)) AS DOUBLE) AS proba, n_of_Tend,
+       Pre_No_Respu, awar_perio, enqui_perio, Number_ques, NF039
+FROM (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + exp(-margin)) AS raw FROM feat JOIN (
+  WITH s0 AS (SELECT ocid, [awar_perio, Pre_No_Respu, enqui_perio, Number_ques, NF039, n_of_Tend] AS f, CAST(t.tree AS BIGINT) AS tree,
+                     CAST(0 AS BIGINT) AS n FROM feat CROSS JOIN range(100) t(tree)),
+  {_STEPS}
+  SELECT ocid, sum(CAST((tree * 13 + n * 29) % 201 - 100 AS DOUBLE) / 1000.0::DOUBLE) AS margin FROM s6 GROUP BY ocid) USING (ocid))""", "feat")
+_LINEAR = " + ".join(f"{w}::DOUBLE * coalesce({c}, {d})" for c, w, d in zip(
+    ("awar_perio", "Pre_No_Respu", "enqui_perio", "Number_ques", "NF039", "n_of_Tend"),
+    (0.02, 0.3, -0.05, 0.1, 0.2, -0.4), (10.0, 0.0, 3.0, 0.0, 0.0, 2.0)))
+SQL["score_logistic"] = with_ctes(
+    f"""SELECT ocid, CAST(raw >= 0.35 AS BIGINT) AS predict, CAST(CAST(raw AS DECIMAL(18, 9)) AS DOUBLE) AS proba, n_of_Tend,
+       Pre_No_Respu, awar_perio, enqui_perio, Number_ques, NF039
+FROM (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + exp(-({_LINEAR} + 0.5::DOUBLE))) AS raw FROM feat)""", "feat")
+SQL["prediction_changes"] = with_ctes("\nUNION ALL ".join(
+    f"SELECT a.ocid, '{c}' AS field, CAST(a.{c} AS DOUBLE) AS value_self, CAST(b.{c} AS DOUBLE) AS value_other "
+    f"FROM scored a JOIN scored_zero b ON a.ocid = b.ocid WHERE a.{c} IS DISTINCT FROM b.{c}" for c in _DIFF_COLS), "scored", "scored_zero")
+DERIVED["harvest_s"] = """
+SELECT page_id, CASE page_id % 5
+  WHEN 1 THEN concat(fragment, chr(10), 'extra 8', chr(10), 'extra&nbsp;9')
+  WHEN 2 THEN concat(fragment, chr(10), 'extra 8&nbsp;')
+  WHEN 3 THEN concat(array_to_string(list_slice(string_split(fragment, chr(10)), 1, -2), chr(10)), '&nbsp;')
+  WHEN 4 THEN replace(replace(regexp_replace(fragment, '<a[^>]*>', ''), '</a>', ''), chr(10), concat(chr(13), chr(10)))
+  ELSE fragment END AS html FROM harvest_v"""
+_DEPS["harvest_s"] = ["harvest_v"]
+SQL["harvest_shapes"] = with_ctes(SQL["harvest_scan"].replace("FROM pages", "FROM harvest_s").strip(), "harvest_s")
+SQL["result_table"] = with_ctes(
+    """SELECT ocid, CAST(year(start_ts) AS BIGINT) AS Year, (contract_value - award_value)
+       * CASE WHEN year(start_ts) = (SELECT max(year(start_ts)) FROM tender_v) THEN 2 ELSE 1 END AS nf059 FROM tender_v""", "tender_v")
+_PROJECTED = f"""SELECT e.*, n.* EXCLUDE (ocid, NF018), n.NF018 AS bids, CAST(1 AS BIGINT) AS tag, CAST(1 AS BIGINT) AS category,
+       CAST(1 AS BIGINT) AS parties, q.n_questions AS enquiries, q.n_questions AS enq_desc, q.n_questions AS enq_fechas,
+       q.n_questions AS enq_ans_fechas, q.n_questions AS enq_ans
+FROM ({SQL["first_element"]}) e JOIN ({SQL["first_nested"]}) n ON n.ocid = e.ocid
+LEFT JOIN (SELECT t.ocid, s.n_questions FROM tender_v t JOIN enq_stats s USING (tender_key)) q ON q.ocid = e.ocid"""
+SQL["csv_export"] = with_ctes(f"SELECT *, CAST(NULL AS VARCHAR) AS mc_bids FROM ({_PROJECTED})", "tender_v", "enq_stats")
+SQL["drop_null_columns"] = with_ctes(f"SELECT * EXCLUDE (description) FROM ({_PROJECTED})", "tender_v", "enq_stats")
+SQL["flatten_variant"] = with_ctes(
+    f"""SELECT s.*, CAST(1 AS BIGINT) AS tag, CAST(1 AS BIGINT) AS awards, CAST(1 AS BIGINT) AS contracts, CAST(1 AS BIGINT) AS auctions,
+       q.n_questions AS tender__enquiries
+FROM ({SQL["flatten_struct"]}) s
+LEFT JOIN (SELECT t.ocid, s.n_questions FROM tender_v t JOIN enq_stats s USING (tender_key)) q ON q.ocid = s.ocid""", "tender_v", "enq_stats")

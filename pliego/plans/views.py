@@ -137,3 +137,35 @@ def harvest_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").cast("date").cast("string"), F.lit("&nbsp;"),
     )
     return j.select(pid, fragment.alias("fragment"))
+
+
+def harvest_shapes_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``harvest_view`` in the shapes that pages come in: 7 to 10 fields, without a link, with CR LF."""
+    f, shape, nl = F.col("fragment"), F.col("page_id") % 5, F.lit("\n")
+    return harvest_view(spark, sf_dir).select(
+        "page_id",
+        F.when(shape == 1, F.concat(f, nl, F.lit("extra 8"), nl, F.lit("extra&nbsp;9")))
+        .when(shape == 2, F.concat(f, nl, F.lit("extra 8&nbsp;")))
+        .when(shape == 3, F.regexp_replace(f, "\n[^\n]*$", "&nbsp;"))
+        .when(shape == 4, F.replace(F.regexp_replace(f, "</?a[^>]*>", ""), nl, F.lit("\r\n")))
+        .otherwise(f).alias("fragment"))
+
+
+#: Trees and levels of ``model_table``.
+MODEL_TREES, MODEL_DEPTH = 100, 6
+
+
+def model_table(spark: SparkSession, features: list[str]) -> DataFrame:
+    """A node table at a fitted model's size: full trees, every node's test and every leaf by a rule."""
+    inner = (1 << MODEL_DEPTH) - 1
+    t, n = F.col("tree"), F.col("node")
+    ids = spark.range(MODEL_TREES * (2 * inner + 1)).select(
+        F.expr(f"id div {2 * inner + 1}").cast("int").alias("tree"), (F.col("id") % (2 * inner + 1)).cast("int").alias("node"))
+    yes = 2 * n + 1
+
+    def at(c: Column) -> Column:
+        return F.when(n < inner, c)
+    return ids.select(
+        "tree", "node", at(F.element_at(F.array(*map(F.lit, features)), (t * 7 + n * 3) % len(features) + 1)).alias("feature"),
+        at(((t * 31 + n * 17) % 24 - 3.5).cast("double")).alias("threshold"), at(yes).alias("yes"), at(yes + 1).alias("no"),
+        at(yes + (t + n) % 2).alias("missing"), F.when(n >= inner, ((t * 13 + n * 29) % 201 - 100) / 1000.0).cast("double").alias("leaf"))

@@ -19,6 +19,11 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     w.parquet(path)
 
 
+def write_partitions(df: DataFrame, path: str, partition_by: list[str]) -> None:
+    """SK-1: replaces the partitions that ``df`` has rows of and leaves the others, so that a month can be run again."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
 def csv_ready(df: DataFrame) -> DataFrame:
     """Nested / VARIANT columns as JSON text, everything else unchanged."""
     cols = []
@@ -32,6 +37,6 @@ def csv_ready(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """SK-2: spreadsheet-friendly CSV with a header row."""
-    csv_ready(df).write.mode(mode).option("header", True).csv(path)
+def export_csv(df: DataFrame, path: str, mode: str = "overwrite", escape: str = "\\") -> None:
+    """SK-2: CSV with a header row.  ``escape='"'`` doubles quotes, as spreadsheets do."""
+    csv_ready(df).write.mode(mode).option("header", True).option("escape", escape).csv(path)

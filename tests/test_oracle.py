@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
-from pliego.plans import registry
+from pliego.plans import deliveries, registry  # noqa: F401
 from pliego.sources.tables import TABLES
 
 NAMES = sorted(registry.QUERIES)
