@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -188,6 +189,30 @@ def word_key():
     return [F.xxhash64("word").alias("h1"), F.xxhash64(F.lit(1), "word").alias("h2")]
 
 
+#: Buckets of the tables of lengths.
+BUCKETS = 1 << 16
+
+
+def possible_lengths(vocabulary: Vocabulary):
+    """Column: lengths (as bits) that a piece ending at ``last`` in ``word`` may have, by its last two or four characters.
+
+    Most substrings are no pieces; these need not be cut out and looked up.
+    Endings share buckets, so a length too many is possible, one too few is not.
+    """
+    tables = {2: np.zeros(BUCKETS, np.int64), 4: np.zeros(BUCKETS, np.int64)}
+    for i in vocabulary.winning:
+        piece = vocabulary.pieces[i]
+        tail = 4 if len(piece) >= 4 else 2
+        if len(piece) > 1:
+            tables[tail][crc32(piece[-tail:].encode("utf-8", "surrogatepass")) % BUCKETS] |= 1 << len(piece)
+
+    def looked_up(tail: int):
+        table = F.split(F.lit(",".join(map(str, tables[tail].tolist()))), ",").cast("array<bigint>")
+        bucket = F.crc32(F.expr(f"substring(word, last - {tail - 1}, {tail})").cast("binary")).bitwiseAND(F.lit(BUCKETS - 1))
+        return F.when(F.col("last") >= tail, F.get(table, bucket.cast("int"))).otherwise(F.lit(0).cast("bigint"))
+    return looked_up(2).bitwiseOR(looked_up(4))
+
+
 def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(word, carried, ids) for distinct non-empty words (h1, h2, word, carried): the segmentation of the highest score.
 
@@ -203,8 +228,10 @@ def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     if longest > 31:
         raise ValueError("pieces of over 31 characters")
     ends = words.select("*", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("last"))
+    ends = ends.withColumn("lengths", possible_lengths(vocabulary))
     first = (F.col("last") == 1) & (F.col("size") == 1)
     parts = (ends.select("*", F.explode(F.sequence(F.lit(1), F.least("last", F.lit(longest)))).alias("size"))
+             .filter((F.col("size") == 1) | (F.expr("shiftright(lengths, size)").bitwiseAND(F.lit(1)) == 1))
              .select("h1", "h2", F.when(first, F.col("word")).alias("word"), F.when(first, F.col("carried")).alias("carried"),
                      "last", "size", F.expr("substring(word, last - size + 1, size)").alias("piece")))
     number = F.coalesce("id", -1 - F.ascii("piece")) + SHIFT

@@ -5,6 +5,8 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from pliego.llm import pieces as P
 
 
@@ -114,3 +116,18 @@ def test_odd_rows(spark, vocab):
     assert P.encode(df.limit(0)).count() == 0
     back = P.decode(P.encode(df.filter("text IS NOT NULL")))
     assert sorted(r.decoded for r in back.collect()) == sorted(t for _, t, _ in rows if t)
+
+
+def test_no_possible_length_is_left_out(spark):
+    """At every end of a word the lengths of all pieces that end there are among those looked up."""
+    v = P.Vocabulary.read()
+    names = {v.pieces[i] for i in v.winning}
+    words = ["▁international", "▁a", "x", "▁Straßenbahnen", "▁ééé", "12345", "▁the", "▁" * 40, "▁naïvement日本"] + sorted(names)[::400]
+    df = spark.createDataFrame([(w,) for w in words], "word string").select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("last"))
+    loose = 0
+    for r in df.select("word", "last", P.possible_lengths(v).alias("m")).collect():
+        real = {n for n in range(2, min(r["last"], 31) + 1) if r.word[r["last"] - n:r["last"]] in names}
+        got = {n for n in range(2, r["last"] + 1) if r.m >> n & 1}
+        assert real <= got
+        loose += len(got) - len(real)
+    assert loose < 3 * sum(map(len, words))
