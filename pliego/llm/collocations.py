@@ -30,9 +30,9 @@ from .common import bitmap_of, first_of_each, held_in, written
 CAPACITY = 1 << 18
 HELD = 1 << 21
 #: Bytes of text worked on at a time (a longer text is one part).
-PART = 1 << 20
+PART = 1 << 19
 #: Phrases of a task in the second pass.
-PHRASES = 400_000
+PHRASES = 1_500_000
 
 BLANK, BREAK = b" \t", b".,;:!?\n\x0b\x0c\r"
 CLASS = np.zeros(256, np.uint8)
@@ -230,12 +230,13 @@ class Phrases:
 
     def __init__(self):
         self.x, self.g = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.count, self.row = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.phrases: list[tuple[str, bytes, int]] = []
+        self.count, self.row = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.phrases: list[bytes] = []
+        self.kinds: list[tuple[np.ndarray, int]] = []  # langs and number of words, in the order of phrases
         self.others: Counter = Counter()
 
-    def add(self, x: np.ndarray, g: np.ndarray, phrase) -> None:
-        """``phrase(k)`` gives (lang, phrase, words) of occurrence k."""
+    def add(self, x: np.ndarray, g: np.ndarray, langs: np.ndarray, words: int, phrases) -> None:
+        """``phrases(k)`` gives the phrases of the occurrences k; ``langs`` are all occurrences' langs by number."""
         order = np.argsort(x, kind="stable")
         x, g = x[order], g[order]
         at = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (g[1:] != g[:-1]))))
@@ -247,25 +248,29 @@ class Phrases:
         known = self.x[near] == x if len(self.x) else np.zeros(len(x), bool)
         same = known & (self.g[near] == g) & ~again if len(self.x) else known
         self.count[near[same]] += n[same]
-        for k in np.flatnonzero((known & ~same) | again).tolist():
-            self.others[phrase(where[k])] += int(n[k])
+        odd = np.flatnonzero((known & ~same) | again)  # another phrase of the same first hash
+        for k, phrase in zip(odd.tolist(), phrases(where[odd])):
+            self.others[int(langs[where[k]]), phrase, words] += int(n[k])
         new = np.flatnonzero(~known & ~again)
-        rows = np.arange(len(self.phrases), len(self.phrases) + len(new))
-        self.phrases += [phrase(k) for k in where[new].tolist()]
+        rows = np.arange(len(self.phrases), len(self.phrases) + len(new), dtype=np.int32)
+        self.phrases += phrases(where[new])
+        self.kinds.append((langs[where[new]].astype(np.int32), words))
         self.x, self.g = np.insert(self.x, place[new], x[new]), np.insert(self.g, place[new], g[new])
         self.count, self.row = np.insert(self.count, place[new], n[new]), np.insert(self.row, place[new], rows)
 
-    def flush(self) -> Iterator[pa.RecordBatch]:
+    def flush(self, names: list[str]) -> Iterator[pa.RecordBatch]:
         count = np.empty(len(self.phrases), np.int64)
         count[self.row] = self.count
-        rows = [*self.phrases, *self.others]
-        n = [*count.tolist(), *self.others.values()]
+        lang = np.concatenate([np.zeros(0, np.int32), *(k for k, _ in self.kinds), [k for k, _, _ in self.others]]).astype(np.int32)
+        words = np.concatenate([np.zeros(0, np.int32), *(np.full(len(k), w) for k, w in self.kinds), [w for _, _, w in self.others]]).astype(np.int32)
+        count = np.concatenate((count, np.array([*self.others.values()], np.int64)))
+        phrases = self.phrases + [p for _, p, _ in self.others]
         self.__init__()
-        for k in range(0, len(rows), 1 << 16):
-            some = rows[k:k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in some], pa.string()), pa.array([r[1] for r in some], pa.binary()),
-                 pa.array([r[2] for r in some], pa.int32()), pa.array(n[k:k + (1 << 16)], pa.int64())], names=["lang", "b", "words", "c"])
+        table = pa.array(names, pa.string())
+        for k in range(0, len(phrases), 1 << 16):
+            some = slice(k, k + (1 << 16))
+            yield pa.RecordBatch.from_arrays([table.take(pa.array(lang[some])), pa.array(phrases[some], pa.binary()),
+                                              pa.array(words[some]), pa.array(count[some])], names=["lang", "b", "words", "c"])
 
 
 def phrase_counts(docs: DataFrame, maps: list[bytes], threshold: int) -> DataFrame:
@@ -275,12 +280,17 @@ def phrase_counts(docs: DataFrame, maps: list[bytes], threshold: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmaps = [np.frombuffer(b, np.uint64) for b in sent.value]
         counts, total = Phrases(), Counter()
+        numbers: dict[str, int] = {}
         for part, b in parts(batches):
             salt = b.column(0).to_numpy().view(np.uint64)
-            langs = b.column(1).to_pylist()
+            number = np.array([numbers.setdefault(x, len(numbers)) for x in b.column(1).to_pylist()], np.int32)
+            langs = number[part.text]
             low = LOWER[part.buf].tobytes()
-            for k, n in zip(*np.unique(part.text, return_counts=True)):
-                total[langs[k]] += int(n)
+            for k, n in zip(*np.unique(langs, return_counts=True)):
+                total[int(k)] += int(n)
+            # words with one space between them are one stretch of the text
+            spaced = np.zeros(len(part.start), bool)
+            spaced[:-1] = (part.start[1:] - part.end[:-1] == 1) & (part.buf[part.end[:-1]] == 32) if len(spaced) else False
             left, right = part.hashes(0, salt), part.hashes(1, salt)
             before = None
             for words, bitmap in enumerate(bitmaps, 1):
@@ -292,16 +302,23 @@ def phrase_counts(docs: DataFrame, maps: list[bytes], threshold: int) -> DataFra
                 before = ok = ok & held_in(bitmap, left[words - 1])
                 at = np.flatnonzero(ok)
 
-                def phrase(k: int) -> tuple[str, bytes, int]:
+                def phrases(k: np.ndarray) -> list[bytes]:
                     i = at[k]
-                    return (langs[part.text[i]], b" ".join([low[s:e] for s, e in zip(
-                        part.start[i:i + words].tolist(), part.end[i:i + words].tolist())]), words)
+                    out = [low[s:e] for s, e in zip(part.start[i].tolist(), part.end[i + words - 1].tolist())]
+                    plain = np.ones(len(i), bool)
+                    for j in range(words - 1):
+                        plain &= spaced[i + j]
+                    for n in np.flatnonzero(~plain).tolist():
+                        first = i[n]
+                        out[n] = b" ".join([low[s:e] for s, e in zip(part.start[first:first + words].tolist(), part.end[first:first + words].tolist())])
+                    return out
                 if len(at):
-                    counts.add(left[words - 1][at], right[words - 1][at], phrase)
+                    counts.add(left[words - 1][at], right[words - 1][at], langs[at], words, phrases)
             if len(counts.phrases) > PHRASES:
-                yield from counts.flush()
-        yield from counts.flush()
-        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.string()), pa.array([b""] * len(total), pa.binary()),
+                yield from counts.flush([*numbers])
+        names = [*numbers]
+        yield from counts.flush(names)
+        yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in total], pa.string()), pa.array([b""] * len(total), pa.binary()),
                                           pa.array([0] * len(total), pa.int32()), pa.array([*total.values()], pa.int64())],
                                          names=["lang", "b", "words", "c"])
     rows = docs.mapInArrow(run, "lang string, b binary, words int, c long")
