@@ -38,8 +38,9 @@ HOT_ROWS = 1_000_000
 # Counters of a sketch, and hot keys at most.
 TRACKED = 100_000
 MAX_HOT = 10_000
-# Bits of a bitmap of keys (1 MB): it filters up to some ten million kept keys and lets all pass far beyond.
-KEY_BITS = 1 << 23
+# Bits of a bitmap of keys (128 KB): it filters up to about a million kept keys and lets all pass far beyond,
+# where Spark's own runtime filter of large scans takes over.  More bits cost a longer array in every task.
+KEY_BITS = 1 << 20
 
 
 def hot_keys(facts: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
