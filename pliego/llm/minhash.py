@@ -11,8 +11,9 @@ has to find all pairs of signatures within that radius.
 * Allowed errors: each chunk gives one key for each code left out.  Signatures
   with at most one error in a chunk share a key of it: ``HASHES`` keys a document.
 * Equal sets are one representative.  A key's members are compared with the
-  smallest one; only keys whose members are not in one class after that are
-  compared in full, strangers against all.  Keys with the same members count once.
+  smallest one.  Where that does not bring all into one class, the strangers are
+  held against all members of the smallest one's class that they share a key with,
+  and against each other: once a class, not once a key.
 * Classes of signatures within the radius are then held against the full sets:
   chunks of a class with its smallest member, then what that member does not
   reach against all chunks.  Each group gives a spanning set of confirmed links.
@@ -209,7 +210,7 @@ def groups_of(parts: list[pa.RecordBatch], keys: int) -> tuple[pa.Table, list[tu
 
 
 def signature_links(members: DataFrame, radius: int) -> DataFrame:
-    """Spanning links (u, v) of the groups (key, i, j) of (rep, sig) by signature distance."""
+    """Spanning links (u, v) of the groups (home, i, j) of (rep, sig) by signature distance."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in grouped(batches, 3, BUCKET):
             table, groups = groups_of(part, 3)
@@ -222,8 +223,8 @@ def signature_links(members: DataFrame, radius: int) -> DataFrame:
                     hi - lo, lambda i, left: left[(s[left] != s[i]).sum(axis=1) <= radius])]
             at = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(reps[at[:, 0]]), pa.array(reps[at[:, 1]])], names=["u", "v"])
-    rows = members.select("key", "i", "j", "rep", "sig")
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(run, "u long, v long")
+    rows = members.select("home", "i", "j", "rep", "sig")
+    return rows.repartition("home", "i", "j").sortWithinPartitions("home", "i", "j", "rep").mapInArrow(run, "u long, v long")
 
 
 def dealt(rows: DataFrame, group: str, strange: Column, weight: Column) -> DataFrame:
@@ -256,18 +257,15 @@ def near_links(reps: DataFrame, radius: int) -> DataFrame:
     sig = reps.select("rep", "sig")
     pairs = members.filter("rep > center").select(F.col("center").alias("u"), F.col("rep").alias("v")).distinct()
     first = written(within(pairs.join(sig.toDF("u", "a"), "u").join(sig.toDF("v", "b"), "v"), radius), "links")
-    # keys whose members are not in one class yet, once for each set of members
     # members with one label are linked with the same centre, so they are connected
     label = first.groupBy(F.col("v").alias("rep")).agg(F.min("u").alias("label"))
     named = written(members.filter("n > 2").join(label, "rep", "left")
                     .select("key", "rep", F.coalesce("label", "rep").alias("label")), "named")
-    open_keys = (named.groupBy("key").agg(
-        F.min(F.struct("rep", "label")).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"),
-        F.count("*").alias("n"), F.expr("bit_xor(xxhash64(rep))").alias("x"), F.expr("bit_xor(xxhash64(rep, 1))").alias("y"))
-        .filter("lo < hi").groupBy("n", "x", "y").agg(F.min(F.struct("key", F.col("c.label").alias("label"))).alias("k")))
-    open_keys = open_keys.select(F.col("k.key").alias("key"), F.col("k.label").alias("home"))
-    rest = written(named.join(open_keys, "key"), "open")
-    rest = dealt(rest, "key", F.col("label") != F.col("home"), F.lit(0)).select("key", "i", "j", "rep")
+    open_keys = (named.groupBy("key").agg(F.min(F.struct("rep", "label")).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+                 .filter("lo < hi").select("key", F.col("c.label").alias("home")))
+    # strangers meet the members of a centre's class once, however many keys they share with them
+    rest = written(named.join(open_keys, "key").select("home", "rep", (F.col("label") != F.col("home")).alias("apart")).distinct(), "open")
+    rest = dealt(rest, "home", F.col("apart"), F.lit(0)).select("home", "i", "j", "rep")
     return first.unionByName(signature_links(rest.join(sig, "rep"), radius))
 
 
