@@ -58,11 +58,11 @@ def kept_keys(facts: DataFrame, dims: DataFrame, key: str, bits: int = KEY_BITS)
     it as it scans, before anything is counted or shuffled.
     """
     slot = F.pmod(F.xxhash64(key), F.lit(bits))
-    words = (dims.where(F.col(key).isNotNull()).groupBy(F.shiftright(slot, 6).alias("w"))
-             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("b")))
-    every = dims.sparkSession.range(0, bits >> 6, 1, 1).join(words, F.col("id") == F.col("w"), "left")
-    bitmap = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.coalesce("b", F.lit(0).cast("bigint")).alias("b")))),
-                                   lambda x: x["b"]).alias("bitmap")).scalar()
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    every = dims.sparkSession.range(0, bits >> 6, 1, 1).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("b"))
+    words = (dims.where(F.col(key).isNotNull()).select(F.shiftright(slot, 6).alias("w"), one.alias("b"))
+             .unionByName(every).groupBy("w").agg(F.bit_or("b").alias("b")))
+    bitmap = words.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("bitmap")).scalar()
     word = F.get(bitmap, F.shiftright(slot, 6).cast("int"))
     return facts.where(F.call_function("getbit", word, slot.bitwiseAND(F.lit(63)).cast("int")) == 1)
 
