@@ -32,22 +32,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+_LOCAL: dict[str, str] = {}  # folder of an application without a shared one
+
+
+def local_folder(spark: SparkSession) -> str:
+    """A temporary folder, one for each application, for a local master that names no shared folder (tests).
+
+    On a cluster a folder of one machine would be private to it, so that is an error.
+    """
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = f"file://{tempfile.mkdtemp(prefix='pliego-')}"
+    return _LOCAL[app]
+
+
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A fresh folder under the cluster's shared checkpoint directory.
 
     The checkpoint directory is read from the session (``spark.checkpoint.dir``
-    or the context's checkpoint dir).  Only when neither is set *and* the master
-    is local (tests) a temporary folder is created and registered; on a cluster
-    a missing setting is an error, never a machine-local folder.
+    or the context's checkpoint dir); the session is not changed.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach; "
-                               "landed files and stream checkpoints are written there")
-        root = tempfile.mkdtemp(prefix="pliego-ckpt-")
-        spark.sparkContext.setCheckpointDir(root)
-    root = root.rstrip("/")
-    return "/".join([root, "pliego", *parts, uuid.uuid4().hex])
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or local_folder(spark)
+    return "/".join([root.rstrip("/"), "pliego", *parts, uuid.uuid4().hex])

@@ -201,16 +201,16 @@ def to_parquet(spark: SparkSession, lines_dir: str, out_dir: str | None = None)
     return out
 
 
-_LANDED: dict[tuple[int, str, str], str] = {}
+_LANDED: dict[tuple[str, str, str], str] = {}
 
 
 def landed(spark: SparkSession, sf_dir: str, layout: str = "lines") -> str:
-    """``land`` once per (session, data dir, layout), then reuse; call ``forget_landed`` if the data change.
+    """``land`` once per (application, data dir, layout), then reuse; call ``forget_landed`` if the data change.
 
     The JSON-lines landing is built once; ``package`` / ``zip`` re-frame it and
     ``parquet`` is it converted by ``to_parquet``.
     """
-    k = (id(spark), sf_dir.rstrip("/"), layout)
+    k = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), layout)
     if k not in _LANDED:
         if layout == "lines":
             _LANDED[k] = land(spark, sf_dir, "lines")
