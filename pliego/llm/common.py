@@ -1,7 +1,6 @@
 """Helpers shared by the operators: written tables, hot-key joins, Arrow batches."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import local_folder
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
@@ -19,14 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
     Where the session names none, a local master gets a temporary folder;
     on a cluster that would be private to one machine, so it is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = f"file://{tempfile.mkdtemp(prefix='pliego-')}"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return (spark.conf.get("spark.checkpoint.dir", None) or local_folder(spark)).rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
