@@ -14,7 +14,7 @@ from ..operators.reshape import flatten_variant
 from ..operators.scoring import FEATURES, LogisticModel, changed_values, ensemble_from_table, score, score_with_model
 from ..session import shared_dir
 from ..sources.footers import drop_null_columns
-from ..sources.landing import landed
+from ..sources.landing import GZIP, landed
 from ..sources.ocds import indicator_projection
 from ..sources.sinks import csv_ready, export_csv, write_partitions
 from .flows import scored_views, scoring_features
@@ -83,10 +83,10 @@ def _counted(df: DataFrame, arrays: list[str]) -> DataFrame:
 
 @register("csv_export")
 def q_csv_export(spark, sf_dir):
-    """SK-2: all 38 columns exported as CSV and read back; arrays as their length."""
+    """SK-2: all 38 columns exported as CSV (with gzip) and read back; arrays as their length."""
     p = indicator_projection(packages_of(spark, sf_dir))
     path = shared_dir(spark, "csv-export")
-    export_csv(p, path, escape='"')
+    export_csv(p, path, escape='"', **GZIP)
     back = spark.read.option("header", True).option("escape", '"').csv(path)
     typed = back.select(*[F.col(f"`{c}`").cast("double" if c in _DOUBLES else "bigint" if c in _LONGS else "string").alias(c) for c in back.columns])
     return _counted(typed, [f.name for f in p.schema.fields if isinstance(f.dataType, ArrayType)])

@@ -3,13 +3,16 @@
 A package may be one document of any size, alone or as the first member of a
 zip archive.  ``ReleasePackages`` is a Spark data source that hands each release
 on while the document is still being read: a task holds one chunk of text and
-one release, whatever the document's size.  Files are dealt to partitions by
-size; the releases are parsed by Spark with the declared schema.
+one release, whatever the document's size.  Documents may be compressed (gzip).
+Files are dealt to partitions by size; the releases are parsed by Spark with the
+declared schema.
 """
 from __future__ import annotations
 
 import codecs
+import heapq
 import json
+import math
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -26,6 +29,8 @@ CHUNK = 1 << 16
 ROWS, CHARACTERS = 500, 1 << 20
 #: Bytes of files that one task reads, if they are many small ones.
 TASK_BYTES = 64 << 20
+#: Releases are dealt out by files, if none has more than so many times a task's share of the bytes.
+UNEVEN = 2
 #: How near to the end of what is read an error may be the end's fault.
 CUT = 16
 
@@ -131,21 +136,39 @@ def decoded(stream) -> Callable[[int], str]:
     return read
 
 
+def _even(sizes: list[int], tasks: int) -> bool:
+    """Whether ``tasks`` tasks can share files of these sizes."""
+    return len(sizes) >= tasks and max(sizes) * tasks <= UNEVEN * sum(sizes)
+
+
 class _Files(InputPartition):
     def __init__(self, paths: list[str]):
         self.paths = paths
 
 
+def _package_files(path: str, layout: str) -> list[tuple[str, int]]:
+    return data_files(path, ".zip" if layout == "zip" else "")
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.layout = options.get("layout", "document")
+        self.tasks = int(options.get("tasks", 0))
         if self.layout not in ("document", "zip"):
             raise ValueError(f"unknown layout {self.layout!r}")
 
     def partitions(self) -> list[InputPartition]:
+        files = _package_files(self.path, self.layout)
+        if self.tasks and _even([size for _, size in files], self.tasks):
+            n = max(self.tasks, math.ceil(sum(size for _, size in files) / TASK_BYTES))
+            least = [(0, k, []) for k in range(n)]
+            for path, size in sorted(files, key=lambda f: -f[1]):
+                bytes_, k, paths = least[0]
+                heapq.heapreplace(least, (bytes_ + size, k, [*paths, path]))
+            return [_Files(paths) for _, _, paths in least if paths]
         parts, bytes_ = [[]], 0
-        for path, size in data_files(self.path, ".zip" if self.layout == "zip" else ""):
+        for path, size in files:
             if parts[-1] and bytes_ + size > TASK_BYTES:
                 parts.append([])
                 bytes_ = 0
@@ -165,16 +188,17 @@ class _Reader(DataSourceReader):
                     if len(rows) >= ROWS or size >= CHARACTERS:
                         yield self._batch(path, rows)
                         rows, size = [], 0
-            except (zipfile.BadZipFile, ValueError, RecursionError) as e:
+            except (zipfile.BadZipFile, OSError, ValueError, RecursionError) as e:
                 raise ValueError(f"{path}: no release package: {e!r}") from e
             if rows:
                 yield self._batch(path, rows)
 
     def _releases(self, store, path: str) -> Iterator[str]:
-        with store.open_input_file(path) as f:
-            if self.layout == "document":
+        if self.layout == "document":
+            with store.open_input_stream(path) as f:  # undoes the compression that the name tells
                 yield from release_texts(decoded(f))
-                return
+            return
+        with store.open_input_file(path) as f:
             with zipfile.ZipFile(f) as z:
                 if not z.namelist():
                     raise ValueError("an archive without members")
@@ -188,7 +212,8 @@ class _Reader(DataSourceReader):
 
 
 class ReleasePackages(DataSource):
-    """Spark format ``release_packages``: ``path``, ``release`` (JSON text); option ``layout``: document or zip."""
+    """Spark format ``release_packages``: ``path``, ``release`` (JSON text); options ``layout``: document or zip,
+    ``tasks``: how many partitions share the files, if they are many and even."""
 
     @classmethod
     def name(cls) -> str:
@@ -201,22 +226,23 @@ class ReleasePackages(DataSource):
         return _Reader(self.options)
 
 
-def read_release_texts(spark: SparkSession, path: str, layout: str = "document") -> DataFrame:
+def read_release_texts(spark: SparkSession, path: str, layout: str = "document", tasks: int = 0) -> DataFrame:
     """``path``, ``release`` (JSON text) of each release of the packages at or under ``path``.
 
     A file that is no package is an error that names it.
     """
     spark.dataSource.register(ReleasePackages)
-    return spark.read.format("release_packages").option("layout", layout).load(qualified(spark, path))
+    return spark.read.format("release_packages").option("layout", layout).option("tasks", tasks).load(qualified(spark, path))
 
 
 def read_release_stream(spark: SparkSession, path: str, layout: str = "document",
                         partitions: int | None = None) -> DataFrame:
     """SC-2 / SC-3 + PR-1: one row per release of whole documents or of archives' first members.
 
-    ``partitions`` spreads the releases before they are parsed, for few large files.
+    ``partitions`` spreads the releases before they are parsed: by the files that a task
+    reads, or release by release for few large files.
     """
-    texts = read_release_texts(spark, path, layout).select("release")
-    if partitions:
+    texts = read_release_texts(spark, path, layout, partitions or 0).select("release")
+    if partitions and not _even([size for _, size in _package_files(qualified(spark, path), layout)], partitions):
         texts = texts.repartition(partitions)
     return texts.select(F.from_json("release", release_type()).alias("r")).select("r.*")
