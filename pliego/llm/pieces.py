@@ -1,10 +1,10 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Encoding of a set of words, all in DataFrame operations: every substring of
-bounded length is exploded, joined to the piece table (broadcast; it is as large
-as the vocabulary), edges are grouped by word and a higher-order ``aggregate``
-folds Viterbi over them: the segmentation with the highest sum of piece scores.
-Characters without a piece fall back to bytes.
+Encoding of a set of words: every substring of bounded length that may be a piece
+is exploded and joined to the piece table (broadcast; it is as large as the
+vocabulary), edges are grouped by word, and Viterbi is folded over those of many
+words at once in Arrow batches: the segmentation with the highest sum of piece
+scores.  Characters without a piece fall back to bytes.
 
 Texts are encoded through their distinct words.  A word here is a unit that no
 piece crosses: white-space marks with the run of Latin letters, or of other
@@ -27,9 +27,10 @@ import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import without, written
+from .common import slices, without, written
 from .spans import BASES, hashes, prefix_sums
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -47,8 +48,10 @@ WORDS_AT_ONCE, RARE_TASKS = 1 << 14, 4
 PART_CHARS = 1 << 18
 #: Below the lowest piece score: what a character without a piece costs.
 UNKNOWN_PENALTY = 10.0
-#: Back pointers are kept in blocks of this size, so that long words stay linear.
-BLOCK = 256
+#: Words whose edges Viterbi is folded over at once.
+FOLDED = 1 << 12
+#: Bytes of packed unit numbers that are put together at once, about.
+PART_CODES = 1 << 16
 #: Offset that keeps packed ids positive: a character without a piece is -1 minus its code point.
 SHIFT = 1 << 21
 
@@ -85,6 +88,11 @@ class Vocabulary:
     def unknown_score(self) -> float:
         return min(self.scores[i] for i in self.normal) - UNKNOWN_PENALTY
 
+    @cached_property
+    def edge_scores(self) -> np.ndarray:
+        """Scores by id; the last one is that of a character without a piece."""
+        return np.array([*self.scores, self.unknown_score])
+
     @cached_property
     def winning(self) -> list[int]:
         """The normal ids less those that their own parts outscore: these are in no best segmentation."""
@@ -100,8 +108,9 @@ class Vocabulary:
         return [i for i in self.normal if in_parts(self.pieces[i]) <= self.scores[i]]
 
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(self.pieces[i], i, float(self.scores[i])) for i in self.winning]
-        return spark.createDataFrame(rows, "piece string, id int, score double")
+        """(name, id, key): the pieces that win; a join on a long is faster than one on strings."""
+        rows = [(self.pieces[i], i) for i in self.winning]
+        return spark.createDataFrame(rows, "name string, id int").withColumn("key", F.xxhash64("name"))
 
     def spelled(self, ids: list[int]) -> list[int]:
         """Ids with a negative one (a character without a piece) as its bytes."""
@@ -142,48 +151,6 @@ def ragged(flat: np.ndarray, start: np.ndarray, at: np.ndarray) -> tuple[np.ndar
 
 # ---------------------------------------------------------------- lattice
 
-# Both folds go over edges in order of their end.  State: the best score at each position so far (the long
-# form keeps the last ones only, latest first) and for each position the edge that gave it.
-FOLD = """
-CASE WHEN size(edges) <= 512 THEN
-  aggregate(edges, named_struct('scores', array(0D), 'steps', cast(array() AS array<bigint>)),
-    (s, e) -> CASE
-      WHEN shiftright(e.k, 29) > size(s.steps) THEN named_struct(
-        'scores', concat(s.scores, array(e.score + element_at(s.scores, cast(size(s.scores) - 31 + (shiftright(e.k, 24) & 31) + 1 AS int)))),
-        'steps', concat(s.steps, array(e.k & 536870911)))
-      WHEN e.score + element_at(s.scores, cast(size(s.scores) - 31 + (shiftright(e.k, 24) & 31) AS int)) > element_at(s.scores, -1) THEN named_struct(
-        'scores', concat(slice(s.scores, 1, size(s.scores) - 1),
-                         array(e.score + element_at(s.scores, cast(size(s.scores) - 31 + (shiftright(e.k, 24) & 31) AS int)))),
-        'steps', concat(slice(s.steps, 1, size(s.steps) - 1), array(e.k & 536870911)))
-      ELSE s END,
-    s -> s.steps)
-ELSE
-  aggregate(edges, named_struct('at', 0L, 'scores', array(0D), 'cur', cast(array() AS array<bigint>), 'done', cast(array() AS array<array<bigint>>)),
-    (s, e) -> CASE
-      WHEN shiftright(e.k, 29) > s.at THEN named_struct(
-        'at', shiftright(e.k, 29),
-        'scores', slice(concat(array(e.score + element_at(s.scores, cast(31 - (shiftright(e.k, 24) & 31) AS int))), s.scores), 1, {keep}),
-        'cur', if(size(s.cur) = {block}, array(e.k & 536870911), concat(s.cur, array(e.k & 536870911))),
-        'done', if(size(s.cur) = {block}, concat(s.done, array(s.cur)), s.done))
-      WHEN e.score + element_at(s.scores, cast(32 - (shiftright(e.k, 24) & 31) AS int)) > element_at(s.scores, 1) THEN named_struct(
-        'at', s.at,
-        'scores', concat(array(e.score + element_at(s.scores, cast(32 - (shiftright(e.k, 24) & 31) AS int))), slice(s.scores, 2, {keep})),
-        'cur', concat(slice(s.cur, 1, size(s.cur) - 1), array(e.k & 536870911)), 'done', s.done)
-      ELSE s END,
-    s -> concat(flatten(s.done), s.cur))
-END
-"""
-
-TRACE = """
-reverse(aggregate(reverse(sequence(1, size(steps))),
-  named_struct('at', size(steps), 'ids', cast(array() AS array<int>)),
-  (s, p) -> if(p = s.at,
-    named_struct('at', cast(p - 31 + (shiftright(element_at(steps, p), 24) & 31) AS int),
-                 'ids', concat(s.ids, array(cast((element_at(steps, p) & 16777215) - {shift} AS int)))), s),
-  s -> s.ids))
-"""
-
-
 def word_key():
     """Two columns that stand for a word: 128 bits sort and group faster than strings."""
     return [F.xxhash64("word").alias("h1"), F.xxhash64(F.lit(1), "word").alias("h2")]
@@ -217,12 +184,13 @@ def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(word, carried, ids) for distinct non-empty words (h1, h2, word, carried): the segmentation of the highest score.
 
     Of equal scores the one whose last differing piece is longest wins.  A
-    character without a piece has -1 minus its code point as id.  ``word`` and
-    ``carried`` ride along on the edge of the first character, and ``words`` is
-    partitioned by its key, so nothing is shuffled here.
+    character without a piece has -1 minus its code point as id; ``ids`` has
+    three bytes for each.  ``word`` and ``carried`` ride along on the edge of the
+    first character, and ``words`` is partitioned by its key, so nothing is
+    shuffled here.
 
-    An edge is packed as where it ends, 31 less its length, and its id, so that
-    edges sort by their end and the longest of one end comes first.
+    An edge is packed as where it ends, its length, and its id.  Pieces are
+    joined by a hash, which is faster than by strings, and then compared.
     """
     longest = vocabulary.longest
     if longest > 31:
@@ -233,18 +201,93 @@ def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     parts = (ends.select("*", F.explode(F.sequence(F.lit(1), F.least("last", F.lit(longest)))).alias("size"))
              .filter((F.col("size") == 1) | (F.expr("shiftright(lengths, size)").bitwiseAND(F.lit(1)) == 1))
              .select("h1", "h2", F.when(first, F.col("word")).alias("word"), F.when(first, F.col("carried")).alias("carried"),
-                     "last", "size", F.expr("substring(word, last - size + 1, size)").alias("piece")))
-    number = F.coalesce("id", -1 - F.ascii("piece")) + SHIFT
-    step = F.shiftleft(F.col("last").cast("long"), 29) + F.shiftleft((31 - F.col("size")).cast("long"), 24) + number
-    edges = (parts.join(F.broadcast(vocabulary.table(words.sparkSession)), "piece", "left")
-             .filter("id IS NOT NULL OR size = 1")
-             .select("h1", "h2", "word", "carried",
-                     F.struct(step.alias("k"), F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score")).alias("edge")))
-    folded = (edges.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("edge")).alias("edges"),
-                                            F.first("word", ignorenulls=True).alias("word"),
-                                            F.first("carried", ignorenulls=True).alias("carried"))
-              .withColumn("steps", F.expr(FOLD.format(keep=longest + 1, block=BLOCK))))
-    return folded.select("word", "carried", F.expr(TRACE.format(shift=SHIFT)).alias("ids"))
+                     "last", "size", F.expr("substring(word, last - size + 1, size)").alias("piece"))
+             .withColumn("key", F.xxhash64("piece")))
+    number = F.coalesce(F.when(F.col("name") == F.col("piece"), F.col("id")), F.when(F.col("size") == 1, -1 - F.ascii("piece"))) + SHIFT
+    step = F.shiftleft(F.col("last").cast("long"), 29) + F.shiftleft(F.col("size").cast("long"), 24) + number
+    edges = (parts.join(F.broadcast(vocabulary.table(words.sparkSession)), "key", "left")
+             .select("h1", "h2", "word", "carried", step.alias("edge")).filter("edge IS NOT NULL"))
+    grouped = edges.groupBy("h1", "h2").agg(F.first("word", ignorenulls=True).alias("word"), F.first("carried", ignorenulls=True).alias("carried"),
+                                            F.collect_list("edge").alias("edges"))
+    scores = vocabulary.edge_scores
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, FOLDED):
+            edges = b.column(2)
+            size = pa.compute.list_value_length(edges).to_numpy()
+            edge = in_order(edges.flatten().to_numpy(), size)
+            found, sizes = best_paths(edge >> 29, edge >> 24 & 31, (edge & 0xFFFFFF) - SHIFT, np.cumsum(size) - size, scores)
+            offsets = np.cumsum([0, *3 * sizes]).astype(np.int32)
+            ids = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(three_bytes(found))])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids], names=["word", "carried", "ids"])
+    out = T.StructType([words.schema["word"], words.schema["carried"], T.StructField("ids", T.BinaryType())])
+    return grouped.select("word", "carried", "edges").mapInArrow(run, out)
+
+
+def in_order(edge: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Edges of words one behind the other, ``size`` of each, sorted within their word."""
+    word = np.repeat(np.arange(len(size)), size)
+    if (np.diff(edge)[np.diff(word) == 0] > 0).all():
+        return edge
+    return edge[np.lexsort((edge, word))]
+
+
+def best_paths(last: np.ndarray, size: np.ndarray, ids: np.ndarray, first: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the best segmentation of each word, one behind the other, and how many each has.
+
+    Edges are those of one word after another from ``first`` on, by their end
+    and then their length; all ends of one distance are settled at once.
+    """
+    behind = np.append(first[1:], len(last))
+    length = last[behind - 1]
+    base = np.cumsum(length + 1) - (length + 1)
+    end = np.repeat(base, behind - first) + last  # places of all words in a row, one more than its characters for each
+    start = end - size
+    score = scores[np.maximum(ids, -1)]
+    order = np.argsort(last, kind="stable")
+    best, came = np.zeros(int(length.sum()) + len(length)), np.zeros(int(length.sum()) + len(length), np.int64)
+    bounds = np.concatenate(([0], np.cumsum(np.bincount(last))))
+    for p in range(1, len(bounds) - 1):
+        here = order[bounds[p]:bounds[p + 1]]
+        to = end[here]
+        sums = best[start[here]] + score[here]
+        head = np.flatnonzero(np.diff(to, prepend=-1))
+        top = np.maximum.reduceat(sums, head)
+        best[to[head]] = top
+        equal = np.flatnonzero(sums == np.repeat(top, np.diff(head, append=len(to))))
+        final = np.append(to[equal[1:]] != to[equal[:-1]], True)  # the longest of equal ones
+        came[to[equal[final]]] = here[equal[final]]
+    steps, word, at = [], np.arange(len(first)), base + length
+    while len(word):
+        edge = came[at]
+        steps.append((word, ids[edge]))
+        at = start[edge]
+        go = at > base[word]
+        word, at = word[go], at[go]
+    sizes = np.bincount(np.concatenate([w for w, _ in steps]), minlength=len(first))
+    out, place = np.zeros(int(sizes.sum()), np.int32), np.cumsum(sizes)
+    for w, x in steps:
+        place[w] -= 1
+        out[place[w]] = x
+    return out, sizes
+
+
+def three_bytes(ids: np.ndarray) -> bytes:
+    return ids.astype(">i4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()
+
+
+def of_three_bytes(raw: np.ndarray) -> np.ndarray:
+    raw = raw.reshape(-1, 3).astype(np.int32)
+    return ((raw[:, 0] << 16 | raw[:, 1] << 8 | raw[:, 2]) ^ 0x800000) - 0x800000
+
+
+def octets_of(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls in a row, and where each row's start (one more at the end)."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return np.frombuffer(data or b"", np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
 # ------------------------------------------------------- documents as units
@@ -256,11 +299,11 @@ class Frequent:
     is compared.
     """
 
-    def __init__(self, words: pa.StringArray, ids: pa.ListArray, vocabulary: Vocabulary):
+    def __init__(self, words: pa.StringArray, ids: pa.BinaryArray, vocabulary: Vocabulary):
         self.count = len(words)
-        offsets = ids.offsets.to_numpy()
-        self.ids, sizes = spelled(ids.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]], vocabulary)
-        self.start = np.concatenate(([0], np.cumsum(sizes)))[offsets - offsets[0]].astype(np.int32)
+        flat, offsets = octets_of(ids)
+        self.ids, sizes = spelled(of_three_bytes(flat), vocabulary)
+        self.start = np.concatenate(([0], np.cumsum(sizes)))[offsets // 3].astype(np.int32)
         self.octets = None
         found = [word_hashes(words.slice(k, WORDS_AT_ONCE).to_pylist()) for k in range(0, self.count, WORDS_AT_ONCE)]
         h1, h2 = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in zip(*found)) if found else (np.zeros(0, np.uint64),) * 2
@@ -388,7 +431,7 @@ def frequent_units(docs: DataFrame, vocabulary: Vocabulary, most: int, sample_do
             break
         room, least = room - words, n
     if least is None:
-        return Frequent(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())), vocabulary)
+        return Frequent(pa.array([], pa.string()), pa.array([], pa.binary()), vocabulary)
     chosen = counts.filter(F.col("n") >= least)
     tasks = max(1, (most - room) // WORDS_AT_ONCE)
     solved = lattice(chosen.select(*word_key(), "word", F.col("n").alias("carried")).repartition(tasks, "h1", "h2"), vocabulary)
@@ -471,8 +514,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, frequent: int
     tasks = RARE_TASKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     words = (rare.repartition(tasks, F.xxhash64("word")).select("*", *word_key()).groupBy("h1", "h2")
              .agg(F.first("word").alias("word"), F.collect_list(F.struct("doc_id", "th", "place")).alias("carried")))
-    three = F.unhex(F.array_join(F.transform("ids", lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFF))), 6, "0")), ""))
-    back = (lattice(words, vocabulary).select("carried", three.alias("ids")).select(F.inline("carried"), "ids")
+    back = (lattice(words, vocabulary).select(F.inline("carried"), "ids")
             .repartition("doc_id", "th")  # flat rows are smaller than lists that are put together before the shuffle
             .groupBy("doc_id", "th").agg(F.collect_list(F.struct("place", "ids")).alias("solved"))
             .select(F.col("doc_id").alias("in_doc"), F.col("th").alias("in_th"), "solved"))
@@ -481,54 +523,85 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, frequent: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, unpack = known.value, zstandard.ZstdDecompressor()
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                out, same = [], []
-                for tk, codes, own in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
-                    ids, text = solved_text(unpacked(unpack.decompress(codes)), base, own or [], vocabulary)
-                    out.append(ids)
-                    same.append(xxh64_intdigest(text, 42) == tk & (1 << 64) - 1 or not len(ids) and tk == 42)  # 42: a null text
-                sizes = [len(x) for x in out]
-                flat = np.concatenate([*out, np.zeros(0, np.int32)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())],
-                                                 names=["doc_id", "ids", "n_tokens", "round_trip"])
+            for lo in range(0, b.num_rows, 512):
+                group = b.slice(lo, 512)
+                codes = [unpack.decompress(c) for c in group.column(2).to_pylist()]
+                for k, m in parts([len(c) for c in codes], PART_CODES):
+                    part = group.slice(k, m - k)
+                    ids, at, text, text_at = solved_texts(codes[k:m], base, part.column(3), vocabulary)
+                    sizes, ends = np.diff(at), text_at.tolist()
+                    same = [xxh64_intdigest(text[i:j], 42) == tk & (1 << 64) - 1 or not n and tk == 42  # 42: a null text
+                            for i, j, n, tk in zip(ends, ends[1:], sizes.tolist(), part.column(1).to_pylist())]
+                    lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())],
+                                                     names=["doc_id", "ids", "n_tokens", "round_trip"])
     return joined.select("doc_id", "tk", "codes", "solved").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
 
 
-def solved_text(numbers: np.ndarray, base: Frequent, own: list[dict], vocabulary: Vocabulary) -> tuple[np.ndarray, bytes]:
-    """The ids of a document's units and what they decode to; ``own`` holds its rare units as (place, ids)."""
-    if not own:
-        return ragged(base.ids, base.start, numbers)[0], ragged(*base.text(vocabulary), numbers)[0].tobytes().removeprefix(b" ")
-    data = [b""] * (1 + max(r["place"] for r in own))
-    for r in own:
-        data[r["place"]] = r["ids"]  # three bytes each
-    raw = np.frombuffer(b"".join(data), np.uint8).reshape(-1, 3).astype(np.int32)
-    flat = ((raw[:, 0] << 16 | raw[:, 1] << 8 | raw[:, 2]) ^ 0x800000) - 0x800000
-    start = np.cumsum([0, *(len(x) // 3 for x in data)])
-    if (flat < 0).any():
-        flat, sizes = spelled(flat, vocabulary)
-        start = np.concatenate(([0], np.cumsum(sizes)))[start]
-    rare = numbers >= base.count
-    place, where = np.where(rare, numbers - base.count, 0), np.where(rare, 0, numbers)
-    octets, sizes = ragged(*vocabulary.octets, flat)
-    octet_start = np.concatenate(([0], np.cumsum(sizes)))[start]
-    ids = merged(rare, (flat, start, place), (base.ids, base.start, where))
-    return ids, merged(rare, (octets, octet_start, place), (*base.text(vocabulary), where)).tobytes().removeprefix(b" ")
-
+def solved_texts(codes: list[bytes], base: Frequent, solved: pa.ListArray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray]:
+    """The ids of documents, one behind the other, and where each one's start; the same for what they decode to.
 
-def merged(second: np.ndarray, one: tuple, other: tuple) -> np.ndarray:
-    """Runs of ``one`` (flat, start, which) where ``second`` is set, else of ``other``, in order."""
+    ``solved`` holds a document's rare units as (place, ids); null: it has none.
+    """
+    numbers = unpacked(b"".join(codes))
+    ends = np.cumsum([0, *map(len, codes)])
+    last = np.flatnonzero(np.frombuffer(b"".join(codes), np.uint8) < 128)
+    unit_at = np.searchsorted(last, ends)  # first unit of each document
+    doc = np.repeat(np.arange(len(codes)), np.diff(unit_at))
+    rare = numbers >= base.count
+    ids, octets, sizes, octet_sizes = known_and_own(numbers, rare, doc, base, solved, vocabulary)
+    at, octet_at = (np.concatenate(([0], np.cumsum(x)))[unit_at] for x in (sizes, octet_sizes))
+    # the mark in front of a text is no part of it
+    lead = np.flatnonzero(octets[octet_at[:-1][octet_at[1:] > octet_at[:-1]]] == 32)
+    full = np.flatnonzero(octet_at[1:] > octet_at[:-1])[lead]
+    keep = np.ones(len(octets), bool)
+    keep[octet_at[full]] = False
+    less = np.zeros(len(codes) + 1, np.int64)
+    less[full + 1] = 1
+    return ids, at, octets[keep].tobytes(), octet_at - np.cumsum(less)
+
+
+def known_and_own(numbers: np.ndarray, rare: np.ndarray, doc: np.ndarray, base: Frequent, solved: pa.ListArray,
+                  vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and decoded bytes of all units in a row, and how many of each a unit has; the rare units of document ``doc`` are its own."""
+    if not rare.any():
+        (ids, sizes), (octets, octet_sizes) = ragged(base.ids, base.start, numbers), ragged(*base.text(vocabulary), numbers)
+        return ids, octets, sizes, octet_sizes
+    rows = solved.flatten()
+    of = np.repeat(np.arange(len(solved)), pa.compute.fill_null(pa.compute.list_value_length(solved), 0).to_numpy())
+    place, found = rows.flatten()
+    place = place.to_numpy()
+    flat, offsets = octets_of(found)
+    flat, offsets = of_three_bytes(flat), offsets // 3
+    if (flat < 0).any():
+        flat, spelled_sizes = spelled(flat, vocabulary)
+        offsets = np.concatenate(([0], np.cumsum(spelled_sizes)))[offsets]
+    room = np.zeros(len(solved), np.int64)
+    np.maximum.at(room, of, place + 1)
+    first = np.cumsum(room) - room
+    slot = np.zeros(int(room.sum()), np.int64)
+    slot[first[of] + place] = np.arange(len(place))  # a repeated row holds the same again
+    mine, where = np.zeros(len(numbers), np.int64), np.where(rare, 0, numbers)
+    mine[rare] = slot[first[doc[rare]] + numbers[rare] - base.count]
+    octets, octet_sizes = ragged(*vocabulary.octets, flat)
+    octet_offsets = np.concatenate(([0], np.cumsum(octet_sizes)))[offsets]
+    (ids, sizes), (text, text_sizes) = merged(rare, (flat, offsets, mine), (base.ids, base.start, where)), \
+        merged(rare, (octets, octet_offsets, mine), (*base.text(vocabulary), where))
+    return ids, text, sizes, text_sizes
+
+
+def merged(second: np.ndarray, one: tuple, other: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``one`` (flat, start, which) where ``second`` is set, else of ``other``, in order; and their lengths."""
     (flat_a, start_a, at_a), (flat_b, start_b, at_b) = one, other
     if not len(flat_b):
-        return ragged(flat_a, start_a, at_a)[0]
-    first = np.where(second, start_a[at_a], start_b[at_b])
-    size = np.where(second, start_a[at_a + 1], start_b[at_b + 1]) - first
+        return ragged(flat_a, start_a, at_a)
+    first = np.where(second, start_a[at_a] + len(flat_b), start_b[at_b])
+    size = np.where(second, start_a[at_a + 1] + len(flat_b), start_b[at_b + 1]) - first
     at = np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)
-    from_a = np.repeat(second, size)
+    from_a = at >= len(flat_b)
     out = np.empty(len(at), flat_a.dtype)
-    out[from_a], out[~from_a] = flat_a[at[from_a]], flat_b[at[~from_a]]
-    return out
+    out[from_a], out[~from_a] = flat_a[at[from_a] - len(flat_b)], flat_b[at[~from_a]]
+    return out, size
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary | None = None, ids_col: str = "ids") -> DataFrame:

@@ -131,3 +131,40 @@ def test_no_possible_length_is_left_out(spark):
         assert real <= got
         loose += len(got) - len(real)
     assert loose < 3 * sum(map(len, words))
+
+
+def test_fold_takes_edges_in_any_order(vocab):
+    """Many words folded at once equal a plain Viterbi, and ids survive their three bytes."""
+    score = table(vocab)
+    names = {vocab.pieces[i]: i for i in vocab.winning}
+    words = ["▁international", "▁a", "x", "日本", "\U0001F600", "▁Straßenbahnen", "x" * 300, "▁" * 40] + sorted(names)[::300]
+    rng, edges, sizes = np.random.default_rng(1), [], []
+    for w in words:
+        own = [(end << 29) + (n << 24) + names.get(w[end - n:end], -1 - ord(w[end - n])) + P.SHIFT
+               for end in range(1, len(w) + 1) for n in range(1, min(end, vocab.longest) + 1) if n == 1 or w[end - n:end] in names]
+        edges.append(rng.permutation(np.array(own, np.int64)))
+        sizes.append(len(own))
+    size = np.array(sizes)
+    edge = P.in_order(np.concatenate(edges), size)
+    ids, counts = P.best_paths(edge >> 29, edge >> 24 & 31, (edge & 0xFFFFFF) - P.SHIFT, np.cumsum(size) - size, vocab.edge_scores)
+    ids = P.of_three_bytes(np.frombuffer(P.three_bytes(ids), np.uint8))
+    got = np.split(ids, np.cumsum(counts)[:-1])
+    assert [vocab.spelled(x.tolist()) for x in got] == [plain(w, vocab, score) for w in words]
+
+
+def test_no_edge_goes_through_an_interpreted_fold(spark, vocab):
+    """Edges are joined on a long and folded in batches; a lambda for each edge took most of the time."""
+    words = spark.createDataFrame([("▁the", 1)], "word string, carried int").select(*P.word_key(), "word", "carried")
+    plan = P.lattice(words, vocab)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [key" in plan and "lambda" not in plan
+    assert spark.createDataFrame([], words.schema).transform(lambda d: P.lattice(d, vocab)).count() == 0
+
+
+def test_documents_are_put_together_in_batches(spark, vocab):
+    """Documents of one batch keep apart: with and without rare units, empty ones between, spaces in front."""
+    score = table(vocab)
+    texts = ["common words", "", "qzxv common", None, " common", "  qzxv", "zzqx qzxv zzqx", "common", "\U0001F600 zzqx", " "] * 60
+    for frequent in (0, 2, 1000):
+        got = encoded(spark, texts, frequent=frequent, sample_docs=1000)
+        assert [got[n].ids for n in range(len(texts))] == [plain_text(t or "", vocab, score) for t in texts]
+        assert all(r.round_trip and r.n_tokens == len(r.ids) for r in got.values())
