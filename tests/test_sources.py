@@ -1,10 +1,16 @@
 """Landing and the package layouts."""
+import datetime
+import json
 import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+
 from conftest import SF_SMALL
 from pliego.plans.packages import indicators_from_packages
 from pliego.sources.landing import land
 from pliego.sources.ocds import read_package_lines, read_packages, read_zipped_packages, releases
+from pliego.sources.schema import package_schema
 
 
 def test_layouts_hold_the_same_releases(spark, tmp_path):
@@ -90,3 +96,31 @@ def test_zipped_releases(spark, tmp_path):
     (tmp_path / "bad" / "broken.zip").write_bytes(b"no archive")
     with pytest.raises(Exception, match="broken.zip"):
         read_zipped_releases(spark, str(tmp_path / "bad")).count()
+
+
+def test_csv_ready_is_the_whole_table(spark, tmp_path):
+    """All columns of the projection, nested ones whole as JSON text, as its SQL has them."""
+    import duckdb
+    import __spark_entry__ as E
+    from pliego.sources.ocds import indicator_projection
+    day = datetime.datetime(2020, 5, 4, 3)
+    tables = {
+        "orders": [("o_orderkey", [1, 2]), ("o_custkey", [8, 9]), ("o_orderstatus", ["O", "P"]), ("o_totalprice", [100.5, 7.25]),
+                   ("o_orderdate", pa.array([day, day], pa.timestamp("us"))), ("o_orderpriority", ["1-URGENT", "2-HIGH"])],
+        "lineitem": [("l_orderkey", [1, 1, 1]), ("l_partkey", [7, 5, 6]), ("l_suppkey", [3, None, 4]), ("l_linenumber", pa.array([2, 1, 2], pa.int32())),
+                     ("l_quantity", [1.0] * 3), ("l_extendedprice", [10.75, 20.0, None]), ("l_discount", [.0] * 3), ("l_tax", [.0] * 3),
+                     ("l_returnflag", ["N"] * 3), ("l_linestatus", ["O"] * 3), ("l_shipdate", pa.array([day, day, None], pa.timestamp("us")))],
+        "conversations": [("conv_id", [1, 1, 1]), ("turn", [2, 0, 1]), ("role", ["user", "user", "assistant"]), ("text", ["b\nc", 'say "a"', "yes"])]}
+    con = duckdb.connect()
+    for name, columns in tables.items():
+        pq.write_table(pa.table(dict(columns)), tmp_path / f"{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    df = E.queries()["csv_ready"](spark, str(tmp_path))
+    assert df.columns == indicator_projection(spark.createDataFrame([], package_schema())).columns
+    one, two = df.orderBy("id").collect()
+    assert [b["id"] for b in json.loads(one.bids)] == ["1-1-5", "1-2-6", "1-2-7"]
+    assert [(q["id"], q["description"], q.get("answer")) for q in json.loads(one.enquiries)] == [("0", 'say "a"', "yes"), ("2", "b\nc", None)]
+    assert [json.loads(one[c]) for c in ("enq_desc", "enq_ans")] == [['say "a"', "b\nc"], ["yes", None]]
+    assert two.bids is None and two.enquiries is None and (two.Tvalue, two.tag, two.parties) == (7.25, '["tender"]', "[null]")
+    want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({E.oracle_sql()['csv_ready']}) ORDER BY id").fetchall()
+    assert [tuple(one), tuple(two)] == want
