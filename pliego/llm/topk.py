@@ -13,6 +13,11 @@ of local scores, and a score is the sum over the lists.
 
 Equal vectors are searched once.  Lists are computed in blocks: a query block
 meets every block of distinct vectors, as one matrix product.
+
+Nothing that grows with the input goes through the driver: joins are told to
+shuffle both sides (``merge``), since a stored table's compressed size says little
+about what a broadcast of it takes.  What a phase knows of the queries goes to
+their blocks first, so that pairs of blocks are never shuffled.
 """
 from __future__ import annotations
 
@@ -60,8 +65,12 @@ def block_of(col: str, count: int):
 
 def pairs(queries: DataFrame, vectors: DataFrame, vector_blocks: int) -> DataFrame:
     """Every query block beside every vector block of its list."""
-    spread = queries.withColumnRenamed("items", "queries").withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(vector_blocks - 1))))
-    return spread.join(vectors.withColumnRenamed("items", "vectors"), ["dim", "b", "vb"])
+    return beside(queries.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(vector_blocks - 1)))), vectors)
+
+
+def beside(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The query blocks, each meant for a vector block ``vb``, with its vectors."""
+    return queries.withColumnRenamed("items", "queries").join(vectors.withColumnRenamed("items", "vectors").hint("merge"), ["dim", "b", "vb"])
 
 
 def matrix(items: pa.Array, dim: int, b: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +131,7 @@ def heads(both: DataFrame, depth: int, wide: bool) -> DataFrame:
     return found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= depth).drop("n")
 
 
-def above(both: DataFrame, limits: DataFrame, query_blocks: int, wide: bool) -> DataFrame:
+def above(queries: DataFrame, vectors: DataFrame, limits: DataFrame, query_blocks: int, vector_blocks: int, wide: bool) -> DataFrame:
     """Phase 2: the entries at or over cutoff / LISTS, and at or over what the heads of the other lists leave open."""
     known = (limits.groupBy("dim", block_of("query", query_blocks).alias("qb"), "b")
              .agg(F.sort_array(F.collect_list(F.struct("query", "least"))).alias("least")))
@@ -134,10 +143,11 @@ def above(both: DataFrame, limits: DataFrame, query_blocks: int, wide: bool) ->
             floor = least.field("least").to_numpy(zero_copy_only=False)[np.searchsorted(ids, qi)]
             x, y = np.nonzero(s >= floor[:, None])
             yield rows_out(qi[x], vi[y], b, s[x, y], wide)
-    return both.join(known, ["dim", "b", "qb"]).select("dim", "b", "queries", "vectors", "least").mapInArrow(run, rows_type(wide))
+    both = pairs(queries.join(known.hint("merge"), ["dim", "b", "qb"]), vectors, vector_blocks)
+    return both.select("dim", "b", "queries", "vectors", "least").mapInArrow(run, rows_type(wide))
 
 
-def resolve(both: DataFrame, wanted: DataFrame, query_blocks: int, vector_blocks: int, wide: bool) -> DataFrame:
+def resolve(queries: DataFrame, vectors: DataFrame, wanted: DataFrame, query_blocks: int, vector_blocks: int, wide: bool) -> DataFrame:
     """(query, cls, score): exact scores of the pairs ``wanted`` (dim, query, cls)."""
     asked = (wanted.groupBy("dim", block_of("query", query_blocks).alias("qb"), block_of("cls", vector_blocks).alias("vb"))
              .agg(F.collect_list(F.struct("query", "cls")).alias("asked")))
@@ -155,7 +165,8 @@ def resolve(both: DataFrame, wanted: DataFrame, query_blocks: int, vector_blocks
                 for k in range(0, len(query), 1 << 16):
                     a, c = qm[x[k:k + (1 << 16)]], vm[y[k:k + (1 << 16)]]
                     yield rows_out(query[k:k + (1 << 16)], cls[k:k + (1 << 16)], b, pairwise(a, c), wide)
-    found = both.join(asked, ["dim", "qb", "vb"]).select("dim", "b", "queries", "vectors", "asked").mapInArrow(run, rows_type(wide))
+    both = beside(asked.join(queries.hint("merge"), ["dim", "qb"]), vectors)
+    found = both.select("dim", "b", "queries", "vectors", "asked").mapInArrow(run, rows_type(wide))
     return found.groupBy("query", "cls").agg(F.sum("local").alias("score"))
 
 
@@ -185,21 +196,22 @@ def topk_search(df: DataFrame, is_query, k: int, scale: int = 64, id_col: str =
     members = (rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1)
                .groupBy("q").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     counted = rows.groupBy("q").agg(F.min("vec_id").alias("cls"), F.count("*").alias("rows"), F.count_if(is_query).alias("asks"))
-    classes = written(counted.join(members, "q"), "vector-classes")
+    classes = written(counted.join(members.hint("merge"), "q"), "vector-classes")
     size = F.array_max(F.transform("q", lambda x: F.abs(x.cast("decimal(20,0)"))))
     total, asking, asks, top, longest = classes.agg(
         F.count("*"), F.count_if(F.col("asks") > 0), F.sum("asks"), F.max(size), F.max(F.size("q"))).first()
     wide = int(top or 0) ** 2 * max(1, longest or 0) >= 1 << 61
     vector_blocks, query_blocks = max(1, -(-total // VECTOR_BLOCK)), max(1, -(-asking // QUERY_BLOCK))
-    both = pairs(written(blocks(classes.filter("asks > 0").select("cls", "q"), "qb", query_blocks), "query-blocks"),
-                 written(blocks(classes.select("cls", "q"), "vb", vector_blocks), "vector-blocks"), vector_blocks)
-    dims = classes.filter("asks > 0").select(F.col("cls").alias("query"), F.size("q").alias("dim"))
+    queries = written(blocks(classes.filter("asks > 0").select("cls", "q"), "qb", query_blocks), "query-blocks")
+    vectors = written(blocks(classes.select("cls", "q"), "vb", vector_blocks), "vector-blocks")
+    dims = classes.filter("asks > 0").select(F.col("cls").alias("query"), F.size("q").alias("dim")).hint("merge")
 
-    head = written(heads(both, DEPTH * (k + 1), wide), "heads")
-    seen = written(resolve(both, head.select("query", "cls").distinct().join(dims, "query"), query_blocks, vector_blocks, wide), "seen")
+    head = written(heads(pairs(queries, vectors, vector_blocks), DEPTH * (k + 1), wide), "heads")
+    wanted = head.select("query", "cls").distinct().join(dims, "query")
+    seen = written(resolve(queries, vectors, wanted, query_blocks, vector_blocks, wide), "seen")
     cutoff = written(best(seen, k + 1).groupBy("query").agg(F.when(F.count("*") == k + 1, F.min("score")).alias("cutoff")), "cutoffs")
     tops = head.groupBy("query", "b").agg(F.max("local").alias("top"))
-    others = tops.join(tops.groupBy("query").agg(F.sum("top").alias("all")), "query").join(cutoff, "query")
+    others = tops.withColumn("all", F.sum("top").over(Window.partitionBy("query"))).join(cutoff.hint("merge"), "query")
     # a list sends what is at or over ``share``; what it leaves out is under ``left_out``
     if wide:
         share, lowest, kind = F.floor(F.col("cutoff") / F.lit(LISTS)) - 1, Decimal(-10 ** 38 + 1), "decimal(38,0)"
@@ -210,24 +222,24 @@ def topk_search(df: DataFrame, is_query, k: int, scale: int = 64, id_col: str =
     least = F.greatest(share.cast(kind), (F.col("cutoff") - F.col("all") + F.col("top")).cast(kind))
     limits = others.select("query", "b", F.coalesce(least, F.lit(lowest)).cast(kind).alias("least")).join(dims, "query")
 
-    entries = written(above(both, limits, query_blocks, wide).groupBy("query", "cls")
+    entries = written(above(queries, vectors, limits, query_blocks, vector_blocks, wide).groupBy("query", "cls")
                       .agg(F.sum("local").alias("score"), F.count("*").alias("lists")), "entries")
     whole = entries.filter(F.col("lists") == LISTS).select("query", "cls", "score").unionByName(seen).distinct()
     raised = best(whole, k + 1).groupBy("query").agg(F.when(F.count("*") == k + 1, F.min("score")).alias("raised"))
     # where a list left an entry out, it is under the cutoff's share there, or it can't reach the cutoff at all
     bound = F.col("score") + (LISTS - F.col("lists")) * left_out
-    open_ = (entries.filter(F.col("lists") < LISTS).join(cutoff, "query").join(raised, "query")
+    open_ = (entries.filter(F.col("lists") < LISTS).join(cutoff.hint("merge"), "query").join(raised.hint("merge"), "query")
              .filter(F.col("raised").isNull() | F.col("cutoff").isNull() | (bound >= F.col("raised")))
-             .select("query", "cls").join(dims, "query").join(seen.select("query", "cls"), ["query", "cls"], "left_anti"))
-    scored = whole.unionByName(resolve(both, open_, query_blocks, vector_blocks, wide))
+             .select("query", "cls").join(dims, "query").join(seen.select("query", "cls").hint("merge"), ["query", "cls"], "left_anti"))
+    scored = whole.unionByName(resolve(queries, vectors, open_, query_blocks, vector_blocks, wide))
 
-    found = best(scored, k + 1).join(classes.select("cls", "ids"), "cls").select("query", "score", F.explode("ids").alias("vec_id"))
+    found = best(scored, k + 1).join(classes.select("cls", "ids").hint("merge"), "cls").select("query", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
     found = found.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found"))
     asked = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), "q")
     named = classes.filter("asks > 0").select("q", F.col("cls").alias("query"), F.col("asks").alias("rows"))
-    lists = named.select("q", "query", "rows").join(found, "query").select("q", "found", "rows")
+    lists = named.select("q", "query", "rows").join(found.hint("merge"), "query").select("q", "found", "rows")
     score = F.least(F.greatest(F.col("hit.score"), F.lit(str(-LONG)).cast("decimal(38,0)")), F.lit(str(LONG - 1)).cast("decimal(38,0)"))
     own = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     return (join_unique(asked, lists, "q", "rows", asks or 0)

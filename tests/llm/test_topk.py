@@ -73,3 +73,30 @@ def test_scores_near_the_end_of_a_long(spark, size):
     rows = [(i, [*(4 * size * rng.uniform(.9, 1.1, 4)).astype(np.float32).tolist(), *(-4 * size * rng.uniform(.9, 1.1, 4)).astype(np.float32).tolist()])
             for i in range(20)] + [(20, [x * y for x, y in zip([4 * size] * 8, [1, 1, 1, 1, 1, 1, 1, .99])])]
     assert found(spark, rows, 5) == {(a, n, b, limit(s)) for a, n, b, s in plain(rows, 5)}
+
+
+def nodes(plan):
+    """The physical plan's operators and the columns that they give."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.initialPlan()
+    yield plan.nodeName(), {plan.output().apply(i).name() for i in range(plan.output().size())}
+    for i in range(plan.children().size()):
+        yield from nodes(plan.children().apply(i))
+
+
+def test_no_growing_table_goes_through_the_driver(spark, monkeypatch):
+    """However small the tables look, joins shuffle: only keys of hot vectors (at most 400) are broadcast; pairs of blocks stay where they are made."""
+    written, kept = K.written, []
+    monkeypatch.setattr(K, "written", lambda df, name: kept.append(df) or written(df, name))
+    monkeypatch.setattr(K, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(K, "VECTOR_BLOCK", 16)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = K.topk_search(df, K.F.col("vec_id") % 5 == 0, 3)
+    stored, last = ([x for d in ds for x in nodes(d._jdf.queryExecution().executedPlan())] for ds in (kept, [found]))
+    assert not [n for n, _ in stored if n.startswith("Broadcast")]
+    assert all(out <= {"q", "found"} for n, out in last if n == "BroadcastExchange")
+    assert not [out for n, out in [*stored, *last] if n == "Exchange" and {"queries", "vectors"} <= out]
+    assert sum(n == "SortMergeJoin" for n, _ in stored) >= 8
+    assert {tuple(r) for r in found.collect()} == plain(rows, 3, every=5)
